@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, simhash, toxicity
+from . import bpe_replay, exact_dedup, packing, sharding, simhash, span_hash, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,10 +38,45 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op6_span_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_hash.fingerprint_documents(_documents(spark, sf_dir))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_replay.bpe_round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+SHARD_NAMES = [f"shard-{i:03d}" for i in range(sharding.SHARDS)]
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id")
+    return sharding.assign_shards(docs, F.col("doc_id").cast("string"), SHARD_NAMES)
+
+
+OP9_SQL = f"""
+WITH RECURSIVE h AS (
+  SELECT i, CAST('0x' || substr(md5(name || '/offset'), 1, 8) AS BIGINT) % {sharding.SLOTS} AS origin,
+         CAST('0x' || substr(md5(name || '/skip'), 1, 8) AS BIGINT) % {sharding.SLOTS - 1} + 1 AS step
+  FROM (SELECT i, 'shard-' || lpad(CAST(i AS VARCHAR), 3, '0') AS name FROM range({sharding.SHARDS}) r(i))),
+prefers AS (
+  SELECT i, list((origin + k * step) % {sharding.SLOTS} ORDER BY k) AS slots FROM h, range({sharding.SLOTS}) r(k) GROUP BY i),
+fill AS (
+  SELECT 0 AS turn, list_transform(range({sharding.SLOTS}), lambda x: -1) AS owner
+  UNION ALL
+  SELECT turn + 1, list_concat(owner[:claim - 1], [CAST(i AS INT)], owner[claim + 1:])
+  FROM (SELECT turn, owner, i, 1 + slots[list_position(list_transform(slots, lambda s: owner[s + 1]), -1)] AS claim
+        FROM fill JOIN prefers ON i = turn % {sharding.SHARDS} WHERE turn < {sharding.SLOTS})),
+owners AS (SELECT unnest(owner) AS shard, generate_subscripts(owner, 1) - 1 AS slot FROM fill WHERE turn = {sharding.SLOTS})
+SELECT doc_id, CAST(slot AS INT) AS slot, CAST(shard AS INT) AS shard
+FROM (SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % {sharding.SLOTS} AS slot FROM documents) JOIN owners USING (slot)
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -49,8 +84,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_exact_dedup": op2_exact_dedup, "op3_simhash": op3_simhash, "op5_toxicity": op5_toxicity, "op7_packing": op7_packing, "pipeline": pipeline}
+    return {"op2_exact_dedup": op2_exact_dedup, "op3_simhash": op3_simhash, "op5_toxicity": op5_toxicity, "op6_span_hash": op6_span_hash, "op7_packing": op7_packing, "op8_bpe_replay": op8_bpe_replay, "op9_sharding": op9_sharding, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op9_sharding": OP9_SQL}

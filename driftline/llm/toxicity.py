@@ -23,6 +23,12 @@ SHORTEST, LONGEST = 3, 14
 SUPPORT = 4
 #: Stems that are counted in clean texts, at most: those in most toxic texts.
 CANDIDATES = 50_000
+#: How many times as often as in clean texts a stem must be, for each word, as a logarithm.
+LEAST_WEIGHT = 2.5
+#: Added to a text's words, and to its weight for each word.
+FEW_WORDS, FLOOR = 10, 0.002
+#: Powers of the length that may divide the weight; the fit takes the likeliest.
+POWERS = (1.0, 0.75, 0.5, 0.25)
 
 # Characters that look like Latin letters, and digits and signs that stand for letters.
 HOMOGLYPHS = {"а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "ɡ": "g", "ո": "n", "α": "a", "ο": "o", "ν": "v", "ρ": "p", "τ": "t", "ι": "i", "κ": "k", "υ": "u", "χ": "x"}
@@ -51,8 +57,9 @@ class ToxicityModel:
 
     stems: dict[str, float]
     exceptions: frozenset[str]
-    slope: float
-    offset: float
+    slope: float = 1.0
+    offset: float = -5.0
+    power: float = 1.0
 
     def __post_init__(self) -> None:
         self.automaton = None
@@ -61,7 +68,7 @@ class ToxicityModel:
         return self.__dict__ | {"automaton": None}
 
     def weight(self, text: str) -> float:
-        """The summed weight of the stems in a folded text, over the logarithm of its words; of stems that begin one word the heaviest counts."""
+        """The summed weight of the stems in a folded text; of stems that begin one word the heaviest counts."""
         if self.automaton is None:
             self.automaton = ahocorasick.Automaton()
             for stem, weight in self.stems.items():
@@ -83,17 +90,25 @@ class ToxicityModel:
         for i, j in spared:
             for start in [x for x in found if i <= x < j]:
                 del found[start]
-        return sum(found.values()) / math.log2(2 + text.count(" ")) if found else 0.0
+        return sum(found.values())
 
     def score(self, text: str | None) -> float:
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.slope * self.weight(fold(text)) + self.offset))))
+        text = fold(text)
+        x = self.slope * _feature(self.weight(text), text.count(" "), self.power) + self.offset
+        return 1 / (1 + math.exp(-max(-500.0, min(500.0, x))))
 
 
-def stems_of(folded: str) -> set[str]:
-    """The beginnings of a folded text's words."""
-    out = set()
-    for word in set(folded.split()):
-        out.update(word[:k] for k in range(min(SHORTEST, len(word)), min(LONGEST, len(word)) + 1))
+def _feature(weight: float, words: int, power: float) -> float:
+    """The weight over a power of the text's length, as a logarithm."""
+    return math.log(FLOOR + weight / (words + FEW_WORDS) ** power)
+
+
+def stems_of(folded: str) -> Counter[str]:
+    """How many words of a folded text begin with each stem."""
+    out: Counter[str] = Counter()
+    for word, n in Counter(folded.split()).items():
+        for k in range(SHORTEST, min(LONGEST, len(word)) + 1):
+            out[word[:k]] += n
     return out
 
 
@@ -124,56 +139,63 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     rows = durable(_train_rows(docs, labels, id_col, text_col))
     toxic, clean = (rows.where(F.col("toxic") == x).select("text") for x in (1, 0))
-    n_toxic, n_clean = toxic.count(), clean.count()
-    most = toxic.mapInArrow(_count_stems, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n")).where(F.col("n") >= SUPPORT).orderBy(F.desc("n"), "stem").limit(CANDIDATES)
-    support = {r.stem: r.n for r in most.collect()}
+    counts = "stem string, texts long, uses long"
+    toxic_words, clean_words = (x.select(F.coalesce(F.sum(F.size(F.split(F.col("text"), r"\s+"))), F.lit(0))).first()[0] + 1 for x in (toxic, clean))
+    totals = [F.sum("texts").alias("texts"), F.sum("uses").alias("uses")]
+    most = toxic.mapInArrow(_count_stems, counts).groupBy("stem").agg(*totals).where(F.col("texts") >= SUPPORT).orderBy(F.desc("texts"), "stem").limit(CANDIDATES)
+    support = {r.stem: (r.texts, r.uses) for r in most.collect()}
     wanted = toxic.sparkSession.sparkContext.broadcast(frozenset(support))
-    against = Counter({r.stem: r.n for r in clean.mapInArrow(lambda it: _count_stems(it, wanted.value), "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n")).collect()})
-    weights = {s: math.log((n + 0.5) / (n_toxic + 1)) - math.log((against[s] + 0.5) / (n_clean + 1)) for s, n in support.items()}
-    strong = frozenset(s for s, w in weights.items() if w >= 2.5 and against[s] <= 0.02 * support[s])
+    against = {r.stem: r.uses for r in clean.mapInArrow(lambda it: _count_stems(it, wanted.value), counts).groupBy("stem").agg(*totals).collect()}
+    weights = {s: math.log((uses + 0.5) / toxic_words) - math.log((against.get(s, 0) + 0.5) / clean_words) for s, (_, uses) in support.items()}
+    strong = frozenset(s for s, w in weights.items() if w >= LEAST_WEIGHT)
     spread = toxic.sparkSession.sparkContext.broadcast(strong)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([sorted(stems_of(fold(x)) & spread.value) for x in batch.column(0).to_pylist()], pa.list_(pa.string()))], names=["stems"])
+            yield pa.RecordBatch.from_arrays([pa.array([sorted(stems_of(fold(x)).keys() & spread.value) for x in batch.column(0).to_pylist()], pa.list_(pa.string()))], names=["stems"])
 
     held = [r.stems for r in toxic.mapInArrow(kept, "stems array<string>").collect()]
-    chosen = _choose(held, support, n_toxic)
-    stems = {s: weights[s] for s in chosen}
+    stems = {s: weights[s] for s in _choose(held, weights)}
     # phrases of a stem's word and its neighbour that only clean texts hold
-    model = ToxicityModel(stems, frozenset(), 1.0, 0.0)
-    phrases = _phrases(rows, stems)
-    model = ToxicityModel(stems, frozenset(phrases), 1.0, 0.0)
+    model = ToxicityModel(stems, frozenset(_phrases(rows, stems)))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.weight(fold(x)) for x in batch.column(1).to_pylist()], pa.float64())], names=["toxic", "w"])
+            folded = [fold(x) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.weight(x) for x in folded], pa.float64()), pa.array([x.count(" ") for x in folded], pa.int64())], names=["toxic", "w", "words"])
 
-    pairs = rows.select("toxic", "text").mapInArrow(weigh, "toxic int, w double").groupBy("toxic", "w").count().orderBy("toxic", "w").collect()
-    model.slope, model.offset = _logistic(np.array([r.w for r in pairs]), np.array([r.toxic for r in pairs]), np.array([r["count"] for r in pairs]))
+    pairs = rows.select("toxic", "text").mapInArrow(weigh, "toxic int, w double, words long").orderBy("toxic", "w", "words").collect()
+    y = np.array([r.toxic for r in pairs])
+    fits = [(*_logistic(np.array([_feature(r.w, r.words, power) for r in pairs]), y), power) for power in POWERS]
+    model.slope, model.offset, _, model.power = min(fits, key=lambda f: f[2])
     return model
 
 
 def _count_stems(batches: Iterator[pa.RecordBatch], wanted: frozenset[str] | None = None) -> Iterator[pa.RecordBatch]:
-    counts: Counter[str] = Counter()
+    texts: Counter[str] = Counter()
+    uses: Counter[str] = Counter()
     for batch in batches:
         for text in batch.column(0).to_pylist():
             found = stems_of(fold(text))
-            counts.update(found if wanted is None else found & wanted)
-            if len(counts) > 1_000_000:
-                yield _counted(counts)
-                counts.clear()
-    yield _counted(counts)
+            if wanted is not None:
+                found = {s: found[s] for s in found.keys() & wanted}
+            texts.update(found.keys())
+            uses.update(found)
+            if len(texts) > 1_000_000:
+                yield _counted(texts, uses)
+                texts.clear()
+                uses.clear()
+    yield _counted(texts, uses)
 
 
-def _counted(counts: Counter[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["stem", "n"])
+def _counted(texts: Counter[str], uses: Counter[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(texts), pa.string()), pa.array(list(texts.values()), pa.int64()), pa.array([uses[s] for s in texts], pa.int64())], names=["stem", "texts", "uses"])
 
 
-def _choose(held: list[list[str]], support: dict[str, int], n_toxic: int) -> list[str]:
-    """Stems that explain toxic texts: again and again the one in most texts not yet explained, then every frequent one.
+def _choose(held: list[list[str]], weights: dict[str, float]) -> list[str]:
+    """Stems that explain toxic texts: again and again the heaviest in most texts not yet explained, then other frequent ones.
 
-    Of stems that hold in the same texts the longest is taken, since it says most.
+    Of stems that do equally well the longest is taken, since it says most.
     """
     by = defaultdict(set)
     for i, stems in enumerate(held):
@@ -182,9 +204,10 @@ def _choose(held: list[list[str]], support: dict[str, int], n_toxic: int) -> lis
     open_, chosen = set(range(len(held))), []
     left = {s: len(x) for s, x in by.items()}
     while left:
-        stem = max(left, key=lambda s: (left[s], len(s), s))
+        stem = max(left, key=lambda s: (round(left[s] * weights[s], 6), len(s), s))
         if left[stem] < SUPPORT:
-            break
+            left.pop(stem)
+            continue
         chosen.append(stem)
         gone = by[stem] & open_
         open_ -= gone
@@ -192,13 +215,17 @@ def _choose(held: list[list[str]], support: dict[str, int], n_toxic: int) -> lis
             for s in held[i]:
                 left[s] = left.get(s, 0) - 1
         left = {s: n for s, n in left.items() if n > 0}
-    frequent = [s for s in by if len(by[s]) >= max(20, 0.02 * n_toxic) and not any(len(by[s + c]) >= 0.95 * len(by[s]) for c in {x[len(s)] for x in by if len(x) == len(s) + 1 and x.startswith(s)})]
-    return [*chosen, *(s for s in frequent if s not in chosen and not any(s.startswith(c) for c in chosen))]
+    many = max(20, 0.03 * len(held))
+    frequent = sorted((s for s in by if len(by[s]) >= many), key=lambda s: (-round(len(by[s]) * weights[s], 6), -len(s), s))
+    for s in frequent:
+        if not any(s.startswith(c) or c.startswith(s) for c in chosen):
+            chosen.append(s)
+    return chosen
 
 
 def _phrases(rows: DataFrame, stems: dict[str, float]) -> list[str]:
     """Two-word phrases around a matched word that at least three clean texts and no toxic text hold, 1000 at most."""
-    model = ToxicityModel(stems, frozenset(), 1.0, 0.0)
+    model = ToxicityModel(stems, frozenset())
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = tuple(stems)
@@ -218,27 +245,28 @@ def _phrases(rows: DataFrame, stems: dict[str, float]) -> list[str]:
     return [r.phrase for r in counts.where("bad = 0 and good >= 3").orderBy(F.desc("good"), "phrase").limit(1000).collect()]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a one-variable logistic fit by Newton steps, with a weak pull to a steep line through 0.5."""
-    if not len(x) or y.max() == 0:
-        return 1.0, -5.0
-    hits = x[(y == 1) & (x > 0)]
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """Slope, offset and loss of a logistic fit to ``x`` by Newton steps, with a weak pull to a slope of 4 that is even half-way between the classes' typical values."""
+    hits = x[(y == 1) & (x > math.log(FLOOR))] if len(x) else x
     if not len(hits):
-        return 1.0, -5.0
-    a, b = 4 / np.percentile(hits, 20), -2.0
+        return 1.0, -5.0, 0.0
+    a = 4.0
+    b = -a * (np.percentile(hits, 10) + math.log(FLOOR)) / 2
     start = np.array([a, b])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -500, 500)))
-        r, v = n * (p - y), n * p * (1 - p)
-        grad = np.array([(r * x).sum(), r.sum()]) + (np.array([a, b]) - start) * np.array([1 / a**2, 1])
-        hess = np.array([[(v * x * x).sum(), (v * x).sum()], [(v * x).sum(), v.sum()]]) + np.diag([1 / start[0] ** 2, 1.0])
+        r, v = p - y, p * (1 - p)
+        grad = np.array([(r * x).sum(), r.sum()]) + 0.1 * (np.array([a, b]) - start)
+        hess = np.array([[(v * x * x).sum(), (v * x).sum()], [(v * x).sum(), v.sum()]]) + 0.1 * np.eye(2)
         step = np.linalg.solve(hess, grad)
+        step *= min(1.0, 2.0 / max(1e-9, np.abs(step).max()))
         a, b = a - step[0], b - step[1]
-        if a <= 0:
-            a = start[0]
         if np.abs(step).max() < 1e-9:
             break
-    return float(a), float(b)
+    if a <= 0:
+        a, b = start
+    z = np.where(y == 1, 1, -1) * (a * x + b)
+    return float(a), float(b), float(np.logaddexp(0, -z).sum())
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
