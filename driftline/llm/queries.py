@@ -8,13 +8,51 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_replay, exact_dedup, packing, sharding, simhash, span_hash, toxicity
+from . import bpe_replay, exact_dedup, license_scan, ngram_lm, packing, sharding, simhash, span_hash, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(_documents(spark, sf_dir))
+
+
+def _template_rows() -> str:
+    rows = []
+    for i, t in enumerate(license_scan.prepared(license_scan.TEMPLATES, license_scan.THRESHOLD)):
+        rows += [f"({i}, '{t['name']}', {t['size']}, '{gram}', {n})" for gram, n in t["grams"].items()]
+    return ", ".join(rows)
+
+
+OP1_SQL = rf"""
+WITH grams(i, name, size, gram, n) AS (VALUES {_template_rows()}),
+templates AS (SELECT DISTINCT i, name, size FROM grams),
+clean AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS c FROM documents),
+units AS (
+  SELECT doc_id, u, words FROM (
+    SELECT doc_id, u, list_filter(string_split(line, ' '), lambda w: w <> '') AS words FROM (
+      SELECT doc_id, generate_subscripts(string_split(c, chr(10)), 1) AS u, unnest(string_split(c, chr(10))) AS line FROM clean
+      UNION ALL SELECT doc_id, 0, replace(c, chr(10), ' ') FROM clean WHERE contains(c, chr(10))))),
+sized AS (
+  SELECT doc_id, u, len(words) - 1 AS size, words FROM units
+  WHERE len(words) - 1 BETWEEN (SELECT min(size) * {license_scan.THRESHOLD} / 2 FROM templates) AND (SELECT max(size) * 2 / {license_scan.THRESHOLD} FROM templates)),
+own AS (
+  SELECT doc_id, u, size, gram, count(*) AS n FROM (
+    SELECT doc_id, u, size, unnest(list_transform(range(1, len(words)), lambda k: words[k] || ' ' || words[k + 1])) AS gram FROM sized)
+  GROUP BY ALL),
+dices AS (
+  SELECT o.doc_id, o.u, g.i, g.name, 2.0::DOUBLE * sum(least(o.n, g.n))::DOUBLE / (o.size + g.size)::DOUBLE AS dice
+  FROM own o JOIN grams g USING (gram) GROUP BY o.doc_id, o.u, o.size, g.i, g.name, g.size),
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, u ORDER BY dice DESC, i) AS r FROM dices WHERE dice >= {license_scan.THRESHOLD}),
+found AS (
+  SELECT doc_id, first(name ORDER BY dice DESC, i) AS license_id, max(dice) AS dice, count(*) AS matches FROM best WHERE r = 1 GROUP BY doc_id)
+SELECT doc_id, license_id, dice, coalesce(matches, 0) AS matches FROM documents LEFT JOIN found USING (doc_id)
+"""
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -50,6 +88,10 @@ def op8_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_replay.bpe_round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score_documents(_documents(spark, sf_dir))
+
+
 SHARD_NAMES = [f"shard-{i:03d}" for i in range(sharding.SHARDS)]
 
 
@@ -84,8 +126,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_exact_dedup": op2_exact_dedup, "op3_simhash": op3_simhash, "op5_toxicity": op5_toxicity, "op6_span_hash": op6_span_hash, "op7_packing": op7_packing, "op8_bpe_replay": op8_bpe_replay, "op9_sharding": op9_sharding, "pipeline": pipeline}
+    return {"op1_license_scan": op1_license_scan, "op2_exact_dedup": op2_exact_dedup, "op3_simhash": op3_simhash, "op5_toxicity": op5_toxicity, "op6_span_hash": op6_span_hash, "op7_packing": op7_packing, "op8_bpe_replay": op8_bpe_replay, "op9_sharding": op9_sharding, "op10_lm_scoring": op10_lm_scoring, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op9_sharding": OP9_SQL}
+    return {"op1_license_scan": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op9_sharding": OP9_SQL}

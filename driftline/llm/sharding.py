@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Shards and slots of the registered query. The slots are a prime, over a hundred for each shard.
-SHARDS, SLOTS = 32, 4099
+SHARDS, SLOTS = 16, 2039
 #: A table of more slots is not broadcast (it would be over a few MB).
 MOST_SLOTS = 1 << 20
 
