@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_replay, exact_dedup, license_scan, ngram_lm, packing, sharding, simhash, span_hash, toxicity
+from . import bpe_replay, exact_dedup, license_scan, ngram_lm, packing, sharding, simhash, span_hash, token_output, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +71,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.token_round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -126,7 +130,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_license_scan": op1_license_scan, "op2_exact_dedup": op2_exact_dedup, "op3_simhash": op3_simhash, "op5_toxicity": op5_toxicity, "op6_span_hash": op6_span_hash, "op7_packing": op7_packing, "op8_bpe_replay": op8_bpe_replay, "op9_sharding": op9_sharding, "op10_lm_scoring": op10_lm_scoring, "pipeline": pipeline}
+    return {"op1_license_scan": op1_license_scan, "op2_exact_dedup": op2_exact_dedup, "op3_simhash": op3_simhash, "op4_token_output": op4_token_output, "op5_toxicity": op5_toxicity, "op6_span_hash": op6_span_hash, "op7_packing": op7_packing, "op8_bpe_replay": op8_bpe_replay, "op9_sharding": op9_sharding, "op10_lm_scoring": op10_lm_scoring, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
