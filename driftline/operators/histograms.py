@@ -1,4 +1,4 @@
-"""Trace histograms: (run, metric, mode, variant, series_key, bin_x, bin_y, count), for whole runs, per label, and with selected or vetoed traces."""
+"""Trace histograms: (run, metric, mode, variant, series_key, bin_x, bin_y, count; bin_y is 0 in one dimension), for whole runs, per label, and with selected or vetoed traces."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ MODES = ("all", "labeled", "filtered", "veto")
 
 
 def _point(variant: str, x: Column, y: Column | None = None) -> Column:
-    return F.struct(F.lit(variant).alias("variant"), x.cast("int").alias("bin_x"), (F.lit(None) if y is None else y).cast("int").alias("bin_y"))
+    return F.struct(F.lit(variant).alias("variant"), x.cast("int").alias("bin_x"), (F.lit(0) if y is None else y).cast("int").alias("bin_y"))
 
 
 def _near_zero(x: Column) -> Column:

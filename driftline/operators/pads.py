@@ -78,25 +78,39 @@ def pad_distance_classes(neighbors: DataFrame) -> DataFrame:
 
 
 def pad_directions(neighbors: DataFrame, start: int, nearer_than: float, rank: int = 4) -> tuple[DataFrame, DataFrame]:
-    """(pad, direction) for every pad that can be reached from ``start``, and the pairs of neighbours that got one direction.
+    """(pad, direction) of every pad that can be reached from ``start``, whose direction is 0, and the pairs of neighbours that got one direction.
 
-    Step by step, neighbours of the last ones get the other direction. Each round is written to the shared
-    checkpoint folder; rounds are as many as steps across the map.
+    Neighbours get opposite directions. Every pad hangs on its least neighbour, if that is less than itself,
+    at an odd distance; pointers are then doubled, adding up distances, until they reach roots. Roots that
+    still have edges between them are hung in the same way in the next round. So rounds grow with the logarithm
+    of the map's width; each is written to the shared checkpoint folder.
     """
     spark = neighbors.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    edges = neighbors.where((F.col("rank") <= rank) & (F.col("distance") < nearer_than)).select("pad", "pad2").checkpoint()
-    done = spark.range(1).select(F.lit(start).cast("int").alias("pad"), F.lit(0).alias("direction"))
-    frontier = done
-    while True:
-        step = frontier.join(edges, "pad").select(F.col("pad2").alias("pad"), (1 - F.col("direction")).alias("direction"))
-        frontier = step.groupBy("pad").agg(F.min("direction").alias("direction")).join(done, "pad", "left_anti").checkpoint()
-        if frontier.isEmpty():
-            break
-        done = done.unionByName(frontier).checkpoint()
+    near = neighbors.where((F.col("rank") <= rank) & (F.col("distance") < nearer_than)).select("pad", "pad2").checkpoint()
+    both = near.union(near.select("pad2", "pad")).distinct()
+    first = spark.range(1).select(F.lit(start).cast("int").alias("pad"))
+    roots = both.select("pad").union(first).distinct().select("pad", F.col("pad").alias("root"), F.lit(0).alias("odd")).checkpoint()
+    edges = both.select(F.col("pad").alias("a"), F.col("pad2").alias("b"), F.lit(1).alias("odd")).checkpoint()
+    while not edges.isEmpty():
+        hung = edges.where("b < a").groupBy("a").agg(F.min(F.struct("b", "odd")).alias("up")).select("a", "up.b", "up.odd").checkpoint()
+        while True:
+            above = hung.select(F.col("a").alias("b"), F.col("b").alias("_b"), F.col("odd").alias("_odd"))
+            longer = hung.join(above, "b", "left").select("a", F.coalesce("_b", "b").alias("b"), ((F.col("odd") + F.coalesce("_odd", F.lit(0))) % 2).alias("odd"), F.col("_b").isNotNull().alias("moved")).checkpoint()
+            hung = longer.drop("moved")
+            if longer.where("moved").isEmpty():
+                break
+        up = hung.select(F.col("a").alias("root"), F.col("b").alias("_b"), F.col("odd").alias("_odd"))
+        roots = roots.join(up, "root", "left").select("pad", F.coalesce("_b", "root").alias("root"), ((F.col("odd") + F.coalesce("_odd", F.lit(0))) % 2).alias("odd")).checkpoint()
+        for end in ("a", "b"):
+            at = hung.select(F.col("a").alias(end), F.col("b").alias("_b"), F.col("odd").alias("_odd"))
+            edges = edges.join(at, end, "left").withColumn(end, F.coalesce("_b", end)).withColumn("odd", (F.col("odd") + F.coalesce("_odd", F.lit(0))) % 2).drop("_b", "_odd")
+        edges = edges.where("a <> b").distinct().checkpoint()
+    of_start = roots.where(F.col("pad") == start).select("root", F.col("odd").alias("_odd"))
+    done = roots.join(F.broadcast(of_start), "root").select("pad", ((F.col("odd") + F.col("_odd")) % 2).alias("direction"))
     other = done.select(F.col("pad").alias("pad2"), F.col("direction").alias("direction2"))
-    return done, edges.join(done, "pad").join(other, "pad2").where("direction = direction2").select("pad", "pad2")
+    return done, near.join(done, "pad").join(other, "pad2").where("direction = direction2").select("pad", "pad2")
 
 
 def first_match_rules(pads: DataFrame, rules: DataFrame, default: str) -> DataFrame:

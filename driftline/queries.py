@@ -77,7 +77,7 @@ CDF = f"""
 _sums AS (SELECT {KEYS}, k, n // 2 + 1 AS bins, sum(s) OVER (PARTITION BY {KEYS} ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below, sum(s) OVER (PARTITION BY {KEYS}) AS total FROM spectra),
 cdf AS (
   SELECT {KEYS}, t, CASE WHEN t >= bins THEN 1.0 ELSE coalesce(below, 0) / total END AS v
-  FROM (SELECT DISTINCT {KEYS}, bins FROM _sums), (SELECT CAST(unnest(range(1, 151)) AS INT) AS t) LEFT JOIN (SELECT {KEYS}, k AS t, below, total FROM _sums) USING ({KEYS}, t))"""
+  FROM (SELECT DISTINCT {KEYS}, bins, t FROM _sums, (SELECT CAST(unnest(range(1, 151)) AS INT) AS t)) LEFT JOIN (SELECT {KEYS}, k AS t, below, total FROM _sums) USING ({KEYS}, t))"""
 SATURATION = f"""
 _top AS (SELECT *, max(x) OVER (PARTITION BY {KEYS}) AS top FROM cleaned),
 _at AS (SELECT *, min(CASE WHEN x = top THEN i END) OVER (PARTITION BY {KEYS}) AS m FROM _top),
@@ -277,9 +277,9 @@ def filter_amplitude(s, d):
     return _filter(s, d, predicates.Amplitude(100, 250))
 
 
-@query("filter_cdf", f"SELECT {KEYS} FROM cdf WHERE t = 60 AND v < 0.6 AND {NOT_BAD}", f"{CLEAN}, {SPECTRUM}, {CDF}")
+@query("filter_cdf", f"SELECT {KEYS} FROM cdf WHERE t = 20 AND v < 0.6 AND {NOT_BAD}", f"{CLEAN}, {SPECTRUM}, {CDF}")
 def filter_cdf(s, d):
-    return _filter(s, d, predicates.Oscillation())
+    return _filter(s, d, predicates.Oscillation(20))  # the bound spectra have 33 bins
 
 
 @query("filter_bitflip", f"SELECT {KEYS} FROM flip_count WHERE flips >= 1 AND {NOT_BAD}", f"{CLEAN}, {D2}, {RUNS}")
@@ -366,11 +366,11 @@ def pad_lookup(s, d):
     return pads.pad_lookup(rows, pads.pad_centroid(bind.pads(s, d))).select(*tr.KEYS, "pad_id", F.round("x", 6).alias("x"), "scale")
 
 
-@query("pad_map_join", "SELECT pad, x, y, scale, direction, CASE WHEN pad % 5 > 0 THEN cobo END AS cobo, CASE WHEN pad % 5 > 0 THEN channel END AS channel FROM pads")
+@query("pad_map_join", "SELECT pad, x, y, scale, direction, CASE WHEN pad % 5 > 0 THEN cobo ELSE -1 END AS cobo, CASE WHEN pad % 5 > 0 THEN channel ELSE -1 END AS channel FROM pads")
 def pad_map_join(s, d):
     p = bind.pads(s, d)
     channels = p.select("pad", "cobo", "asad", "aget", "channel", F.when(F.col("pad") % 5 > 0, "pad").otherwise("reference").alias("keyword"))
-    return pads.pad_map_join(p.select("pad", "x", "y"), p.select("pad", "scale"), p.select("pad", "direction"), channels).select("pad", "x", "y", "scale", "direction", "cobo", "channel")
+    return pads.pad_map_join(p.select("pad", "x", "y"), p.select("pad", "scale"), p.select("pad", "direction"), channels).select("pad", "x", "y", "scale", "direction", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("cobo", "channel")])
 
 
 @query("pad_centroid", "SELECT pad, round(cx, 6) AS cx, round(cy, 6) + 0.0 AS cy FROM centroids", CENTROIDS)
@@ -404,10 +404,10 @@ def first_match_rules(s, d):
     return pads.first_match_rules(bind.pads(s, d), rules, "gray")
 
 
-@query("trace_hits", f"SELECT run, event_id, trace_id, pos, total, n_hits, round(charge, 4) AS charge FROM (SELECT {KEYS}, min(pos) AS pos FROM filter_rows GROUP BY {KEYS}) JOIN (SELECT {KEYS}, sum(v) AS total FROM samples GROUP BY {KEYS}) USING ({KEYS}) LEFT JOIN (SELECT {KEYS}, CAST(count(*) AS INT) AS n_hits, sum(amplitude) AS charge FROM hits GROUP BY {KEYS}) USING ({KEYS})")
+@query("trace_hits", f"SELECT run, event_id, trace_id, pos, total, coalesce(n_hits, 0) AS n_hits, round(coalesce(charge, 0), 4) AS charge FROM (SELECT {KEYS}, min(pos) AS pos FROM filter_rows GROUP BY {KEYS}) JOIN (SELECT {KEYS}, sum(v) AS total FROM samples GROUP BY {KEYS}) USING ({KEYS}) LEFT JOIN (SELECT {KEYS}, CAST(count(*) AS INT) AS n_hits, sum(amplitude) AS charge FROM hits GROUP BY {KEYS}) USING ({KEYS})")
 def trace_hits(s, d):
     rows = clouds.trace_hits(bind.filter_rows(s, d), _traces(s, d), bind.hits(s, d))
-    return rows.select("run", "event_id", "trace_id", "pos", F.aggregate("samples", F.lit(0.0), lambda a, b: a + b).alias("total"), F.when(F.col("hits").isNotNull(), F.size("hits")).alias("n_hits"), F.round(F.aggregate("hits", F.lit(0.0), lambda a, h: a + h["amplitude"]), 4).alias("charge"))
+    return rows.select("run", "event_id", "trace_id", "pos", F.aggregate("samples", F.lit(0.0), lambda a, b: a + b).alias("total"), F.coalesce(F.when(F.col("hits").isNotNull(), F.size("hits")), F.lit(0)).alias("n_hits"), F.round(F.coalesce(F.aggregate("hits", F.lit(0.0), lambda a, h: a + h["amplitude"]), F.lit(0.0)), 4).alias("charge"))
 
 
 @query("closest_labeled_event", "SELECT run, event_id, coalesce((SELECT min(l.event_id) FROM event_labels l WHERE l.run = e.run AND l.event_id >= e.event_id), (SELECT max(l.event_id) FROM event_labels l WHERE l.run = e.run)) AS labeled_event FROM cloud_events e")
@@ -424,7 +424,7 @@ _CLIP = "CAST(trunc(greatest(least({0}, 8191), 0)) AS INT)"
 def _bins_sql(metric: str, scale: float) -> str:
     """CTEs that end in bins(run, event_id, trace_id, variant, bin_x, bin_y)."""
     start = f"{bind.cleaned_sql(scale)}"
-    none = "CAST(NULL AS INT)"
+    none = "CAST(0 AS INT)"
     if metric == "amplitude":
         return f"{start}, {PEAKS}, bins AS (SELECT {KEYS}, 'peaks' AS variant, {_CLIP.format('height')} AS bin_x, {none} AS bin_y FROM peaks)"
     if metric == "baseline":
@@ -564,17 +564,17 @@ def write_relabel_rows(s, d):
     return s.read.parquet(path).select(*tr.KEYS, "old_label", "new_label")
 
 
-_METRICS = "SELECT source, 'normal:0' AS target, count_if(new_label = 'normal:0') AS numerator, count(old_label) AS denominator, count_if(new_label = 'normal:0') / nullif(count(old_label), 0) AS ratio FROM (VALUES ('normal:0'), ('normal:1')) t(source) LEFT JOIN renamed ON old_label = source GROUP BY source"
+_METRICS = "SELECT source, 'strange:saturation' AS target, count(CASE WHEN new_label = 'strange:saturation' THEN 1 END) AS numerator, count(old_label) AS denominator, count(CASE WHEN new_label = 'strange:saturation' THEN 1 END) / nullif(count(old_label), 0) AS ratio FROM (VALUES ('strange:saturation'), ('normal:1')) t(source) LEFT JOIN renamed ON old_label = source GROUP BY source"
 
 
-@query("relabel_metrics", _METRICS, NOISE)
+@query("relabel_metrics", _METRICS, SATURATED)
 def relabel_metrics(s, d):
-    return relabel.relabel_metrics("noise", _relabel(s, d, "noise"))
+    return relabel.relabel_metrics("saturation", _relabel(s, d, "saturation"))
 
 
-@query("relabel_confusions", f"SELECT CASE WHEN old_label = 'normal:0' THEN 'old normal:0 -> not normal:0' ELSE 'old normal:1 -> new normal:0' END AS section, {KEYS} FROM renamed WHERE (old_label = 'normal:0' AND new_label <> 'normal:0') OR (old_label = 'normal:1' AND new_label = 'normal:0')", NOISE)
+@query("relabel_confusions", f"SELECT 'old normal:1 -> new strange:saturation' AS section, {KEYS} FROM renamed WHERE old_label = 'normal:1' AND new_label = 'strange:saturation'", SATURATED)
 def relabel_confusions(s, d):
-    return relabel.relabel_confusions("noise", _relabel(s, d, "noise"))
+    return relabel.relabel_confusions("saturation", _relabel(s, d, "saturation"))
 
 
 HIT_PEAKS = _peaks_sql(height=40)
@@ -683,7 +683,7 @@ def label_counts(s, d):
     return labels.label_counts(bind.trace_labels(s, d), bind.strange_labels(s))
 
 
-@query("pad_activity", "SELECT run, event_id, pad, x, y, max(amplitude) AS most, CAST(count(DISTINCT trace_id) AS INT) AS traces FROM hits JOIN pads ON pad = pad_id GROUP BY ALL")
+@query("pad_activity", "SELECT run, event_id, pad, pads.x, pads.y, max(amplitude) AS most, CAST(count(DISTINCT trace_id) AS INT) AS traces FROM hits JOIN pads ON pad = pad_id GROUP BY ALL")
 def pad_activity(s, d):
     return clouds.pad_activity(bind.hits(s, d), bind.pads(s, d)).select("run", "event_id", "pad", "x", "y", "most", F.size("traces").alias("traces"))
 
@@ -769,12 +769,12 @@ def coplanar_histogram(s, d):
     return clouds.coplanar_histogram(_ratios(s, d))
 
 
-@query("coplanar_counts", "SELECT run, count(*) AS processed, count(ratio) AS valid, count_if(ratio BETWEEN 0 AND 0.05) AS accepted, count(*) - count_if(ratio BETWEEN 0 AND 0.05) AS skipped FROM ratios GROUP BY run", RATIOS)
+@query("coplanar_counts", "SELECT run, count(*) AS processed, count(ratio) AS valid, count(CASE WHEN ratio BETWEEN 0 AND 0.05 THEN 1 END) AS accepted, count(*) - count(CASE WHEN ratio BETWEEN 0 AND 0.05 THEN 1 END) AS skipped FROM ratios GROUP BY run", RATIOS)
 def coplanar_counts(s, d):
     return clouds.coplanar_counts(_ratios(s, d))
 
 
-@query("coplanar_thresholds", "SELECT run, CAST(t AS DOUBLE) AS threshold, count_if(ratio < t) AS events, count_if(ratio < t) / count(*) AS share FROM ratios, (VALUES (0.001), (0.01), (0.02), (0.05)) v(t) WHERE ratio IS NOT NULL GROUP BY run, t", RATIOS)
+@query("coplanar_thresholds", "SELECT run, CAST(t AS DOUBLE) AS threshold, count(CASE WHEN ratio < t THEN 1 END) AS events, count(CASE WHEN ratio < t THEN 1 END) / count(*) AS share FROM ratios, (VALUES (0.001), (0.01), (0.02), (0.05)) v(t) WHERE ratio IS NOT NULL GROUP BY run, t", RATIOS)
 def coplanar_thresholds(s, d):
     return clouds.coplanar_thresholds(_ratios(s, d))
 
@@ -957,8 +957,8 @@ def fit_line_weighted(s, d):
 
 
 
-@query("pad_directions")
+@query("pad_directions", "SELECT pad, CAST((pad % 100 + pad // 100) % 2 AS INT) AS direction FROM pads")
 def pad_directions(s, d):
-    near = pads.pad_neighbors(pads.pad_pairs(bind.pads(s, d).where("pad % 100 < 40 AND scale = 0.5"), 12.0), 20)
-    start = near.agg(F.min("pad")).first()[0]
-    return pads.pad_directions(near, start if start is not None else 0, 4.5)[0]
+    """The bound pads lie on a grid, so the colours are those of a chessboard."""
+    near = pads.pad_neighbors(pads.pad_pairs(bind.pads(s, d), 4.5, False), 4)
+    return pads.pad_directions(near, 0, 4.5)[0]
