@@ -15,7 +15,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     smaller ones), until every node points at its root. Rounds grow with the logarithm of the longest
     path. Every round is checkpointed; nodes of very many links are joined under salted keys.
     """
-    links = durable(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    links = durable(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     seen = None
     while True:
         links = durable(_small_star(_large_star(links)))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spread import attach, durable
+from .spread import attach, durable, fresh
 
 #: Deleted before texts are compared: space and the control characters 9 to 13.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -58,9 +58,9 @@ def _collided(docs: DataFrame, keyed: DataFrame, text_col: str, digest: Callable
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns; of wholly equal rows one."""
-    key = {"_norm_sha": F.sha2(normalised(F.col(text_col)), 256), "_n_text": F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long")}
-    stay = exact_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_stay"), F.col("text_sha256").alias("_sha"), F.col("n_text").alias("_n"))
-    found = docs.withColumns(key)
-    found = found.join(stay, found[id_col].eqNullSafe(stay["_stay"]) & (found["_norm_sha"] == stay["_sha"]) & (found["_n_text"] == stay["_n"]), "left_semi")
+    sha, n, stay_id, stay_sha, stay_n = fresh(docs, "_sha", "_n_text", "_stay_id", "_stay_sha", "_stay_n")
+    stay = exact_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias(stay_id), F.col("text_sha256").alias(stay_sha), F.col("n_text").alias(stay_n))
+    found = docs.withColumns({sha: F.sha2(normalised(F.col(text_col)), 256), n: F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long")})
+    found = found.join(stay, F.col(id_col).eqNullSafe(F.col(stay_id)) & (F.col(sha) == F.col(stay_sha)) & (F.col(n) == F.col(stay_n)), "left_semi")
     # rows of one id, equal text and equal length are repeats of one row
-    return found.dropDuplicates([id_col, "_norm_sha", "_n_text"]).drop(*key)
+    return found.dropDuplicates([id_col, sha, n]).drop(sha, n)

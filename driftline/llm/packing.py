@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .spread import durable
+from .spread import durable, fresh
 from .tokens import slices, word_bpe_ids
 
 #: Tokens of a sequence, and the id that ends a document.
@@ -107,16 +107,19 @@ def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 def pack(pieces: DataFrame, length_col: str = "length", capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (rows with a length of 1 to ``capacity``) with sequence_id and offset; equal rows keep their own places.
 
-    An empty table gives an empty result. Other columns, null or not, are carried along.
+    An empty table gives an empty result. Other columns, null or not, are
+    carried along; columns named sequence_id or offset are replaced.
     """
+    pieces = pieces.drop("sequence_id", "offset")
     names = pieces.columns
+    row, part, n, before, rank = fresh(pieces, "_row", "_part", "_n", "_before", "_rank")
     # the high bits of a row's number name the partition that wrote it, so no (length, part) is larger than a partition
-    rows = durable(pieces.withColumn("_row", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_row", 33)))
-    sizes = durable(rows.groupBy(length_col, "_part").agg(F.count("*").alias("_n")))
-    counts = {r[0]: r[1] for r in sizes.groupBy(length_col).agg(F.sum("_n")).collect()}
+    rows = durable(pieces.withColumn(row, F.monotonically_increasing_id()).withColumn(part, F.shiftright(row, 33)))
+    sizes = durable(rows.groupBy(length_col, part).agg(F.count("*").alias(n)))
+    counts = {r[0]: r[1] for r in sizes.groupBy(length_col).agg(F.sum(n)).collect()}
     matches, _ = best_fit(counts, capacity)
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(length_col).orderBy("_part")) - F.col("_n")).drop("_n")
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(length_col, "_part").orderBy("_row")) - 1).join(before, [length_col, "_part"]).select(*names, (F.col("_rank") + F.col("_before")).alias("_rank"))
+    earlier = sizes.withColumn(before, F.sum(n).over(Window.partitionBy(length_col).orderBy(part)) - F.col(n)).drop(n)
+    ranked = rows.withColumn(rank, F.row_number().over(Window.partitionBy(length_col, part).orderBy(row)) - 1).join(earlier, [length_col, part]).select(*names, (F.col(rank) + F.col(before)).alias(rank))
     spread = pieces.sparkSession.sparkContext.broadcast(_table(matches))
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     at = names.index(length_col)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .spread import attach, durable
+from .spread import attach, durable, fresh
 
 #: Fingerprints of a bucket that one tile holds, on average, at most; a task compares two tiles.
 TILE = 2048
@@ -182,7 +182,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Of repeated rows (one id, one text) one stays. Rows without an id all stay: nothing names them.
     """
+    stay_id, text_hash = fresh(docs, "_stay_id", "_text_hash")
     groups = simhash_groups(docs, id_col, text_col)
-    stay = groups.where(F.col("component_id") == F.col(id_col)).select(F.col(id_col).alias("_stay")).distinct()
-    named = docs.join(stay, docs[id_col] == F.col("_stay"), "left_semi").withColumn("_text", F.xxhash64(text_col))
-    return named.dropDuplicates([id_col, "_text"]).drop("_text").unionByName(docs.where(F.col(id_col).isNull()))
+    stay = groups.where(F.col("component_id") == F.col(id_col)).select(F.col(id_col).alias(stay_id)).distinct()
+    named = docs.join(stay, F.col(id_col) == F.col(stay_id), "left_semi").withColumn(text_hash, F.xxhash64(text_col))
+    return named.dropDuplicates([id_col, text_hash]).drop(text_hash).unionByName(docs.where(F.col(id_col).isNull()))

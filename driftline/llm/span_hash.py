@@ -158,7 +158,8 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     (id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, common_prefix_next):
     a fingerprint is the whole text's hash and the smallest window hashes, in hex. Rows go by id (null ids
-    first), equal ids by text; after the last comes the first. A null text counts as empty.
+    first), equal ids by text; after the last comes the first. Ids are numbers. A null text counts as empty.
+    An empty table gives an empty result; other columns are ignored.
     """
     fields = [("n_chars", T.LongType()), ("edited_sha256", T.StringType()), ("fingerprint", T.StringType()), ("edited_fingerprint", T.StringType()), ("near_edited", T.DoubleType()), ("near_next", T.DoubleType()), ("common_prefix_next", T.LongType())]
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *[T.StructField(*f) for f in fields]])

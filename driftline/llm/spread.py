@@ -37,3 +37,15 @@ def attach(rows: DataFrame, table: DataFrame, keys: list[str], *spread_by: str)
     rows = rows.withColumn("_salt", salt(*spread_by))
     used = rows.select(*keys, "_salt").distinct().join(table, keys)
     return rows.join(used, [*keys, "_salt"], "left").drop("_salt")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
