@@ -80,7 +80,8 @@ def pad_distance_classes(neighbors: DataFrame) -> DataFrame:
 def pad_directions(neighbors: DataFrame, start: int, nearer_than: float, rank: int = 4) -> tuple[DataFrame, DataFrame]:
     """(pad, direction) of every pad that can be reached from ``start``, whose direction is 0, and the pairs of neighbours that got one direction.
 
-    Neighbours get opposite directions. Every pad hangs on its least neighbour, if that is less than itself,
+    Neighbours get opposite directions. In a map with odd rings some pair must get one direction; which one
+    depends on the way taken, so there only the fact is certain, not the pairs. Every pad hangs on its least neighbour, if that is less than itself,
     at an odd distance; pointers are then doubled, adding up distances, until they reach roots. Roots that
     still have edges between them are hung in the same way in the next round. So rounds grow with the logarithm
     of the map's width; each is written to the shared checkpoint folder.
