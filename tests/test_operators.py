@@ -8,7 +8,7 @@ from driftline.operators import clouds, histograms, hits, labels, pads, predicat
 from driftline.operators import traces as tr
 from driftline.sources import tables
 
-from .test_signals import from_d2, gauss
+from .test_signals import _track, from_d2, gauss
 
 TRACES = "run int, event_id long, trace_id int, samples array<double>"
 
@@ -139,16 +139,14 @@ def test_projection(spark):
 
 
 def test_lines_in_spark(spark):
-    t = np.linspace(0, 400, 60)
-    tracks = [np.column_stack([t * 0.93, -t * 0.36, t * 0.1]), np.column_stack([t * 0.3, t * 0.3, t * 0.9])]
-    points = np.concatenate(tracks) + np.random.default_rng(0).normal(0, 0.5, (120, 3))
+    points = np.concatenate([_track((1, -0.4, 0.1), noise=3.0), _track((0.3, 0.3, 1), noise=3.0, seed=1)])
     rows = spark.createDataFrame([(1, 1, i, *map(float, p), 5.0, 0, 0) for i, p in enumerate(points)] + [(1, 2, 0, 0.0, 0.0, 0.0, 1.0, 0, 0)], HITS)
     lines = clouds.extract_lines(rows).cache()
     assert lines.count() == 2 and {r.event_id for r in lines.collect()} == {1}
     other = clouds.extract_lines(rows.repartition(7))
     assert sorted(map(str, lines.collect())) == sorted(map(str, other.collect()))
     measures = clouds.measure_lines(rows, lines).collect()
-    assert all(350 < r.length < 450 and r.charge > 250 for r in measures)
+    assert all(300 < r.length < 500 and r.charge > 200 for r in measures)
     pair = clouds.line_pairs(lines).collect()
     assert len(pair) == 1 and 0 <= pair[0].angle <= 180
     events = rows.select("run", "event_id").distinct()

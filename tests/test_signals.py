@@ -87,7 +87,7 @@ def _track(direction, n=60, start=(0, 0, 0), noise=1.0, seed=0):
 
 
 def test_lines_are_found_apart():
-    points = np.concatenate([_track((1, -0.4, 0.1)), _track((0.3, 0.3, 1), seed=1), np.random.default_rng(2).uniform(-300, 300, (8, 3))])
+    points = np.concatenate([_track((1, -0.4, 0.1), noise=3.0), _track((0.3, 0.3, 1), noise=3.0, seed=1), np.random.default_rng(2).uniform(-300, 300, (8, 3))])
     found = lines.find(points)
     assert len(found) >= 2 and all(len(x.at) >= 20 for x in found)
     used = np.concatenate([x.at for x in found])
