@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -35,22 +36,31 @@ def _moments(hits: DataFrame, *extra: Column) -> DataFrame:
     return hits.groupBy(*EVENT).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m{c}") for c in "xyz"], *[F.covar_pop(a, b).alias(f"c{a}{b}") for a, b in pairs], *extra)
 
 
-def _eigenvalues(moments: DataFrame) -> DataFrame:
-    """With _small and _big, the least and greatest eigenvalue of the covariance, in closed form, step by step so that no step is computed twice."""
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once: the optimizer does not copy it into each place of its use."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _eigenvalues() -> Column:
+    """The least and the greatest eigenvalue (small, big) of an event's covariance, in closed form."""
     a, b, c, d, e, f = (F.col(x) for x in ("cxx", "cyy", "czz", "cxy", "cxz", "cyz"))
-    q, p, phi, big = (F.col(x) for x in ("_q", "_p", "_phi", "_big"))
-    out = moments.withColumn("_q", (a + b + c) / 3)
-    out = out.withColumn("_p", F.sqrt(((a - q) * (a - q) + (b - q) * (b - q) + (c - q) * (c - q) + 2 * (d * d + e * e + f * f)) / 6))
-    out = out.withColumn("_det", (a - q) * ((b - q) * (c - q) - f * f) - d * (d * (c - q) - f * e) + e * (d * f - (b - q) * e))
-    out = out.withColumn("_phi", F.acos(F.greatest(F.least(F.try_divide(F.col("_det"), 2 * p * p * p), F.lit(1.0)), F.lit(-1.0))) / 3)
-    out = out.withColumn("_big", F.when(p > 0, q + 2 * p * F.cos(phi)).otherwise(q)).withColumn("_least", F.when(p > 0, q + 2 * p * F.cos(phi + 2 * math.pi / 3)).otherwise(q))
-    return out.withColumn("_small", F.when(F.abs("_least") < 1e-12 * big, 0.0).otherwise(F.col("_least")))
+
+    def from_mean(q: Column) -> Column:
+        p = F.sqrt(((a - q) * (a - q) + (b - q) * (b - q) + (c - q) * (c - q) + 2 * (d * d + e * e + f * f)) / 6)
+        det = (a - q) * ((b - q) * (c - q) - f * f) - d * (d * (c - q) - f * e) + e * (d * f - (b - q) * e)
+        angle = lambda p: F.acos(F.greatest(F.least(F.try_divide(det, 2 * p * p * p), F.lit(1.0)), F.lit(-1.0))) / 3
+        return _let(p, lambda p: _let(angle(p), lambda phi: ends(q, p, phi)))
+
+    def ends(q: Column, p: Column, phi: Column) -> Column:
+        return F.struct(F.when(p > 0, q + 2 * p * F.cos(phi + 2 * math.pi / 3)).otherwise(q).alias("small"), F.when(p > 0, q + 2 * p * F.cos(phi)).otherwise(q).alias("big"))
+
+    return _let((a + b + c) / 3, from_mean)
 
 
 def coplanar_ratio(events: DataFrame, hits: DataFrame) -> DataFrame:
     """(run, event_id, n_hits, ratio) of every event: least over greatest variance, null under 3 hits or without spread."""
-    stats = _eigenvalues(_moments(hits))
-    ratio = F.when((F.col("n") >= 3) & (F.col("_big") > 0), F.col("_small") / F.col("_big"))
+    share = _let(_eigenvalues(), lambda v: F.when(v["big"] > 0, F.when(F.abs(v["small"]) < 1e-12 * v["big"], 0.0).otherwise(v["small"] / v["big"])))
+    stats, ratio = _moments(hits), F.when(F.col("n") >= 3, share)
     return events.join(stats.select(*EVENT, "n", ratio.alias("ratio")), EVENT, "left").select(*EVENT, F.coalesce("n", F.lit(0)).alias("n_hits"), "ratio")
 
 
