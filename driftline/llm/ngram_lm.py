@@ -29,8 +29,8 @@ from .tokens import slices
 
 #: M above: how many uses of a context its smoothing is worth.
 MASS = 4.0
-#: Bytes of text in a block, and entries that a bucket gets, about.
-BLOCK, ENTRIES = 24 << 20, 2_000_000
+#: Bytes of text in a block, of which about four make an entry; entries that a bucket gets, about.
+BLOCK, ENTRIES = 12 << 20, 2_000_000
 _MULTIPLY = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -77,6 +77,15 @@ def _unpacked(x: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
 
 
+def _packed_sorted(x: np.ndarray) -> bytes:
+    """Ascending hashes as steps from one to the next, whose high bytes, put together, are mostly zeros."""
+    return _packed(np.diff(x, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T)
+
+
+def _unpacked_sorted(x: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(_unpacked(x, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per block of documents: ids, held_out, tokens per document, packed tokens and vocabulary hashes."""
     of = docs.schema[id_col].dataType
@@ -151,7 +160,7 @@ def _entries(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Rec
                 bucket = _bucket(hashes, buckets)
                 cuts = np.flatnonzero(np.diff(bucket)) + 1
                 for h, c, b in zip(np.split(hashes, cuts), np.split(counts, cuts), bucket[np.concatenate([[0], cuts])].tolist() if len(bucket) else [], strict=False):
-                    for x, v in zip(rows, (kind, b, h.tobytes(), _packed(c.astype(np.uint32))), strict=True):
+                    for x, v in zip(rows, (kind, b, _packed_sorted(h), _packed(c.astype(np.uint32))), strict=True):
                         x.append(v)
             number = pa.array([batch.column(0)[i].as_py()] * len(rows[0]), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int32()), number, pa.array(rows[2], pa.binary()), pa.array(rows[3], pa.binary())], names=["kind", "bucket", "block", "hashes", "counts"])
@@ -179,7 +188,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sum_bucket(rows: list[tuple]) -> pa.RecordBatch:
-    hashes = [np.frombuffer(r[3], np.uint64) for r in rows]
+    hashes = [_unpacked_sorted(r[3]) for r in rows]
     counts = np.concatenate([_unpacked(r[4], np.uint32) for r in rows])
     _, at = np.unique(np.concatenate(hashes), return_inverse=True)
     sums = np.bincount(at, weights=counts).astype(np.int64)
@@ -202,7 +211,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     held = durable(blocks(docs, id_col, text_col))
-    buckets = max(parts, held.count() * (6_000_000 // ENTRIES))
+    buckets = max(parts, held.count() * BLOCK // (4 * ENTRIES))
     entries = held.mapInArrow(lambda it: _entries(it, buckets), "kind int, bucket int, block long, hashes binary, counts binary")
     sums = durable(entries.repartition(parts, "kind", "bucket").sortWithinPartitions("kind", "bucket", "block").mapInArrow(_summed, "kind int, bucket int, block long, counts binary, width int, total long, distinct long"))
     total, distinct = sums.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
