@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,6 +39,11 @@ def trace_scan(traces: DataFrame, bad_events: DataFrame | None = None, run: int
     return traces.withColumn("cleaned", clean("samples", scale))
 
 
+def map_batches(cleaned: DataFrame, handler: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """A user's handler over batches of cleaned traces; it sees an iterator of frames and may leave off early."""
+    return cleaned.mapInPandas(handler, schema)
+
+
 def trace_lookup(traces: DataFrame, wanted: DataFrame) -> DataFrame:
     """The traces that ``wanted`` (run, event_id, trace_id, pos) names, with pos; a trace named twice comes twice."""
     return wanted.join(traces, KEYS)

@@ -304,6 +304,15 @@ def trace_predicate(s, d):
     return raw.where(F.array_max("samples") - F.array_min("samples") > 500).select(*tr.KEYS)
 
 
+@query("batch_handler", f"SELECT {KEYS}, round(max(x), 4) AS top FROM cleaned GROUP BY {KEYS}", CLEAN)
+def batch_handler(s, d):
+    def tops(frames):
+        for frame in frames:
+            yield frame[tr.KEYS].assign(top=[round(float(x.max()), 4) for x in frame["cleaned"]])
+
+    return tr.map_batches(_cleaned(s, d).select(*tr.KEYS, "cleaned"), tops, "run int, event_id long, trace_id int, top double")
+
+
 @query("filter_review", f"SELECT {KEYS} FROM trace_labels WHERE run = 1 AND family = 'normal' AND label IN ('4', '5', '6', '7', '8', '9')")
 def filter_review(s, d):
     return labels.filter_review(bind.trace_labels(s, d), 1, "normal", "4+")
