@@ -546,9 +546,8 @@ def histogram_availability(s, d):
 def write_filter_rows(s, d):
     chosen = [predicates.Saturation(SAT, DROP)]
     path = _shared(s, "filters")
-    # the limit of a filter set bounds its numbering
-    rows = _filter(s, d, *chosen, limit=1_000_000).selectExpr(f"'{predicates.filter_name(None, chosen)}' AS filter_name", f"row_number() OVER (ORDER BY {KEYS}) - 1L AS pos", *tr.KEYS)
-    tables.write_table(rows, path)
+    rows = tables.numbered(_filter(s, d, *chosen), *tr.KEYS)
+    tables.write_table(rows.selectExpr(f"'{predicates.filter_name(None, chosen)}' AS filter_name", "pos", *tr.KEYS), path)
     return s.read.parquet(path)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +44,24 @@ def filter_rows_scan(rows: DataFrame, runs: DataFrame) -> DataFrame:
     return known.select("filter_name", "pos", checked.alias("run"), "event_id", "trace_id").orderBy("filter_name", "pos")
 
 
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` with pos (long), their number from 0 in the order of ``order``.
+
+    Tasks sort ranges of rows, written to the shared checkpoint folder, so that counts and rows are of the same
+    ranges. A row's number is the count of the ranges before its own and its place there; only the counts,
+    one for each range, are added up in one task.
+    """
+    spark = rows.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    # the upper bits are the range's number, the lower 33 the place in it
+    placed = rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    ranges = placed.groupBy(F.shiftright("_at", 33).alias("_range")).agg(F.count("*").alias("_n"))
+    before = ranges.selectExpr("_range", "sum(_n) OVER (ORDER BY _range) - _n AS _before")
+    found = placed.withColumn("_range", F.shiftright("_at", 33)).join(F.broadcast(before), "_range")
+    return found.select(*rows.columns, (F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).alias("pos"))
+
+
 def write_histogram(histograms: DataFrame, path: str) -> None:
     """Replaces what is stored of the same metric, mode and run and leaves the rest."""
     histograms.repartition("metric", "mode", "run").write.option("partitionOverwriteMode", "dynamic").partitionBy("metric", "mode", "run").mode("overwrite").parquet(path)

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from driftline import queries
 from driftline.operators import clouds, histograms, hits, labels, pads, predicates, relabel
 from driftline.operators import traces as tr
 from driftline.sources import tables
@@ -254,3 +255,24 @@ def test_review_and_neighbours(spark):
     marks = spark.createDataFrame([(1, 3), (1, 7)], "run int, event_id long")
     wanted = spark.createDataFrame([(1, 1), (1, 3), (1, 5), (1, 9), (2, 1)], "run int, event_id long")
     assert {(r.run, r.event_id): r.labeled_event for r in labels.closest_labeled_event(wanted, marks).collect()} == {(1, 1): 3, (1, 3): 3, (1, 5): 7, (1, 9): 7, (2, 1): None}
+
+
+def test_rows_are_numbered_by_many_tasks(spark):
+    rows = spark.range(0, 5000, 1, 5).selectExpr("CAST(id % 2 AS INT) AS run", "id * 7919 % 5000 AS event_id", "CAST(id % 10 AS INT) AS trace_id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows are one range
+    try:
+        found = tables.numbered(rows, *tr.KEYS)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [tuple(r) for r in found.orderBy("pos").collect()] == [(*k, i) for i, k in enumerate(sorted(map(tuple, rows.collect())))]
+    assert found.groupBy(F.spark_partition_id()).count().count() > 1
+    assert tables.numbered(rows.limit(0), *tr.KEYS).count() == 0
+
+
+def test_written_filter_has_no_limit(spark, monkeypatch):
+    limits, wanted = [], predicates.filter_traces
+    monkeypatch.setattr(predicates, "filter_traces", lambda *a, **b: limits.append(b["limit"]) or wanted(*a, **b))
+    rows = traces_of(spark, [(1, e, 0, gauss(50)) for e in range(3)])
+    monkeypatch.setattr(queries.bind, "traces", lambda s, d: rows)
+    assert queries.QUERIES["write_filter_rows"](spark, "").count() == 0
+    assert limits == [0]
