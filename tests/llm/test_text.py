@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -40,6 +40,52 @@ def test_every_template_finds_itself(spark):
     assert [(r.license_id, r.dice) for r in license_scan.scan_licenses(df).orderBy("doc_id").collect()] == [(n, 1.0) for n, _ in license_scan.TEMPLATES]
 
 
+def test_licences_inside_texts(spark):
+    def wrapped(text, width=9):
+        w = text.split()
+        return "\n".join(" * " + " ".join(w[i : i + width]) for i in range(0, len(w), width))
+
+    full = {n: t for n, t in license_scan.TEMPLATES if len(t.split()) > 150}
+    assert {"Apache-2.0", "MIT", "BSD-3-Clause", "MPL-2.0", "GPL-2.0", "GPL-3.0"} <= set(full)
+    mpl = next(t for n, t in license_scan.TEMPLATES if n == "MPL-2.0")
+    code = "int main() {\n" + "return fun(of, the, value);\n" * 300 + "}\n"
+    texts = [
+        ("CC-BY-4.0", "Copyright 2024 Example. Licensed under CC BY 4.0."),
+        ("Apache-2.0", '# Licensed under the Apache License, Version 2.0 (the "License"); you may'),
+        ("MPL-2.0", code + wrapped(mpl) + "\n" + code),
+        ("MIT", code + "Released under the MIT License.\n" + code),
+        ("MIT", code + wrapped(full["MIT"].replace("sublicense, and/or sell", "and sell")) + code),
+        ("BSD-2-Clause", code + wrapped(full["BSD-2-Clause"]) + code),
+        ("Apache-2.0", wrapped(full["Apache-2.0"]) + "\nthe end"),
+        ("GPL-2.0", wrapped(full["GPL-2.0"])),
+        (None, code + "licensed under no terms of the GNU kind, version 3\n"),
+        # the words of a notice, but never together
+        (None, ("Licensed under " + "x " * 40 + "under CC " + "x " * 40 + "CC BY " + "x " * 40 + "BY 4.0 ") * 3),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    found = license_scan.scan_licenses(df).orderBy("doc_id").collect()
+    assert [r.license_id for r in found] == [n for n, _ in texts]
+    assert [r.matches > 0 for r in found] == [n is not None for n, _ in texts]
+    assert [found[i].dice for i in (0, 1, 2, 3, 5, 7)] == [1.0] * 6 and 0.9 < found[4].dice < 1
+
+
+@given(st.lists(st.sampled_from("abcd"), min_size=2, max_size=14), st.lists(st.sampled_from("abcde"), max_size=30))
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def test_best_span(spark, template, words):
+    threshold = 0.6
+    known = license_scan.prepared([("x", " ".join(template))], threshold)[0]
+
+    def dice(w):
+        return 2 * sum((Counter(map(" ".join, zip(w, w[1:], strict=False))) & known["grams"]).values()) / (len(w) - 1 + known["size"])
+
+    best = max((dice(words[i:j]) for i in range(len(words)) for j in range(i + 2, len(words) + 1)), default=0)
+    whole = dice(words) if len(words) > 1 else 0
+    want = whole if whole >= threshold else best if best >= threshold else None
+    df = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+    row = license_scan.scan_licenses(df, templates=[("x", " ".join(template))], threshold=threshold).first()
+    assert (row.dice, row.matches) == (want, int(want is not None))
+
+
 def test_sharding(docs, nothing):
     names = [f"s{i}" for i in range(10)]
     table = sharding.lookup_table(names, 1009)
