@@ -30,27 +30,27 @@ def slices(batch: pa.RecordBatch, column: int, most: int = TEXT_BYTES) -> Iterat
 CACHED = 400_000
 _caches: dict[str, dict[str, bytes]] = {}
 _MARK = "<|endoftext|>"
+#: All special tokens begin so. A text with this is one piece as it is, since the library looks for them in the whole text.
+_SPECIAL = "<|"
 
 
 @lru_cache(maxsize=8)
-def _tokenizer(path: str, marks: bool):
+def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = not marks  # else their strings in a text are ordinary text
-    return found
+    return Tokenizer.from_file(path)
 
 
 def _library(path: str, pieces: list[str]) -> list[bytes]:
-    """The ids of each piece as 32-bit numbers. Pieces go to the library in long texts, an end mark between them."""
+    """The ids of each piece as 32-bit numbers. Pieces go to the library in long texts, an end mark between them; those that may have special tokens go one by one."""
     out: list[bytes] = []
-    tokenizer = _tokenizer(path, True)
+    tokenizer = _tokenizer(path)
     mark = tokenizer.token_to_id(_MARK)
     for i in range(0, len(pieces), 1000):
         some = pieces[i : i + 1000]
-        if any("<|" in x for x in some):
-            out += [np.array(x.ids, np.uint32).tobytes() for x in _tokenizer(path, False).encode_batch_fast(some, add_special_tokens=False)]
+        if any(_SPECIAL in x for x in some):
+            out += [np.array(x.ids, np.uint32).tobytes() for x in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
             continue
         ids = np.array(tokenizer.encode_batch_fast([_MARK.join(some)], add_special_tokens=False)[0].ids, np.uint32)
         ends = (np.flatnonzero(ids == mark) * 4).tolist()
@@ -79,21 +79,22 @@ def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, use: np.ndar
     return flat[np.repeat(starts[use] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def encode_by_pieces(texts: pa.Array, encode: Callable[[list[str], np.ndarray], tuple[np.ndarray, np.ndarray]], keep_spaces: bool) -> tuple[np.ndarray, np.ndarray]:
+def encode_by_pieces(texts: pa.Array, encode: Callable[[list[str], np.ndarray], tuple[np.ndarray, np.ndarray]], keep_spaces: bool, special: str | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts behind one another, and the number of each; a null text has none.
 
     No token of these vocabularies reaches over the space before a word, so a text is cut there and
-    each distinct piece of the batch is encoded once. ``keep_spaces``: the space belongs to the piece that
+    each distinct piece of the batch is encoded once; a text with ``special`` is one piece. ``keep_spaces``: the space belongs to the piece that
     it precedes; a text with longer white space is then one piece. Else spaces between pieces mean nothing.
     """
     texts = pc.fill_null(texts, "")
+    whole = pc.match_substring(texts, special) if special else pa.array(np.zeros(len(texts), bool))
     if not keep_spaces:
         cut = pc.ascii_split_whitespace(texts)
     else:
-        whole = pc.match_substring_regex(texts, _RUNS)
+        whole = pc.or_(whole, pc.match_substring_regex(texts, _RUNS))
         cut = pc.split_pattern(texts, " ")
-        if pc.any(whole).as_py():
-            cut = pa.array([[t] if w else c for t, w, c in zip(texts.to_pylist(), whole.to_pylist(), cut.to_pylist(), strict=True)], pa.list_(pa.string()))
+    if pc.any(whole).as_py():
+        cut = pa.array([[t] if w else c for t, w, c in zip(texts.to_pylist(), whole.to_pylist(), cut.to_pylist(), strict=True)], pa.list_(pa.string()))
     bounds = cut.offsets.to_numpy().astype(np.int64)
     words = cut.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
     bounds -= bounds[0]
@@ -118,9 +119,10 @@ def encode_by_pieces(texts: pa.Array, encode: Callable[[list[str], np.ndarray],
 
 def byte_bpe_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """For a tokenizer whose tokens may begin with a space."""
-    return encode_by_pieces(texts, lambda pieces, counts: _cached(path, pieces, counts), keep_spaces=True)
+    return encode_by_pieces(texts, lambda pieces, counts: _cached(path, pieces, counts), keep_spaces=True, special=_SPECIAL)
 
 
 def word_bpe_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """For a tokenizer that drops white space and case."""
-    return encode_by_pieces(pc.ascii_lower(texts), lambda pieces, counts: _cached(path, pieces, counts), keep_spaces=False)
+    texts = pc.if_else(pc.match_substring(texts, _SPECIAL), texts, pc.ascii_lower(texts))  # special tokens have a case
+    return encode_by_pieces(texts, lambda pieces, counts: _cached(path, pieces, counts), keep_spaces=False, special=_SPECIAL)

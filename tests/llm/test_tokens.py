@@ -5,13 +5,14 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from driftline.llm import bpe_replay, packing, range_coder, token_output
+from driftline.llm import bpe_replay, packing, range_coder, token_output, tokens
 
 
 def _library(name):
@@ -54,6 +55,18 @@ def test_token_files(docs, rows, nothing):
     assert token_output.token_round_trip(nothing, P.path("byte_bpe_50k.json")).count() == 0
 
 
+@pytest.mark.parametrize("name, ids", [("byte_bpe_50k.json", tokens.byte_bpe_ids), ("word_bpe_49k.json", tokens.word_bpe_ids)])
+def test_special_tokens_in_texts(name, ids):
+    """As the library's plain call gives them."""
+    library = Tokenizer.from_file(P.path(name))
+    texts = ["a<|endoftext|>b", "One <|endoftext|> two", "x  <|startoftext|>\n<|ENDOFTEXT|> Y", "<|endoftext|>", "no <| token |> here", "plain Text", None, "<|endoftext|><|endoftext|> end ", "plain  text"]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    flat, sizes = ids(pa.array(texts), P.path(name))
+    ends = np.cumsum(sizes)
+    assert [flat[e - n : e].tolist() for e, n in zip(ends, sizes, strict=True)] == want
+    assert library.token_to_id("<|endoftext|>") in want[0]
+
+
 def test_merge_replay(docs, rows, nothing):
     path = P.path("byte_bpe_multi_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
