@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import math
-import tempfile
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import durable
+
 PAD_SCHEMA = "pad INT, x DOUBLE, y DOUBLE, scale DOUBLE, direction INT, cobo INT, asad INT, aget INT, channel INT, cy DOUBLE, cx DOUBLE"
 ADDRESS = ["cobo", "asad", "aget", "channel"]
 #: Rows of a pad map that may be broadcast (a detector has about ten thousand pads); larger maps are shuffled.
 BROADCAST_PADS = 200_000
+#: Colour rules of a map, which are written by hand.
+MOST_RULES = 10_000
 _OFFSET = 4.908235 * math.sqrt(3) / 6
 
 
@@ -87,27 +90,25 @@ def pad_directions(neighbors: DataFrame, start: int, nearer_than: float, rank: i
     of the map's width; each is written to the shared checkpoint folder.
     """
     spark = neighbors.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    near = neighbors.where((F.col("rank") <= rank) & (F.col("distance") < nearer_than)).select("pad", "pad2").checkpoint()
+    near = durable(neighbors.where((F.col("rank") <= rank) & (F.col("distance") < nearer_than)).select("pad", "pad2"))
     both = near.union(near.select("pad2", "pad")).distinct()
     first = spark.range(1).select(F.lit(start).cast("int").alias("pad"))
-    roots = both.select("pad").union(first).distinct().select("pad", F.col("pad").alias("root"), F.lit(0).alias("odd")).checkpoint()
-    edges = both.select(F.col("pad").alias("a"), F.col("pad2").alias("b"), F.lit(1).alias("odd")).checkpoint()
+    roots = durable(both.select("pad").union(first).distinct().select("pad", F.col("pad").alias("root"), F.lit(0).alias("odd")))
+    edges = durable(both.select(F.col("pad").alias("a"), F.col("pad2").alias("b"), F.lit(1).alias("odd")))
     while not edges.isEmpty():
-        hung = edges.where("b < a").groupBy("a").agg(F.min(F.struct("b", "odd")).alias("up")).select("a", "up.b", "up.odd").checkpoint()
+        hung = durable(edges.where("b < a").groupBy("a").agg(F.min(F.struct("b", "odd")).alias("up")).select("a", "up.b", "up.odd"))
         while True:
             above = hung.select(F.col("a").alias("b"), F.col("b").alias("_b"), F.col("odd").alias("_odd"))
-            longer = hung.join(above, "b", "left").select("a", F.coalesce("_b", "b").alias("b"), ((F.col("odd") + F.coalesce("_odd", F.lit(0))) % 2).alias("odd"), F.col("_b").isNotNull().alias("moved")).checkpoint()
+            longer = durable(hung.join(above, "b", "left").select("a", F.coalesce("_b", "b").alias("b"), ((F.col("odd") + F.coalesce("_odd", F.lit(0))) % 2).alias("odd"), F.col("_b").isNotNull().alias("moved")))
             hung = longer.drop("moved")
             if longer.where("moved").isEmpty():
                 break
         up = hung.select(F.col("a").alias("root"), F.col("b").alias("_b"), F.col("odd").alias("_odd"))
-        roots = roots.join(up, "root", "left").select("pad", F.coalesce("_b", "root").alias("root"), ((F.col("odd") + F.coalesce("_odd", F.lit(0))) % 2).alias("odd")).checkpoint()
+        roots = durable(roots.join(up, "root", "left").select("pad", F.coalesce("_b", "root").alias("root"), ((F.col("odd") + F.coalesce("_odd", F.lit(0))) % 2).alias("odd")))
         for end in ("a", "b"):
             at = hung.select(F.col("a").alias(end), F.col("b").alias("_b"), F.col("odd").alias("_odd"))
             edges = edges.join(at, end, "left").withColumn(end, F.coalesce("_b", end)).withColumn("odd", (F.col("odd") + F.coalesce("_odd", F.lit(0))) % 2).drop("_b", "_odd")
-        edges = edges.where("a <> b").distinct().checkpoint()
+        edges = durable(edges.where("a <> b").distinct())
     of_start = roots.where(F.col("pad") == start).select("root", F.col("odd").alias("_odd"))
     done = roots.join(F.broadcast(of_start), "root").select("pad", ((F.col("odd") + F.col("_odd")) % 2).alias("direction"))
     other = done.select(F.col("pad").alias("pad2"), F.col("direction").alias("direction2"))
@@ -118,8 +119,10 @@ def first_match_rules(pads: DataFrame, rules: DataFrame, default: str) -> DataFr
     """(pad, color) by the first rule (pos, cobo, asad, aget, channel as text or '*', color) that fits, else the default.
 
     The rules are a short ordered list, so all of them travel to the pads as one broadcast array and no pair
-    of pad and rule is made.
+    of pad and rule is made. More than ``MOST_RULES`` are an error.
     """
+    if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
     table = F.broadcast(rules.agg(F.sort_array(F.collect_list(F.struct("pos", *ADDRESS, "color"))).alias("rules")).withColumn("one", F.lit(1)))
 
     def fits(r):

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import posixpath
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +10,7 @@ from pyspark.sql import functions as F
 from .operators import clouds, hits, histograms, labels, pads, predicates, relabel
 from .operators import traces as tr
 from .sources import bind, tables
+from .sources.shared import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,11 +31,6 @@ def query(name: str, sql: str | None = None, ctes: str = "") -> Callable[[Query]
     return register
 
 
-def _shared(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return posixpath.join(root, f"{name}-{uuid.uuid4().hex}")
-
-
 def _traces(s: SparkSession, d: str) -> DataFrame:
     return bind.traces(s, d)
 
@@ -157,7 +150,7 @@ CENTROIDS = "centroids AS (SELECT *, -x AS cy, CASE WHEN direction = 0 THEN -y +
 
 @query("pad_scan", "SELECT pad, x, y, scale, direction, cobo, asad, aget, channel, round(cy, 6) + 0.0 AS cy, round(cx, 6) AS cx FROM centroids", CENTROIDS)
 def pad_scan(s, d):
-    path = _shared(s, "pads")
+    path = shared_folder(s, "pads")
     tables.write_pads(pads.pad_centroid(bind.pads(s, d)).select("pad", "x", "y", "scale", "direction", "cobo", "asad", "aget", "channel", "cy", "cx"), path)
     return pads.pad_scan(s, f"{path}/csv").withColumn("cy", F.round("cy", 6) + 0.0).withColumn("cx", F.round("cx", 6))
 
@@ -519,7 +512,7 @@ def label_dimension(s, d):
 
 @query("write_histogram", *_histogram_sql("saturation", "all"))
 def write_histogram(s, d):
-    path = _shared(s, "histograms")
+    path = shared_folder(s, "histograms")
     tables.write_histogram(_histogram(s, d, "saturation", "all"), path)
     tables.write_histogram(_histogram(s, d, "saturation", "all"), path)  # replaces itself
     return tables.histogram_scan(s, path).select("run", "metric", "mode", "variant", "series_key", "bin_x", "bin_y", "count")
@@ -530,7 +523,7 @@ _SCAN_SQL = _histogram_sql("baseline", "veto")
 
 @query("histogram_scan", f"SELECT * FROM ({_SCAN_SQL[0]}) WHERE run = 1", _SCAN_SQL[1])
 def histogram_scan(s, d):
-    path = _shared(s, "histograms")
+    path = shared_folder(s, "histograms")
     for mode in ("all", "veto"):
         tables.write_histogram(_histogram(s, d, "baseline", mode), path)
     return tables.histogram_scan(s, path, "baseline", "veto", 1).select("run", "metric", "mode", "variant", "series_key", "bin_x", "bin_y", "count")
@@ -545,7 +538,7 @@ def histogram_availability(s, d):
 @query("write_filter_rows", f"SELECT 'filter_run_all_saturation_200_20_2' AS filter_name, row_number() OVER (ORDER BY {KEYS}) - 1 AS pos, {KEYS} FROM plateaus WHERE plateau >= 2 AND {NOT_BAD}", f"{CLEAN}, {SATURATION}")
 def write_filter_rows(s, d):
     chosen = [predicates.Saturation(SAT, DROP)]
-    path = _shared(s, "filters")
+    path = shared_folder(s, "filters")
     rows = tables.numbered(_filter(s, d, *chosen), *tr.KEYS)
     tables.write_table(rows.selectExpr(f"'{predicates.filter_name(None, chosen)}' AS filter_name", "pos", *tr.KEYS), path)
     return s.read.parquet(path)
@@ -567,7 +560,7 @@ for _kind, _ctes in (("noise", NOISE), ("oscillation", OSCILLATION), ("saturatio
 
 @query("write_relabel_rows", "SELECT * FROM renamed", SATURATED)
 def write_relabel_rows(s, d):
-    path = _shared(s, "relabel")
+    path = shared_folder(s, "relabel")
     tables.write_table(_relabel(s, d, "saturation"), path, "run")
     return s.read.parquet(path).select(*tr.KEYS, "old_label", "new_label")
 
@@ -612,7 +605,7 @@ def build_hits(s, d):
 
 @query("write_hits", _BUILT_SQL, BUILT)
 def write_hits(s, d):
-    path = _shared(s, "clouds")
+    path = shared_folder(s, "clouds")
     events = _good(s, d).select("run", "event_id").distinct()
     tables.write_hits(_built(s, d), events, s.range(1).selectExpr("1 AS run", "'detector_length' AS key", "1000.0D AS value"), path)
     return _built_view(s.read.parquet(f"{path}/hits"))
@@ -620,7 +613,7 @@ def write_hits(s, d):
 
 @query("write_pads", "SELECT pad, x, y, scale, direction FROM pads")
 def write_pads(s, d):
-    path = _shared(s, "pads")
+    path = shared_folder(s, "pads")
     tables.write_pads(bind.pads(s, d), path)
     return s.read.schema("pad INT, x DOUBLE, y DOUBLE, scale DOUBLE, direction INT").json(f"{path}/json")
 

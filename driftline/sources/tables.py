@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import durable
+
 
 def run_of(path: Column) -> Column:
     """The run that a file name run_<digits>... names, else null."""
@@ -51,11 +52,8 @@ def numbered(rows: DataFrame, *order: str) -> DataFrame:
     ranges. A row's number is the count of the ranges before its own and its place there; only the counts,
     one for each range, are added up in one task.
     """
-    spark = rows.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     # the upper bits are the range's number, the lower 33 the place in it
-    placed = rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    placed = durable(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
     ranges = placed.groupBy(F.shiftright("_at", 33).alias("_range")).agg(F.count("*").alias("_n"))
     before = ranges.selectExpr("_range", "sum(_n) OVER (ORDER BY _range) - _n AS _before")
     found = placed.withColumn("_range", F.shiftright("_at", 33)).join(F.broadcast(before), "_range")
