@@ -3,11 +3,15 @@
 A block is coded from nothing but its own ids, so it can be decoded by itself. Blocks are coded in step: each
 step handles the next id of every block with numpy, so the work of one id is shared by hundreds of blocks.
 
-Predictions. Order 2 and order 1 each keep, for a hashed context of two or one ids, the id that followed it
-last and how often in a row it was right. A first symbol says whether the order-2 prediction holds, else
-whether the order-1 prediction holds, or neither; its frequencies adapt for each pair of confidences, which mixes
-both models. If neither holds, the id is coded by order 0: adaptive frequencies of the block's ids so far, taken
-anew after 64, 256, 1024 ... ids. Both drive a range coder with 64-bit range that puts out 16-bit words.
+Predictions are mixed as weighted frequencies on one line, on which every id has one stretch:
+
+* order 0: how often each id was used in the block so far, counted anew after each fifth more ids;
+* order 1 and order 2: the id that last followed the same one or two ids, and how often in a row it did.
+
+The id that order 1 or 2 predicts gets its weight on top of its order-0 frequency. Weights adapt, for each pair of
+confidences, to how often the predictions came true. The end of the line stands for ids not counted yet; these
+are coded by a fixed prior, which falls with the id, as low ids are frequent ones. A 64-bit range coder puts out
+32-bit words; carries are added at the end.
 """
 
 from __future__ import annotations
@@ -17,19 +21,30 @@ import zlib
 
 import numpy as np
 
-#: Ids of a block, ids that the order-0 model knows, contexts kept for each order.
+#: Ids of a block, ids that are known, contexts kept for each order.
 BLOCK, VOCABULARY, SLOTS = 8192, 50304, 4096
-#: Blocks that are coded abreast; each takes 0.25 MB.
+#: Blocks that are coded abreast; each takes about 0.4 MB.
 LANES = 512
 #: Head of a block: magic, ids, crc32 of the ids as little-endian 32-bit numbers, bytes of code.
 HEAD = struct.Struct("<4sIII")
-MAGIC = b"DLT1"
+MAGIC = b"DLT2"
 
 _U = np.uint64
-_TOP, _LOW = _U(48), _U(1 << 32)
+_LOW = _U(1 << 32)
 _SURE = 7  # the highest confidence
-_CONTEXTS = (_SURE + 2) ** 2
-_ADDED = 24  # weight of an id that has been seen, against 1
+_CONTEXTS = (_SURE + 1) * (_SURE + 2)
+_ONE = 1 << 14  # about the weight of all of order 0
+_FADE, _FADE_NEW = 0.98, 0.996  # how fast weights and the share of new ids forget
+_FIRST = 16  # ids before the first count
+
+
+def _prior() -> np.ndarray:
+    """Cumulated frequencies of ids that are not counted yet."""
+    weights = 1 + (1 << 22) // (np.arange(VOCABULARY, dtype=np.int64) + 600)
+    return np.concatenate([[0], np.cumsum(weights)])
+
+
+_PRIOR = _prior()
 
 
 class _Model:
@@ -37,61 +52,103 @@ class _Model:
 
     def __init__(self, lanes: int):
         self.lanes = np.arange(lanes)
-        self.rows, self.contexts = self.lanes * SLOTS, self.lanes * _CONTEXTS
+        self.rows, self.contexts, self.known = self.lanes * SLOTS, self.lanes * _CONTEXTS, self.lanes * VOCABULARY
         # an entry holds the predicted id and, in its lowest three bits, the confidence
         self.guess2, self.guess1 = np.zeros(lanes * SLOTS, np.int32), np.zeros(lanes * SLOTS, np.int32)
-        self.flags = np.ones((lanes * _CONTEXTS, 3), np.int64)
-        self.sums = np.broadcast_to(np.arange(VOCABULARY + 1, dtype=np.int32), (lanes, VOCABULARY + 1)).copy()
+        # how often order 2, order 1 and neither was right
+        self.right2, self.right1, self.neither = (np.full(lanes * _CONTEXTS, x) for x in (0.3, 0.2, 1.0))
+        # of each id the place of its first copy among the sorted ids so far, and its count in the lowest 14 bits
+        self.places = np.zeros(lanes * VOCABULARY, np.int32)
+        self.sorted, self.counted, self.shift = np.zeros((lanes, 1), np.uint16), 0, 0
+        self.new, self.old = np.full(lanes, 1.0), np.full(lanes, 1.0)
         self.one, self.two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
 
+    def count(self, done: np.ndarray) -> None:
+        """Order 0 from the ids so far, one row for each lane."""
+        n = self.counted = done.shape[1]
+        self.shift = (_ONE // n).bit_length() - 1
+        self.sorted = np.sort(done, axis=1)
+        flat = self.sorted.ravel()
+        begins = np.ones(len(flat), bool)
+        begins[1:] = flat[1:] != flat[:-1]
+        begins[::n] = True
+        at = np.flatnonzero(begins)
+        lane = at // n
+        self.places[lane * VOCABULARY + flat[at]] = (at - lane * n << 14) + np.diff(at, append=len(flat))
+
+    def _place(self, ids: np.ndarray, unseen: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids' order-0 stretches begin on the line, and their lengths; ids not counted are at ``unseen``."""
+        found = self.places.take(self.known + ids)
+        return np.where(found > 0, found >> 14 << self.shift, unseen), (found & 16383) << self.shift
+
     def predict(self) -> np.ndarray:
-        """The frequencies of the first symbol."""
+        """The length of the line."""
         one = self.one * 40503
         self.at1 = self.rows + (one >> 4 & SLOTS - 1)
         self.at2 = self.rows + (one + self.two * 60493 >> 3 & SLOTS - 1)
         self.e1, self.e2 = self.guess1.take(self.at1), self.guess2.take(self.at2)
         self.p1, self.p2 = self.e1 >> 3, self.e2 >> 3
-        self.context = self.contexts + (self.e2 & _SURE) * (_SURE + 2) + np.where(self.p1 == self.p2, _SURE + 1, self.e1 & _SURE)
-        self.flag = self.flags.take(self.context, axis=0)
-        return self.flag
-
-    def learn(self, ids: np.ndarray, sign: np.ndarray) -> None:
-        """``sign``: 0 order 2 was right, 1 order 1, 2 neither."""
-        flag = self.flag
-        flag[self.lanes, sign] += 24
-        high = np.flatnonzero(flag[self.lanes, sign] > 1000)
-        if len(high):
-            flag[high] = (flag[high] + 1) // 2
-        self.flags[self.context] = flag
-        new = (ids << 3).astype(np.int32)
-        for guess, at, e, p in ((self.guess2, self.at2, self.e2, self.p2), (self.guess1, self.at1, self.e1, self.p1)):
-            sure = e & _SURE
-            right = e + (sure < _SURE)
-            wrong = np.where(sure > 1, e - (sure + 1 >> 1), new)
-            guess[at] = np.where(p == ids, right, wrong)
-        self.two, self.one = self.one, ids
+        self.both = self.p1 == self.p2
+        self.context = self.contexts + (self.e2 & _SURE) * (_SURE + 2) + np.where(self.both, _SURE + 1, self.e1 & _SURE)
+        self.f2, self.f1, self.f0 = self.right2.take(self.context), self.right1.take(self.context), self.neither.take(self.context)
+        unit = _ONE / self.f0
+        self.w2 = (self.f2 * unit).astype(np.int64) + 1
+        self.w1 = (self.f1 * unit).astype(np.int64) + 1
+        self.w1[self.both] = 0
+        self.all = self.counted << self.shift
+        self.k2, self.k1 = self._place(self.p2, self.all)[0], self._place(self.p1, self.all + 1)[0]
+        self.escape = (_ONE * self.new / self.old).astype(np.int64) + 1
+        return self.w2 + self.w1 + self.all + self.escape
 
-    def recount(self, done: np.ndarray) -> None:
-        """Order-0 frequencies from the ids so far, one row for each lane."""
-        for lane, ids in enumerate(done):
-            counts = np.bincount(ids, minlength=VOCABULARY).astype(np.int32)
-            counts *= _ADDED
-            counts += 1
-            np.cumsum(counts, out=self.sums[lane, 1:])
+    def stretch(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begin and length of the ids' stretches; which ids are new (theirs is the end of the line)."""
+        self.is2 = ids == self.p2
+        self.is1 = (ids == self.p1) & ~self.is2
+        place, length = self._place(ids, self.all + 2)
+        unseen = place == self.all + 2
+        place[unseen & self.is2] = self.all
+        place[unseen & self.is1] = self.all + 1
+        self.is_new = unseen & ~self.is1 & ~self.is2
+        begin = np.minimum(place, self.all) + self.w2 * (self.k2 < place) + self.w1 * (self.k1 < place)
+        return begin, np.where(self.is_new, self.escape, length + self.w2 * self.is2 + self.w1 * self.is1), self.is_new
 
+    def find(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids whose stretches hold the places ``at`` of the line; which places are at its end, that of new ids."""
+        swap = self.k1 < self.k2
+        a, b = np.where(swap, self.w1, self.w2), np.where(swap, self.w2, self.w1)
+        far = at - np.minimum(np.minimum(self.k1, self.k2), self.all)
+        in_a = (far >= 0) & (far < a)
+        at = at - np.clip(far, 0, a)
+        far = at - np.minimum(np.maximum(self.k1, self.k2), self.all)
+        in_b = (far >= 0) & (far < b) & ~in_a
+        at = at - np.clip(far, 0, b)
+        ids = self.sorted[self.lanes, np.minimum(at >> self.shift, max(self.counted - 1, 0))].astype(np.int64)
+        np.copyto(ids, self.p1, where=np.where(swap, in_a, in_b))
+        np.copyto(ids, self.p2, where=np.where(swap, in_b, in_a))
+        return ids, (at >= self.all) & ~in_a & ~in_b
 
-def _recounts(n: int) -> set[int]:
-    return {64 * 4**k for k in range(12) if 64 * 4**k < n}
+    def learn(self, ids: np.ndarray) -> None:
+        other = ~(self.is2 | self.is1)
+        self.right2[self.context] = self.f2 * _FADE + self.is2
+        self.right1[self.context] = self.f1 * _FADE + self.is1
+        self.neither[self.context] = np.maximum(self.f0 * _FADE + other, 0.02)
+        self.new = self.new * _FADE_NEW + self.is_new
+        self.old = self.old * _FADE_NEW + (other & ~self.is_new)
+        np.maximum(self.old, 0.05, out=self.old)
+        fresh = (ids << 3).astype(np.int32)
+        for guess, at, e, p in ((self.guess2, self.at2, self.e2, self.p2), (self.guess1, self.at1, self.e1, self.p1)):
+            sure = e & _SURE
+            guess[at] = np.where(p == ids, e + (sure < _SURE), np.where(sure > 1, e - (sure + 1 >> 1), fresh))
+        self.two, self.one = self.one, ids
 
 
-def _settle(low: np.ndarray, wide: np.ndarray) -> np.ndarray:
-    """Lanes whose next 16 bits are fixed. A range that grew too narrow astride a carry is first cut to its lower part."""
-    fixed = (low ^ (low + wide)) < _U(1 << 48)
-    narrow = np.flatnonzero(~fixed & (wide < _LOW))
-    if len(narrow):
-        wide[narrow] = (~low[narrow] + _U(1)) & (_LOW - _U(1))
-        fixed[narrow] = True
-    return np.flatnonzero(fixed)
+def _counts(n: int) -> set[int]:
+    """After how many ids order 0 is counted anew."""
+    out, at = set(), _FIRST
+    while at < n:
+        out.add(at)
+        at += max(_FIRST, at // 5)
+    return out
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
@@ -106,41 +163,54 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     """Shorter blocks are filled up with zeros, which their decoder never reaches."""
     sizes = [len(b) for b in blocks]
     n, lanes = max(sizes, default=0), len(blocks)
-    ids = np.zeros((n, lanes), np.int64)
+    if n > BLOCK or any(len(b) and (b.min() < 0 or b.max() >= VOCABULARY) for b in blocks):
+        raise ValueError(f"a block has {BLOCK} ids at most, from 0 to {VOCABULARY - 1}")
+    ids = np.zeros((lanes, n), np.uint16)
     for k, b in enumerate(blocks):
-        ids[: len(b), k] = b
-    if n and (ids.min() < 0 or ids.max() >= VOCABULARY):
-        raise ValueError(f"ids must be from 0 to {VOCABULARY - 1}")
-    model, recounts = _Model(lanes), _recounts(n)
+        ids[k, : len(b)] = b
+    steps = np.ascontiguousarray(ids.T)
+    model, counts = _Model(lanes), _counts(n)
     low, wide = np.zeros(lanes, _U), np.full(lanes, 2**64 - 1, _U)
-    words, filled = np.zeros((lanes, 2 * n + 12), ">u2"), np.zeros(lanes, np.int64)
+    words, carried, filled = np.zeros((lanes, 2 * n + 4), ">u4"), np.zeros((lanes, 2 * n + 4), ">u4"), np.zeros(lanes, np.int64)
+
+    def narrow(at: np.ndarray | slice, begin: np.ndarray, length: np.ndarray, whole: np.ndarray | int) -> None:
+        part = wide[at] // np.asarray(whole, _U)
+        before = low[at]
+        after = before + part * begin.astype(_U)
+        over = after < before
+        if over.any():
+            lane = model.lanes[at][over]
+            carried[lane, filled[lane]] += 1
+        low[at], wide[at] = after, part * length.astype(_U)
+        short = np.flatnonzero(wide < _LOW)
+        if len(short):
+            words[short, filled[short]] = low[short] >> _U(32)
+            filled[short] += 1
+            low[short] <<= _U(32)
+            wide[short] <<= _U(32)
+
     for t in range(n):
-        if t in recounts:
-            model.recount(ids[:t].T)
-        now = ids[t]
-        flag = model.predict()
-        sign = np.where(model.p2 == now, 0, np.where(model.p1 == now, 1, 2))
-        first = np.where(sign == 0, 0, np.where(sign == 1, flag[:, 0], flag[:, 0] + flag[:, 1]))
-        part = wide // flag.sum(axis=1).astype(_U)
-        low, wide = low + part * first.astype(_U), part * flag[model.lanes, sign].astype(_U)
-        miss = np.flatnonzero(sign == 2)
-        start, end, total = model.sums[miss, now[miss]], model.sums[miss, now[miss] + 1], model.sums[miss, -1]
-        part = wide[miss] // total.astype(_U)
-        low[miss] += part * start.astype(_U)
-        wide[miss] = part * (end - start).astype(_U)
-        model.learn(now, sign)
-        while len(k := _settle(low, wide)):
-            words[k, filled[k]] = low[k] >> _TOP
-            filled[k] += 1
-            low[k] <<= _U(16)
-            wide[k] <<= _U(16)
-    for _ in range(4):
-        words[model.lanes, filled] = low >> _TOP
+        if t in counts:
+            model.count(ids[:, :t])
+        now = steps[t].astype(np.int64)
+        whole = model.predict()
+        begin, length, new = model.stretch(now)
+        narrow(slice(None), begin, length, whole)
+        new = np.flatnonzero(new)
+        if len(new):
+            own = now[new]
+            narrow(new, _PRIOR[own], _PRIOR[own + 1] - _PRIOR[own], _PRIOR[-1])
+        model.learn(now)
+    for _ in range(2):
+        words[model.lanes, filled] = low >> _U(32)
         filled += 1
-        low <<= _U(16)
+        low <<= _U(32)
     out = []
     for k, b in enumerate(blocks):
-        code = words[k, : filled[k]].tobytes()
+        size = int(filled[k])
+        # a carry at a place belongs to the word before it
+        total = int.from_bytes(words[k, :size].tobytes(), "big") + (int.from_bytes(carried[k, :size].tobytes(), "big") << 32)
+        code = total.to_bytes(4 * size, "big")
         out.append(HEAD.pack(MAGIC, len(b), zlib.crc32(np.asarray(b).astype("<u4").tobytes()), len(code)) + code)
     return out
 
@@ -155,51 +225,53 @@ def decode_blocks(blocks: list[bytes]) -> list[np.ndarray]:
 
 def _decode(blocks: list[bytes]) -> list[np.ndarray]:
     heads = [HEAD.unpack_from(b) if len(b) >= HEAD.size else (b"", 0, 0, -1) for b in blocks]
-    if any(h[0] != MAGIC or len(b) != HEAD.size + h[3] or h[3] % 2 for h, b in zip(heads, blocks, strict=True)):
+    if any(h[0] != MAGIC or len(b) != HEAD.size + h[3] or h[3] % 4 or h[1] > BLOCK for h, b in zip(heads, blocks, strict=True)):
         raise ValueError("not a block, or torn")
     n, lanes = max((h[1] for h in heads), default=0), len(blocks)
-    words = np.zeros((lanes, max((h[3] // 2 for h in heads), default=0) + 2 * n + 8), np.uint16)
+    words = np.zeros((lanes, max((h[3] // 4 for h in heads), default=0) + 2 * n + 4), _U)
     for k, b in enumerate(blocks):
-        own = np.frombuffer(b, ">u2", offset=HEAD.size)
+        own = np.frombuffer(b, ">u4", offset=HEAD.size)
         words[k, : len(own)] = own
-    model, recounts = _Model(lanes), _recounts(n)
-    low, wide, code = np.zeros(lanes, _U), np.full(lanes, 2**64 - 1, _U), np.zeros(lanes, _U)
-    for i in range(4):
-        code = code << _U(16) | words[:, i].astype(_U)
-    filled = np.full(lanes, 4, np.int64)
-    ids = np.zeros((n, lanes), np.int64)
+    model, counts = _Model(lanes), _counts(n)
+    far, wide = words[:, 0] << _U(32) | words[:, 1], np.full(lanes, 2**64 - 1, _U)  # how far the code lies above the range's low end
+    filled = np.full(lanes, 2, np.int64)
+    ids = np.zeros((lanes, n), np.uint16)
+
+    def narrow(at: np.ndarray | slice, begin: np.ndarray, length: np.ndarray, part: np.ndarray) -> None:
+        far[at] -= part * begin.astype(_U)
+        wide[at] = part * length.astype(_U)
+        short = np.flatnonzero(wide < _LOW)
+        if len(short):
+            far[short] = far[short] << _U(32) | words[short, filled[short]]
+            filled[short] += 1
+            wide[short] <<= _U(32)
+
     for t in range(n):
-        if t in recounts:
-            model.recount(ids[:t].T)
-        flag = model.predict()
-        part = wide // flag.sum(axis=1).astype(_U)
-        at = (code - low) // part
-        one, two = flag[:, 0], flag[:, 0] + flag[:, 1]
-        at = at.astype(np.int64)
-        sign = (at >= one).astype(np.int64) + (at >= two)
-        first = np.where(sign == 0, 0, np.where(sign == 1, one, two))
-        low, wide = low + part * first.astype(_U), part * flag[model.lanes, sign].astype(_U)
-        now = np.where(sign == 0, model.p2, model.p1).astype(np.int64)
-        miss = np.flatnonzero(sign == 2)
-        if len(miss):
-            part = wide[miss] // model.sums[miss, -1].astype(_U)
-            at = ((code[miss] - low[miss]) // part).astype(np.int64)
-            found = np.zeros(len(miss), np.int64)
-            for step in (1 << b for b in range(VOCABULARY.bit_length() - 1, -1, -1)):
-                tried = found + step
-                found = np.where((tried < VOCABULARY) & (model.sums[miss, np.minimum(tried, VOCABULARY)] <= at), tried, found)
-            start = model.sums[miss, found]
-            low[miss] += part * start.astype(_U)
-            wide[miss] = part * (model.sums[miss, found + 1] - start).astype(_U)
-            now[miss] = found
-        ids[t] = now
-        model.learn(now, sign)
-        while len(k := _settle(low, wide)):
-            code[k] = code[k] << _U(16) | words[k, filled[k]].astype(_U)
-            filled[k] += 1
-            low[k] <<= _U(16)
-            wide[k] <<= _U(16)
-    out = [ids[: h[1], k].astype(np.uint32) for k, h in enumerate(heads)]
+        if t in counts:
+            model.count(ids[:, :t])
+        whole = model.predict()
+        part = wide // whole.astype(_U)
+        now, new = model.find(np.minimum((far // part).astype(np.int64), whole - 1))
+        new = np.flatnonzero(new)
+        if len(new):
+            # the escape's stretch is the end of the line
+            end = whole[new]
+            narrow_new = wide[new] // end.astype(_U)
+            begin = end - model.escape[new]
+            inner, span = far[new] - narrow_new * begin.astype(_U), narrow_new * model.escape[new].astype(_U)
+            lane, at = new, np.flatnonzero(span < _LOW)
+            inner[at] = inner[at] << _U(32) | words[lane[at], filled[lane[at]]]
+            span[at] <<= _U(32)
+            own = np.minimum((inner // (span // _U(_PRIOR[-1]))).astype(np.int64), _PRIOR[-1] - 1)
+            now[new] = np.searchsorted(_PRIOR, own, side="right") - 1
+        begin, length, is_new = model.stretch(now)
+        narrow(slice(None), begin, length, part)
+        if len(new):
+            own = now[new]
+            narrow(new, _PRIOR[own], _PRIOR[own + 1] - _PRIOR[own], wide[new] // _U(_PRIOR[-1]))
+        ids[:, t] = now
+        model.learn(now)
+    out = [ids[k, : h[1]].astype(np.uint32) for k, h in enumerate(heads)]
     if any(zlib.crc32(x.astype("<u4").tobytes()) != h[2] for x, h in zip(out, heads, strict=True)):
         raise ValueError("a block's ids do not match its checksum")
     return out

@@ -2,24 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import durable, shared_folder
+
+__all__ = ["SALTS", "attach", "durable", "fresh", "salt", "shared_folder", "tasks"]
+
 #: A hot key is dealt over this many sub-keys.
 SALTS = 64
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the cluster's shared checkpoint folder, its lineage cut.
-
-    The folder is ``spark.checkpoint.dir``; a local one is made only where the session names none (tests).
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+def tasks(df: DataFrame, size: int, each: int) -> int:
+    """As many tasks as the session's setting says, or more, so that ``size`` of anything gives each about ``each``."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
 
 
 def salt(*cols: str | Column, salts: int = SALTS) -> Column:

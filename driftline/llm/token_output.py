@@ -7,8 +7,6 @@ that it holds parts of, and how many ids of each. Each block can be decoded by i
 
 from __future__ import annotations
 
-import posixpath
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -20,30 +18,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .range_coder import BLOCK, LANES, decode_blocks, encode_blocks
+from .spread import shared_folder, tasks
 from .tokens import byte_bpe_ids, slices
 
 #: The id that ends a document.
 END = 0
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which driver and executors share; a local one where none is set (tests)."""
-    import tempfile
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return posixpath.join(shared, f"{name}-{uuid.uuid4().hex}")
+#: Bytes of text that a writing task gets, about.
+TASK_BYTES = 128 << 20
 
 
 def write_tokens(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes the ids of every document, by the tokenizer at ``path``, each with its end id, in ascending order of id (null ids first, equal ids by text)."""
+    """Writes the ids of every document, by the tokenizer at ``path``, each with its end id, in ascending order of id.
+
+    Null ids come first, equal ids in the order of a hash of their texts, equal rows as they are met; so rows of
+    one id are dealt over tasks too. A null text counts as empty: its end id alone. An empty table gives no file.
+    """
     of = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("before", T.LongType()), T.StructField("n", T.LongType()), T.StructField("docs", T.ArrayType(T.LongType())), T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("ids", T.ArrayType(of)), T.StructField("code", T.BinaryType())])
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).repartitionByRange(parts, "id").sortWithinPartitions("id", "text")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    parts = tasks(docs, docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0], TASK_BYTES)
+    order = ["id", "hash", "row"]
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("row")).repartitionByRange(parts, *order).sortWithinPartitions(*order).select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block, before, doc = TaskContext.get().partitionId(), 0, 0, 0
-        ids, of_doc, keys = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        ids, of_doc, keys = np.zeros(0, np.uint16), np.zeros(0, np.int32), []
         first = 0  # the document that keys begins with
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
@@ -69,10 +68,10 @@ def write_tokens(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id"
             for piece in slices(batch, 1):
                 kind = piece.column(0).type
                 own, n = byte_bpe_ids(piece.column(1), path)
-                whole = np.full(len(own) + len(n), END, np.int64)
+                whole = np.full(len(own) + len(n), END, np.uint16)
                 row = np.repeat(np.arange(len(n)), n)
                 whole[np.arange(len(own)) + row] = own
-                ids, of_doc = np.concatenate([ids, whole]), np.concatenate([of_doc, np.repeat(np.arange(doc, doc + len(n)), n + 1)])
+                ids, of_doc = np.concatenate([ids, whole]), np.concatenate([of_doc, np.repeat(np.arange(doc, doc + len(n), dtype=np.int32), n + 1)])
                 keys += piece.column(0).to_pylist()
                 doc += len(n)
                 if len(ids) >= LANES * BLOCK:
@@ -160,7 +159,11 @@ def _times(a: int, b: int) -> int:
 
 
 def token_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes ``docs`` to a new shared folder and reads the digests back. An empty table gives an empty result."""
+    """Writes ``docs`` to a new shared folder and reads the digests back.
+
+    A null or empty text is one id, its end. Repeated rows and ids are written and read as often as they come. An
+    empty table gives an empty result; other columns are ignored.
+    """
     spark = docs.sparkSession
     folder = shared_folder(spark, "tokens")
     write_tokens(docs, path, folder, id_col, text_col)

@@ -1,23 +1,29 @@
 import base64
 import hashlib
+import lzma
+import math
+import os
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from driftline.llm import bpe_replay, packing, range_coder, token_output, tokens
 
+DATA = os.environ.get("DRIFTLINE_TEST_DATA", "/root/testdata/sf0.001")
+
 
 def _library(name):
     found = Tokenizer.from_file(P.path(name))
-    found.encode_special_tokens = True
     return lambda t: found.encode(t or "", add_special_tokens=False).ids
 
 
@@ -29,13 +35,41 @@ def test_range_coder_round_trip(blocks):
     assert all(range_coder.decode_blocks([c])[0].tolist() == b for c, b in zip(code, blocks, strict=True))
 
 
+def _adaptive_order_0(ids):
+    """Bytes that exact adaptive frequencies of a block's ids would need, with a uniform prior for new ids."""
+    seen, bits = Counter(), 0.0
+    for i, x in enumerate(ids):
+        bits -= math.log2(seen[x] / (i + len(seen))) if x in seen else math.log2((len(seen) / (i + len(seen)) if i else 1) / range_coder.VOCABULARY)
+        seen[x] += 1
+    return bits / 8
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_blocks_are_smaller_than_simpler_models_make_them():
+    texts = pq.read_table(f"{DATA}/documents.parquet", columns=["text"])["text"].combine_chunks()
+    ids, _ = tokens.byte_bpe_ids(texts, P.path("byte_bpe_50k.json"))
+    blocks = [ids[i : i + range_coder.BLOCK] for i in range(0, 12 * range_coder.BLOCK, range_coder.BLOCK)]
+    code = range_coder.encode_blocks(blocks)
+    assert all((a == b).all() for a, b in zip(blocks, range_coder.decode_blocks(code), strict=True))
+    own, raw = sum(map(len, code)), [b.astype("<u2").tobytes() for b in blocks]
+    assert own < 0.99 * sum(map(_adaptive_order_0, (b.tolist() for b in blocks)))
+    assert own < sum(len(lzma.compress(b)) for b in raw) and own < sum(len(zlib.compress(b, 9)) for b in raw)
+
+
+def test_order_2_pays_where_text_repeats():
+    rng = np.random.default_rng(5)
+    block = np.tile(rng.integers(0, range_coder.VOCABULARY, 64), 64)
+    assert len(range_coder.encode_blocks([block])[0]) < 0.2 * _adaptive_order_0(block.tolist())
+
+
 def test_altered_blocks_are_refused():
     code = range_coder.encode_blocks([np.arange(500)])[0]
     for bad in (code[:-2], code[:40] + bytes([code[40] ^ 1]) + code[41:], b"", b"x" * 20):
         with pytest.raises(ValueError):
             range_coder.decode_blocks([bad])
-    with pytest.raises(ValueError):
-        range_coder.encode_blocks([np.array([range_coder.VOCABULARY])])
+    for bad in (np.array([range_coder.VOCABULARY]), np.zeros(range_coder.BLOCK + 1, np.int64)):
+        with pytest.raises(ValueError):
+            range_coder.encode_blocks([bad])
 
 
 def test_checksums_join():
@@ -53,6 +87,8 @@ def test_token_files(docs, rows, nothing):
         start += len(ids)
     assert sorted(map(tuple, found)) == sorted(want)
     assert token_output.token_round_trip(nothing, P.path("byte_bpe_50k.json")).count() == 0
+    no_id = token_output.token_round_trip(docs.withColumn("doc_id", F.lit(None).cast("long")), P.path("byte_bpe_50k.json")).collect()
+    assert len(no_id) == len(rows) and sorted(r.n_tokens for r in no_id) == sorted(r.n_tokens for r in found)
 
 
 @pytest.mark.parametrize("name, ids", [("byte_bpe_50k.json", tokens.byte_bpe_ids), ("word_bpe_49k.json", tokens.word_bpe_ids)])
