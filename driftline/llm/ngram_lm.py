@@ -1,13 +1,17 @@
 """LM scoring by a weighted backoff automaton.
 
-States are contexts of one word; the root state has none. A state has an arc for each word that followed its
-context in training, weighted with its smoothed probability, and one failure arc to the root, weighted with
-what is left for other words. p(w | h) = (c(hw) + M p(w)) / (c(h) + M): a word with an arc pays the arc, any
-other the failure arc M / (c(h) + M) and then the root's p(w) = (c(w) + 1) / (N + V + 1), which leaves a share
-for unknown words. Probabilities of all words after a context add up to one.
-
-The model is never in one place. Documents are counted and scored in blocks of bounded size; counts of words
-and word pairs are added up in hash buckets, and each block gets back the part of the automaton that it uses.
+States are contexts of two words and of one; the root has none. A state has an arc for each word that followed its
+context in training, weighted with its smoothed probability, and one failure arc to the state of the shorter
+context, weighted with what is left for other words. p(w | h) = (c(hw) + M p(w | h')) / (c(h) + M), h' being h
+without its first word: a word with an arc pays the arc, any other the failure arc M / (c(h) + M), then what the
+next state asks, down to the root's p(w) = (c(w) + 1) / (N + V + 1), which leaves a share for unknown words. A text
+begins in the state of the end token. Probabilities of all words after a context add up to one.
+
+M is fitted for each order on training counts: with n1 n-grams used once and n2 used twice, M = n1 / (2 n2) leaves to
+a word seen once after a context seen once what Good and Turing's estimate 2 n2 / n1 of its count leaves it.
+
+The model is never in one place. Documents are counted and scored in blocks of bounded size; counts of words and
+n-grams are added up in hash buckets, and each block gets back the part of the automaton that it uses.
 """
 
 from __future__ import annotations
@@ -24,13 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .spread import durable
+from .spread import durable, tasks
 from .tokens import slices
 
-#: M above: how many uses of a context its smoothing is worth.
-MASS = 4.0
 #: Bytes of text in a block, of which about four make an entry; entries that a bucket gets, about.
 BLOCK, ENTRIES = 12 << 20, 2_000_000
+#: Bits by which hashes of n-grams are longer than the number of tokens: one n-gram in 16,384 shares its count.
+SPARE_BITS = 14
 _MULTIPLY = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -69,21 +73,27 @@ def tokenise(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tokens, sizes, hashes
 
 
+def _planes(x: np.ndarray) -> np.ndarray:
+    """The lowest bytes of all numbers, then the next ones: high bytes, put together, are mostly zeros."""
+    return x.view(np.uint8).reshape(len(x), -1).T
+
+
 def _packed(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(_planes(x)).tobytes())
 
 
 def _unpacked(x: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
 def _packed_sorted(x: np.ndarray) -> bytes:
-    """Ascending hashes as steps from one to the next, whose high bytes, put together, are mostly zeros."""
-    return _packed(np.diff(x, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T)
+    """Ascending hashes as steps from one to the next."""
+    return _packed(np.diff(x, prepend=np.uint64(0)))
 
 
 def _unpacked_sorted(x: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(_unpacked(x, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(_unpacked(x, np.uint64), dtype=np.uint64)
 
 
 def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -105,59 +115,80 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 class Block:
-    """A block's tokens with its words and word pairs in the order of their hashes."""
+    """A block's tokens with its words, pairs and triples of words, each in the order of their hashes.
+
+    Hashes of pairs and triples have ``bits`` bits.
+    """
 
-    def __init__(self, tokens: np.ndarray, sizes: np.ndarray, words: np.ndarray):
+    def __init__(self, tokens: np.ndarray, sizes: np.ndarray, words: np.ndarray, bits: int = 64):
         self.tokens, self.sizes = tokens, sizes
-        ends = np.cumsum(sizes)
-        self.before = np.zeros(len(tokens), np.int64)  # the state that each token is read in; the end token begins a text
-        self.before[1:] = tokens[:-1]
-        self.before[(ends - sizes)[sizes > 0]] = 0
-        self.words = words
-        order = np.argsort(words, kind="stable")
-        self.word_order, self.word_hashes = order, words[order]
-        pairs, self.pair = np.unique(self.before * len(words) + tokens, return_inverse=True)
-        hashes = pair_hash(words[pairs // len(words)], words[pairs % len(words)])
-        self.pair_order = np.argsort(hashes, kind="stable")
-        self.pair_hashes = hashes[self.pair_order]
-
-    def counts(self, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """How often each word and each pair is used in the documents that are trained on, in the order of the hashes."""
+        starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+        before = np.zeros(len(tokens), np.int64)  # the end token begins a text
+        before[1:] = tokens[:-1]
+        before[starts] = 0
+        self.before = before
+        self.later = np.ones(len(tokens), bool)  # tokens with two words before them, the end token counting as one
+        self.later[starts] = False
+        pairs, pair = np.unique(before * len(words) + tokens, return_inverse=True)
+        pair_hashes = pair_hash(words[pairs // len(words)], words[pairs % len(words)])
+        self.context = pair[:-1][self.later[1:]]  # the pair before each later token
+        triples, triple = np.unique(self.context * len(words) + tokens[self.later], return_inverse=True)
+        triple_hashes = pair_hash(pair_hashes[triples // len(words)], words[triples % len(words)])
+        #: of each order the place of each token's n-gram, the order of the hashes, and the hashes in it
+        self.grams = [(tokens, *_sorted(words)), (pair, *_sorted(pair_hashes >> np.uint64(64 - bits))), (triple, *_sorted(triple_hashes >> np.uint64(64 - bits)))]
+
+    def counts(self, trained: np.ndarray) -> list[np.ndarray]:
+        """How often each word, pair and triple is used in the documents that are trained on, in the order of the hashes."""
         use = np.repeat(trained, self.sizes)
-        words = np.bincount(self.tokens[use], minlength=len(self.words))[self.word_order]
-        pairs = np.bincount(self.pair[use], minlength=len(self.pair_hashes))[self.pair_order]
-        return words, pairs
-
-    def scores(self, word_counts: np.ndarray, pair_counts: np.ndarray, total: int, distinct: int, mass: float = MASS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Known tokens, base score and model score of each document, by one traversal that carries the state from token to token."""
-        words = np.zeros(len(self.words), np.float64)
-        words[self.word_order] = word_counts
-        pairs = np.zeros(len(self.pair_hashes), np.float64)
-        pairs[self.pair_order] = pair_counts
-        root = np.log10((words + 1) / (total + (distinct + 1)))
-        failure = np.log10(mass / (words + mass))  # a context is used as often as its word
-        state, token, arc = self.before, self.tokens, pairs[self.pair]
-        taken = np.log10((arc + mass * 10 ** root[token]) / (words[state] + mass))
-        step = np.where(arc > 0, taken, failure[state] + root[token])
+        return [np.bincount(at[use if k < 2 else use[self.later]], minlength=len(order))[order] for k, (at, order, _) in enumerate(self.grams)]
+
+    def scores(self, counts: list[np.ndarray], total: int, distinct: int, masses: tuple[float, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Known tokens, base score and model score of each document, by one traversal from token to token.
+
+        ``counts`` are those of words, pairs and triples in the whole corpus, in the order of this block's hashes.
+        """
+        uses = []
+        for (_, order, _), own in zip(self.grams, counts, strict=True):
+            uses.append(np.zeros(len(order)))
+            uses[-1][order] = own
+        words, pairs, triples = uses
+        token, pair, triple = (g[0] for g in self.grams)
+        root = np.log10((words + 1) / (total + (distinct + 1)))[token]
+
+        def state(arc: np.ndarray, context: np.ndarray, mass: float, shorter: np.ndarray) -> np.ndarray:
+            """The arc where the word has one, else the failure arc and then what the shorter context asks; as logarithms."""
+            out = np.log10(mass / (context + mass)) + shorter
+            taken = np.flatnonzero(arc)
+            out[taken] = np.log10((arc[taken] + mass * 10 ** shorter[taken]) / (context[taken] + mass))
+            return out
+
+        step = state(pairs[pair], words[self.before], masses[0], root)  # a context is used as often as its word
+        step[self.later] = state(triples[triple], pairs[self.context], masses[1], step[self.later])
         starts = np.cumsum(self.sizes) - self.sizes
-        return tuple(np.add.reduceat(x, starts) if len(starts) else x for x in ((words[token] > 0).astype(np.int64), root[token], step))
+        return tuple(np.add.reduceat(x, starts) if len(starts) else x for x in ((words[token] > 0).astype(np.int64), root, step))
 
 
-def _block(batch: pa.RecordBatch, i: int, names: list[str]) -> tuple[Block, np.ndarray]:
+def _sorted(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(hashes, kind="stable")
+    return order, hashes[order]
+
+
+def _block(batch: pa.RecordBatch, i: int, names: list[str], bits: int) -> tuple[Block, np.ndarray]:
     row = {n: batch.column(batch.schema.get_field_index(n))[i] for n in names}
     sizes = row["sizes"].values.to_numpy(zero_copy_only=False)
-    block = Block(_unpacked(row["tokens"].as_py(), np.uint32).astype(np.int64), sizes, _unpacked(row["words"].as_py(), np.uint64))
+    block = Block(_unpacked(row["tokens"].as_py(), np.uint32).astype(np.int64), sizes, _unpacked(row["words"].as_py(), np.uint64), bits)
     return block, row["held"].values.to_numpy(zero_copy_only=False).astype(bool)
 
 
-def _entries(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """(kind, bucket, block, hashes, counts): what a block has for each bucket, 0 words and 1 pairs."""
+def _entries(batches: Iterator[pa.RecordBatch], buckets: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """(kind, bucket, block, hashes, counts): what a block has for each bucket; kinds are 0 words, 1 pairs, 2 triples."""
     for batch in batches:
         for i in range(batch.num_rows):
-            block, held = _block(batch, i, ["sizes", "tokens", "words", "held"])
+            block, held = _block(batch, i, ["sizes", "tokens", "words", "held"], bits)
             rows = [[], [], [], []]
-            for kind, (hashes, counts) in enumerate(zip((block.word_hashes, block.pair_hashes), block.counts(~held), strict=True)):
-                bucket = _bucket(hashes, buckets)
+            for kind, counts in enumerate(block.counts(~held)):
+                hashes = block.grams[kind][2]
+                bucket = _bucket(hashes, buckets, bits if kind else 64)
                 cuts = np.flatnonzero(np.diff(bucket)) + 1
                 for h, c, b in zip(np.split(hashes, cuts), np.split(counts, cuts), bucket[np.concatenate([[0], cuts])].tolist() if len(bucket) else [], strict=False):
                     for x, v in zip(rows, (kind, b, _packed_sorted(h), _packed(c.astype(np.uint32))), strict=True):
@@ -166,15 +197,15 @@ def _entries(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int32()), number, pa.array(rows[2], pa.binary()), pa.array(rows[3], pa.binary())], names=["kind", "bucket", "block", "hashes", "counts"])
 
 
-def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+def _bucket(hashes: np.ndarray, buckets: int, bits: int) -> np.ndarray:
     """Ascending with the hash."""
-    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    return ((hashes >> np.uint64(bits - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, bucket, block, counts, total, distinct): counts over all blocks, for each block in its own order; buckets come sorted.
+    """(kind, bucket, block, counts, width, total, distinct, once, twice): counts over all blocks, for each block in its own order; buckets come sorted.
 
-    total and distinct are those of the bucket's words, given once, on its first row.
+    The last four are those of the bucket, given once, on its first row: uses, and n-grams used at all, once and twice.
     """
     held: list[tuple] = []
     for batch in batches:
@@ -194,28 +225,33 @@ def _sum_bucket(rows: list[tuple]) -> pa.RecordBatch:
     sums = np.bincount(at, weights=counts).astype(np.int64)
     back = np.split(sums[at], np.cumsum([len(h) for h in hashes])[:-1])
     first = np.arange(len(rows)) == 0
-    words = rows[0][0] == 0
+    wide = bool(sums.max() >> 32)
+    totals = [int(x.sum()) for x in (sums, sums > 0, sums == 1, sums == 2)]
     return pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array([_packed(x.astype(np.uint64 if sums.max() >> 32 else np.uint32)) for x in back], pa.binary()), pa.array(np.where(sums.max() >> 32, 8, 4).repeat(len(rows)).astype(np.int32)), pa.array(first * int(sums.sum() * words)), pa.array(first * int((sums > 0).sum() * words))],
-        names=["kind", "bucket", "block", "counts", "width", "total", "distinct"],
+        [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array([_packed(x.astype(np.uint64 if wide else np.uint32)) for x in back], pa.binary()), pa.array([8 if wide else 4] * len(rows), pa.int32()), *[pa.array(first * x) for x in totals]],
+        names=["kind", "bucket", "block", "counts", "width", "total", "distinct", "once", "twice"],
     )
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mass: float = MASS) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row.
 
     Rows whose crc32 of the id, modulo 7, is 2 are scored but not learned from; a row without an id is
     learned from. Null and empty texts have one token, their end. Repeated rows count and stay repeated. An
-    empty table gives an empty result. Words are told apart by 64 bits of hash.
+    empty table gives an empty result. Words are told apart by 64 bits of hash, n-grams by ``SPARE_BITS`` more than
+    the number of tokens has, 44 at least.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     held = durable(blocks(docs, id_col, text_col))
-    buckets = max(parts, held.count() * BLOCK // (4 * ENTRIES))
-    entries = held.mapInArrow(lambda it: _entries(it, buckets), "kind int, bucket int, block long, hashes binary, counts binary")
-    sums = durable(entries.repartition(parts, "kind", "bucket").sortWithinPartitions("kind", "bucket", "block").mapInArrow(_summed, "kind int, bucket int, block long, counts binary, width int, total long, distinct long"))
-    total, distinct = sums.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    both = held.withColumns({"kind": F.lit(-1), "bucket": F.lit(-1)}).unionByName(sums.drop("total", "distinct"), allowMissingColumns=True)
+    n, tokens = held.agg(F.count("*"), F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b)), F.lit(0))).first()
+    bits = min(64, max(44, tokens.bit_length() + SPARE_BITS))
+    parts = tasks(docs, n, 4)
+    buckets = max(parts, n * BLOCK // (4 * ENTRIES))
+    entries = held.mapInArrow(lambda it: _entries(it, buckets, bits), "kind int, bucket int, block long, hashes binary, counts binary")
+    sums = durable(entries.repartition(parts, "kind", "bucket").sortWithinPartitions("kind", "bucket", "block").mapInArrow(_summed, "kind int, bucket int, block long, counts binary, width int, total long, distinct long, once long, twice long"))
+    found = {r.kind: r for r in sums.groupBy("kind").agg(*[F.sum(c).alias(c) for c in ("total", "distinct", "once", "twice")]).collect()}
+    total, distinct = (found[0].total, found[0].distinct) if found else (0, 0)
+    masses = tuple(fitted_mass(found[k].once, found[k].twice) if k in found else 1.0 for k in (1, 2))
+    both = held.withColumns({"kind": F.lit(-1), "bucket": F.lit(-1)}).unionByName(sums.drop("total", "distinct", "once", "twice"), allowMissingColumns=True)
     both = both.repartition(parts, "block").sortWithinPartitions("block", "kind", "bucket")
     fields = [("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())]
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *[T.StructField(*f) for f in fields]])
@@ -225,7 +261,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         def finish() -> pa.RecordBatch:
             block, out, ids, counts = now
-            known, base, score = block.scores(*(np.concatenate(counts[k] or [np.zeros(0, np.uint32)]) for k in (0, 1)), total, distinct, mass)
+            known, base, score = block.scores([np.concatenate(c or [np.zeros(0, np.uint32)]) for c in counts], total, distinct, masses)
             return pa.RecordBatch.from_arrays([ids, pa.array(out), pa.array(block.sizes), pa.array(known), pa.array(np.full(len(out), total, np.int64)), pa.array(base), pa.array(score)], names=schema.names)
 
         for batch in batches:
@@ -235,11 +271,17 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 if kind < 0:
                     if now is not None:
                         yield finish()
-                    block, out = _block(batch, i, ["sizes", "tokens", "words", "held"])
-                    now = block, out, pa.concat_arrays([batch.column(at["ids"])[i].values]), ([], [])
+                    now = None  # before the next block takes memory
+                    block, out = _block(batch, i, ["sizes", "tokens", "words", "held"], bits)
+                    now = block, out, pa.concat_arrays([batch.column(at["ids"])[i].values]), ([], [], [])
                 else:
                     now[3][kind].append(_unpacked(batch.column(at["counts"])[i].as_py(), np.uint64 if batch.column(at["width"])[i].as_py() == 8 else np.uint32))
         if now is not None:
             yield finish()
 
     return both.mapInArrow(run, schema)
+
+
+def fitted_mass(once: int, twice: int) -> float:
+    """M of an order, from how many of its n-grams are used once and twice."""
+    return (once + 1) / (2 * twice + 1)

@@ -148,18 +148,21 @@ def test_lm_scores(docs, rows, nothing):
         return re.findall("[^\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) + [""]
 
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
-    words, pairs = Counter(), Counter()
+    words, pairs, triples = Counter(), Counter(), Counter()
     for i, t in rows:
         if not held[i]:
             w = tokens(t)
             words.update(w)
             pairs.update(zip(["", *w[:-1]], w, strict=True))
-    total, distinct, mass = sum(words.values()), len(words), ngram_lm.MASS
+            triples.update(zip(["", *w[:-2]], w[:-1], w[1:], strict=False))
+    m2, m3 = ((sum(n == 1 for n in c.values()) + 1) / (2 * sum(n == 2 for n in c.values()) + 1) for c in (pairs, triples))
+    total, distinct = sum(words.values()), len(words)
     want = []
     for i, t in rows:
         w = tokens(t)
         p = [(words[x] + 1) / (total + distinct + 1) for x in w]
-        model = [(pairs[h, x] + mass * q) / (words[h] + mass) for h, x, q in zip(["", *w[:-1]], w, p, strict=True)]
+        model = [(pairs[h, x] + m2 * q) / (words[h] + m2) for h, x, q in zip(["", *w[:-1]], w, p, strict=True)]
+        model[1:] = [(triples[g, h, x] + m3 * q) / (pairs[g, h] + m3) for g, h, x, q in zip(["", *w[:-2]], w[:-1], w[1:], model[1:], strict=False)]
         want.append((i, held[i], len(w), sum(words[x] > 0 for x in w), total, sum(map(math.log10, p)), sum(map(math.log10, model))))
     found = ngram_lm.score_documents(docs).collect()
     assert len(found) == len(want)
@@ -169,12 +172,22 @@ def test_lm_scores(docs, rows, nothing):
 
 
 def test_lm_probabilities_add_up():
-    sizes = np.array([4, 3])
-    block = ngram_lm.Block(np.array([1, 2, 1, 0, 2, 2, 0]), sizes, np.arange(10, 13).astype(np.uint64))
-    counts = np.bincount(block.tokens, minlength=3)
-    total, distinct = int(counts.sum()), 3
-    root = [(c + 1) / (total + distinct + 1) for c in counts]
-    assert math.isclose(sum(root) + 1 / (total + distinct + 1), 1)
+    """After every context, over all words of the training texts and the share of unknown ones."""
+    texts = [[1, 2, 1, 3, 0], [2, 2, 3, 0], [0]]
+    hashes = np.array([70, 10, 40, 20, 90], np.uint64) << np.uint64(40)  # 4: a word that no text has
+    trained = ngram_lm.Block(np.concatenate(texts), np.array([5, 4, 1]), hashes)
+    sums = [dict(zip(g[2].tolist(), c.tolist(), strict=True)) for g, c in zip(trained.grams, trained.counts(np.ones(3, bool)), strict=True)]
+    for context in ([], [1], [1, 2], [2, 2], [3, 3], [4, 1]):
+        tried = [[*context, w] for w in range(5)]
+        if not context:
+            tried[0] = [0]
+        block = ngram_lm.Block(np.concatenate(tried), np.array([len(t) for t in tried]), hashes)
+        counts = [np.array([s.get(h, 0) for h in g[2].tolist()]) for g, s in zip(block.grams, sums, strict=True)]
+        score = block.scores(counts, 10, 4, (1.5, 2.5))[2]
+        prefix = ngram_lm.Block(np.array(context, np.int64), np.array([len(context)]), hashes)
+        before = [np.array([s.get(h, 0) for h in g[2].tolist()]) for g, s in zip(prefix.grams, sums, strict=True)]
+        start = prefix.scores(before, 10, 4, (1.5, 2.5))[2][0] if context else 0.0
+        assert math.isclose(sum(10 ** (score - start)), 1), context
 
 
 def test_toxicity(spark, nothing):
