@@ -1,4 +1,8 @@
-"""Byte-level BPE by merge replay: every merge is applied, in rank order, at all places that an inverted index gives for it."""
+"""Byte-level BPE by merge replay over the distinct words of the whole corpus.
+
+Documents are cut into words; equal words meet in one bucket, whatever documents they come from. There every merge is
+applied, in rank order, at all places that an inverted index from token pair to word positions gives for it.
+"""
 
 from __future__ import annotations
 
@@ -7,14 +11,20 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tokens import CACHED, encode_by_pieces, slices
+from .packed import packed, packed_words, unpacked, unpacked_words
+from .spread import durable, tasks
+from .tokens import encode_by_pieces, slices
 
 #: Distinct words that are replayed together.
 WORDS = 50_000
@@ -123,48 +133,130 @@ def replay(path: str) -> MergeReplay:
         return MergeReplay({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)})
 
 
-_caches: dict[tuple[str, str], dict[str, bytes]] = {}
-
+def cut_words(texts: pa.Array, pattern: str) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Places of all texts' words, behind one another, in the list of distinct words; the number of each text's words; that list.
 
-def _encode_pieces(path: str, pattern: str, pieces: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    cache = _caches.setdefault((path, pattern), {})
-    found = list(map(cache.get, pieces))
-    new = [i for i, x in enumerate(found) if x is None]
+    Words are the matches of ``pattern``. Texts are first cut before spaces, which no match reaches over, so that
+    the pattern is run on distinct pieces only; a text with longer white space is one piece.
+    """
+    found: dict[str, int] = {}
     cut = regex.compile(pattern).findall
-    for at in range(0, len(new), WORDS):
-        some = new[at : at + WORDS]
-        parts = [[w.encode() for w in cut(pieces[i])] for i in some]
-        words = list(dict.fromkeys(w for p in parts for w in p))
-        ids = {w: np.array(x, np.uint32).tobytes() for w, x in zip(words, replay(path).encode(words), strict=True)}
-        for i, p in zip(some, parts, strict=True):
-            found[i] = b"".join([ids[w] for w in p])
-            if counts[i] > 1 and len(cache) < CACHED:
-                cache[pieces[i]] = found[i]
-    sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-    return np.frombuffer(b"".join(found), np.uint32), sizes
+
+    def words_of(pieces: list[str], _: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = [[found.setdefault(w, len(found)) for w in cut(p)] for p in pieces]
+        sizes = np.fromiter(map(len, own), np.int64, len(own))
+        return np.fromiter(chain.from_iterable(own), np.uint32, int(sizes.sum())), sizes
+
+    places, sizes = encode_by_pieces(texts, words_of, keep_spaces=True)
+    return places, sizes, [w.encode() for w in found]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """(block, ids, sizes, places, words): a bounded stretch of documents as places in the list of its distinct words, these ordered by hash."""
+    number = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        for part in slices(batch, 1):
+            places, sizes, words = cut_words(part.column(1), pattern)
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+            order = np.argsort(hashes, kind="stable")
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order), dtype=np.uint32)
+            one = pa.array([0, part.num_rows], pa.int32())
+            lists = [pa.ListArray.from_arrays(one, x) for x in (part.column(0), pa.array(sizes))]
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *lists, pa.array([packed(place[places])], pa.binary()), pa.array([packed_words([words[i] for i in order.tolist()])], pa.binary())], names=names)
+            number += 1
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, block, words): a block's distinct words for each bucket; buckets are ascending ranges of the hash."""
+    for batch in batches:
+        for block, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            words = unpacked_words(raw.as_py())
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+            bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(words)] if words else []
+            rows = [(int(bucket[i]), packed_words(words[i:j])) for i, j in pairwise(cuts)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "block", "words"])
 
 
-def bpe_ids(texts: pa.Array, path: str, pattern: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts behind one another, and the number of each; each match of ``pattern`` is encoded by itself."""
-    return encode_by_pieces(texts, lambda pieces, counts: _encode_pieces(path, pattern, pieces, counts), keep_spaces=True)
+def _replayed(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """(bucket, block, sizes, tokens): the ids of each block's words in their order; every word of a bucket, whatever blocks have it, is replayed once."""
+    held: list[tuple[int, int, list[bytes]]] = []
+
+    def finish() -> Iterator[pa.RecordBatch]:
+        words = list(dict.fromkeys(w for _, _, own in held for w in own))
+        ids: dict[bytes, np.ndarray] = {}
+        for at in range(0, len(words), WORDS):
+            some = words[at : at + WORDS]
+            ids.update((w, np.array(x, np.uint32)) for w, x in zip(some, replay(path).encode(some), strict=True))
+        for bucket, block, own in held:
+            found = [ids[w] for w in own]
+            sizes = np.fromiter(map(len, found), np.uint32, len(found))
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([block], pa.int64()), pa.array([packed(sizes)], pa.binary()), pa.array([packed(np.concatenate(found))], pa.binary())], names=["bucket", "block", "sizes", "tokens"])
+
+    for batch in batches:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if held and held[0][0] != row[0]:
+                yield from finish()
+                held = []
+            held.append((row[0], row[1], unpacked_words(row[2])))
+    if held:
+        yield from finish()
 
 
 def bpe_round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) of each whole text; null and empty texts have no ids."""
-    schema = T.StructType([docs.schema[id_col], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    """(id, n_tokens, ids_sha256, decoded_sha256) of each whole text, one row for each row of ``docs``.
+
+    Null and empty texts have no ids; repeated rows and ids stay repeated, rows without an id are encoded like
+    others; an empty table gives an empty result; other columns are ignored.
+
+    Distinct words of blocks of documents are dealt over buckets by their hashes. A bucket replays the merges of
+    its words once for the whole corpus, and each block gets back the ids of its own words. Blocks are written to
+    the shared folder first, so that a lost task finds the same words again.
+    """
+    of = docs.schema[id_col].dataType
+    shape = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(of)), T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("places", T.BinaryType()), T.StructField("words", T.BinaryType())])
+    held = durable(docs.select(id_col, text_col).mapInArrow(lambda it: _blocks(it, pattern, shape.names), shape))
+    parts = tasks(docs, held.count(), 4)
+    words = held.select("block", "words").mapInArrow(lambda it: _dealt(it, parts), "bucket int, block long, words binary")
+    found = words.repartition(parts, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(lambda it: _replayed(it, path), "bucket int, block long, word_sizes binary, tokens binary")
+    both = held.drop("words").withColumn("bucket", F.lit(-1)).unionByName(found, allowMissingColumns=True)
+    both = both.repartition(parts, "block").sortWithinPartitions("block", "bucket").select("bucket", "ids", "sizes", "places", "word_sizes", "tokens")
+    schema = T.StructType([T.StructField(id_col, of), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = replay(path)
-        decimal = {i: str(i).encode() for i in model.bytes}
+        decimal = {i: str(i) for i in model.bytes}
+        now = None
+
+        def finish() -> pa.RecordBatch:
+            ids, sizes, places, word_sizes, tokens = now
+            n = np.concatenate(word_sizes or [np.zeros(0, np.uint32)]).astype(np.int64)
+            flat = np.concatenate(tokens or [np.zeros(0, np.uint32)]).tolist()
+            cuts = [0, *np.cumsum(n).tolist()]
+            own = [flat[a:b] for a, b in pairwise(cuts)]
+            texts = [",".join(map(decimal.__getitem__, x)).encode() for x in own]
+            raw = list(map(model.decode, own))
+            hashes, decoded, counts = [], [], []
+            ends = np.cumsum(sizes)
+            for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
+                at = places[a:b]
+                counts.append(int(n[at].sum()))
+                at = at.tolist()
+                hashes.append(hashlib.sha256(b",".join(map(texts.__getitem__, at))).hexdigest())
+                decoded.append(hashlib.sha256(b"".join(map(raw.__getitem__, at))).hexdigest())
+            return pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())], names=schema.names)
+
         for batch in batches:
-            for part in slices(batch, 1):
-                ids, n = bpe_ids(part.column(1), path, pattern)
-                ends = np.cumsum(n)
-                hashes, decoded = [], []
-                for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True):
-                    own = ids[a:b].tolist()
-                    hashes.append(hashlib.sha256(b",".join(map(decimal.__getitem__, own))).hexdigest())
-                    decoded.append(hashlib.sha256(model.decode(own)).hexdigest())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())], names=schema.names)
-
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+            for i, bucket in enumerate(batch.column(0).to_pylist()):
+                if bucket < 0:
+                    if now is not None:
+                        yield finish()
+                    now = pa.concat_arrays([batch.column(1)[i].values]), batch.column(2)[i].values.to_numpy(zero_copy_only=False), unpacked(batch.column(3)[i].as_py(), np.uint32), [], []
+                else:
+                    now[3].append(unpacked(batch.column(4)[i].as_py(), np.uint32))
+                    now[4].append(unpacked(batch.column(5)[i].as_py(), np.uint32))
+        if now is not None:
+            yield finish()
+
+    return both.mapInArrow(run, schema)

@@ -22,12 +22,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .packed import packed, unpacked
 from .spread import durable, tasks
 from .tokens import slices
 
@@ -73,27 +73,13 @@ def tokenise(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tokens, sizes, hashes
 
 
-def _planes(x: np.ndarray) -> np.ndarray:
-    """The lowest bytes of all numbers, then the next ones: high bytes, put together, are mostly zeros."""
-    return x.view(np.uint8).reshape(len(x), -1).T
-
-
-def _packed(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(_planes(x)).tobytes())
-
-
-def _unpacked(x: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(size, -1).T).view(kind).ravel()
-
-
 def _packed_sorted(x: np.ndarray) -> bytes:
     """Ascending hashes as steps from one to the next."""
-    return _packed(np.diff(x, prepend=np.uint64(0)))
+    return packed(np.diff(x, prepend=np.uint64(0)))
 
 
 def _unpacked_sorted(x: bytes) -> np.ndarray:
-    return np.cumsum(_unpacked(x, np.uint64), dtype=np.uint64)
+    return np.cumsum(unpacked(x, np.uint64), dtype=np.uint64)
 
 
 def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -108,7 +94,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 tokens, sizes, hashes = tokenise(part.column(2))
                 one = [0, part.num_rows]
                 lists = [pa.ListArray.from_arrays(pa.array(one, pa.int32()), x) for x in (part.column(0), part.column(1), pa.array(sizes))]
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *lists, pa.array([_packed(tokens.astype(np.uint32))], pa.binary()), pa.array([_packed(hashes)], pa.binary())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *lists, pa.array([packed(tokens.astype(np.uint32))], pa.binary()), pa.array([packed(hashes)], pa.binary())], names=schema.names)
                 number += 1
 
     return docs.select(id_col, is_held_out(id_col).alias("held"), text_col).mapInArrow(run, schema)
@@ -176,7 +162,7 @@ def _sorted(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _block(batch: pa.RecordBatch, i: int, names: list[str], bits: int) -> tuple[Block, np.ndarray]:
     row = {n: batch.column(batch.schema.get_field_index(n))[i] for n in names}
     sizes = row["sizes"].values.to_numpy(zero_copy_only=False)
-    block = Block(_unpacked(row["tokens"].as_py(), np.uint32).astype(np.int64), sizes, _unpacked(row["words"].as_py(), np.uint64), bits)
+    block = Block(unpacked(row["tokens"].as_py(), np.uint32).astype(np.int64), sizes, unpacked(row["words"].as_py(), np.uint64), bits)
     return block, row["held"].values.to_numpy(zero_copy_only=False).astype(bool)
 
 
@@ -191,7 +177,7 @@ def _entries(batches: Iterator[pa.RecordBatch], buckets: int, bits: int) -> Iter
                 bucket = _bucket(hashes, buckets, bits if kind else 64)
                 cuts = np.flatnonzero(np.diff(bucket)) + 1
                 for h, c, b in zip(np.split(hashes, cuts), np.split(counts, cuts), bucket[np.concatenate([[0], cuts])].tolist() if len(bucket) else [], strict=False):
-                    for x, v in zip(rows, (kind, b, _packed_sorted(h), _packed(c.astype(np.uint32))), strict=True):
+                    for x, v in zip(rows, (kind, b, _packed_sorted(h), packed(c.astype(np.uint32))), strict=True):
                         x.append(v)
             number = pa.array([batch.column(0)[i].as_py()] * len(rows[0]), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int32()), number, pa.array(rows[2], pa.binary()), pa.array(rows[3], pa.binary())], names=["kind", "bucket", "block", "hashes", "counts"])
@@ -220,7 +206,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sum_bucket(rows: list[tuple]) -> pa.RecordBatch:
     hashes = [_unpacked_sorted(r[3]) for r in rows]
-    counts = np.concatenate([_unpacked(r[4], np.uint32) for r in rows])
+    counts = np.concatenate([unpacked(r[4], np.uint32) for r in rows])
     _, at = np.unique(np.concatenate(hashes), return_inverse=True)
     sums = np.bincount(at, weights=counts).astype(np.int64)
     back = np.split(sums[at], np.cumsum([len(h) for h in hashes])[:-1])
@@ -228,7 +214,7 @@ def _sum_bucket(rows: list[tuple]) -> pa.RecordBatch:
     wide = bool(sums.max() >> 32)
     totals = [int(x.sum()) for x in (sums, sums > 0, sums == 1, sums == 2)]
     return pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array([_packed(x.astype(np.uint64 if wide else np.uint32)) for x in back], pa.binary()), pa.array([8 if wide else 4] * len(rows), pa.int32()), *[pa.array(first * x) for x in totals]],
+        [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array([packed(x.astype(np.uint64 if wide else np.uint32)) for x in back], pa.binary()), pa.array([8 if wide else 4] * len(rows), pa.int32()), *[pa.array(first * x) for x in totals]],
         names=["kind", "bucket", "block", "counts", "width", "total", "distinct", "once", "twice"],
     )
 
@@ -275,7 +261,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     block, out = _block(batch, i, ["sizes", "tokens", "words", "held"], bits)
                     now = block, out, pa.concat_arrays([batch.column(at["ids"])[i].values]), ([], [], [])
                 else:
-                    now[3][kind].append(_unpacked(batch.column(at["counts"])[i].as_py(), np.uint64 if batch.column(at["width"])[i].as_py() == 8 else np.uint32))
+                    now[3][kind].append(unpacked(batch.column(at["counts"])[i].as_py(), np.uint64 if batch.column(at["width"])[i].as_py() == 8 else np.uint32))
         if now is not None:
             yield finish()
 
