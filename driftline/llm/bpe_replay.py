@@ -151,19 +151,30 @@ def cut_words(texts: pa.Array, pattern: str) -> tuple[np.ndarray, np.ndarray, li
     return places, sizes, [w.encode() for w in found]
 
 
+def _hash_order(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The words' hashes in ascending order, and the places of the words in it."""
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    order = np.argsort(hashes, kind="stable")
+    return hashes[order], order
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """(block, ids, sizes, places, words): a bounded stretch of documents as places in the list of its distinct words, these ordered by hash."""
+    """(block, ids, sizes, places, order, words): a bounded stretch of documents as places in the list of its distinct words.
+
+    The most frequent words come first, which makes small numbers of most places; ``order`` are the words' places by hash.
+    """
     number = TaskContext.get().partitionId() << 32
     for batch in batches:
         for part in slices(batch, 1):
             places, sizes, words = cut_words(part.column(1), pattern)
-            hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-            order = np.argsort(hashes, kind="stable")
-            place = np.empty(len(order), np.uint32)
-            place[order] = np.arange(len(order), dtype=np.uint32)
+            by_use = np.argsort(-np.bincount(places, minlength=len(words)), kind="stable")
+            place = np.empty(len(by_use), np.uint32)
+            place[by_use] = np.arange(len(by_use), dtype=np.uint32)
+            words = [words[i] for i in by_use.tolist()]
             one = pa.array([0, part.num_rows], pa.int32())
             lists = [pa.ListArray.from_arrays(one, x) for x in (part.column(0), pa.array(sizes))]
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *lists, pa.array([packed(place[places])], pa.binary()), pa.array([packed_words([words[i] for i in order.tolist()])], pa.binary())], names=names)
+            texts = [packed(place[places]), packed(_hash_order(words)[1].astype(np.uint32)), packed_words(words)]
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *lists, *[pa.array([x], pa.binary()) for x in texts]], names=names)
             number += 1
 
 
@@ -172,7 +183,8 @@ def _dealt(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
     for batch in batches:
         for block, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             words = unpacked_words(raw.as_py())
-            hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+            hashes, order = _hash_order(words)
+            words = [words[i] for i in order.tolist()]
             bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(words)] if words else []
             rows = [(int(bucket[i]), packed_words(words[i:j])) for i, j in pairwise(cuts)]
@@ -215,13 +227,13 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
     the shared folder first, so that a lost task finds the same words again.
     """
     of = docs.schema[id_col].dataType
-    shape = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(of)), T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("places", T.BinaryType()), T.StructField("words", T.BinaryType())])
+    shape = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(of)), T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("places", T.BinaryType()), T.StructField("order", T.BinaryType()), T.StructField("words", T.BinaryType())])
     held = durable(docs.select(id_col, text_col).mapInArrow(lambda it: _blocks(it, pattern, shape.names), shape))
     parts = tasks(docs, held.count(), 4)
     words = held.select("block", "words").mapInArrow(lambda it: _dealt(it, parts), "bucket int, block long, words binary")
     found = words.repartition(parts, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(lambda it: _replayed(it, path), "bucket int, block long, word_sizes binary, tokens binary")
     both = held.drop("words").withColumn("bucket", F.lit(-1)).unionByName(found, allowMissingColumns=True)
-    both = both.repartition(parts, "block").sortWithinPartitions("block", "bucket").select("bucket", "ids", "sizes", "places", "word_sizes", "tokens")
+    both = both.repartition(parts, "block").sortWithinPartitions("block", "bucket").select("bucket", "ids", "sizes", "places", "word_sizes", "tokens", "order")
     schema = T.StructType([T.StructField(id_col, of), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,11 +242,13 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
         now = None
 
         def finish() -> pa.RecordBatch:
-            ids, sizes, places, word_sizes, tokens = now
-            n = np.concatenate(word_sizes or [np.zeros(0, np.uint32)]).astype(np.int64)
+            ids, sizes, places, order, word_sizes, tokens = now
+            ends = np.zeros(len(order), np.int64)
+            n = np.zeros(len(order), np.int64)
+            n[order] = by_hash = np.concatenate(word_sizes or [np.zeros(0, np.uint32)])
+            ends[order] = np.cumsum(by_hash, dtype=np.int64)
             flat = np.concatenate(tokens or [np.zeros(0, np.uint32)]).tolist()
-            cuts = [0, *np.cumsum(n).tolist()]
-            own = [flat[a:b] for a, b in pairwise(cuts)]
+            own = [flat[a:b] for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)]
             texts = [",".join(map(decimal.__getitem__, x)).encode() for x in own]
             raw = list(map(model.decode, own))
             hashes, decoded, counts = [], [], []
@@ -252,10 +266,10 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
                 if bucket < 0:
                     if now is not None:
                         yield finish()
-                    now = pa.concat_arrays([batch.column(1)[i].values]), batch.column(2)[i].values.to_numpy(zero_copy_only=False), unpacked(batch.column(3)[i].as_py(), np.uint32), [], []
+                    now = pa.concat_arrays([batch.column(1)[i].values]), batch.column(2)[i].values.to_numpy(zero_copy_only=False), *(unpacked(batch.column(k)[i].as_py(), np.uint32) for k in (3, 6)), [], []
                 else:
-                    now[3].append(unpacked(batch.column(4)[i].as_py(), np.uint32))
-                    now[4].append(unpacked(batch.column(5)[i].as_py(), np.uint32))
+                    now[4].append(unpacked(batch.column(4)[i].as_py(), np.uint32))
+                    now[5].append(unpacked(batch.column(5)[i].as_py(), np.uint32))
         if now is not None:
             yield finish()
 
