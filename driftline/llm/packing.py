@@ -1,83 +1,83 @@
 """Best-fit packing of documents into sequences of bounded length, by bulk-synchronous rounds.
 
-Documents of one length are interchangeable, so the sorted documents are kept as one class per length with
-ranks, and the sorted gaps as runs of sequences with equal gaps. There are at most as many classes and
-rounds as tokens in a sequence, whatever the number of documents. A round takes the next shorter class. A
-sweep from the successor (the least gap that holds the length) upwards matches the class, in rank order, to
-the runs; ranks decide who gets which gap; the gaps are updated before the next round. Spark deals out
-ranks and looks up places in parallel; the driver holds only counts per length and the matched rank intervals.
+In every round the documents that wait and the gaps of the sequences are sorted by size into ranges, one for each
+task. A sweep over a range, from small to large, holds the documents met so far; each gap takes the largest of them
+that fits, of equal ones as many as fit. So a document goes to its successor, the least gap that holds it; where
+several ask for one gap, the largest has the first rank and the others look further up. What a range leaves open is
+matched over ranges by the same sweep over runs of equal sizes, whose counts are all that the driver gets. The gaps
+are updated, and the next round begins. For documents that fit in no gap as many sequences are opened as they need
+at least. No order of documents, and no list of them, is ever in one place.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections import Counter
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .spread import durable, fresh
+from .spread import durable, fresh, shared_folder, tasks
 from .tokens import slices, word_bpe_ids
 
 #: Tokens of a sequence, and the id that ends a document.
 CAPACITY, END = 2048, 0
+#: Documents and gaps that one task sweeps, about.
+SWEPT = 500_000
+DOC, GAP, PLACED = 0, 1, 2
 
 
-@dataclass(frozen=True)
-class Match:
-    """Pieces of ``length`` with ranks from ``rank`` on: ``per`` in each of the sequences from ``sequence`` on, at ``offset``."""
+class Match(NamedTuple):
+    """``gaps`` gaps of a run, from ``gap`` on, get ``per`` documents each, those of another run from ``doc`` on."""
 
-    length: int
-    rank: int
-    sequence: int
+    gap_run: int
+    gap: int
+    gaps: int
+    doc_run: int
+    doc: int
     per: int
-    offset: int
-
-
-def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Match], int]:
-    """Matches that place ``counts[length]`` pieces of each length best-fit, longest first, and the number of sequences."""
-    runs: dict[int, list[tuple[int, int]]] = {}  # gap: runs of (first sequence, how many)
-    gaps: list[int] = []
-    matches, opened = [], 0
-
-    def leave(gap: int, first: int, n: int) -> None:
-        if gap and n:
-            if gap not in runs:
-                runs[gap] = []
-                insort(gaps, gap)
-            runs[gap].append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            at = bisect_left(gaps, length)
-            if at < len(gaps):
-                gap = gaps[at]
-                first, n = runs[gap].pop(0)
-                if not runs[gap]:
-                    del runs[gap]
-                    gaps.pop(at)
+
+
+def sweep(runs: Sequence[tuple[int, int, int]]) -> list[Match]:
+    """Matches of runs (size, kind, count), which ascend by size and have documents before gaps of their size."""
+    waiting: list[list[int]] = []  # run, first document, how many; the largest last
+    out = []
+    for g, (size, kind, count) in enumerate(runs):
+        if kind == DOC:
+            waiting.append([g, 0, count])
+            continue
+        at = 0
+        while at < count and waiting:
+            d, first, left = waiting[-1]
+            per = size // runs[d][0]
+            whole = min(count - at, left // per)
+            if whole:
+                out.append(Match(g, at, whole, d, first, per))
+            at, first, left = at + whole, first + whole * per, left - whole * per
+            if at < count and left:  # fewer than a gap holds
+                out.append(Match(g, at, 1, d, first, left))
+                at, left = at + 1, 0
+            if left:
+                waiting[-1] = [d, first, left]
             else:
-                gap, first = capacity, opened
-                n = -(-left // (capacity // length))
-                opened += n
-            per = gap // length
-            full = min(n, left // per)
-            if full:
-                matches.append(Match(length, rank, first, per, capacity - gap))
-                leave(gap - per * length, first, full)
-            rank, left, first, n = rank + full * per, left - full * per, first + full, n - full
-            if n and left and left < per:
-                matches.append(Match(length, rank, first, left, capacity - gap))
-                leave(gap - left * length, first, 1)
-                rank, left, first, n = rank + left, 0, first + 1, n - 1
-            leave(gap, first, n)
-    return matches, opened
+                waiting.pop()
+    return out
+
+
+def needed(sizes: dict[int, int], capacity: int) -> int:
+    """Sequences that documents (size: how many) need at least. Where some fill more than half a sequence, only these count: the others may fit beside them."""
+    large = sum(n for size, n in sizes.items() if 2 * size > capacity)
+    if large:
+        return large
+    by_length = -(-sum(size * n for size, n in sizes.items()) // capacity)
+    by_number = (-(-sum(n for size, n in sizes.items() if (j + 1) * size > capacity) // j) for j in range(2, 9))
+    return max(by_length, *by_number)
 
 
 def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
@@ -104,6 +104,130 @@ def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
+_SWEPT = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("size", T.LongType()), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("rank", T.LongType())])
+
+
+def _record(schema: T.StructType, *columns: np.ndarray) -> pa.RecordBatch:
+    kinds = {T.IntegerType(): pa.int32(), T.LongType(): pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[f.dataType]) for c, f in zip(columns, schema.fields, strict=True)], names=schema.names)
+
+
+def _swept(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.RecordBatch]:
+    """One range, which comes sorted by size and kind: documents with their places, gaps that took some with what is left of
+    them, and the others with the range's number and their rank in the range among equals."""
+    parts = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(3)] for b in batches]
+    if not parts:
+        return
+    size, kind, ident = (np.concatenate(x).astype(np.int64) for x in zip(*parts, strict=True))
+    starts = np.flatnonzero(np.concatenate([[True], (size[1:] != size[:-1]) | (kind[1:] != kind[:-1])])) if len(size) else np.zeros(0, np.int64)
+    counts = np.diff(starts, append=len(size))
+    used = np.zeros(len(size), bool)
+    for m in sweep(list(zip(size[starts].tolist(), kind[starts].tolist(), counts.tolist(), strict=True))):
+        gaps = starts[m.gap_run] + m.gap + np.arange(m.gaps)
+        docs = starts[m.doc_run] + m.doc + np.arange(m.gaps * m.per)
+        used[gaps] = used[docs] = True
+        length, gap = int(size[docs[0]]), int(size[gaps[0]])
+        none = np.full(len(docs), -1)
+        yield _record(_SWEPT, np.full(len(docs), PLACED), ident[docs], size[docs], np.repeat(ident[gaps], m.per), capacity - gap + np.tile(np.arange(m.per), m.gaps) * length, none, none)
+        none = np.full(len(gaps), -1)
+        yield _record(_SWEPT, np.full(len(gaps), GAP), ident[gaps], np.full(len(gaps), gap - m.per * length), none, none, none, none)
+    rest = np.flatnonzero(~used)
+    run = np.searchsorted(starts, rest, side="right") - 1
+    first = np.zeros(len(starts), np.int64)
+    first[run[::-1]] = np.arange(len(rest))[::-1]
+    none = np.full(len(rest), -1)
+    yield _record(_SWEPT, kind[rest], ident[rest], size[rest], none, none, np.full(len(rest), TaskContext.get().partitionId()), np.arange(len(rest)) - first[run])
+
+
+class _Across:
+    """Finds the matches over ranges of what the ranges left open; of bounded size, as runs are no more than tasks and sizes."""
+
+    def __init__(self, runs: list[tuple[int, int, int, int]], capacity: int):
+        """``runs``: (part, size, kind, count), sorted."""
+        self.capacity = capacity
+        self.matches = sweep([r[1:] for r in runs])
+        self.runs = self._run(*(np.array([r[i] for r in runs], np.int64) for i in range(3)))
+        ends = {DOC: [(m.doc_run, m.doc, m.gaps * m.per, i, m.per, 0) for i, m in enumerate(self.matches)], GAP: [(m.gap_run, m.gap, m.gaps, i, 1, m.per * runs[m.doc_run][1]) for i, m in enumerate(self.matches)]}
+        self.tables = {kind: np.array(sorted(x), np.int64).reshape(-1, 6) for kind, x in ends.items()}
+
+    def _run(self, part: np.ndarray, size: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        return (part * (self.capacity + 1) + size) * 2 + kind
+
+    def find(self, batches: Iterator[pa.RecordBatch], schema: T.StructType) -> Iterator[pa.RecordBatch]:
+        """Adds match (-1 without one), slot (the gap within the match), nth (the document within the gap); a matched gap's ``left`` is what is left of it."""
+        for batch in batches:
+            kind, ident, size, part, rank = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5))
+            run = np.searchsorted(self.runs, self._run(part, size, kind))
+            match, slot, nth, left = np.full(len(kind), -1), np.zeros(len(kind), np.int64), np.zeros(len(kind), np.int64), size.copy()
+            for k, table in self.tables.items():
+                at = np.flatnonzero(kind == k)
+                if not len(at) or not len(table):
+                    continue
+                # runs are fewer than 2^23, ranks than 2^40
+                row = np.searchsorted((table[:, 0] << 40) + table[:, 1], (run[at] << 40) + rank[at], side="right") - 1
+                found = table[np.maximum(row, 0)]
+                hit = (row >= 0) & (found[:, 0] == run[at]) & (rank[at] - found[:, 1] < found[:, 2])
+                at, found = at[hit], found[hit]
+                k_th = rank[at] - found[:, 1]
+                match[at], slot[at], nth[at], left[at] = found[:, 3], k_th // found[:, 4], k_th % found[:, 4], size[at] - found[:, 5]
+            yield _record(schema, kind, ident, size, match, slot, nth, left)
+
+
+_FOUND = T.StructType([T.StructField("kind", T.IntegerType()), *[T.StructField(n, T.LongType()) for n in ("id", "size", "match", "slot", "nth", "left")]])
+
+
+def place(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(id, sequence_id, offset) of documents (id, distinct, and size, from 1 to ``capacity``); sequences are numbered from 0."""
+    spark = docs.sparkSession
+    waiting = Counter({int(r[0]): r[1] for r in docs.groupBy("size").agg(F.count("*")).collect()})
+    if any(not 1 <= size <= capacity for size in waiting):
+        raise ValueError(f"lengths must be from 1 to {capacity}")
+    empty = spark.createDataFrame([], "id long, sequence_id long, offset long")
+    if not waiting:
+        return empty
+    state = docs.select(F.lit(DOC).alias("kind"), F.col("id").cast("long").alias("id"), F.col("size").cast("long").alias("size"))
+    gaps: Counter[int] = Counter()
+    folder, opened, rounds = shared_folder(spark, "placed"), 0, 0
+    while waiting:
+        top = max(gaps, default=0)
+        outside = {size: n for size, n in waiting.items() if size > top}
+        if outside:
+            more = needed(outside, capacity)
+            state = state.unionByName(spark.range(opened, opened + more).select(F.lit(GAP).alias("kind"), "id", F.lit(capacity).cast("long").alias("size")))
+            gaps[capacity] += more
+            opened += more
+        parts = tasks(docs, waiting.total() + gaps.total(), SWEPT)
+        order = ["size", "kind", "id"]
+        ranges = state.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(*order)
+        swept = durable(ranges.mapInArrow(lambda it: _swept(it, capacity), _SWEPT))
+        stats = swept.where(F.col("kind") != PLACED).groupBy("part", "size", "kind").agg(F.count("*")).collect()
+        runs = sorted(tuple(map(int, r)) for r in stats if r[0] >= 0)
+        across = _Across(runs, capacity)
+        rest = swept.where("part >= 0").select("kind", "id", "size", "part", "rank").mapInArrow(lambda it, a=across: a.find(it, _FOUND), _FOUND)
+        placed = swept.where(F.col("kind") == PLACED).select("id", "sequence_id", "offset")
+        if across.matches:
+            taking = rest.where(f"kind = {GAP} AND match >= 0").select("match", "slot", F.col("id").alias("sequence_id"), (capacity - F.col("size")).alias("begin"))
+            joined = rest.where(f"kind = {DOC} AND match >= 0").join(taking, ["match", "slot"])
+            placed = placed.unionByName(joined.select("id", "sequence_id", (F.col("begin") + F.col("nth") * F.col("size")).alias("offset")))
+        placed.write.parquet(f"{folder}/round={rounds}")
+        rounds += 1
+        # what the driver knows of the next round: counts by size
+        waiting, gaps = Counter(), Counter({int(r[1]): r[3] for r in stats if r[0] < 0})
+        for _, size, kind, n in runs:
+            (waiting if kind == DOC else gaps)[size] += n
+        for m in across.matches:
+            size, length = runs[m.gap_run][1], runs[m.doc_run][1]
+            waiting[length] -= m.gaps * m.per
+            gaps[size] -= m.gaps
+            gaps[size - m.per * length] += m.gaps
+        waiting = +waiting
+        least = min(waiting, default=0)
+        gaps = Counter({size: n for size, n in gaps.items() if n and size >= least})
+        kept = rest.where(f"NOT (kind = {DOC} AND match >= 0)").select("kind", "id", F.col("left").alias("size"))
+        state = swept.where(f"kind = {GAP} AND part < 0").select("kind", "id", "size").unionByName(kept).where(f"size >= {least}")
+    return spark.read.schema("id long, sequence_id long, offset long").parquet(*[f"{folder}/round={k}" for k in range(rounds)])
+
+
 def pack(pieces: DataFrame, length_col: str = "length", capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (rows with a length of 1 to ``capacity``) with sequence_id and offset; equal rows keep their own places.
 
@@ -112,33 +236,10 @@ def pack(pieces: DataFrame, length_col: str = "length", capacity: int = CAPACITY
     """
     pieces = pieces.drop("sequence_id", "offset")
     names = pieces.columns
-    row, part, n, before, rank = fresh(pieces, "_row", "_part", "_n", "_before", "_rank")
-    # the high bits of a row's number name the partition that wrote it, so no (length, part) is larger than a partition
-    rows = durable(pieces.withColumn(row, F.monotonically_increasing_id()).withColumn(part, F.shiftright(row, 33)))
-    sizes = durable(rows.groupBy(length_col, part).agg(F.count("*").alias(n)))
-    counts = {r[0]: r[1] for r in sizes.groupBy(length_col).agg(F.sum(n)).collect()}
-    matches, _ = best_fit(counts, capacity)
-    earlier = sizes.withColumn(before, F.sum(n).over(Window.partitionBy(length_col).orderBy(part)) - F.col(n)).drop(n)
-    ranked = rows.withColumn(rank, F.row_number().over(Window.partitionBy(length_col, part).orderBy(row)) - 1).join(earlier, [length_col, part]).select(*names, (F.col(rank) + F.col(before)).alias(rank))
-    spread = pieces.sparkSession.sparkContext.broadcast(_table(matches))
-    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    at = names.index(length_col)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, table = spread.value
-        for batch in batches:
-            length, rank = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (at, len(names)))
-            row = table[np.searchsorted(key, (length << 44) + rank, side="right") - 1]
-            k = rank - row[:, 0]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(row[:, 1] + k // row[:, 2]), pa.array(row[:, 3] + k % row[:, 2] * length)], names=schema.names)
-
-    return ranked.mapInArrow(place, schema)
-
-
-def _table(matches: list[Match]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys of length and first rank; rank, sequence, per, offset of each match."""
-    matches = sorted(matches, key=lambda m: (m.length, m.rank))
-    return np.array([(m.length << 44) + m.rank for m in matches], np.int64), np.array([(m.rank, m.sequence, m.per, m.offset) for m in matches], np.int64).reshape(-1, 4)
+    (row,) = fresh(pieces, "_row")
+    rows = durable(pieces.withColumn(row, F.monotonically_increasing_id()))
+    placed = place(rows.select(F.col(row).alias("id"), F.col(length_col).alias("size")), capacity).withColumnRenamed("id", row)
+    return rows.join(placed, row).select(*names, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:

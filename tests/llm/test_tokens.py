@@ -1,4 +1,5 @@
 import base64
+import bisect
 import hashlib
 import lzma
 import math
@@ -159,31 +160,55 @@ def test_packing(docs, rows, nothing):
     assert packing.pack_documents(nothing, P.path("word_bpe_49k.json")).count() == 0
 
 
-@given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=20))
-@settings(max_examples=100, deadline=None)
-def test_best_fit(counts):
-    matches, opened = packing.best_fit(counts, 64)
-    used, ranks = {}, {}
-    for m in matches:
-        n = next((x.rank for x in matches if x.length == m.length and x.rank > m.rank), None)
-        total = (counts[m.length] if n is None else n) - m.rank
-        assert ranks.setdefault(m.length, 0) == m.rank
-        ranks[m.length] += total
-        for k in range(total):
-            seq, at = m.sequence + k // m.per, m.offset + k % m.per * m.length
-            used.setdefault(seq, []).append((at, m.length))
-    assert ranks == counts
-    assert len(used) == opened
-    for places in used.values():
+@given(st.lists(st.tuples(st.integers(1, 30), st.booleans(), st.integers(1, 9)), max_size=30))
+@settings(max_examples=200, deadline=None)
+def test_sweep(rows):
+    """Every match fits; no document that waits fits in a gap that is left; each gap gets the largest that waits below it."""
+    runs = sorted((size, int(gap), n) for size, gap, n in rows)
+    taken = Counter()
+    for m in packing.sweep(runs):
+        gap, doc = runs[m.gap_run], runs[m.doc_run]
+        assert gap[1] == packing.GAP and doc[1] == packing.DOC and m.per * doc[0] <= gap[0]
+        assert m.gap == taken[m.gap_run] and m.doc == taken[m.doc_run]
+        assert all(taken[k] == runs[k][2] for k in range(m.doc_run + 1, m.gap_run) if runs[k][1] == packing.DOC)
+        taken[m.gap_run] += m.gaps
+        taken[m.doc_run] += m.gaps * m.per
+    left = [(size, kind) for k, (size, kind, n) in enumerate(runs) if taken[k] < n]
+    assert all(taken[k] <= n for k, (_, _, n) in enumerate(runs))
+    assert not any(d[1] == packing.DOC and g[1] == packing.GAP and d[0] <= g[0] for d in left for g in left)
+
+
+def _plain_best_fit(sizes, capacity):
+    """Longest first, each into the fullest sequence that holds it."""
+    gaps = []
+    for size in sorted(sizes, reverse=True):
+        at = bisect.bisect_left(gaps, size)
+        bisect.insort(gaps, (gaps.pop(at) if at < len(gaps) else capacity) - size)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("seed, low, high, n", [(1, 1, 64, 900), (2, 20, 40, 500), (3, 33, 64, 200), (4, 1, 4, 700), (5, 21, 21, 100)])
+def test_places_against_plain_best_fit(spark, seed, low, high, n):
+    sizes = np.random.default_rng(seed).integers(low, high + 1, n).tolist()
+    docs = spark.createDataFrame(list(enumerate(sizes)), "id long, size long").repartition(3)
+    found = packing.place(docs, 64).collect()
+    assert sorted(r.id for r in found) == list(range(n))
+    by = {}
+    for r in found:
+        by.setdefault(r.sequence_id, []).append((r.offset, sizes[r.id]))
+    for places in by.values():
         end = 0
-        for at, length in sorted(places):
-            assert at == end
-            end += length
+        for offset, size in sorted(places):
+            assert offset == end
+            end += size
         assert end <= 64
+    assert len(by) <= 1.04 * _plain_best_fit(sizes, 64) + 1
+    with pytest.raises(ValueError):
+        packing.place(docs, 3 if high > 3 else 2)
 
 
 def test_pack_carries_columns(spark):
-    df = spark.createDataFrame([(i % 7 + 1, None, "x", 3) for i in range(100)], "length long, _row string, _part string, sequence_id int")
+    df = spark.createDataFrame([(i % 7 + 1, None, "x", 3) for i in range(100)], "length long, _row string, _part string, sequence_id int").repartition(2)
     found = packing.pack(df)
     assert found.columns == ["length", "_row", "_part", "sequence_id", "offset"]
     assert _check_places(found.collect()) == 1
