@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .spread import attach, durable, fresh
+from .spread import attach, durable, staying, tasks, text_hash
 
 #: Fingerprints of a bucket that one tile holds, on average, at most; a task compares two tiles.
 TILE = 2048
@@ -41,15 +41,15 @@ def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(id, fp): the fingerprint of each whole text as a signed long; a null text counts as empty."""
-    schema = T.StructType([docs.schema[id_col], T.StructField("fp", T.LongType())])
+    """(id, text_hash, fp): the fingerprint of each whole text as a signed long; a null text counts as empty."""
+    schema = T.StructType([docs.schema[id_col], T.StructField("text_hash", T.LongType()), T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", words) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], names=[id_col, "fp"])
+            found = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", words) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(found, np.uint64).view(np.int64))], names=schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_hash(text_col).alias("text_hash"), text_col).mapInArrow(run, schema)
 
 
 def shared_bits(n: int, radius: int) -> list[int]:
@@ -74,7 +74,8 @@ def near_links(prints: DataFrame, radius: int = 3, col: str = "fp", tile: int =
     one group of bounded size and compared exactly; of dense groups only links to a root are returned, which
     join the same numbers.
     """
-    masks = shared_bits(prints.count(), radius)
+    n = prints.count()
+    masks = shared_bits(n, radius)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = F.array(*[F.struct(F.lit(i).alias("m"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(signed)])
     dealt = prints.select(F.col(col).alias("fp")).select("fp", F.explode(keys).alias("x")).select("fp", "x.m", "x.k")
@@ -82,7 +83,7 @@ def near_links(prints: DataFrame, radius: int = 3, col: str = "fp", tile: int =
     dealt = attach(dealt, tiles, ["m", "k"], "fp").where("tiles is not null").withColumn("t", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("m", "k", F.least("t", "u").alias("lo"), F.greatest("t", "u").alias("hi"), "t", "fp", F.bit_count("fp").alias("ones"))
     group = ["m", "k", "lo", "hi"]
-    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = tasks(prints, n * len(masks), 2_000_000)
     dealt = dealt.repartition(parts, *group).sortWithinPartitions(*group, "ones", "fp")
     return dealt.mapInArrow(lambda batches: _compare(batches, radius), "a long, b long").distinct()
 
@@ -158,19 +159,21 @@ def _forest(near: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
-    """One row per row of ``docs``: id, fp (long), fingerprint (16 hex digits), component_id (least id of the component).
+    """One row per row of ``docs``: id, fp (long), fingerprint (16 hex digits), component_id (least id of the component), kept (its first row), text_hash.
 
     Documents are linked when their fingerprints differ in ``radius`` bits or fewer; equal fingerprints,
     those of empty and null texts included, are linked. Repeated rows and ids stay repeated; rows without an
     id take part and get the least id of the others, or null. An empty table gives an empty result.
     """
     prints = durable(fingerprints(docs, id_col, text_col, words).withColumn("_row", F.monotonically_increasing_id()))
-    distinct = durable(prints.groupBy("fp").agg(F.min(id_col).alias("_least")))
+    first = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("_row").alias("row"))
+    distinct = durable(prints.groupBy("fp").agg(F.min(first).alias("_first")))
     roots = connected_components(near_links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
     rooted = durable(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
-    component = rooted.groupBy("root").agg(F.min("_least").alias("component_id"))
-    by_print = attach(rooted, component, ["root"], "fp").select("fp", "component_id")
-    return attach(prints, by_print, ["fp"], "_row").select(id_col, "fp", hex16(F.col("fp")).alias("fingerprint"), "component_id")
+    component = rooted.groupBy("root").agg(F.min("_first").alias("_first"))
+    by_print = attach(rooted.drop("_first"), component, ["root"], "fp").select("fp", "_first")
+    found = attach(prints, by_print, ["fp"], "_row")
+    return found.select(id_col, "fp", hex16(F.col("fp")).alias("fingerprint"), F.col("_first.id").alias("component_id"), (F.col("_row") == F.col("_first.row")).alias("kept"), "text_hash")
 
 
 def hex16(number: Column) -> Column:
@@ -178,12 +181,8 @@ def hex16(number: Column) -> Column:
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the least of their component, all columns.
+    """One row of each component of ``docs``, all columns: that of the least id, rows without an id last; of equal rows any one.
 
-    Of repeated rows (one id, one text) one stays. Rows without an id all stay: nothing names them.
+    Null and empty texts are near copies of each other. An empty table stays empty.
     """
-    stay_id, text_hash = fresh(docs, "_stay_id", "_text_hash")
-    groups = simhash_groups(docs, id_col, text_col)
-    stay = groups.where(F.col("component_id") == F.col(id_col)).select(F.col(id_col).alias(stay_id)).distinct()
-    named = docs.join(stay, F.col(id_col) == F.col(stay_id), "left_semi").withColumn(text_hash, F.xxhash64(text_col))
-    return named.dropDuplicates([id_col, text_hash]).drop(text_hash).unionByName(docs.where(F.col(id_col).isNull()))
+    return staying(docs, simhash_groups(docs, id_col, text_col), id_col, text_col)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import durable, shared_folder
 
-__all__ = ["SALTS", "attach", "durable", "fresh", "salt", "shared_folder", "tasks"]
+__all__ = ["SALTS", "attach", "bounded", "durable", "fresh", "salt", "shared_folder", "staying", "tasks", "text_hash"]
 
 #: A hot key is dealt over this many sub-keys.
 SALTS = 64
@@ -35,6 +35,38 @@ def attach(rows: DataFrame, table: DataFrame, keys: list[str], *spread_by: str)
     return rows.join(used, [*keys, "_salt"], "left").drop("_salt")
 
 
+#: So many keys of rows (16 bytes each) are broadcast at most; more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
+def bounded(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
+    """``keys``, to be broadcast if they are few enough."""
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+
+
+def text_hash(text_col: str) -> Column:
+    """64 bits that tell the texts of one id apart; a null text counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def staying(docs: DataFrame, decided: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``decided`` (id, text_hash, kept: one row for each row of docs) keeps.
+
+    Rows are told apart by id, null or not, and text; of equal rows one stays. Texts are not shuffled as long as the
+    keys of the rows that go are few enough to be broadcast.
+    """
+    key_id, key_hash = fresh(docs, "_key_id", "_key_hash")
+    keys = durable(decided.groupBy(F.col(id_col).alias(key_id), F.col("text_hash").alias(key_hash)).agg(F.bool_or("kept").alias("_kept"), F.count("*").alias("_n")).where("NOT _kept OR _n > 1"))
+    same = F.col(id_col).eqNullSafe(F.col(key_id)) & (text_hash(text_col) == F.col(key_hash))
+    once = docs.join(bounded(keys.drop("_kept", "_n")), same, "left_anti")
+    repeated = keys.where("_kept").drop("_kept", "_n")
+    if repeated.isEmpty():
+        return once
+    hashed = fresh(docs, "_own_hash")[0]
+    repeats = docs.join(bounded(repeated), same, "left_semi").withColumn(hashed, text_hash(text_col))
+    return once.unionByName(repeats.dropDuplicates([id_col, hashed]).drop(hashed))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """``names``, each with as many underscores before it as no column of ``df`` has."""
     taken = {c.lower() for c in df.columns}

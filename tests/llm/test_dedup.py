@@ -72,6 +72,21 @@ def test_simhash_groups(docs, rows, nothing):
     assert simhash.simhash_groups(docs.withColumn("doc_id", F.lit(None).cast("long"))).count() == len(rows)
 
 
+def test_near_copies_are_told_apart_by_row(spark):
+    """One id on two texts, repeated rows, rows without an id, null and empty texts."""
+    a, b, c = ("alpha beta gamma delta epsilon zeta eta theta " * 4, "one two three four five six seven eight nine ten " * 5, "red green blue white black brown grey pink " * 6)
+    rows = [(3, a), (5, a), (5, b), (5, b), (8, None), (8, ""), (None, c), (None, c), (None, a), (9, c + " end"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = Counter((r.doc_id, r.text or "") for r in simhash.drop_near_copies(df).collect())
+    near_c = bin(_print(c) ^ _print(c + " end")).count("1") <= 3
+    assert kept == Counter([(3, a), (5, b), (8, ""), (9, c + " end")] + ([] if near_c else [(None, c)]))
+    groups = simhash.simhash_groups(df).collect()
+    assert len(groups) == len(rows) and sum(r.kept for r in groups) == sum(kept.values())
+    exact = Counter((r.doc_id, r.text or "") for r in exact_dedup.drop_exact_copies(df).collect())
+    assert exact == Counter([(3, a), (5, b), (8, ""), (None, c), (9, c + " end")])
+    assert simhash.drop_near_copies(df.limit(0)).count() == exact_dedup.drop_exact_copies(df.limit(0)).count() == 0
+
+
 def test_tiles_find_every_link(spark):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
