@@ -8,6 +8,7 @@ any texts compare in constant time and longest common extensions are found by bi
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,12 +17,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .spread import tasks
 from .tokens import slices
 
 #: Two primes under 2^31 and a base for each; together 62 bits.
 PRIMES, BASES = (2147483647, 2147483629), (1000003, 998244353)
 #: Code points of a window, and the smallest window hashes that a fingerprint keeps.
 WINDOW, KEPT = 16, 64
+#: Texts of fewer code points have windows of ``NARROW`` code points besides.
+SHORT, NARROW = 80, 4
+#: Bytes of text that a task gets, about.
+TASK_BYTES = 64 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -58,13 +64,17 @@ class Prefixes:
         return tuple(int((int(s[j]) - int(s[i])) * int(powers(w, self.n + 1)[1][i]) % PRIMES[w]) for w, s in enumerate(self.sums))
 
     def windows(self, width: int = WINDOW) -> np.ndarray:
-        """The mixed hash of every window; of a shorter text that of the whole text, of an empty one none."""
+        """The mixed hash of every window of one width; of a shorter text that of the whole text, of an empty one none."""
         width = min(width, self.n)
         if not width:
             return np.zeros(0, np.uint64)
         p, s = np.uint64(PRIMES[0]), self.sums[0]
         return mixed((s[width:] + p - s[:-width]) % p * powers(0, self.n + 1)[1][: self.n - width + 1] % p)
 
+    def features(self) -> np.ndarray:
+        """The windows that a fingerprint is made of."""
+        return np.concatenate([self.windows(), self.windows(NARROW)]) if self.n < SHORT else self.windows()
+
     def whole(self) -> tuple[int, int]:
         return int(self.sums[0][-1]), int(self.sums[1][-1])
 
@@ -114,7 +124,7 @@ class Fingerprint:
 
     def __init__(self, text: str):
         self.text, self.prefixes = text, Prefixes(text)
-        self.windows = self.prefixes.windows()
+        self.windows = self.prefixes.features()
         self.sketch = smallest(self.windows)
 
     def edited(self, after: Fingerprint) -> tuple[str, np.ndarray, tuple[int, int]]:
@@ -123,34 +133,43 @@ class Fingerprint:
         half = n // 2
         stay, take = n - half, min(half, after.prefixes.n)
         text = self.text[:stay] + after.text[:take]
-        if stay >= WINDOW and take >= WINDOW:
+        if stay >= WINDOW and take >= WINDOW and min(n, stay + take, after.prefixes.n) >= SHORT:
             joint = Prefixes(self.text[stay - WINDOW + 1 : stay] + after.text[: WINDOW - 1]).windows()
             windows = np.concatenate([self.windows[: stay - WINDOW + 1], joint, after.windows[: take - WINDOW + 1]])
         else:
-            windows = Prefixes(text).windows()
+            windows = Prefixes(text).features()
         whole = tuple(int((int(self.prefixes.sums[w][stay]) + int(after.prefixes.sums[w][take]) * int(powers(w, stay + 1)[0][stay])) % PRIMES[w]) for w in (0, 1))
         return text, smallest(windows), whole
 
 
 def in_turn(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(part, look, id, text) such that each part is a range of ids, in one task, in order, followed by the row that comes next.
+    """(part, look, id, text) such that each part is a range of rows, in one task, in order, followed by the row that comes next.
 
-    Every text moves once. The row that comes after a part is copied to it (``look``), and the first of all
-    to the last part. Only the first id of each part comes to the driver.
+    Rows go by id, null ids first, equal ids by a hash of their text; an id with more rows than a part holds is dealt
+    over several by that hash. Every text moves once. The row that comes after a part is copied to it (``look``), and
+    the first of all to the last part. Only bounds of the parts come to the driver.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    bounds = sorted(set(rows.select(F.col("id").cast("double").alias("id")).approxQuantile("id", [i / (2 * parts) for i in range(1, 2 * parts)], 1 / (8 * parts))))
-    rows = rows.withColumn("part", F.when(F.col("id").isNull(), 0).otherwise(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("id")))) if bounds else F.lit(0))
-    firsts = [(r.part, r.none, r.id) for r in rows.groupBy("part").agg(F.bool_or(F.col("id").isNull()).alias("none"), F.min("id").alias("id")).orderBy("part").collect()]
-    before = {first: firsts[i - 1][0] for i, (_, none, first) in enumerate(firsts) if not none}
-    known = F.try_element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("id")) if before else F.lit(None).cast("int")
-    unknown = next((firsts[i - 1][0] for i, (_, none, _) in enumerate(firsts) if none), None)
-    at = F.when(F.col("id").isNull(), F.lit(unknown).cast("int")).otherwise(known)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("hash"))
+    n, none, size = rows.agg(F.count("*"), F.count_if(F.col("id").isNull()), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    wanted = tasks(docs, size, TASK_BYTES)
+    without = -(-none * wanted // n) if n else 0  # parts of rows without an id
+    others = max(1, wanted - without)
+    bounds = sorted(rows.select(F.col("id").cast("double").alias("id")).approxQuantile("id", [i / others for i in range(1, others)], 1 / (8 * others))) if others > 1 and n > none else []
+    share = F.least(F.col("hash") / float(1 << 64) + 0.5, F.lit(1 - 1e-12))  # from 0 to below 1, in the order of the hash
+    found = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("id"))) if bounds else F.lit(0)
+    many = [x for b, k in Counter(bounds).items() if k > 1 for x in (F.lit(b), F.lit(k))]
+    if many:
+        k = F.try_element_at(F.create_map(*many), F.col("id").cast("double"))
+        found = found - F.coalesce(k - 1 - F.floor(share * k), F.lit(0))
+    part = F.when(F.col("id").isNull(), F.floor(share * max(1, without))).otherwise(found + without)
+    rows = rows.withColumn("part", part.cast("int")).withColumn("key", F.xxhash64("id", "hash"))
+    firsts = sorted((r.part, r.key) for r in rows.groupBy("part").agg(F.min_by("key", F.struct("id", "hash")).alias("key")).collect())
+    before = {key: firsts[i - 1][0] for i, (_, key) in enumerate(firsts)}
+    at = F.try_element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("key")) if before else F.lit(None).cast("int")
     places = F.array_compact(F.array(F.struct("part", F.lit(False).alias("look")), F.when(at.isNotNull(), F.struct(at.alias("part"), F.lit(True).alias("look")))))
-    dealt = rows.withColumn("place", F.explode(places)).select("place.part", "place.look", "id", "text")
-    return dealt.repartition(parts, "part").sortWithinPartitions("part", "look", "id", "text")
+    dealt = rows.withColumn("place", F.explode(places)).select("place.part", "place.look", "id", "hash", "text")
+    return dealt.repartitionById(max(1, without + len(bounds) + 1), F.col("part")).sortWithinPartitions("part", "look", "id", "hash").select("part", "look", "id", "text")
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -158,7 +177,8 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     (id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, common_prefix_next):
     a fingerprint is the whole text's hash and the smallest window hashes, in hex. Rows go by id (null ids
-    first), equal ids by text; after the last comes the first. Ids are numbers. A null text counts as empty.
+    first), equal ids by a hash of their text; after the last comes the first. common_prefix_next is the longest common
+    extension with the next text. Ids are numbers. A null text counts as empty.
     An empty table gives an empty result; other columns are ignored.
     """
     fields = [("n_chars", T.LongType()), ("edited_sha256", T.StringType()), ("fingerprint", T.StringType()), ("edited_fingerprint", T.StringType()), ("near_edited", T.DoubleType()), ("near_next", T.DoubleType()), ("common_prefix_next", T.LongType())]

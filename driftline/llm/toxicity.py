@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -15,14 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .spread import durable, tasks
+
 #: Labelled texts that a model is fitted on, at most, of each class. They are distinct texts, picked by a hash.
 TOXIC_SAMPLE, CLEAN_SAMPLE = 4000, 12000
-#: Letters of a stem.
+#: Letters of a stem: a beginning of a word, or a whole word of any length.
 SHORTEST, LONGEST = 3, 14
 #: Toxic texts that must hold a stem.
 SUPPORT = 4
-#: Stems that are counted in clean texts, at most: those in most toxic texts.
-CANDIDATES = 50_000
 #: How many times as often as in clean texts a stem must be, for each word, as a logarithm.
 LEAST_WEIGHT = 2.5
 #: Added to a text's words, and to its weight for each word.
@@ -35,20 +36,26 @@ HOMOGLYPHS = {"а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h",
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
 SIGNS = {"@": "a", "$": "s"}
 
-_FOLD = str.maketrans(HOMOGLYPHS | DIGITS)
+_LETTERS, _DIGITS = str.maketrans(HOMOGLYPHS), str.maketrans(DIGITS)
 _SIGN = re.compile(r"(?<=\w)[@$](?=\w)")
 _GAP = re.compile(r"[\W_]+")
+_WITH_DIGIT = re.compile(r"[^\W_]*\d[^\W_]*")
+_MARKS = re.compile("[\u0300-\u036f]+")
 _ASIDE = re.compile("[­​-‍⁠﻿]")
 
 
 def fold(text: str | None) -> str:
-    """Lower-case words between single spaces, lookalikes and substitutions undone, a space at both ends."""
+    """Lower-case words between single spaces, a space at both ends, lookalikes and substitutions undone.
+
+    Letters lose their accents and widths. Digits stand for letters only in words that have letters, so numbers stay.
+    """
     text = (text or "").lower()
     if not text.isascii():
-        text = _ASIDE.sub("", text)
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", _ASIDE.sub("", text))).translate(_LETTERS)
     if "@" in text or "$" in text:
         text = _SIGN.sub(lambda m: SIGNS[m[0]], text)
-    return f" {_GAP.sub(' ', text).strip().translate(_FOLD)} "
+    text = _WITH_DIGIT.sub(lambda m: m[0] if m[0].isdigit() else m[0].translate(_DIGITS), text)
+    return f" {_GAP.sub(' ', text).strip()} "
 
 
 @dataclass
@@ -103,13 +110,10 @@ def _feature(weight: float, words: int, power: float) -> float:
     return math.log(FLOOR + weight / (words + FEW_WORDS) ** power)
 
 
-def stems_of(folded: str) -> Counter[str]:
-    """How many words of a folded text begin with each stem."""
-    out: Counter[str] = Counter()
-    for word, n in Counter(folded.split()).items():
-        for k in range(SHORTEST, min(LONGEST, len(word)) + 1):
-            out[word[:k]] += n
-    return out
+def stems_in(word: str) -> list[str]:
+    """The beginnings of a word that may be stems, and the word itself."""
+    out = [word[:k] for k in range(SHORTEST, min(LONGEST, len(word)) + 1)]
+    return out + [word] if len(word) > LONGEST else out
 
 
 def _train_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -132,27 +136,27 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """A model from labelled texts whose crc32 of the id, modulo 5, is not 0.
 
     It reads at most twice ``TOXIC_SAMPLE`` toxic and ``CLEAN_SAMPLE`` clean labelled rows, and so has one
-    cost at every size. Stems are counted by Spark; the driver gets counts of ``CANDIDATES`` stems at most
-    and, for the toxic texts, the chosen stems that each holds. With no toxic label every score is low.
+    cost at every size. Stems are counted by Spark; the driver gets the counts of those that ``SUPPORT`` toxic texts of
+    the sample hold and, for these texts, the chosen stems in each. With no toxic label every score is low; so is
+    it with an empty table. Repeated texts count once.
     """
-    from .spread import durable
-
-    rows = durable(_train_rows(docs, labels, id_col, text_col))
+    rows = durable(_train_rows(docs, labels, id_col, text_col).repartition(tasks(docs, TOXIC_SAMPLE + CLEAN_SAMPLE, 500)))
     toxic, clean = (rows.where(F.col("toxic") == x).select("text") for x in (1, 0))
     counts = "stem string, texts long, uses long"
     toxic_words, clean_words = (x.select(F.coalesce(F.sum(F.size(F.split(F.col("text"), r"\s+"))), F.lit(0))).first()[0] + 1 for x in (toxic, clean))
     totals = [F.sum("texts").alias("texts"), F.sum("uses").alias("uses")]
-    most = toxic.mapInArrow(_count_stems, counts).groupBy("stem").agg(*totals).where(F.col("texts") >= SUPPORT).orderBy(F.desc("texts"), "stem").limit(CANDIDATES)
-    support = {r.stem: (r.texts, r.uses) for r in most.collect()}
-    wanted = toxic.sparkSession.sparkContext.broadcast(frozenset(support))
-    against = {r.stem: r.uses for r in clean.mapInArrow(lambda it: _count_stems(it, wanted.value), counts).groupBy("stem").agg(*totals).collect()}
+    common = toxic.mapInArrow(_count_stems, counts).groupBy("stem").agg(*totals).where(F.col("texts") >= SUPPORT)
+    support = {r.stem: (r.texts, r.uses) for r in common.collect()}
+    context = toxic.sparkSession.sparkContext
+    wanted = context.broadcast(frozenset(support))
+    against = {r.stem: r.uses for r in clean.mapInArrow(lambda it: _count_uses(it, wanted.value), "stem string, uses long").groupBy("stem").agg(F.sum("uses").alias("uses")).collect()}
     weights = {s: math.log((uses + 0.5) / toxic_words) - math.log((against.get(s, 0) + 0.5) / clean_words) for s, (_, uses) in support.items()}
     strong = frozenset(s for s, w in weights.items() if w >= LEAST_WEIGHT)
-    spread = toxic.sparkSession.sparkContext.broadcast(strong)
+    spread = context.broadcast(strong)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([sorted(stems_of(fold(x)).keys() & spread.value) for x in batch.column(0).to_pylist()], pa.list_(pa.string()))], names=["stems"])
+            yield pa.RecordBatch.from_arrays([pa.array([sorted({s for w in set(fold(x).split()) for s in stems_in(w) if s in spread.value}) for x in batch.column(0).to_pylist()], pa.list_(pa.string()))], names=["stems"])
 
     held = [r.stems for r in toxic.mapInArrow(kept, "stems array<string>").collect()]
     stems = {s: weights[s] for s in _choose(held, weights)}
@@ -172,16 +176,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     return model
 
 
-def _count_stems(batches: Iterator[pa.RecordBatch], wanted: frozenset[str] | None = None) -> Iterator[pa.RecordBatch]:
+def _count_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many texts each stem begins a word, and how many words it begins."""
     texts: Counter[str] = Counter()
     uses: Counter[str] = Counter()
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            found = stems_of(fold(text))
-            if wanted is not None:
-                found = {s: found[s] for s in found.keys() & wanted}
-            texts.update(found.keys())
-            uses.update(found)
+            words = Counter(fold(text).split())
+            for word, n in words.items():
+                for stem in stems_in(word):
+                    uses[stem] += n
+            texts.update({stem for word in words for stem in stems_in(word)})
             if len(texts) > 1_000_000:
                 yield _counted(texts, uses)
                 texts.clear()
@@ -193,6 +198,20 @@ def _counted(texts: Counter[str], uses: Counter[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(texts), pa.string()), pa.array(list(texts.values()), pa.int64()), pa.array([uses[s] for s in texts], pa.int64())], names=["stem", "texts", "uses"])
 
 
+def _count_uses(batches: Iterator[pa.RecordBatch], wanted: frozenset[str]) -> Iterator[pa.RecordBatch]:
+    """How many words each wanted stem begins; stems are cut from each distinct word once."""
+    for batch in batches:
+        words: Counter[str] = Counter()
+        for text in batch.column(0).to_pylist():
+            words.update(fold(text).split())
+        uses: Counter[str] = Counter()
+        for word, n in words.items():
+            for stem in stems_in(word):
+                if stem in wanted:
+                    uses[stem] += n
+        yield pa.RecordBatch.from_arrays([pa.array(list(uses), pa.string()), pa.array(list(uses.values()), pa.int64())], names=["stem", "uses"])
+
+
 def _choose(held: list[list[str]], weights: dict[str, float]) -> list[str]:
     """Stems that explain toxic texts: again and again the heaviest in most texts not yet explained, then other frequent ones.
 
@@ -225,7 +244,7 @@ def _choose(held: list[list[str]], weights: dict[str, float]) -> list[str]:
 
 
 def _phrases(rows: DataFrame, stems: dict[str, float]) -> list[str]:
-    """Two-word phrases around a matched word that at least three clean texts and no toxic text hold, 1000 at most."""
+    """Two-word phrases around a matched word that at least three clean texts and no toxic text hold."""
     model = ToxicityModel(stems, frozenset())
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +262,7 @@ def _phrases(rows: DataFrame, stems: dict[str, float]) -> list[str]:
             yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(out, pa.string())], names=["toxic", "phrase"])
 
     counts = rows.select("toxic", "text").mapInArrow(around, "toxic int, phrase string").groupBy("phrase").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
-    return [r.phrase for r in counts.where("bad = 0 and good >= 3").orderBy(F.desc("good"), "phrase").limit(1000).collect()]
+    return [r.phrase for r in counts.where("bad = 0 and good >= 3").collect()]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
@@ -271,7 +290,11 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, held_out, score, predicted) per row; empty and null texts get the score of a text without matches."""
+    """(id, held_out, score, predicted) per row.
+
+    Empty and null texts get the score of a text without matches. Repeated rows and ids stay repeated and get one
+    score, a row without an id is not held out, and an empty table gives an empty result.
+    """
     spread = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([docs.schema[id_col], T.StructField("score", T.DoubleType())])
 
@@ -285,7 +308,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score under 0.5, all columns."""
+    """The rows of ``docs`` that score under 0.5, all columns; null and empty texts stay, repeated rows go or stay together."""
     spread = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

@@ -106,22 +106,80 @@ def test_sharding(docs, nothing):
         sharding.lookup_table(["a"], 1000)
 
 
-def test_fingerprints(docs, rows, nothing):
-    found = Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) for r in span_hash.fingerprint_documents(docs).collect())
-    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0], r[1].encode()))
+def _window_hashes(text):
+    """By the definition: a polynomial over code points, modulo a prime, for every window."""
+    p, base = span_hash.PRIMES[0], span_hash.BASES[0]
+    out = []
+    for width in (16, 4) if len(text) < 80 else (16,):
+        width = min(width, len(text))
+        out += [sum((ord(c) + 1) * pow(base, k, p) for k, c in enumerate(text[i : i + width])) % p for i in range(len(text) - width + 1) if width]
+    return out
+
+
+def _spark_hashes(spark, texts):
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    return {r.t: r.h for r in df.select("t", F.xxhash64("t").alias("h")).collect()}
+
+
+def test_fingerprints(spark, docs, rows, nothing):
+    found = span_hash.fingerprint_documents(docs).collect()
+    by_hash = _spark_hashes(spark, {t or "" for _, t in rows})
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0], by_hash[r[1]]))
     want = Counter()
 
+    def sketch(t):
+        return np.unique(span_hash.mixed(np.array(_window_hashes(t), np.uint64)) >> np.uint64(32))[:64]
+
     def text_of(t):
-        p = span_hash.Prefixes(t)
-        return span_hash._text(p.whole(), span_hash.smallest(p.windows()))
+        whole = [sum((ord(c) + 1) * pow(b, k, p) for k, c in enumerate(t)) % p for p, b in zip(span_hash.PRIMES, span_hash.BASES, strict=True)]
+        return f"{whole[0]:08x}{whole[1]:08x}" + sketch(t).astype(">u4").tobytes().hex()
 
     for k, (i, t) in enumerate(order):
         after, half = order[(k + 1) % len(order)][1], len(t) // 2
+        if len(t) > 20_000:  # the definition takes too long
+            continue
         edited = t[: len(t) - half] + after[:half]
-        want[i, len(t), hashlib.sha256(edited.encode()).hexdigest(), text_of(t), text_of(edited)] += 1
-    assert found == want
+        common = next((j for j, (a, b) in enumerate(zip(t, after, strict=False)) if a != b), min(len(t), len(after)))
+        near = [_near(sketch(t), sketch(x)) for x in (edited, after)] if len(after) <= 20_000 else [None, None]
+        want[i, len(t), hashlib.sha256(edited.encode()).hexdigest(), text_of(t), text_of(edited), common, *near] += 1
+    long = {i for i, t in order if len(t) > 20_000} | {order[k - 1][0] for k, (i, t) in enumerate(order) if len(t) > 20_000}
+    got = Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.common_prefix_next, r.near_edited, r.near_next) for r in found)
+    assert sum(got.values()) == len(rows)
+    assert {k: n for k, n in got.items() if k[0] not in long} == {k: n for k, n in want.items() if k[0] not in long}
     assert span_hash.fingerprint_documents(nothing).count() == 0
     assert span_hash.fingerprint_documents(docs.where("doc_id = 3")).count() == 1
+    no_id = span_hash.fingerprint_documents(docs.withColumn("doc_id", F.lit(None).cast("long")))
+    assert Counter(r.fingerprint for r in no_id.collect()) == Counter(r.fingerprint for r in found)
+
+
+def _near(a, b):
+    both = np.union1d(a, b)[:64]
+    return sum(x in set(a.tolist()) and x in set(b.tolist()) for x in both.tolist()) / len(both) if len(both) else 1.0
+
+
+def test_rows_of_one_id_are_dealt_over_parts(spark):
+    rows = [(7, f"text number {i}") for i in range(400)] + [(i, f"other {i}") for i in range(60)] + [(None, f"none {i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    dealt = span_hash.in_turn(df, "doc_id", "text").withColumn("task", F.spark_partition_id()).where("NOT look").collect()
+    assert Counter((r.id, r.text) for r in dealt) == Counter(rows) and len({r.task for r in dealt}) >= 4
+    assert max(Counter(r.task for r in dealt).values()) < 500
+    by_hash = _spark_hashes(spark, {t for _, t in rows})
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, by_hash[r[1]]))
+    after = {t: order[(k + 1) % len(order)][1] for k, (_, t) in enumerate(order)}
+    want = Counter(hashlib.sha256((t[: len(t) - len(t) // 2] + after[t][: len(t) // 2]).encode()).hexdigest() for _, t in rows)
+    assert Counter(r.edited_sha256 for r in span_hash.fingerprint_documents(df).collect()) == want
+
+
+def test_likeness_follows_shared_text():
+    rng = np.random.default_rng(3)
+    for n in (12, 40, 300, 5000):
+        a, b = ("".join(rng.choice(list("abcdefghijklmnop "), n)) for _ in range(2))
+        own = span_hash.Fingerprint(a)
+        text, sketch, whole = own.edited(span_hash.Fingerprint(b))
+        assert text == a[: n - n // 2] + b[: n // 2] and whole == span_hash.Prefixes(text).whole()
+        near = span_hash.likeness(own.sketch, sketch)
+        assert 0.1 < near < 0.6 and span_hash.likeness(own.sketch, span_hash.Fingerprint(b).sketch) < 0.1
+        assert span_hash.likeness(own.sketch, own.sketch) == 1
 
 
 @given(st.text(max_size=60), st.text(max_size=60), st.data())
@@ -219,6 +277,39 @@ def test_toxicity(spark, nothing):
     assert toxicity.score_toxicity(none, toxicity.fit_toxicity(none, known)).count() == 0
 
 
+def _naive_weight(model, folded):
+    """The heaviest stem of each word outside exception phrases, by looking at every place."""
+    words, total, at = folded.split(), 0.0, 0
+    spared = set()
+    for phrase in model.exceptions:
+        want = phrase.split()
+        for i in range(len(words) - len(want) + 1):
+            if words[i : i + len(want)] == want:
+                spared |= set(range(i, i + len(want)))
+    for at, word in enumerate(words):
+        if at not in spared:
+            total += max((w for s, w in model.stems.items() if word.startswith(s)), default=0.0)
+    return total
+
+
+@given(st.lists(st.sampled_from(["kill", "killer", "kills", "switch", "the", "ki11", "skill", "idiotic", "idiot", "1d1ot", "an"]), max_size=25))
+@settings(max_examples=200, deadline=None)
+def test_weights_against_a_naive_matcher(words):
+    model = toxicity.ToxicityModel({"kill": 5.0, "killer": 7.5, "idiot": 3.0}, frozenset(["kill switch", "the killer", "an idiot"]))
+    folded = toxicity.fold(" ".join(words))
+    weight = model.weight(folded)
+    assert math.isclose(weight, _naive_weight(model, folded))
+    x = model.slope * math.log(toxicity.FLOOR + weight / (folded.count(" ") + toxicity.FEW_WORDS) ** model.power) + model.offset
+    assert math.isclose(model.score(" ".join(words)), 1 / (1 + math.exp(-x)))
+
+
+def test_folding():
+    assert toxicity.fold("In 2013, 1057 of them") == " in 2013 1057 of them "
+    assert toxicity.fold("k1ll kíll ｋｉｌｌ K-I-L-L кill") == " kill kill kill k i l l kill "
+    long = "x" * 30
+    assert toxicity.stems_in(long) == [long[:k] for k in range(3, 15)] + [long]
+
+
 def test_exceptions_spare_their_words():
     model = toxicity.ToxicityModel({"kill": 5.0}, frozenset(["kill switch"]))
     assert model.weight(toxicity.fold("They k1ll!")) == 5.0
