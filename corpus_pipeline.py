@@ -2,51 +2,62 @@
 
 from __future__ import annotations
 
-import posixpath
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from driftline.llm import exact_dedup, packing, simhash, toxicity
+from driftline.sources.shared import remove, shared_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the lexicon, learned from this table's labels, scores under 0.5."""
+    """Documents that the lexicon, learned from this table's labels, scores under 0.5.
+
+    Null and empty texts stay, as nothing in them matches; repeated rows get one score and go or stay together; a row
+    without an id is scored but not learned from. Without labels nothing goes. An empty table stays empty.
+    """
     return toxicity.drop_toxic(docs, toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are equal without white space the longest one, then that of the smallest id."""
+    """Of documents that are equal without white space the longest one, then that of the smallest id.
+
+    Null and empty texts are equal. Rows without an id come last; of wholly equal rows one stays. An empty table stays empty.
+    """
     return exact_dedup.drop_exact_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose SimHashes are linked the one of the smallest id."""
+    """Of documents whose SimHashes are linked, over others too, the one of the smallest id.
+
+    Null and empty texts have one fingerprint. Rows without an id come last; of equal rows one stays. An empty table
+    stays empty.
+    """
     return simhash.drop_near_copies(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies in the training sequences."""
+    """Where each piece of each document lies in the training sequences.
+
+    A null or empty text is one piece, its end; repeated rows get places of their own. An empty table gives no place.
+    """
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_exact_copies), ("simhash_near_dedup", drop_near_copies), ("best_fit_packing", pack)]
 
-#: SQL can express neither the lexicon nor the fingerprints; the tests hold the stages against brute force.
+#: SQL can express neither the lexicon nor the fingerprints; the tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each result is written to the shared folder and read again."""
+    """All stages over the documents; each result is written to the shared folder and read again, and removed once the next one is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        import tempfile
-
-        shared = tempfile.mkdtemp(prefix="spark-")
-    folder = posixpath.join(shared, f"pipeline-{uuid.uuid4().hex}")
+    written = None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        folder = shared_folder(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+        if written:
+            remove(spark, written)
+        written = folder
     return docs
