@@ -26,8 +26,8 @@ from .packed import packed, packed_words, unpacked, unpacked_words
 from .spread import durable, tasks
 from .tokens import encode_by_pieces, slices
 
-#: Distinct words that are replayed together.
-WORDS = 50_000
+#: Distinct words that are replayed together; bytes of text in a block of documents.
+WORDS, BLOCK = 50_000, 16 << 20
 
 
 class MergeReplay:
@@ -165,7 +165,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, names: list[str]) -
     """
     number = TaskContext.get().partitionId() << 32
     for batch in batches:
-        for part in slices(batch, 1):
+        for part in slices(batch, 1, BLOCK):
             places, sizes, words = cut_words(part.column(1), pattern)
             by_use = np.argsort(-np.bincount(places, minlength=len(words)), kind="stable")
             place = np.empty(len(by_use), np.uint32)

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once.
-TEXT_BYTES = 16 << 20
+TEXT_BYTES = 8 << 20
 #: A white-space character before a space: such texts are not cut at their spaces.
 _RUNS = "[\\s\x0b\x1c-\x1f\u0085   -     　] "
 
@@ -24,10 +24,11 @@ def slices(batch: pa.RecordBatch, column: int, most: int = TEXT_BYTES) -> Iterat
         n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), most, side="right")))
         yield batch.slice(at, n)
         at += n
+        pa.default_memory_pool().release_unused()  # workers are used again, beside others
 
 
 #: Pieces whose ids a Python worker keeps for its next batches, at most.
-CACHED = 400_000
+CACHED = 200_000
 _caches: dict[str, dict[str, bytes]] = {}
 _MARK = "<|endoftext|>"
 #: All special tokens begin so. A text with this is one piece as it is, since the library looks for them in the whole text.
