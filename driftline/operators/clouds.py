@@ -152,6 +152,18 @@ def extract_lines(hits: DataFrame, find: ln.FindParams = ln.FindParams(), merge:
     return hits.select(*EVENT, "hit_id", "x", "y", "z", "amplitude").groupBy(*EVENT).applyInPandas(one, LINE_SCHEMA)
 
 
+def merge_lines(lines: DataFrame, merge: ln.MergeParams = ln.MergeParams()) -> DataFrame:
+    """Lines of each event joined by ``functions.lines.merge`` in the order of line_id, and numbered anew. An event has few lines."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("line_id")
+        found = [ln.Line(np.asarray(h, np.int64), c, d) for h, c, d in zip(pdf["hit_ids"], pdf[["cx", "cy", "cz"]].to_numpy(), pdf[["dx", "dy", "dz"]].to_numpy(), strict=True)]
+        rows = [(int(pdf["run"].iloc[0]), int(pdf["event_id"].iloc[0]), i, x.at.astype(np.int32).tolist(), *map(float, (*x.centroid, *x.direction))) for i, x in enumerate(ln.merge(found, merge))]
+        return pd.DataFrame(rows, columns=["run", "event_id", "line_id", "hit_ids", "cx", "cy", "cz", "dx", "dy", "dz"])
+
+    return lines.groupBy(*EVENT).applyInPandas(one, LINE_SCHEMA)
+
+
 def fit_line(hits: DataFrame, weight: str | None = None) -> DataFrame:
     """(run, event_id, centroid, direction) of one line through all hits of each event, from weighted sums; see ``functions.lines.fit``."""
     w = F.lit(1.0) if weight is None else F.greatest(F.col(weight), F.lit(0.0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .traces import EVENT, KEYS
+from .traces import EVENT, KEYS, drawn
 
 # The buckets of normal traces, how they are grouped in reports, and the buckets of events.
 BUCKETS = [str(i) for i in range(10)]
@@ -81,9 +81,13 @@ def filter_review(labels: DataFrame, run: int, family: str, label: str | None =
 
 
 def apply_changes(existing: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """A new version of a label table: of each key the latest row, created when its first one was."""
-    rows = existing.unionByName(changes)
-    latest = F.max_by(F.struct(*[c for c in existing.columns if c not in (*keys, "created_at")]), F.struct("updated_at", "created_at"))
+    """A new version of a label table: of each key the latest row, created when its first one was.
+
+    Of rows of one time a change goes before what was there, then the greatest label.
+    """
+    rows = existing.withColumn("_new", F.lit(0)).unionByName(changes.withColumn("_new", F.lit(1)))
+    values = [c for c in existing.columns if c not in (*keys, "created_at")]
+    latest = F.max_by(F.struct(*values), F.struct("updated_at", "_new", "created_at", *[c for c in values if c != "updated_at"]))
     return rows.groupBy(*keys).agg(latest.alias("_l"), F.min("created_at").alias("created_at")).select(*keys, "_l.*", "created_at").select(*existing.columns)
 
 
@@ -147,7 +151,7 @@ def unlabeled_events(events: DataFrame, event_labels: DataFrame, shown: DataFram
 
 
 def sample_unlabeled_events(events: DataFrame, event_labels: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    return unlabeled_events(events, event_labels).orderBy(F.xxhash64(*EVENT, F.lit(seed)), *EVENT).limit(n)
+    return unlabeled_events(events, event_labels).orderBy(drawn(EVENT, seed), *EVENT).limit(n)
 
 
 def closest_labeled_event(wanted: DataFrame, event_labels: DataFrame) -> DataFrame:

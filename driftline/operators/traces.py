@@ -176,8 +176,13 @@ def unlabeled_traces(traces: DataFrame, labels: DataFrame, shown: DataFrame | No
     return left if shown is None else left.join(shown, KEYS, "left_anti")
 
 
+def drawn(keys: list[str], seed: int) -> Column:
+    """A text whose order is a random order of the keys, another one for each seed."""
+    return F.md5(F.concat_ws("/", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
+
+
 def sample_unlabeled_traces(traces: DataFrame, labels: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """``n`` unlabelled traces: a random one from each of ``n`` random events, so that traces of small events are likelier."""
-    within = Window.partitionBy(*EVENT).orderBy(F.xxhash64(*KEYS, F.lit(seed)), "trace_id")
+    within = Window.partitionBy(*EVENT).orderBy(drawn(KEYS, seed), "trace_id")
     one = unlabeled_traces(traces, labels).select(*KEYS).withColumn("_r", F.row_number().over(within)).where("_r = 1")
-    return one.orderBy(F.xxhash64(*EVENT, F.lit(seed + 1)), *EVENT).limit(n).select(*KEYS)
+    return one.orderBy(drawn(EVENT, seed + 1), *EVENT).limit(n).select(*KEYS)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import clouds, hits, histograms, labels, pads, predicates, relabel
@@ -290,11 +291,23 @@ def filter_traces(s, d):
     return _filter(s, d, predicates.Amplitude(100, 1000), predicates.Saturation(SAT, DROP), limit=1000)
 
 
-@query("trace_predicate", f"SELECT {KEYS} FROM samples WHERE {NOT_BAD} GROUP BY {KEYS} HAVING max(v) - min(v) > 500")
+class Swing(NamedTuple):
+    """A predicate of a user's own: more than ``least`` between the lowest and the highest sample."""
+
+    least: float
+
+    def column(self, cleaned: Column) -> Column:
+        return F.array_max(cleaned) - F.array_min(cleaned) > self.least
+
+    def token(self) -> str:
+        return f"swing_{self.least:.0f}"
+
+
+@query("trace_predicate", f"SELECT 'filter_run_0001_swing_500' AS name, {KEYS} FROM cleaned WHERE run = 1 AND {NOT_BAD} GROUP BY {KEYS} HAVING max(x) - min(x) > 500", CLEAN)
 def trace_predicate(s, d):
-    rows = _traces(s, d)
-    raw = rows.join(bind.bad_events(rows), tr.EVENT, "left_anti")
-    return raw.where(F.array_max("samples") - F.array_min("samples") > 500).select(*tr.KEYS)
+    rows, own = _traces(s, d), [Swing(500)]
+    found = predicates.filter_traces(rows, own, bind.bad_events(rows), run=1, limit=0)
+    return found.select(F.lit(predicates.filter_name(1, own)).alias("name"), *tr.KEYS)
 
 
 @query("batch_handler", f"SELECT {KEYS}, round(max(x), 4) AS top FROM cleaned GROUP BY {KEYS}", CLEAN)
@@ -335,7 +348,7 @@ GROUPED = f"{DIMENSION}, grouped AS (SELECT {KEYS}, CASE WHEN family = 'normal'
 
 @query("join_labeled", f"SELECT {KEYS}, series_key FROM trace_keys JOIN labeled USING ({KEYS})", GROUPED)
 def join_labeled(s, d):
-    return labels.join_labeled(_traces(s, d).select(*tr.KEYS), bind.trace_labels(s, d), bind.strange_labels(s))
+    return labels.join_labeled(_traces(s, d).select(*tr.KEYS), bind.trace_labels(s, d), bind.strange_labels(s, d))
 
 
 @query("filter_select", f"SELECT {KEYS}, sum(v) AS total, pos FROM filter_rows JOIN samples USING ({KEYS}) GROUP BY {KEYS}, pos")
@@ -449,7 +462,7 @@ _PARAMS = {"bitflip": {"threshold": FLIP}, "saturation": {"threshold": SAT, "dro
 
 
 def _histogram(s, d, metric: str, mode: str) -> DataFrame:
-    return histograms.histogram(metric, _traces(s, d), mode, bind.trace_labels(s, d), bind.strange_labels(s), bind.filter_rows(s, d), **_PARAMS.get(metric, {}))
+    return histograms.histogram(metric, _traces(s, d), mode, bind.trace_labels(s, d), bind.strange_labels(s, d), bind.filter_rows(s, d), **_PARAMS.get(metric, {}))
 
 
 def _histogram_sql(metric: str, mode: str) -> tuple[str, str]:
@@ -479,7 +492,7 @@ LABEL_COUNTS = "counts AS (SELECT run, series_key, count(*) AS traces FROM label
 
 @query("labeled_series", f"SELECT h.run, 'baseline' AS metric, variant, series_key, bin_x, bin_y, CAST(n AS BIGINT) AS count, traces FROM (SELECT run, variant, series_key, bin_x, bin_y, count(*) AS n FROM bins JOIN labeled USING ({KEYS}) GROUP BY ALL) h JOIN counts USING (run, series_key)", f"{GROUPED}, {LABEL_COUNTS}, {_bins_sql('baseline', 10)}")
 def labeled_series(s, d):
-    return histograms.labeled_series(_histogram(s, d, "baseline", "labeled"), bind.trace_labels(s, d), bind.strange_labels(s))
+    return histograms.labeled_series(_histogram(s, d, "baseline", "labeled"), bind.trace_labels(s, d), bind.strange_labels(s, d))
 
 
 @query("histogram_trace_count", "SELECT run, 'all' AS mode, 'cdf' AS metric, 'all' AS series_key, count(*) AS traces FROM trace_keys GROUP BY run")
@@ -504,7 +517,7 @@ def log_counts(s, d):
 
 @query("label_dimension", "SELECT * FROM dimension", DIMENSION)
 def label_dimension(s, d):
-    return labels.label_dimension(bind.strange_labels(s))
+    return labels.label_dimension(bind.strange_labels(s, d))
 
 
 # --- sinks -----------------------------------------------------------------------------------------------------------
@@ -573,20 +586,20 @@ def relabel_metrics(s, d):
     return relabel.relabel_metrics("saturation", _relabel(s, d, "saturation"))
 
 
-@query("relabel_confusions", f"SELECT 'old normal:1 -> new strange:saturation' AS section, {KEYS} FROM renamed WHERE old_label = 'normal:1' AND new_label = 'strange:saturation'", SATURATED)
+@query("relabel_confusions", f"SELECT 'old normal:1 -> new strange:oscillation' AS section, {KEYS} FROM renamed WHERE old_label = 'normal:1' AND new_label = 'strange:oscillation'", OSCILLATION)
 def relabel_confusions(s, d):
-    return relabel.relabel_confusions("saturation", _relabel(s, d, "saturation"))
+    return relabel.relabel_confusions("oscillation", _relabel(s, d, "oscillation"))
 
 
 HIT_PEAKS = _peaks_sql(height=40)
 BUILT = f"""{GOOD}, {bind.cleaned_sql(20, 'good')}, {D2}, {RUNS}, {HIT_PEAKS}, {CENTROIDS.replace('SELECT *, -x', 'SELECT *, row_number() OVER (PARTITION BY cobo, asad, aget, channel ORDER BY pad DESC) = 1 AS last, -x')},
 built AS (
-  SELECT {KEYS}, CASE WHEN a.pad IS NULL THEN b.cx ELSE a.cx END AS x, (pos - 10.0) / 550.0 * 1000 AS z, height AS amplitude, (SELECT sum(c.x) FROM cleaned c WHERE c.run = p.run AND c.event_id = p.event_id AND c.trace_id = p.trace_id AND c.i BETWEEN floor(p.l) AND floor(p.r)) AS integral, coalesce(a.pad, b.pad) AS pad_id, pos,
+  SELECT {KEYS}, CASE WHEN a.pad IS NULL THEN b.cx ELSE a.cx END AS x, CASE WHEN a.pad IS NULL THEN b.cy ELSE a.cy END AS y, coalesce(a.scale, b.scale) AS scale, (pos - 10.0) / 550.0 * 1000 AS z, height AS amplitude, (SELECT sum(c.x) FROM cleaned c WHERE c.run = p.run AND c.event_id = p.event_id AND c.trace_id = p.trace_id AND c.i BETWEEN floor(p.l) AND floor(p.r)) AS integral, coalesce(a.pad, b.pad) AS pad_id, pos,
          CAST(row_number() OVER (PARTITION BY run, event_id ORDER BY trace_id, pos) - 1 AS INT) AS hit_id
   FROM peaks p JOIN trace_keys k USING ({KEYS}) SEMI JOIN (SELECT {KEYS} FROM flip_count WHERE flips < 1) USING ({KEYS})
   LEFT JOIN centroids a ON a.cobo = _p // 1000 AND a.asad = _p // 100 % 10 AND a.aget = _p // 10 % 10 AND a.channel = _p % 10 AND a.last LEFT JOIN centroids b ON b.pad = k.vec_id % 100
   WHERE coalesce(a.pad, b.pad) IS NOT NULL)"""
-_BUILT_SQL = f"SELECT {KEYS}, hit_id, round(x, 4) AS x, round(z, 4) AS z, round(amplitude, 4) AS amplitude, round(integral, 3) AS integral, pad_id, CAST(pos AS DOUBLE) AS time_bucket FROM built"
+_BUILT_SQL = f"SELECT {KEYS}, hit_id, round(x, 4) AS x, round(y, 4) + 0.0 AS y, scale, round(z, 4) AS z, round(amplitude, 4) AS amplitude, round(integral, 3) AS integral, pad_id, CAST(pos AS DOUBLE) AS time_bucket FROM built"
 
 
 def _built(s, d) -> DataFrame:
@@ -595,7 +608,7 @@ def _built(s, d) -> DataFrame:
 
 
 def _built_view(rows: DataFrame) -> DataFrame:
-    return rows.select(*tr.KEYS, "hit_id", *[F.round(c, n).alias(c) for c, n in (("x", 4), ("z", 4), ("amplitude", 4), ("integral", 3))], "pad_id", "time_bucket")
+    return rows.select(*tr.KEYS, "hit_id", "scale", (F.round("y", 4) + 0.0).alias("y"), *[F.round(c, n).alias(c) for c, n in (("x", 4), ("z", 4), ("amplitude", 4), ("integral", 3))], "pad_id", "time_bucket")
 
 
 @query("build_hits", _BUILT_SQL, BUILT)
@@ -647,12 +660,12 @@ _BATCH = "batch AS (SELECT vec_id AS pos, ' name' || (vec_id % 300) || ' ' AS na
 def add_strange_labels(s, d):
     batch = bind.table(s, d, "embeddings").selectExpr("vec_id AS pos", "concat(' name', vec_id % 300, ' ') AS name", "concat('k', vec_id % 450) AS shortcut_key")
     batch = batch.unionByName(s.sql("SELECT * FROM VALUES (-1L, 'TOXIC', 'q'), (-2L, ' ', 'z'), (-3L, 'fresh', 'u') AS b(pos, name, shortcut_key)"))
-    return labels.add_strange_labels(bind.strange_labels(s), batch)
+    return labels.add_strange_labels(bind.strange_labels(s, d), batch)
 
 
 @query("remove_strange_labels", "SELECT name, count(label) AS used, count(label) = 0 AS removed FROM strange_labels LEFT JOIN trace_labels ON family = 'strange' AND label = name GROUP BY name")
 def remove_strange_labels(s, d):
-    known = bind.strange_labels(s)
+    known = bind.strange_labels(s, d)
     return labels.remove_strange_labels(known, bind.trace_labels(s, d), known.select("name"))
 
 
@@ -666,7 +679,7 @@ def normal_summary(s, d):
 
 @query("strange_summary", "SELECT name, shortcut_key, (SELECT count(*) FROM trace_labels t WHERE family = 'strange' AND t.label = name) AS traces FROM strange_labels")
 def strange_summary(s, d):
-    return labels.strange_summary(bind.trace_labels(s, d), bind.strange_labels(s))
+    return labels.strange_summary(bind.trace_labels(s, d), bind.strange_labels(s, d))
 
 
 @query("event_label_summary", "SELECT CAST(pos AS INT) AS pos, label, label || CASE WHEN label = '1' THEN ' line' ELSE ' lines' END AS title, (SELECT count(*) FROM event_labels e WHERE e.label = b.label) AS events FROM (VALUES (0, '0'), (1, '1'), (2, '2'), (3, '3'), (4, '4'), (5, '5'), (6, '6+')) b(pos, label)")
@@ -676,12 +689,12 @@ def event_label_summary(s, d):
 
 @query("label_breakdown", "SELECT pos, series_key, title, traces, coalesce(round(100.0::DOUBLE * traces / nullif(sum(traces) OVER (PARTITION BY split_part(series_key, ':', 1)), 0), 6), 0.0) AS percent FROM (SELECT d.*, (SELECT count(*) FROM grouped g WHERE g.series_key = d.series_key) AS traces FROM dimension d)", GROUPED)
 def label_breakdown(s, d):
-    return labels.label_breakdown(bind.trace_labels(s, d), bind.strange_labels(s)).withColumn("percent", F.round("percent", 6))
+    return labels.label_breakdown(bind.trace_labels(s, d), bind.strange_labels(s, d)).withColumn("percent", F.round("percent", 6))
 
 
 @query("label_counts", "SELECT run, series_key, (SELECT count(*) FROM grouped g WHERE g.run = r.run AND g.series_key = d.series_key) AS traces FROM (SELECT DISTINCT run FROM trace_labels) r, dimension d", GROUPED)
 def label_counts(s, d):
-    return labels.label_counts(bind.trace_labels(s, d), bind.strange_labels(s))
+    return labels.label_counts(bind.trace_labels(s, d), bind.strange_labels(s, d))
 
 
 @query("pad_activity", "SELECT run, event_id, pad, pads.x, pads.y, max(amplitude) AS most, CAST(count(DISTINCT trace_id) AS INT) AS traces FROM hits JOIN pads ON pad = pad_id GROUP BY ALL")
@@ -705,12 +718,12 @@ def labeled_event_neighbor(s, d):
     return labels.labeled_event_neighbor(bind.event_labels(s, d))
 
 
-@query("sample_unlabeled_traces")
+@query("sample_unlabeled_traces", f"SELECT {KEYS} FROM (SELECT *, row_number() OVER (PARTITION BY run, event_id ORDER BY md5(run || '/' || event_id || '/' || trace_id || '/0'), trace_id) AS r FROM trace_keys ANTI JOIN trace_labels USING ({KEYS})) WHERE r = 1 ORDER BY md5(run || '/' || event_id || '/1'), run, event_id LIMIT 20")
 def sample_unlabeled_traces(s, d):
     return tr.sample_unlabeled_traces(_traces(s, d), bind.trace_labels(s, d), 20)
 
 
-@query("sample_unlabeled_event")
+@query("sample_unlabeled_event", "SELECT run, event_id FROM event_span ANTI JOIN event_labels USING (run, event_id) ORDER BY md5(run || '/' || event_id || '/0'), run, event_id LIMIT 20", EVENT_SPAN)
 def sample_unlabeled_event(s, d):
     return labels.sample_unlabeled_events(bind.cloud_events(s, d), bind.event_labels(s, d), 20)
 
@@ -780,25 +793,50 @@ def coplanar_thresholds(s, d):
     return clouds.coplanar_thresholds(_ratios(s, d))
 
 
-@query("project_hits")
+def _axis(k: int, value: str) -> str:
+    """SQL for the eigenvector of a symmetric matrix (a, b, c the diagonal, d = xy, e = xz, f = yz) to one eigenvalue: the longest cross product of two rows less the value."""
+    rows = [(f"(a - {value})", "d", "e"), ("d", f"(b - {value})", "f"), ("e", "f", f"(c - {value})")]
+    crosses = []
+    for i, j in ((0, 1), (0, 2), (1, 2)):
+        (p, q, r), (u, v, w) = rows[i], rows[j]
+        crosses.append(f"[{q} * {w} - {r} * {v}, {r} * {u} - {p} * {w}, {p} * {v} - {q} * {u}]")
+    longest = " UNION ALL ".join(f"SELECT {c} AS v" for c in crosses)
+    return f"(SELECT list_transform(v, lambda x: x / sqrt(v[1] * v[1] + v[2] * v[2] + v[3] * v[3])) FROM ({longest}) ORDER BY v[1] * v[1] + v[2] * v[2] + v[3] * v[3] DESC LIMIT 1) AS v{k}"
+
+
+# from _m (run, event_id, n, a to f): the eigenvalues l1 > l2 > l3, and the axes v1 and v2
+AXES = f"""
+_q AS (SELECT *, (a + b + c) / 3 AS q FROM _m),
+_p2 AS (SELECT *, sqrt(((a - q) * (a - q) + (b - q) * (b - q) + (c - q) * (c - q) + 2 * (d * d + e * e + f * f)) / 6) AS p FROM _q),
+_r AS (SELECT *, acos(greatest(least(((a - q) * ((b - q) * (c - q) - f * f) - d * (d * (c - q) - f * e) + e * (d * f - (b - q) * e)) / (2 * p * p * p), 1.0), -1.0)) / 3 AS phi FROM _p2),
+_l AS (SELECT *, q + 2 * p * cos(phi) AS l1, q + 2 * p * cos(phi - 2 * pi() / 3) AS l2 FROM _r),
+axes AS (SELECT *, {_axis(1, "l1")}, {_axis(2, "l2")} FROM _l)"""
+_MOMENTS = "_m AS (SELECT run, event_id, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, covar_pop(x, x) AS a, covar_pop(y, y) AS b, covar_pop(z, z) AS c, covar_pop(x, y) AS d, covar_pop(x, z) AS e, covar_pop(y, z) AS f FROM {0} GROUP BY run, event_id)"
+_UP = "list_transform({0}, lambda x: x * CASE WHEN {0}[list_position(list_transform({0}, lambda y: abs(y)), list_max(list_transform({0}, lambda y: abs(y))))] < 0 THEN -1 ELSE 1 END)"
+_PROJECTED = f"{AXES}, _signed AS (SELECT run, event_id, n, mx, my, mz, {_UP.format('v1')} AS g, {_UP.format('v2')} AS h FROM axes), projected AS (SELECT run, event_id, hit_id, z, round((x - mx) * g[1] + (y - my) * g[2] + (z - mz) * g[3], 1) + 0.0 AS u, round((x - mx) * h[1] + (y - my) * h[2] + (z - mz) * h[3], 1) + 0.0 AS v FROM rows_ JOIN _signed USING (run, event_id) WHERE n >= 3)"
+
+
+@query("project_hits", "SELECT run, event_id, hit_id, u, v FROM projected", f"rows_ AS (SELECT * FROM hits), {_MOMENTS.format('rows_')}, {_PROJECTED}")
 def project_hits(s, d):
-    return clouds.project_hits(bind.hits(s, d)).select("run", "event_id", "hit_id", F.round("u", 4).alias("u"), F.round("v", 4).alias("v"))
+    return clouds.project_hits(bind.hits(s, d)).select("run", "event_id", "hit_id", *[(F.round(c, 1) + 0.0).alias(c) for c in "uv"])
 
 
-@query("event_hits")
+@query("event_hits", "SELECT run, event_id, hit_id, round(z, 6) AS z, u, v FROM projected", f"rows_ AS (SELECT * FROM hits WHERE z BETWEEN 0 AND 500), {_MOMENTS.format('rows_')}, {_PROJECTED}")
 def event_hits(s, d):
-    return clouds.event_hits(bind.hits(s, d), 500.0).select("run", "event_id", "hit_id", "z", "u", "v")
+    return clouds.event_hits(bind.hits(s, d), 500.0).select("run", "event_id", "hit_id", F.round("z", 6).alias("z"), *[(F.round(c, 1) + 0.0).alias(c) for c in "uv"])
 
 
-# Lines of the bound hits are noise, so the measures are taken on given lines: two per event, along the axes x and z
-# through its centre, each with every third hit.
-_GIVEN = "given AS (SELECT run, event_id, CAST(k AS INT) AS line_id, cx, cy, cz, CAST(k = 0 AS INT)::DOUBLE AS dx, 0.0::DOUBLE AS dy, CAST(k = 1 AS INT)::DOUBLE AS dz FROM (SELECT run, event_id, avg(x) + 0.0 AS cx, avg(y) AS cy, avg(z) AS cz FROM hits GROUP BY run, event_id), range(2) r(k)), members AS (SELECT g.run, g.event_id, line_id, hit_id FROM given g JOIN hits h ON h.run = g.run AND h.event_id = g.event_id AND hit_id % 3 = line_id)"
+# Lines of the bound hits are noise, so the measures are taken on given lines: one to three per event, all through
+# every third hit. Their directions turn in the plane of x and z, and their centres move along y, from event to event.
+_TURN = "radians(event_id % 90 + 0.5::DOUBLE + k * (event_id % 5) * 1.1::DOUBLE)"
+_GIVEN = f"given AS (SELECT run, event_id, CAST(k AS INT) AS line_id, cx, cy + k * (event_id % 7) * 4.3::DOUBLE AS cy, cz, cos({_TURN}) AS dx, 0.0::DOUBLE AS dy, sin({_TURN}) AS dz FROM (SELECT run, event_id, avg(x) + 0.0 AS cx, avg(y) AS cy, avg(z) AS cz FROM hits GROUP BY run, event_id), range(3) r(k) WHERE k <= event_id % 3), members AS (SELECT g.run, g.event_id, line_id, hit_id FROM given g JOIN hits h ON h.run = g.run AND h.event_id = g.event_id AND hit_id % 3 = line_id)"
 
 
 def _given(s, d) -> DataFrame:
     rows = bind.hits(s, d).groupBy(*tr.EVENT).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.avg("z").alias("cz"), F.sort_array(F.collect_list("hit_id")).alias("all"))
-    both = rows.withColumn("line_id", F.explode(F.array(F.lit(0), F.lit(1))))
-    return both.select(*tr.EVENT, "line_id", F.filter("all", lambda h: h % 3 == F.col("line_id")).alias("hit_ids"), "cx", "cy", "cz", (F.col("line_id") == 0).cast("double").alias("dx"), F.lit(0.0).alias("dy"), (F.col("line_id") == 1).cast("double").alias("dz"))
+    each = rows.withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("event_id") % 3).cast("int"))))
+    turn = F.expr("radians(event_id % 90 + 0.5D + k * (event_id % 5) * 1.1D)")
+    return each.select(*tr.EVENT, F.col("k").alias("line_id"), F.filter("all", lambda h: h % 3 == F.col("k")).alias("hit_ids"), "cx", F.expr("cy + k * (event_id % 7) * 4.3D").alias("cy"), "cz", F.cos(turn).alias("dx"), F.lit(0.0).alias("dy"), F.sin(turn).alias("dz"))
 
 
 MEASURED = f"""{_GIVEN},
@@ -906,7 +944,7 @@ def line_count_histogram(s, d):
     return clouds.line_count_histogram(bind.cloud_events(s, d), _given(s, d))
 
 
-@query("labeled_ratio_histogram", "SELECT run, 'labeled_ratio' AS metric, CAST(least(floor((k / n) / 0.01::DOUBLE), 99) AS INT) AS bin_x, count(*) AS count FROM (SELECT h.run, h.event_id, count(*) AS n, count_if(hit_id % 3 < 2) AS k FROM hits h GROUP BY ALL) GROUP BY ALL")
+@query("labeled_ratio_histogram", "SELECT run, 'labeled_ratio' AS metric, CAST(least(floor((k / n) / 0.01::DOUBLE), 99) AS INT) AS bin_x, count(*) AS count FROM (SELECT h.run, h.event_id, count(*) AS n, count(m.hit_id) AS k FROM hits h LEFT JOIN members m USING (run, event_id, hit_id) GROUP BY ALL) GROUP BY ALL", _GIVEN)
 def labeled_ratio_histogram(s, d):
     return clouds.labeled_ratio_histogram(bind.hits(s, d), _given(s, d))
 
@@ -930,9 +968,14 @@ def extract_lines(s, d):
     return _found(s, d, merge=None, weighted=False).select(*tr.EVENT, "line_id", F.size("hit_ids").alias("n_hits"), *[F.round(c, 4).alias(c) for c in ("cx", "cy", "cz", "dx", "dy", "dz")])
 
 
-@query("merge_lines")
+_NEAR_LINE = "sqrt(power((a.cy - b.cy) * b.dz - (a.cz - b.cz) * b.dy, 2) + power((a.cz - b.cz) * b.dx - (a.cx - b.cx) * b.dz, 2) + power((a.cx - b.cx) * b.dy - (a.cy - b.cy) * b.dx, 2)) < 30 AND degrees(acos(greatest(least(a.dx * b.dx + a.dy * b.dy + a.dz * b.dz, 1.0), -1.0))) < 3"
+_MERGED = f"{_GIVEN}, first_near AS (SELECT b.run, b.event_id, b.line_id, coalesce(min(a.line_id), b.line_id) AS up FROM given b LEFT JOIN given a ON a.run = b.run AND a.event_id = b.event_id AND a.line_id < b.line_id AND {_NEAR_LINE} GROUP BY b.run, b.event_id, b.line_id), rooted AS (SELECT f.run, f.event_id, f.line_id, g.up AS root FROM first_near f JOIN first_near g ON g.run = f.run AND g.event_id = f.event_id AND g.line_id = f.up)"
+
+
+@query("merge_lines", "SELECT run, event_id, CAST(dense_rank() OVER (PARTITION BY run, event_id ORDER BY root) - 1 AS INT) AS line_id, CAST(n_hits AS INT) AS n_hits, round(cy, 4) + 0.0 AS cy, round(dx, 6) AS dx, round(dz, 6) AS dz FROM (SELECT r.run, r.event_id, root, count(m.hit_id) AS n_hits FROM rooted r LEFT JOIN members m USING (run, event_id, line_id) GROUP BY ALL) JOIN given g USING (run, event_id) WHERE g.line_id = root", _MERGED)
 def merge_lines(s, d):
-    return _found(s, d).select(*tr.EVENT, "line_id", F.size("hit_ids").alias("n_hits"), *[F.round(c, 4).alias(c) for c in ("cx", "cy", "cz", "dx", "dy", "dz")])
+    """Three lines at most, so two steps lead to the first of a group."""
+    return clouds.merge_lines(_given(s, d)).select(*tr.EVENT, "line_id", F.size("hit_ids").alias("n_hits"), (F.round("cy", 4) + 0.0).alias("cy"), F.round("dx", 6).alias("dx"), F.round("dz", 6).alias("dz"))
 
 
 @query("ransac_mask")
@@ -942,20 +985,27 @@ def ransac_mask(s, d):
     return clouds.line_points(_found(s, d, find=FindParams(tries=1), merge=None, weighted=False))
 
 
-@query("line_labels", "SELECT run, event_id, hit_id, CASE WHEN hit_id % 3 < 2 THEN CAST(hit_id % 3 AS INT) ELSE -1 END AS line_id, 2::BIGINT AS lines, '2' AS suggested FROM hits")
+@query("line_labels", "SELECT h.run, h.event_id, hit_id, coalesce(line_id, -1) AS line_id, n AS lines, CAST(n AS VARCHAR) AS suggested FROM hits h LEFT JOIN members m USING (run, event_id, hit_id) JOIN (SELECT run, event_id, count(*) AS n FROM given GROUP BY run, event_id) USING (run, event_id)", _GIVEN)
 def line_labels(s, d):
     return clouds.line_labels(bind.hits(s, d), _given(s, d))
 
 
-@query("fit_line", "SELECT run, event_id, round(avg(x), 4) + 0.0 AS cx, round(avg(y), 4) + 0.0 AS cy, round(avg(z), 4) AS cz FROM hits GROUP BY run, event_id")
+_FITTED = "SELECT run, event_id, round(mx, 4) + 0.0 AS cx, round(my, 4) + 0.0 AS cy, round(mz, 4) AS cz, " + ", ".join(f"round(v1[{k}] * CASE WHEN v1[3] < 0 THEN -1 ELSE 1 END, 6) + 0.0 AS d{n}" for k, n in ((1, "x"), (2, "y"), (3, "z"))) + " FROM axes"
+_WEIGHED = "_c AS (SELECT run, event_id, sum(amplitude) AS w, sum(amplitude * x) / sum(amplitude) AS mx, sum(amplitude * y) / sum(amplitude) AS my, sum(amplitude * z) / sum(amplitude) AS mz FROM hits GROUP BY run, event_id), _m AS (SELECT run, event_id, mx, my, mz, " + ", ".join(f"sum(amplitude * ({p} - m{p}) * ({q} - m{q})) / w AS {n}" for n, p, q in (("a", "x", "x"), ("b", "y", "y"), ("c", "z", "z"), ("d", "x", "y"), ("e", "x", "z"), ("f", "y", "z"))) + " FROM hits JOIN _c USING (run, event_id) GROUP BY run, event_id, w, mx, my, mz)"
+
+
+def _fitted(rows: DataFrame) -> DataFrame:
+    return rows.select(*tr.EVENT, *[(F.round(c, 4) + 0.0).alias(c) for c in ("cx", "cy", "cz")], *[(F.round(c, 6) + 0.0).alias(c) for c in ("dx", "dy", "dz")])
+
+
+@query("fit_line", _FITTED, f"{_MOMENTS.format('hits')}, {AXES}")
 def fit_line(s, d):
-    return clouds.fit_line(bind.hits(s, d)).select(*tr.EVENT, *[(F.round(c, 4) + 0.0).alias(c) for c in ("cx", "cy", "cz")])
+    return _fitted(clouds.fit_line(bind.hits(s, d)))
 
 
-@query("fit_line_weighted", "SELECT run, event_id, round(sum(amplitude * x) / sum(amplitude), 4) + 0.0 AS cx, round(sum(amplitude * y) / sum(amplitude), 4) + 0.0 AS cy, round(sum(amplitude * z) / sum(amplitude), 4) AS cz FROM hits GROUP BY run, event_id")
+@query("fit_line_weighted", _FITTED, f"{_WEIGHED}, {AXES}")
 def fit_line_weighted(s, d):
-    return clouds.fit_line(bind.hits(s, d), "amplitude").select(*tr.EVENT, *[(F.round(c, 4) + 0.0).alias(c) for c in ("cx", "cy", "cz")])
-
+    return _fitted(clouds.fit_line(bind.hits(s, d), "amplitude"))
 
 
 @query("pad_directions", "SELECT pad, CAST((pad % 100 + pad // 100) % 2 AS INT) AS direction FROM pads")

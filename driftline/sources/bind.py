@@ -33,8 +33,10 @@ def trace_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vec.where("vec_id % 3 <> 0").join(labels.withColumnRenamed("doc_id", "vec_id"), "vec_id", "left").selectExpr(*_keys("vec_id"), kind, name)
 
 
-def strange_labels(spark: SparkSession) -> DataFrame:
-    return spark.sql("SELECT * FROM VALUES (1L, 'toxic', 't'), (2L, 'Low', 'l'), (3L, 'unused', 'u') AS s(id, name, shortcut_key)")
+def strange_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, name, shortcut_key): one per region; two have the names that the trace labels use."""
+    name = "CASE r_regionkey WHEN 0 THEN 'toxic' WHEN 1 THEN 'Low' ELSE lower(r_name) END AS name"
+    return table(spark, sf_dir, "region").selectExpr("CAST(r_regionkey AS BIGINT) + 1 AS id", name, "CASE r_regionkey WHEN 0 THEN 't' WHEN 1 THEN 'l' ELSE chr(115 + r_regionkey) END AS shortcut_key")
 
 
 def event_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,11 +51,11 @@ def filter_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One event per supplier, its hits numbered in the order of the whole row."""
+    """One event per supplier, its hits numbered in the order of the whole row; every fourth event is flat."""
     return table(spark, sf_dir, "lineitem").selectExpr(
         "CAST(l_suppkey % 2 + 1 AS INT) AS run", "l_suppkey AS event_id",
         "row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_partkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) - 1 AS hit_id",
-        "l_quantity * 8 - 200 AS x", "(l_discount - 0.05D) * 4000 AS y", "l_extendedprice / 105 AS z", "l_quantity AS amplitude", "l_quantity * (1 + l_tax) AS integral",
+        "l_quantity * 8 - 200 AS x", "(l_discount - 0.05D) * CASE WHEN l_suppkey % 4 = 0 THEN 800 ELSE 4000 END AS y", "l_extendedprice / 105 AS z", "l_quantity AS amplitude", "l_quantity * (1 + l_tax) AS integral",
         "l_partkey AS pad_id", "l_extendedprice / 200 AS time_bucket", "1.0D AS scale", "l_linenumber AS trace_id",
     )
 
@@ -81,7 +83,9 @@ trace_labels AS (
          CASE WHEN l.toxic = 1 OR l.quality = 0 THEN 'strange' ELSE 'normal' END AS family,
          CASE WHEN l.toxic = 1 THEN 'toxic' WHEN l.quality = 0 THEN 'Low' ELSE CAST(e.label AS VARCHAR) END AS label
   FROM embeddings e LEFT JOIN labels l ON l.doc_id = e.vec_id WHERE vec_id % 3 <> 0),
-strange_labels(id, name, shortcut_key) AS (VALUES (1::BIGINT, 'toxic', 't'), (2::BIGINT, 'Low', 'l'), (3::BIGINT, 'unused', 'u')),
+strange_labels AS (
+  SELECT CAST(r_regionkey AS BIGINT) + 1 AS id, CASE r_regionkey WHEN 0 THEN 'toxic' WHEN 1 THEN 'Low' ELSE lower(r_name) END AS name,
+         CASE r_regionkey WHEN 0 THEN 't' WHEN 1 THEN 'l' ELSE chr(CAST(115 + r_regionkey AS INT)) END AS shortcut_key FROM region),
 event_labels AS (
   SELECT CAST(s_suppkey % 2 + 1 AS INT) AS run, s_suppkey AS event_id, CASE WHEN s_nationkey % 8 >= 6 THEN '6+' ELSE CAST(s_nationkey % 8 AS VARCHAR) END AS label FROM supplier WHERE s_suppkey % 3 <> 0),
 filter_rows AS (
@@ -90,7 +94,7 @@ filter_rows AS (
 hits AS (
   SELECT CAST(l_suppkey % 2 + 1 AS INT) AS run, l_suppkey AS event_id,
          CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_partkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) - 1 AS INT) AS hit_id,
-         l_quantity * 8 - 200 AS x, (l_discount - CAST(0.05 AS DOUBLE)) * 4000 AS y, l_extendedprice / 105 AS z, l_quantity AS amplitude, l_quantity * (1 + l_tax) AS integral,
+         l_quantity * 8 - 200 AS x, (l_discount - CAST(0.05 AS DOUBLE)) * CASE WHEN l_suppkey % 4 = 0 THEN 800 ELSE 4000 END AS y, l_extendedprice / 105 AS z, l_quantity AS amplitude, l_quantity * (1 + l_tax) AS integral,
          l_partkey AS pad_id, l_extendedprice / 200 AS time_bucket, CAST(1.0 AS DOUBLE) AS scale, l_linenumber AS trace_id FROM lineitem),
 cloud_events AS (SELECT CAST(s_suppkey % 2 + 1 AS INT) AS run, s_suppkey AS event_id FROM supplier),
 pads AS (
