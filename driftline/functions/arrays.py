@@ -52,3 +52,17 @@ def row_udf(function: Callable[[np.ndarray], object], result: str, arrow: pa.Dat
 
     run.__annotations__ = {"column": pa.Array, "return": pa.Array}
     return arrow_udf(run, result)
+
+
+def arrow_rows_udf(function: Callable[[np.ndarray], pa.Array], result: str, arrow: pa.DataType):
+    """A column function from a function that gives, for a matrix, an Arrow array with one value for each row. Null stays null."""
+
+    def run(column: pa.Array) -> pa.Array:
+        found, at = [pa.array([], arrow)], np.full(len(column), -1)
+        for rows, matrix in rows_of(column):
+            at[rows] = sum(map(len, found)) + np.arange(len(rows))
+            found.append(function(matrix).cast(arrow))
+        return pa.concat_arrays(found).take(pa.array(at, mask=at < 0))
+
+    run.__annotations__ = {"column": pa.Array, "return": pa.Array}
+    return arrow_udf(run, result)

@@ -103,33 +103,67 @@ def second_derivative(x: np.ndarray) -> np.ndarray:
     return x[..., :-2] + x[..., 2:] - 2 * x[..., 1:-1] if x.shape[-1] >= 3 else x[..., :0]
 
 
-def bitflip_segments(x: np.ndarray, threshold: float) -> list[dict]:
-    """Runs of large steps in a trace's second derivative that touch no end, have two points or more and change sign at each.
+def bitflip_runs(x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of large steps in the traces' second derivatives that touch no end, have two points or more and change sign at each.
 
-    start and end are the points before and after the run, in the second derivative; a run is qualified if
-    every step is near one that a flipped bit leaves.
+    (trace, begin, end, qualified, sizes): a run has the points from begin to before end; it is qualified if every
+    step is near one that a flipped bit leaves. sizes are the steps of all runs behind one another.
     """
     d = second_derivative(x)
-    large = np.abs(d) > threshold
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], large, [False]]).astype(np.int8)))
-    out = []
-    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-        own = d[a:b]
-        if a == 0 or b == len(d) or b - a < 2 or ((own[1:] > 0) == (own[:-1] > 0)).any():
-            continue
-        size = np.abs(own)
-        near = (np.abs(size[:, None] - np.array(BITFLIP_STEPS)) <= BITFLIP_TOLERANCE).any(axis=1).all()
-        out.append({"start": a - 1, "end": b, "length": b - a, "qualified": bool(near), "steps": size.tolist()})
-    return out
+    n = d.shape[1]
+    size = np.abs(d)
+    large = np.zeros((len(d), n + 2), np.int8)
+    large[:, 1:-1] = size > threshold
+    trace, edge = np.nonzero(np.diff(large, axis=1))
+    trace, begin, end = trace[::2], edge[::2], edge[1::2]
+    inner = (begin > 0) & (end < n) & (end - begin >= 2)
+    trace, begin, end = trace[inner], begin[inner], end[inner]
+
+    def points(begin: np.ndarray, end: np.ndarray, trace: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All points of all runs, and where each run's begin."""
+        width = end - begin
+        first = np.cumsum(width) - width
+        return np.repeat(trace * n + begin - first, width) + np.arange(width.sum()), first
+
+    def every(ok: np.ndarray, first: np.ndarray) -> np.ndarray:
+        return np.logical_and.reduceat(ok, first) if len(first) else np.zeros(0, bool)
+
+    flat, sizes = d.ravel(), size.ravel()
+    at, first = points(begin + 1, end, trace)
+    turns = every((flat[at] > 0) != (flat[at - 1] > 0), first)
+    trace, begin, end = trace[turns], begin[turns], end[turns]
+    at, first = points(begin, end, trace)
+    own = sizes[at]
+    near = (np.abs(own[:, None] - np.array(BITFLIP_STEPS)) <= BITFLIP_TOLERANCE).any(axis=1)
+    return trace, begin, end, every(near, first), own
+
+
+def bitflip_segments(x: np.ndarray, threshold: float) -> list[dict]:
+    """The runs of one trace; start and end are the points before and after a run, in the second derivative."""
+    _, begin, end, qualified, sizes = bitflip_runs(np.asarray(x, np.float64)[None], threshold)
+    cuts = np.cumsum(end - begin)[:-1]
+    return [{"start": a - 1, "end": b, "length": b - a, "qualified": q, "steps": own.tolist()} for a, b, q, own in zip(begin.tolist(), end.tolist(), qualified.tolist(), np.split(sizes, cuts), strict=False)]
+
+
+def saturations(x: np.ndarray, threshold: float, drop: float, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many samples around each trace's first maximum lie at most ``drop`` below it; how far those near it lie below, and how many these are.
+
+    Nothing of traces under ``threshold``.
+    """
+    n = x.shape[1]
+    if not n:
+        return np.zeros(len(x), np.int64), np.zeros(0), np.zeros(len(x), np.int64)
+    at, m = np.arange(n), x.argmax(axis=1)[:, None]
+    top = np.take_along_axis(x, m, axis=1)
+    below, high = top - x, top >= threshold
+    far = below > drop
+    left = np.where(far & (at < m), at, -1).max(axis=1)
+    right = np.where(far & (at > m), at, n).min(axis=1)
+    near = (np.abs(at - m) <= radius) & high
+    return np.where(high[:, 0], right - left - 1, 0), below[near], near.sum(axis=1)
 
 
 def saturation(x: np.ndarray, threshold: float, drop: float, radius: int) -> dict:
-    """How far samples near the first maximum lie below it, and how many around it lie at most ``drop`` below; nothing under ``threshold``."""
-    if not len(x) or x.max() < threshold:
-        return {"plateau": 0, "drops": []}
-    m = int(np.argmax(x))
-    below = x[m] - x
-    far = np.flatnonzero(below > drop)
-    left, right = far[far < m], far[far > m]
-    plateau = (int(right[0]) if len(right) else len(x)) - (int(left[-1]) + 1 if len(left) else 0)
-    return {"plateau": plateau, "drops": below[max(0, m - radius) : m + radius + 1].tolist()}
+    """The same of one trace."""
+    plateau, drops, _ = saturations(np.asarray(x, np.float64)[None], threshold, drop, radius)
+    return {"plateau": int(plateau[0]), "drops": drops.tolist()}

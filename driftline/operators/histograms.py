@@ -24,8 +24,12 @@ def _clipped(x: Column, most: int) -> Column:
     return F.greatest(F.least(x, F.lit(float(most))), F.lit(0.0))
 
 
+def _none() -> Column:
+    return F.array().cast("array<struct<variant:string,bin_x:int,bin_y:int>>")
+
+
 def bins(traces: DataFrame, metric: str, **p) -> DataFrame:
-    """One row per counted value: the columns of ``traces`` but samples and hardware, and variant, bin_x, bin_y."""
+    """One row per counted value: the columns of ``traces`` but samples and hardware, and variant, bin_x, bin_y. ``variant`` asks for one of several."""
     scale = p.get("scale", 20.0 if metric == "cdf" else tr.SCALE)
     rest = [c for c in traces.columns if c not in ("samples", "hardware", "cleaned")]
     x, rows = F.col("cleaned"), traces.withColumn("cleaned", tr.clean("samples", scale))
@@ -40,19 +44,23 @@ def bins(traces: DataFrame, metric: str, **p) -> DataFrame:
     elif metric == "bitflip":
         rows = rows.withColumn("_bits", tr.bitflip_segments("cleaned", p.get("threshold", tr.BITFLIP_THRESHOLD)))
         good = F.filter("_bits", lambda s: s["qualified"])
-        found = F.concat(
-            F.transform(tr.second_derivative(x), lambda d: _point("baseline", _near_zero(d))),
-            F.transform(F.flatten(F.transform("_bits", lambda s: s["steps"])), lambda v: _point("value", _clipped(v, 8191))),
-            F.transform(good, lambda s: _point("length", F.least(s["length"], F.lit(255)))),
-            F.when(F.size(good) > 0, F.array(_point("count", F.least(F.size(good), F.lit(255))))).otherwise(F.array().cast("array<struct<variant:string,bin_x:int,bin_y:int>>")),
-        )
+        found = {
+            "baseline": F.transform(tr.second_derivative(x), lambda d: _point("baseline", _near_zero(d))),
+            "value": F.transform(F.flatten(F.transform("_bits", lambda s: s["steps"])), lambda v: _point("value", _clipped(v, 8191))),
+            "length": F.transform(good, lambda s: _point("length", F.least(s["length"], F.lit(255)))),
+            "count": F.when(F.size(good) > 0, F.array(_point("count", F.least(F.size(good), F.lit(255))))).otherwise(_none()),
+        }
     elif metric == "saturation":
         rows = rows.withColumn("_sat", tr.saturation_stats("cleaned", p.get("threshold", tr.SATURATION_THRESHOLD), p.get("drop", tr.SATURATION_DROP), p.get("radius", tr.SATURATION_RADIUS)))
-        drops = F.transform(F.filter("_sat.drops", lambda v: (v >= 0) & (v < 500)), lambda v: _point("drop", v))
         length = F.col("_sat.plateau")
-        found = F.concat(drops, F.when(length.between(2, 255), F.array(_point("length", length))).otherwise(F.array().cast("array<struct<variant:string,bin_x:int,bin_y:int>>")))
+        found = {
+            "drop": F.transform(F.filter("_sat.drops", lambda v: (v >= 0) & (v < 500)), lambda v: _point("drop", v)),
+            "length": F.when(length.between(2, 255), F.array(_point("length", length))).otherwise(_none()),
+        }
     else:
         raise ValueError(f"no such metric: {metric}")
+    if isinstance(found, dict):
+        found = F.concat(*[v for k, v in found.items() if p.get("variant") in (None, k)])
     return rows.select(*rest, F.explode(found).alias("_b")).select(*rest, "_b.*")
 
 

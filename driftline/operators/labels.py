@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .traces import EVENT, KEYS, drawn
+from .traces import BUCKET, EVENT, KEYS, drawn, neighbours
 
 # The buckets of normal traces, how they are grouped in reports, and the buckets of events.
 BUCKETS = [str(i) for i in range(10)]
@@ -157,15 +157,20 @@ def sample_unlabeled_events(events: DataFrame, event_labels: DataFrame, n: int,
 def closest_labeled_event(wanted: DataFrame, event_labels: DataFrame) -> DataFrame:
     """(run, event_id, labeled_event): the least labelled event at or after the wanted one, else the last; null if the run has none.
 
-    Both tables are ordered together within a run, so the as-of match is one window and no range join.
+    Both tables are ordered together within buckets of a run's event ids, so the as-of match is one window and no
+    range join. Where a bucket has no later label, the next one does; only one row for each bucket is sorted by run.
     """
     marks = event_labels.select("run", "event_id", F.col("event_id").alias("_labeled"), F.lit(False).alias("_wanted"))
     rows = wanted.select("run", "event_id", F.lit(None).cast("long").alias("_labeled"), F.lit(True).alias("_wanted")).unionByName(marks)
-    after = Window.partitionBy("run").orderBy("event_id").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    out = rows.withColumn("_next", F.min("_labeled").over(after)).withColumn("_last", F.max("_labeled").over(Window.partitionBy("run")))
-    return out.where("_wanted").select("run", "event_id", F.coalesce("_next", "_last").alias("labeled_event"))
+    rows = rows.withColumn("_bucket", F.floor(F.col("event_id") / BUCKET))
+    after = Window.partitionBy("run", "_bucket").orderBy("event_id").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    later, whole = Window.partitionBy("run").orderBy("_bucket").rowsBetween(1, Window.unboundedFollowing), Window.partitionBy("run")
+    edges = rows.groupBy("run", "_bucket").agg(F.min("_labeled").alias("_first"), F.max("_labeled").alias("_top"))
+    edges = edges.select("run", "_bucket", F.min("_first").over(later).alias("_later"), F.max("_top").over(whole).alias("_last"))
+    found = rows.withColumn("_next", F.min("_labeled").over(after)).where("_wanted").join(edges, ["run", "_bucket"])
+    return found.select("run", "event_id", F.coalesce("_next", "_later", "_last").alias("labeled_event"))
 
 
 def labeled_event_neighbor(event_labels: DataFrame) -> DataFrame:
-    w = Window.partitionBy("run").orderBy("event_id")
-    return event_labels.select(*EVENT, F.coalesce(F.lead("event_id").over(w), "event_id").alias("next_event"), F.coalesce(F.lag("event_id").over(w), "event_id").alias("previous_event"))
+    found = neighbours(event_labels.select(*EVENT), "event_id")
+    return found.select(*EVENT, *[F.coalesce(f"{n}.event_id", "event_id").alias(f"{n}_event") for n in ("next", "previous")])

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import signals
-from ..functions.arrays import matrix_udf, row_udf
+from ..functions.arrays import arrow_rows_udf, matrix_udf, row_udf
 
 KEYS = ["run", "event_id", "trace_id"]
 EVENT = ["run", "event_id"]
@@ -67,10 +68,26 @@ def _matrix(name: str, *parameters):
     return matrix_udf(lambda x: function(x, *parameters))
 
 
+def _bitflip_rows(x: np.ndarray, threshold: float) -> pa.Array:
+    trace, begin, end, qualified, sizes = signals.bitflip_runs(x, threshold)
+    steps = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(end - begin)]), pa.int32()), pa.array(sizes))
+    runs = pa.StructArray.from_arrays([pa.array(begin - 1, pa.int32()), pa.array(end, pa.int32()), pa.array(end - begin, pa.int32()), pa.array(qualified), steps], names=["start", "end", "length", "qualified", "steps"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(trace, np.arange(len(x) + 1)), pa.int32()), runs)
+
+
+def _saturation_rows(x: np.ndarray, threshold: float, drop: float, radius: int) -> pa.Array:
+    plateau, drops, sizes = signals.saturations(x, threshold, drop, radius)
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(drops))
+    return pa.StructArray.from_arrays([pa.array(plateau, pa.int32()), lists], names=["plateau", "drops"])
+
+
 @lru_cache
 def _rows(name: str, *parameters):
-    function, kind, arrow = {"peaks": (signals.find_peaks, _PEAK, _PEAK_ARROW), "bitflips": (signals.bitflip_segments, _SEGMENT, _SEGMENT_ARROW), "saturation": (signals.saturation, _PLATEAU, _PLATEAU_ARROW)}[name]
-    return row_udf(lambda x: function(x, *parameters), kind, arrow)
+    """Bit flips and saturation are found in whole matrices; peaks trace by trace, as which ones stay depends on those before."""
+    if name == "peaks":
+        return row_udf(lambda x: signals.find_peaks(x, *parameters), _PEAK, _PEAK_ARROW)
+    function, kind, arrow = {"bitflips": (_bitflip_rows, _SEGMENT, _SEGMENT_ARROW), "saturation": (_saturation_rows, _PLATEAU, _PLATEAU_ARROW)}[name]
+    return arrow_rows_udf(lambda x: function(x, *parameters), kind, arrow)
 
 
 def clean(x: str | Column, scale: float = SCALE) -> Column:
@@ -151,12 +168,29 @@ def trace_neighbor(traces: DataFrame) -> DataFrame:
     return traces.select(*KEYS, F.coalesce(F.lead("trace_id").over(w), "trace_id").alias("next_trace"), F.coalesce(F.lag("trace_id").over(w), "trace_id").alias("previous_trace"))
 
 
+#: Event ids of a bucket: neighbours are sought within buckets, then over their edges.
+BUCKET = 4096
+
+
+def neighbours(rows: DataFrame, *carried: str) -> DataFrame:
+    """``rows`` (with run and event_id) with next and previous: the carried columns of the run's neighbouring events, null at its ends.
+
+    A task sorts one bucket of a run's event ids. Only the first and last event of each bucket are sorted by run.
+    """
+    rows = rows.withColumn("_bucket", F.floor(F.col("event_id") / BUCKET))
+    inside, own = Window.partitionBy("run", "_bucket").orderBy("event_id"), F.struct(*carried)
+    ends = rows.groupBy("run", "_bucket").agg(F.min_by(own, "event_id").alias("_first"), F.max_by(own, "event_id").alias("_last"))
+    across = Window.partitionBy("run").orderBy("_bucket")
+    edges = ends.select("run", "_bucket", F.lead("_first").over(across).alias("_after"), F.lag("_last").over(across).alias("_before"))
+    found = rows.withColumns({"next": F.lead(own).over(inside), "previous": F.lag(own).over(inside)}).join(edges, ["run", "_bucket"])
+    return found.withColumns({"next": F.coalesce("next", "_after"), "previous": F.coalesce("previous", "_before")}).drop("_bucket", "_after", "_before")
+
+
 def event_neighbor(catalog: DataFrame) -> DataFrame:
     """For every event with traces the next and the previous such event, itself at the ends, and the highest trace id of each."""
-    w = Window.partitionBy("run").orderBy("event_id")
-    full = catalog.where("n_traces > 0")
-    out = full.select(*EVENT, "n_traces", *[F.coalesce(f("event_id").over(w), "event_id").alias(f"{n}_event") for f, n in ((F.lead, "next"), (F.lag, "previous"))], *[(F.coalesce(f("n_traces").over(w), "n_traces") - 1).alias(f"{n}_last_trace") for f, n in ((F.lead, "next"), (F.lag, "previous"))])
-    return out.drop("n_traces")
+    found = neighbours(catalog.where("n_traces > 0").select(*EVENT, "n_traces"), "event_id", "n_traces")
+    columns = [F.coalesce(f"{n}.event_id", "event_id").alias(f"{n}_event") for n in ("next", "previous")]
+    return found.select(*EVENT, *columns, *[(F.coalesce(f"{n}.n_traces", "n_traces") - 1).alias(f"{n}_last_trace") for n in ("next", "previous")])
 
 
 def trace_profile(traces: DataFrame, labels: DataFrame | None = None, scale: float = SCALE, threshold: float = BITFLIP_THRESHOLD) -> DataFrame:

@@ -461,8 +461,8 @@ _MODE_SQL = {
 _PARAMS = {"bitflip": {"threshold": FLIP}, "saturation": {"threshold": SAT, "drop": DROP}}
 
 
-def _histogram(s, d, metric: str, mode: str) -> DataFrame:
-    return histograms.histogram(metric, _traces(s, d), mode, bind.trace_labels(s, d), bind.strange_labels(s, d), bind.filter_rows(s, d), **_PARAMS.get(metric, {}))
+def _histogram(s, d, metric: str, mode: str, variant: str | None = None) -> DataFrame:
+    return histograms.histogram(metric, _traces(s, d), mode, bind.trace_labels(s, d), bind.strange_labels(s, d), bind.filter_rows(s, d), variant=variant, **_PARAMS.get(metric, {}))
 
 
 def _histogram_sql(metric: str, mode: str) -> tuple[str, str]:
@@ -478,7 +478,7 @@ def _register_histograms() -> None:
     for name, (metric, variant) in _VARIANTS.items():
         sql, ctes = _histogram_sql(metric, "all")
         where = "" if variant is None else f" WHERE variant = '{variant}'"
-        query(name, f"SELECT * FROM ({sql}){where}", ctes)(lambda s, d, m=metric, v=variant: _histogram(s, d, m, "all") if v is None else _histogram(s, d, m, "all").where(F.col("variant") == v))
+        query(name, f"SELECT * FROM ({sql}){where}", ctes)(lambda s, d, m=metric, v=variant: _histogram(s, d, m, "all", v))
     for metric in histograms.METRICS:
         for mode in histograms.MODES[1:]:
             name = f"{metric}_histogram_{mode}" if mode != "filtered" else f"filtered_histogram_{metric}"

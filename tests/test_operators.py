@@ -276,3 +276,27 @@ def test_written_filter_has_no_limit(spark, monkeypatch):
     monkeypatch.setattr(queries.bind, "traces", lambda s, d: rows)
     assert queries.QUERIES["write_filter_rows"](spark, "").count() == 0
     assert limits == [0]
+
+
+def test_neighbours_over_the_edges_of_buckets(spark):
+    ids = [1, 5, 4095, 4096, 9000, 9001, 20000]
+    events = spark.createDataFrame([(r, i, n + 1) for r in (1, 2) for n, i in enumerate(ids[r - 1 :])], "run int, event_id long, n_traces long")
+    found = {(r.run, r.event_id): (r.previous_event, r.next_event, r.previous_last_trace, r.next_last_trace) for r in tr.event_neighbor(events).collect()}
+    for run in (1, 2):
+        own = ids[run - 1 :]
+        for k, i in enumerate(own):
+            a, b = max(k - 1, 0), min(k + 1, len(own) - 1)
+            assert found[run, i] == (own[a], own[b], a, b)
+    labelled = events.where("run = 1 and event_id in (5, 4096, 9001)").select("run", "event_id")
+    closest = {(r.run, r.event_id): r.labeled_event for r in labels.closest_labeled_event(events.select("run", "event_id"), labelled).collect()}
+    assert [closest[1, i] for i in ids] == [5, 5, 4096, 4096, 9001, 9001, 9001] and {closest[2, i] for i in ids[1:]} == {None}
+    found = {r.event_id: (r.previous_event, r.next_event) for r in labels.labeled_event_neighbor(labelled).collect()}
+    assert found == {5: (5, 4096), 4096: (5, 9001), 9001: (4096, 9001)}
+
+
+def test_latest_change_wins_and_ties_have_one_winner(spark):
+    schema = "run int, event_id long, trace_id int, label string, created_at int, updated_at int"
+    old = spark.createDataFrame([(1, 1, 1, "old", 1, 5), (1, 1, 2, "old", 1, 1)], schema)
+    new = spark.createDataFrame([(1, 1, 1, "a", 5, 5), (1, 1, 1, "b", 5, 5), (1, 1, 3, "c", 2, 2)], schema)
+    out = {r.trace_id: (r.label, r.created_at) for r in labels.apply_changes(old, new, tr.KEYS).collect()}
+    assert out == {1: ("b", 1), 2: ("old", 1), 3: ("c", 2)}
