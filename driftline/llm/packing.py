@@ -14,6 +14,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -23,13 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .spread import durable, fresh, shared_folder, tasks
+from .spread import durable, fresh, tasks
 from .tokens import slices, word_bpe_ids
 
 #: Tokens of a sequence, and the id that ends a document.
 CAPACITY, END = 2048, 0
-#: Documents and gaps that one task sweeps, about.
-SWEPT = 500_000
+#: Documents and gaps that one task sweeps, at most about, and at least where there are more.
+SWEPT, FEW = 500_000, 2_000
 DOC, GAP, PLACED = 0, 1, 2
 
 
@@ -176,40 +177,66 @@ class _Across:
 _FOUND = T.StructType([T.StructField("kind", T.IntegerType()), *[T.StructField(n, T.LongType()) for n in ("id", "size", "match", "slot", "nth", "left")]])
 
 
+class _Ranges:
+    """Deals documents and gaps, in the order of size and kind, over tasks of about equal numbers, from their counts by size."""
+
+    def __init__(self, waiting: Counter[int], gaps: Counter[int], capacity: int, parts: int):
+        counts = np.zeros(2 * capacity + 2, np.int64)
+        for kind, own in ((DOC, waiting), (GAP, gaps)):
+            for size, n in own.items():
+                counts[2 * size + kind] = n
+        self.counts, self.before = counts, np.cumsum(counts) - counts
+        self.each = -(-max(1, int(counts.sum())) // parts)
+
+    def deal(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Adds the task. Equals are dealt by a hash of their ids, as one size may have more rows than a task takes."""
+        for batch in batches:
+            kind, ident, size = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+            share = (ident.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) / 2.0**31
+            run = 2 * size + kind
+            at = self.before[run] + np.floor(share * self.counts[run]).astype(np.int64)
+            yield _record(_DEALT, kind, ident, size, at // self.each)
+
+
+_DEALT = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("size", T.LongType()), T.StructField("task", T.IntegerType())])
+
+
 def place(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """(id, sequence_id, offset) of documents (id, distinct, and size, from 1 to ``capacity``); sequences are numbered from 0."""
+    """(id, sequence_id, offset) of documents (id, distinct, and size, from 1 to ``capacity``); sequences are numbered from 0.
+
+    Each round is written to the shared folder. Rounds grow with the number of documents that a sequence holds, not
+    with that of all documents.
+    """
     spark = docs.sparkSession
     waiting = Counter({int(r[0]): r[1] for r in docs.groupBy("size").agg(F.count("*")).collect()})
     if any(not 1 <= size <= capacity for size in waiting):
         raise ValueError(f"lengths must be from 1 to {capacity}")
-    empty = spark.createDataFrame([], "id long, sequence_id long, offset long")
-    if not waiting:
-        return empty
     state = docs.select(F.lit(DOC).alias("kind"), F.col("id").cast("long").alias("id"), F.col("size").cast("long").alias("size"))
     gaps: Counter[int] = Counter()
-    folder, opened, rounds = shared_folder(spark, "placed"), 0, 0
+    opened, rounds = 0, 0
+    placed, docs_across, gaps_across = [], [], []
     while waiting:
         top = max(gaps, default=0)
         outside = {size: n for size, n in waiting.items() if size > top}
         if outside:
             more = needed(outside, capacity)
-            state = state.unionByName(spark.range(opened, opened + more).select(F.lit(GAP).alias("kind"), "id", F.lit(capacity).cast("long").alias("size")))
+            state = state.unionByName(spark.range(opened, opened + more, numPartitions=1 + more // SWEPT).select(F.lit(GAP).alias("kind"), "id", F.lit(capacity).cast("long").alias("size")))
             gaps[capacity] += more
             opened += more
-        parts = tasks(docs, waiting.total() + gaps.total(), SWEPT)
-        order = ["size", "kind", "id"]
-        ranges = state.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(*order)
-        swept = durable(ranges.mapInArrow(lambda it: _swept(it, capacity), _SWEPT))
+        total = waiting.total() + gaps.total()
+        parts = min(tasks(docs, total, SWEPT), -(-total // FEW))
+        ranges = _Ranges(waiting, gaps, capacity, parts)
+        dealt = state.mapInArrow(ranges.deal, _DEALT).repartitionById(parts, F.col("task")).sortWithinPartitions("size", "kind", "id")
+        swept = durable(dealt.select("size", "kind", "id").mapInArrow(lambda it: _swept(it, capacity), _SWEPT))
         stats = swept.where(F.col("kind") != PLACED).groupBy("part", "size", "kind").agg(F.count("*")).collect()
         runs = sorted(tuple(map(int, r)) for r in stats if r[0] >= 0)
         across = _Across(runs, capacity)
         rest = swept.where("part >= 0").select("kind", "id", "size", "part", "rank").mapInArrow(lambda it, a=across: a.find(it, _FOUND), _FOUND)
-        placed = swept.where(F.col("kind") == PLACED).select("id", "sequence_id", "offset")
+        placed.append(swept.where(F.col("kind") == PLACED).select("id", "sequence_id", "offset"))
         if across.matches:
-            taking = rest.where(f"kind = {GAP} AND match >= 0").select("match", "slot", F.col("id").alias("sequence_id"), (capacity - F.col("size")).alias("begin"))
-            joined = rest.where(f"kind = {DOC} AND match >= 0").join(taking, ["match", "slot"])
-            placed = placed.unionByName(joined.select("id", "sequence_id", (F.col("begin") + F.col("nth") * F.col("size")).alias("offset")))
-        placed.write.parquet(f"{folder}/round={rounds}")
+            hit = rest.where("match >= 0").withColumn("round", F.lit(rounds))
+            docs_across.append(hit.where(F.col("kind") == DOC).select("round", "match", "slot", "id", (F.col("nth") * F.col("size")).alias("after")))
+            gaps_across.append(hit.where(F.col("kind") == GAP).select("round", "match", "slot", F.col("id").alias("sequence_id"), (capacity - F.col("size")).alias("begin")))
         rounds += 1
         # what the driver knows of the next round: counts by size
         waiting, gaps = Counter(), Counter({int(r[1]): r[3] for r in stats if r[0] < 0})
@@ -221,11 +248,15 @@ def place(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             gaps[size] -= m.gaps
             gaps[size - m.per * length] += m.gaps
         waiting = +waiting
-        least = min(waiting, default=0)
+        least = max(1, min(waiting, default=1))
         gaps = Counter({size: n for size, n in gaps.items() if n and size >= least})
         kept = rest.where(f"NOT (kind = {DOC} AND match >= 0)").select("kind", "id", F.col("left").alias("size"))
         state = swept.where(f"kind = {GAP} AND part < 0").select("kind", "id", "size").unionByName(kept).where(f"size >= {least}")
-    return spark.read.schema("id long, sequence_id long, offset long").parquet(*[f"{folder}/round={k}" for k in range(rounds)])
+    found = reduce(DataFrame.unionByName, placed, spark.createDataFrame([], "id long, sequence_id long, offset long"))
+    if docs_across:
+        both = reduce(DataFrame.unionByName, docs_across).join(reduce(DataFrame.unionByName, gaps_across), ["round", "match", "slot"])
+        found = found.unionByName(both.select("id", "sequence_id", (F.col("begin") + F.col("after")).alias("offset")))
+    return found
 
 
 def pack(pieces: DataFrame, length_col: str = "length", capacity: int = CAPACITY) -> DataFrame:
