@@ -67,6 +67,11 @@ def tokenise(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rows = np.repeat(np.arange(len(texts)), np.diff(bounds))
     kept = place >= 0
     place, rows = place[kept], rows[kept]
+    # the most frequent words get the smallest places, which pack well; the end token stays at 0
+    by_use = np.concatenate([[0], 1 + np.argsort(-np.bincount(place, minlength=len(hashes))[1:], kind="stable")])
+    new = np.empty(len(by_use), np.int64)
+    new[by_use] = np.arange(len(by_use))
+    place, hashes = new[place], hashes[by_use]
     sizes = np.bincount(rows, minlength=len(texts)) + 1
     tokens = np.zeros(len(place) + len(texts), np.int64)
     tokens[np.arange(len(place)) + rows] = place
