@@ -22,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .packed import packed, packed_words, unpacked, unpacked_words
+from .packed import packed, packed_ranks, packed_words, unpacked, unpacked_ranks, unpacked_words
 from .spread import durable, tasks
 from .tokens import encode_by_pieces, slices
 
 #: Distinct words that are replayed together; bytes of text in a block of documents.
-WORDS, BLOCK = 50_000, 16 << 20
+WORDS, BLOCK = 50_000, 32 << 20
 
 
 class MergeReplay:
@@ -173,7 +173,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, names: list[str]) -
             words = [words[i] for i in by_use.tolist()]
             one = pa.array([0, part.num_rows], pa.int32())
             lists = [pa.ListArray.from_arrays(one, x) for x in (part.column(0), pa.array(sizes))]
-            texts = [packed(place[places]), packed(_hash_order(words)[1].astype(np.uint32)), packed_words(words)]
+            texts = [packed_ranks(place[places]), packed(_hash_order(words)[1].astype(np.uint32)), packed_words(words)]
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *lists, *[pa.array([x], pa.binary()) for x in texts]], names=names)
             number += 1
 
@@ -266,7 +266,7 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
                 if bucket < 0:
                     if now is not None:
                         yield finish()
-                    now = pa.concat_arrays([batch.column(1)[i].values]), batch.column(2)[i].values.to_numpy(zero_copy_only=False), *(unpacked(batch.column(k)[i].as_py(), np.uint32) for k in (3, 6)), [], []
+                    now = pa.concat_arrays([batch.column(1)[i].values]), batch.column(2)[i].values.to_numpy(zero_copy_only=False), unpacked_ranks(batch.column(3)[i].as_py()), unpacked(batch.column(6)[i].as_py(), np.uint32), [], []
                 else:
                     now[4].append(unpacked(batch.column(4)[i].as_py(), np.uint32))
                     now[5].append(unpacked(batch.column(5)[i].as_py(), np.uint32))

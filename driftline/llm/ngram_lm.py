@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .packed import packed, unpacked
+from .packed import packed, packed_ranks, unpacked, unpacked_ranks
 from .spread import durable, tasks
 from .tokens import slices
 
@@ -99,7 +99,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 tokens, sizes, hashes = tokenise(part.column(2))
                 one = [0, part.num_rows]
                 lists = [pa.ListArray.from_arrays(pa.array(one, pa.int32()), x) for x in (part.column(0), part.column(1), pa.array(sizes))]
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *lists, pa.array([packed(tokens.astype(np.uint32))], pa.binary()), pa.array([packed(hashes)], pa.binary())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *lists, pa.array([packed_ranks(tokens)], pa.binary()), pa.array([packed(hashes)], pa.binary())], names=schema.names)
                 number += 1
 
     return docs.select(id_col, is_held_out(id_col).alias("held"), text_col).mapInArrow(run, schema)
@@ -167,7 +167,7 @@ def _sorted(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _block(batch: pa.RecordBatch, i: int, names: list[str], bits: int) -> tuple[Block, np.ndarray]:
     row = {n: batch.column(batch.schema.get_field_index(n))[i] for n in names}
     sizes = row["sizes"].values.to_numpy(zero_copy_only=False)
-    block = Block(unpacked(row["tokens"].as_py(), np.uint32).astype(np.int64), sizes, unpacked(row["words"].as_py(), np.uint64), bits)
+    block = Block(unpacked_ranks(row["tokens"].as_py()).astype(np.int64), sizes, unpacked(row["words"].as_py(), np.uint64), bits)
     return block, row["held"].values.to_numpy(zero_copy_only=False).astype(bool)
 
 

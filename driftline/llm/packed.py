@@ -10,7 +10,7 @@ import zstandard
 
 def _planes(x: np.ndarray) -> np.ndarray:
     """The lowest bytes of all numbers, then the next ones: high bytes, put together, are mostly zeros."""
-    return x.view(np.uint8).reshape(len(x), -1).T
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -22,6 +22,19 @@ def unpacked(x: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+def packed_ranks(x: np.ndarray) -> bytes:
+    """Numbers of which most are small: one byte each, and those from 255 on behind."""
+    head = zstandard.ZstdCompressor(level=1).compress(np.minimum(x, 255).astype(np.uint8).tobytes())
+    return len(head).to_bytes(8, "little") + head + packed(x[x >= 255].astype(np.uint32))
+
+
+def unpacked_ranks(x: bytes) -> np.ndarray:
+    n = 8 + int.from_bytes(x[:8], "little")
+    out = np.frombuffer(zstandard.ZstdDecompressor().decompress(x[8:n]), np.uint8).astype(np.uint32)
+    out[out == 255] = unpacked(x[n:], np.uint32)
+    return out
+
+
 def packed_words(words: list[bytes]) -> bytes:
     sizes = packed(np.fromiter(map(len, words), np.uint32, len(words)))
     return len(sizes).to_bytes(4, "little") + sizes + zstandard.ZstdCompressor(level=1).compress(b"".join(words))

@@ -18,7 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from driftline.llm import bpe_replay, packing, range_coder, token_output, tokens
+from driftline.llm import bpe_replay, packed, packing, range_coder, token_output, tokens
 
 DATA = os.environ.get("DRIFTLINE_TEST_DATA", "/root/testdata/sf0.001")
 
@@ -128,6 +128,15 @@ def test_replay_of_any_words(words):
     assert [model.decode(g) for g in got] == raw
 
 
+@given(st.lists(st.integers(0, 2**20) | st.integers(250, 260), max_size=40), st.lists(st.binary(max_size=9), max_size=20))
+@settings(max_examples=60, deadline=None)
+def test_packed_arrays(numbers, words):
+    x = np.array(numbers, np.int64)
+    assert packed.unpacked_ranks(packed.packed_ranks(x)).tolist() == numbers
+    assert packed.unpacked(packed.packed(x.astype(np.uint32)), np.uint32).tolist() == numbers
+    assert packed.unpacked_words(packed.packed_words(words)) == words
+
+
 def test_replay_where_a_merge_makes_a_lower_rank():
     ranks = {bytes([b]): b for b in range(256)} | {b"abc": 300, b"ab": 500, b"bc": 700, b"abcab": 310, b"aa": 900, b"aaa": 320}
     library = tiktoken.Encoding("own", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
