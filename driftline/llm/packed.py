@@ -7,6 +7,8 @@ from itertools import pairwise
 import numpy as np
 import zstandard
 
+LEVEL = 5
+
 
 def _planes(x: np.ndarray) -> np.ndarray:
     """The lowest bytes of all numbers, then the next ones: high bytes, put together, are mostly zeros."""
@@ -14,7 +16,7 @@ def _planes(x: np.ndarray) -> np.ndarray:
 
 
 def packed(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(_planes(x)).tobytes())
+    return zstandard.ZstdCompressor(level=LEVEL).compress(np.ascontiguousarray(_planes(x)).tobytes())
 
 
 def unpacked(x: bytes, kind: type) -> np.ndarray:
@@ -24,7 +26,7 @@ def unpacked(x: bytes, kind: type) -> np.ndarray:
 
 def packed_ranks(x: np.ndarray) -> bytes:
     """Numbers of which most are small: one byte each, and those from 255 on behind."""
-    head = zstandard.ZstdCompressor(level=1).compress(np.minimum(x, 255).astype(np.uint8).tobytes())
+    head = zstandard.ZstdCompressor(level=LEVEL).compress(np.minimum(x, 255).astype(np.uint8).tobytes())
     return len(head).to_bytes(8, "little") + head + packed(x[x >= 255].astype(np.uint32))
 
 
@@ -37,7 +39,7 @@ def unpacked_ranks(x: bytes) -> np.ndarray:
 
 def packed_words(words: list[bytes]) -> bytes:
     sizes = packed(np.fromiter(map(len, words), np.uint32, len(words)))
-    return len(sizes).to_bytes(4, "little") + sizes + zstandard.ZstdCompressor(level=1).compress(b"".join(words))
+    return len(sizes).to_bytes(4, "little") + sizes + zstandard.ZstdCompressor(level=LEVEL).compress(b"".join(words))
 
 
 def unpacked_words(x: bytes) -> list[bytes]:
