@@ -105,17 +105,17 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = f"""
-WITH RECURSIVE h AS (
+WITH RECURSIVE h AS MATERIALIZED (
   SELECT i, CAST('0x' || substr(md5(name || '/offset'), 1, 8) AS BIGINT) % {sharding.SLOTS} AS origin,
          CAST('0x' || substr(md5(name || '/skip'), 1, 8) AS BIGINT) % {sharding.SLOTS - 1} + 1 AS step
   FROM (SELECT i, 'shard-' || lpad(CAST(i AS VARCHAR), 3, '0') AS name FROM range({sharding.SHARDS}) r(i))),
-prefers AS (
-  SELECT i, list((origin + k * step) % {sharding.SLOTS} ORDER BY k) AS slots FROM h, range({sharding.SLOTS}) r(k) GROUP BY i),
+prefers AS MATERIALIZED (
+  SELECT i, list(1 + (origin + k * step) % {sharding.SLOTS} ORDER BY k) AS slots FROM h, range({sharding.SLOTS}) r(k) GROUP BY i),
 fill AS (
   SELECT 0 AS turn, list_transform(range({sharding.SLOTS}), lambda x: -1) AS owner
   UNION ALL
   SELECT turn + 1, list_concat(owner[:claim - 1], [CAST(i AS INT)], owner[claim + 1:])
-  FROM (SELECT turn, owner, i, 1 + slots[list_position(list_transform(slots, lambda s: owner[s + 1]), -1)] AS claim
+  FROM (SELECT turn, owner, i, slots[list_position(list_select(owner, slots), -1)] AS claim
         FROM fill JOIN prefers ON i = turn % {sharding.SHARDS} WHERE turn < {sharding.SLOTS})),
 owners AS (SELECT unnest(owner) AS shard, generate_subscripts(owner, 1) - 1 AS slot FROM fill WHERE turn = {sharding.SLOTS})
 SELECT doc_id, CAST(slot AS INT) AS slot, CAST(shard AS INT) AS shard
