@@ -116,9 +116,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             at = F.filter(F.transform(unit, lambda g, p: F.struct(p.alias("at"), F.array_position(t["grams"], g).cast("int").alias("gram"))), lambda x: x["gram"] > 0)
 
             def spans(at: Column) -> Column:
-                # a bigram counts in a span that begins after the n-th before it of its kind, n being the template's number
+                # a bigram counts in a span that begins after the n-th before it of its kind, n being the template's number;
+                # no span that reaches the threshold has more bigrams than ``high``
                 def last(x: Column, k: Column) -> Column:
-                    return let(F.filter(F.slice(at, 1, k), lambda y: y["gram"] == x["gram"]), lambda before: first_of(before, F.element_at(t["ns"], x["gram"])))
+                    return let(F.filter(F.slice(at, F.greatest(k - t["high"], F.lit(0)) + 1, F.least(k, t["high"])), lambda y: y["gram"] == x["gram"]), lambda before: first_of(before, F.element_at(t["ns"], x["gram"])))
 
                 def first_of(before: Column, n: Column) -> Column:
                     return F.when(F.size(before) >= n, F.element_at(before, -n)["at"]).otherwise(-1)
