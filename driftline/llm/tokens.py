@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 3 << 20
 #: A white-space character before a space: such texts are not cut at their spaces.
 _RUNS = "[\\s\x0b\x1c-\x1f\u0085   -     　] "
 
