@@ -40,9 +40,12 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null or empty text is one piece, its end; repeated rows get places of their own. An empty table gives no place.
     """
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), text_bytes=PACKED_BYTES)
 
 
+#: Text that packing works on at once, in bytes: less than by itself, as executors still hold memory of the stages before.
+PACKED_BYTES = 2 << 20
+
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_exact_copies), ("simhash_near_dedup", drop_near_copies), ("best_fit_packing", pack)]
 
 #: SQL can express neither the lexicon nor the fingerprints; the tests hold the stages against plain versions.
