@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_replay, exact_dedup, license_scan, ngram_lm, packing, sharding, simhash, span_hash, token_output, toxicity
+from . import bpe_replay, divergence_audit, exact_dedup, license_scan, ngram_lm, packing, sharding, simhash, span_hash, token_output, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,6 +123,34 @@ FROM (SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '
 """
 
 
+def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_audit.audit_sources(_documents(spark, sf_dir))
+
+
+_F = "(({p} - {q}) * ({p} - {q}) // ({p} + {q}))"
+OP11_SQL = rf"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+counted AS (
+  SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs
+  FROM (SELECT lang, source, r, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d) GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n) AS c FROM counted GROUP BY ALL HAVING sum(docs) >= {divergence_audit.MIN_DOCS}),
+sizes AS (SELECT lang, count(term) AS v, coalesce(sum(c), 0) AS lang_total FROM (SELECT DISTINCT lang FROM d) LEFT JOIN kept USING (lang) GROUP BY lang),
+totals AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT * FROM counted SEMI JOIN kept USING (lang, term)) USING (lang, source) GROUP BY ALL),
+priced AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n, CAST(1 + 1000000000::HUGEINT * (coalesce(n, 0) + 2) // (total + 2 * v) AS BIGINT) AS p, CAST(1 + 1000000000::HUGEINT * (c + 2) // (lang_total + 2 * v) AS BIGINT) AS q
+  FROM totals JOIN kept USING (lang) JOIN sizes USING (lang) LEFT JOIN counted USING (lang, source, term)),
+far AS (SELECT a.lang, a.source, b.source AS item, sum({_F.format(p='a.p', q='b.p')}) AS value FROM priced a JOIN priced b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM totals a JOIN totals b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN far f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS r FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', term, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, term) FROM (SELECT *, {_F.format(p='p', q='q')} AS value FROM priced WHERE n > 0 AND p > q))
+SELECT lang, source, part, item, value, CAST(r AS INT) AS rank FROM ranked WHERE part = 'pair' OR r <= {divergence_audit.TOP_TERMS}
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -130,8 +158,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_license_scan": op1_license_scan, "op2_exact_dedup": op2_exact_dedup, "op3_simhash": op3_simhash, "op4_token_output": op4_token_output, "op5_toxicity": op5_toxicity, "op6_span_hash": op6_span_hash, "op7_packing": op7_packing, "op8_bpe_replay": op8_bpe_replay, "op9_sharding": op9_sharding, "op10_lm_scoring": op10_lm_scoring, "pipeline": pipeline}
+    return {"op1_license_scan": op1_license_scan, "op2_exact_dedup": op2_exact_dedup, "op3_simhash": op3_simhash, "op4_token_output": op4_token_output, "op5_toxicity": op5_toxicity, "op6_span_hash": op6_span_hash, "op7_packing": op7_packing, "op8_bpe_replay": op8_bpe_replay, "op9_sharding": op9_sharding, "op10_lm_scoring": op10_lm_scoring, "op11_divergence_audit": op11_divergence_audit, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op9_sharding": OP9_SQL}
+    return {"op1_license_scan": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op9_sharding": OP9_SQL, "op11_divergence_audit": OP11_SQL}
