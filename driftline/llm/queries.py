@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_replay, divergence_audit, exact_dedup, license_scan, ngram_lm, packing, sharding, simhash, span_hash, token_output, toxicity
+from . import bpe_replay, divergence_audit, exact_dedup, hard_negatives, license_scan, ngram_lm, packing, sharding, simhash, span_hash, token_output, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,6 +151,28 @@ SELECT lang, source, part, item, value, CAST(r AS INT) AS rank FROM ranked WHERE
 """
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    changed = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine_hard_negatives(changed, F.col("vec_id") % 50 == 0)
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda e: floor(256 * CAST(e AS DOUBLE))) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS s
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+positive AS (
+  SELECT anchor_id, vec_id AS positive_id, s AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, n.vec_id AS negative_id, positive_score, n.s AS negative_score
+FROM positive JOIN scores n USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * n.s AND 100 * n.s <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY n.s DESC, n.vec_id) QUALIFY row_number() OVER w <= 3
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -158,8 +180,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_license_scan": op1_license_scan, "op2_exact_dedup": op2_exact_dedup, "op3_simhash": op3_simhash, "op4_token_output": op4_token_output, "op5_toxicity": op5_toxicity, "op6_span_hash": op6_span_hash, "op7_packing": op7_packing, "op8_bpe_replay": op8_bpe_replay, "op9_sharding": op9_sharding, "op10_lm_scoring": op10_lm_scoring, "op11_divergence_audit": op11_divergence_audit, "pipeline": pipeline}
+    return {"op1_license_scan": op1_license_scan, "op2_exact_dedup": op2_exact_dedup, "op3_simhash": op3_simhash, "op4_token_output": op4_token_output, "op5_toxicity": op5_toxicity, "op6_span_hash": op6_span_hash, "op7_packing": op7_packing, "op8_bpe_replay": op8_bpe_replay, "op9_sharding": op9_sharding, "op10_lm_scoring": op10_lm_scoring, "op11_divergence_audit": op11_divergence_audit, "op12_hard_negatives": op12_hard_negatives, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op9_sharding": OP9_SQL, "op11_divergence_audit": OP11_SQL}
+    return {"op1_license_scan": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op9_sharding": OP9_SQL, "op11_divergence_audit": OP11_SQL, "op12_hard_negatives": OP12_SQL}
