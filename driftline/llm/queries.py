@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_replay, divergence_audit, exact_dedup, hard_negatives, license_scan, ngram_lm, packing, sharding, simhash, span_hash, token_output, toxicity
+from . import bpe_replay, divergence_audit, exact_dedup, hard_negatives, language_id, license_scan, ngram_lm, packing, sharding, simhash, span_hash, token_output, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,6 +173,11 @@ WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY n.s DESC, n.vec_id) QU
 """
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return language_id.identify_languages(docs, language_id.fit_languages(docs))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -180,7 +185,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_license_scan": op1_license_scan, "op2_exact_dedup": op2_exact_dedup, "op3_simhash": op3_simhash, "op4_token_output": op4_token_output, "op5_toxicity": op5_toxicity, "op6_span_hash": op6_span_hash, "op7_packing": op7_packing, "op8_bpe_replay": op8_bpe_replay, "op9_sharding": op9_sharding, "op10_lm_scoring": op10_lm_scoring, "op11_divergence_audit": op11_divergence_audit, "op12_hard_negatives": op12_hard_negatives, "pipeline": pipeline}
+    return {"op1_license_scan": op1_license_scan, "op2_exact_dedup": op2_exact_dedup, "op3_simhash": op3_simhash, "op4_token_output": op4_token_output, "op5_toxicity": op5_toxicity, "op6_span_hash": op6_span_hash, "op7_packing": op7_packing, "op8_bpe_replay": op8_bpe_replay, "op9_sharding": op9_sharding, "op10_lm_scoring": op10_lm_scoring, "op11_divergence_audit": op11_divergence_audit, "op12_hard_negatives": op12_hard_negatives, "op13_language_id": op13_language_id, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
