@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.runs import positioned
 from ..sources.shared import durable
 
 PAD_SCHEMA = "pad INT, x DOUBLE, y DOUBLE, scale DOUBLE, direction INT, cobo INT, asad INT, aget INT, channel INT, cy DOUBLE, cx DOUBLE"
@@ -47,6 +48,21 @@ def pad_map_join(xy: DataFrame, scale: DataFrame, direction: DataFrame | None, c
     return out.join(channels.where("keyword = 'pad'").select("pad", *ADDRESS), "pad", "left")
 
 
+def pad_map_from_files(spark, xy: str, scale: str, channels: str, direction: str | None = None) -> DataFrame:
+    """The pad map from CSV files whose rows are the pads, in their order from 0: (x, y), (scale) and, if there is one, (direction).
+
+    The channel map names its pads: cobo, asad, aget, "aget channel", "det channel" (the pad) and "det keyword". A
+    part that is shorter than the first leaves nulls, what is longer is dropped.
+    """
+    def part(path: str, schema: str) -> DataFrame:
+        rows = positioned(spark.read.schema(schema).csv(path, header=True))
+        return rows.withColumn("pad", F.col("position").cast("int")).drop("position")
+
+    names = {"cobo": "cobo", "asad": "asad", "aget": "aget", "aget channel": "channel", "det channel": "pad"}
+    named = spark.read.csv(channels, header=True).select(F.col("`det keyword`").alias("keyword"), *[F.col(f"`{a}`").cast("int").alias(b) for a, b in names.items()])
+    return pad_map_join(part(xy, "x DOUBLE, y DOUBLE"), part(scale, "scale DOUBLE"), None if direction is None else part(direction, "direction INT"), named)
+
+
 def pad_centroid(pads: DataFrame) -> DataFrame:
     """With the centre (cx, cy) of each triangle."""
     off = F.lit(_OFFSET) * F.col("scale")

@@ -46,8 +46,15 @@ def map_batches(cleaned: DataFrame, handler: Callable[[Iterator[pd.DataFrame]],
 
 
 def trace_lookup(traces: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The traces that ``wanted`` (run, event_id, trace_id, pos) names, with pos; a trace named twice comes twice."""
-    return wanted.join(traces, KEYS)
+    """The traces that ``wanted`` (run, event_id, trace_id and more) names, with its other columns; a trace named twice comes twice.
+
+    Without trace_id it names events, of which all traces come. What is not there is an error, which the join's own tasks raise.
+    """
+    keys = KEYS if "trace_id" in wanted.columns else EVENT
+    found = wanted.join(traces.withColumn("_found", F.lit(True)), keys, "left")
+    missing = F.concat(F.lit("no trace "), F.concat_ws("/", *[F.col(k).cast("string") for k in keys]))
+    # a random number keeps the optimizer from dropping or moving the check
+    return found.where(F.when(F.col("_found"), F.rand() >= 0).otherwise(F.raise_error(missing).cast("boolean"))).drop("_found")
 
 
 def split_pad_row(row: Column) -> list[Column]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .operators import clouds, hits, histograms, labels, pads, predicates, relabel
 from .operators import traces as tr
-from .sources import bind, tables
+from .sources import bind, runs, tables
 from .sources.shared import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,6 +114,13 @@ def trace_lookup(s, d):
     return found.select("pos", *tr.KEYS, F.size("samples").cast("long").alias("samples"), F.aggregate("samples", F.lit(0.0), lambda a, b: a + b).alias("total"))
 
 
+@query("event_traces", f"SELECT {KEYS}, sum(v) AS total FROM samples SEMI JOIN filter_rows USING (run, event_id) GROUP BY {KEYS}")
+def event_traces(s, d):
+    """All traces of the events that a filter set names."""
+    found = tr.trace_lookup(_traces(s, d), bind.filter_rows(s, d).select(*tr.EVENT).distinct())
+    return found.select(*tr.KEYS, F.aggregate("samples", F.lit(0.0), lambda a, b: a + b).alias("total"))
+
+
 @query("labeled_trace_scan", f"SELECT {KEYS}, family, label, sum(v) AS total FROM samples JOIN trace_labels USING ({KEYS}) GROUP BY ALL")
 def labeled_trace_scan(s, d):
     rows = _traces(s, d).join(labels.label_scan(bind.trace_labels(s, d)), tr.KEYS)
@@ -126,6 +133,24 @@ def run_catalog(s, d):
     return tables.run_catalog(files)
 
 
+def _stored(s, d) -> str:
+    path = shared_folder(s, "runs")
+    runs.write_traces(_traces(s, d), path)
+    return path
+
+
+@query("run_files", "SELECT run, printf('run_%04d', run) AS name, printf('run_%04d.parquet', run) AS file, count(*) AS traces FROM trace_keys GROUP BY run")
+def run_files(s, d):
+    path = _stored(s, d)
+    counts = runs.read_runs(s, path).groupBy("run").agg(F.count("*").alias("traces"))
+    return runs.run_files(s, path, "parquet").select("run", "name", "file").join(counts, "run")
+
+
+@query("run_file_scan", f"SELECT {KEYS}, sum(v) AS total FROM samples WHERE run = 2 GROUP BY {KEYS}")
+def run_file_scan(s, d):
+    return runs.read_runs(s, _stored(s, d), 2).select(*tr.KEYS, F.aggregate("samples", F.lit(0.0), lambda a, b: a + b).alias("total"))
+
+
 CATALOG = "spans AS (SELECT run, min(event_id) AS first_event, max(event_id) AS last_event FROM trace_keys GROUP BY run), catalog AS (SELECT s.run, CAST(e AS BIGINT) AS event_id, first_event, last_event, CASE WHEN e % 11 = 10 THEN 0 ELSE (SELECT count(*) FROM trace_keys t WHERE t.run = s.run AND t.event_id = e) END AS n_traces FROM (SELECT *, unnest(range(first_event, last_event + 1)) AS e FROM spans) s)"
 
 
@@ -388,6 +413,19 @@ def pad_map_join(s, d):
     return pads.pad_map_join(p.select("pad", "x", "y"), p.select("pad", "scale"), p.select("pad", "direction"), channels).select("pad", "x", "y", "scale", "direction", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("cobo", "channel")])
 
 
+@query("pad_map_files", "SELECT CAST(row_number() OVER (ORDER BY pad) - 1 AS INT) AS pad, x, y, scale, direction, CASE WHEN pad % 5 > 0 THEN cobo ELSE -1 END AS cobo, CASE WHEN pad % 5 > 0 THEN channel ELSE -1 END AS channel FROM pads")
+def pad_map_files(s, d):
+    """The parts are written without pad numbers, so that the order of rows alone joins them."""
+    p, path = bind.pads(s, d), shared_folder(s, "pad-parts")
+    for name, columns in (("xy", ["x", "y"]), ("scale", ["scale"]), ("direction", ["direction"])):
+        p.orderBy("pad").select(*columns).write.csv(f"{path}/{name}", header=True)
+    least = p.agg(F.min("pad")).first()[0]
+    named = p.select("cobo", "asad", "aget", F.col("channel").alias("aget channel"), (F.col("pad") - least).alias("det channel"), F.when(F.col("pad") % 5 > 0, "pad").otherwise("reference").alias("det keyword"))
+    named.write.csv(f"{path}/channels", header=True)
+    found = pads.pad_map_from_files(s, f"{path}/xy", f"{path}/scale", f"{path}/channels", f"{path}/direction")
+    return found.select("pad", "x", "y", "scale", "direction", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("cobo", "channel")])
+
+
 @query("pad_centroid", "SELECT pad, round(cx, 6) AS cx, round(cy, 6) + 0.0 AS cy FROM centroids", CENTROIDS)
 def pad_centroid(s, d):
     return pads.pad_centroid(bind.pads(s, d)).select("pad", F.round("cx", 6).alias("cx"), (F.round("cy", 6) + 0.0).alias("cy"))
