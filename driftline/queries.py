@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import clouds, hits, histograms, labels, pads, predicates, relabel
+from .operators import clouds, hits, histograms, labels, pads, predicates, probing, relabel
 from .operators import traces as tr
 from .sources import bind, runs, tables
 from .sources.shared import shared_folder
@@ -344,6 +344,27 @@ def batch_handler(s, d):
     return tr.map_batches(_cleaned(s, d).select(*tr.KEYS, "cleaned"), tops, "run int, event_id long, trace_id int, top double")
 
 
+_STOP, _WAVE = 340, 4
+
+
+@query("batch_handler_stop", f"""
+SELECT {KEYS}, round(top, 4) AS top, (SELECT count(DISTINCT (run, event_id)) FROM tops, halt WHERE run < halt_run OR run = halt_run AND event_id - low < wave) AS events_read
+FROM tops, halt WHERE run < halt_run OR run = halt_run AND event_id <= halt_event""", f"""
+{GOOD}, {bind.cleaned_sql(10, 'good')}, tops AS (SELECT {KEYS}, max(x) AS top FROM cleaned GROUP BY {KEYS}),
+halt AS (
+  SELECT run AS halt_run, event_id AS halt_event, low, {_WAVE} * (power(2, floor(log2((event_id - low) / {_WAVE}::DOUBLE + 1)) + 1) - 1) AS wave
+  FROM tops JOIN (SELECT run, min(event_id) AS low FROM trace_keys GROUP BY run) USING (run) WHERE top > {_STOP} ORDER BY run, event_id LIMIT 1)""")
+def batch_handler_stop(s, d):
+    """The highest samples of each event's traces, up to the first event with one over a limit; later waves of events are never read."""
+    def tops(event):
+        top = [float(x.max()) for x in event["cleaned"]]
+        return event[tr.KEYS].assign(top=[round(x, 4) for x in top]), max(top) <= _STOP
+
+    rows = runs.read_runs(s, _stored(s, d))
+    scan = probing.scan_until(rows, tops, "run int, event_id long, trace_id int, top double", bind.bad_events(rows), first_wave=_WAVE, growth=2)
+    return scan.rows.withColumn("events_read", F.lit(scan.events).cast("long"))
+
+
 @query("filter_review", f"SELECT {KEYS} FROM trace_labels WHERE run = 1 AND family = 'normal' AND label IN ('4', '5', '6', '7', '8', '9')")
 def filter_review(s, d):
     return labels.filter_review(bind.trace_labels(s, d), 1, "normal", "4+")
@@ -761,6 +782,20 @@ def sample_unlabeled_traces(s, d):
     return tr.sample_unlabeled_traces(_traces(s, d), bind.trace_labels(s, d), 20)
 
 
+@query("sample_stored_traces", f"""
+SELECT CAST(row_number() OVER (ORDER BY k) - 1 AS INT) AS pos, {KEYS} FROM (
+  SELECT min(k) AS k, {KEYS} FROM (
+    SELECT k, run, event_id, trace_id FROM probed JOIN (SELECT run, event_id, trace_id, n FROM trace_keys JOIN counts USING (run, event_id) ANTI JOIN trace_labels USING ({KEYS})) USING (run, event_id)
+    QUALIFY row_number() OVER (PARTITION BY k ORDER BY step, CASE WHEN step = 0 THEN (trace_id - start % n + n) % n ELSE trace_id END) = 1)
+  GROUP BY {KEYS} ORDER BY k LIMIT 20)""", f"""
+span AS (SELECT run, min(event_id) AS low, max(event_id) - min(event_id) + 1 AS size FROM trace_keys WHERE run = 2 GROUP BY run),
+counts AS (SELECT run, event_id, count(*) AS n FROM trace_keys ANTI JOIN bad_events USING (run, event_id) GROUP BY run, event_id),
+drawn AS (SELECT run, k, low, size, CAST('0x' || substr(md5(run || '/5/' || k), 1, 8) AS BIGINT) % size AS place, CAST('0x' || substr(md5(run || '/5/' || k), 9, 8) AS BIGINT) AS start FROM span, range({probing.ATTEMPTS}) r(k)),
+probed AS (SELECT run, k, step, low + (place + step) % size AS event_id, start FROM (SELECT *, unnest(range(least({probing.REACH}, size))) AS step FROM drawn))""")
+def sample_stored_traces(s, d):
+    return probing.sample_stored_traces(s, _stored(s, d), 2, bind.trace_labels(s, d), 20, 5, bad_events=bind.bad_events(_traces(s, d)))
+
+
 @query("sample_unlabeled_event", "SELECT run, event_id FROM event_span ANTI JOIN event_labels USING (run, event_id) ORDER BY md5(run || '/' || event_id || '/0'), run, event_id LIMIT 20", EVENT_SPAN)
 def sample_unlabeled_event(s, d):
     return labels.sample_unlabeled_events(bind.cloud_events(s, d), bind.event_labels(s, d), 20)

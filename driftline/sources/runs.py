@@ -16,7 +16,7 @@ from .tables import run_name
 EVENT_BUCKET = 256
 
 
-def _located(spark: SparkSession, path: str):
+def located(spark: SparkSession, path: str):
     """The file system, and the path with its scheme as Spark's sources show it."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = place.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -35,7 +35,7 @@ def run_files(spark: SparkSession, path: str, extension: str = "h5") -> DataFram
     part files as Spark writes it. Names run_*.<extension> whose middle is not a number are an error, and so
     are two names of one run (run_8 and run_0008); other names are not runs. An empty folder has no row. A path that does not exist is an error.
     """
-    system, root = _located(spark, path)
+    system, root = located(spark, path)
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime")
     folder = root.toString()
     if not system.getFileStatus(root).isDirectory() or _named(root.getName(), extension) is not None:
@@ -58,7 +58,7 @@ def find_run(spark: SparkSession, path: str, run: int, extension: str = "h5") ->
 
     An absent run, another run's file and two other names of the run are errors. Only names of the folder itself are looked at.
     """
-    system, root = _located(spark, path)
+    system, root = located(spark, path)
     if not system.exists(root):
         raise ValueError(f"no such path: {path}")
     single = _named(root.getName(), extension)
@@ -81,7 +81,7 @@ def write_runs(rows: DataFrame, path: str, *buckets: str) -> None:
     folder gets its name once all of it is written.
     """
     spark = rows.sparkSession
-    system, root = _located(spark, path)
+    system, root = located(spark, path)
     making = f"{root.toString()}/_making-{uuid.uuid4().hex}"
     rows.write.partitionBy("run", *buckets).parquet(making)
     to = spark._jvm.org.apache.hadoop.fs.Path
