@@ -40,20 +40,6 @@ def matrix_udf(function: Callable[[np.ndarray], np.ndarray]):
     return arrow_udf(run, "array<double>")
 
 
-def row_udf(function: Callable[[np.ndarray], object], result: str, arrow: pa.DataType):
-    """A column function from a function of one array; ``result`` and ``arrow`` are one type in both systems. Null stays null."""
-
-    def run(column: pa.Array) -> pa.Array:
-        out: list[object] = [None] * len(column)
-        for at, matrix in rows_of(column):
-            for i, row in zip(at.tolist(), matrix, strict=True):
-                out[i] = function(row)
-        return pa.array(out, arrow)
-
-    run.__annotations__ = {"column": pa.Array, "return": pa.Array}
-    return arrow_udf(run, result)
-
-
 def arrow_rows_udf(function: Callable[[np.ndarray], pa.Array], result: str, arrow: pa.DataType):
     """A column function from a function that gives, for a matrix, an Arrow array with one value for each row. Null stays null."""
 

@@ -57,46 +57,140 @@ def cdf_points(spectra: np.ndarray, thresholds: Sequence[int]) -> np.ndarray:
     return share
 
 
-def find_peaks(x: np.ndarray, separation: float, prominence: float, max_width: float, rel_height: float = 0.95, height: float | None = None) -> list[dict]:
-    """Peaks of one trace: position, height, prominence, left and right end and width at ``rel_height`` of the prominence.
+class Ranges:
+    """Answers about stretches of the rows of a matrix, from the extremes of all stretches of 1, 2, 4, ... samples."""
+
+    def __init__(self, x: np.ndarray, extreme: np.ufunc):
+        self.tables, self.beyond = [x], np.less if extreme is np.maximum else np.greater
+        while 2 ** len(self.tables) <= x.shape[1]:
+            last, step = self.tables[-1], 2 ** (len(self.tables) - 1)
+            self.tables.append(extreme(last[:, :-step], last[:, step:]))
+
+    def before(self, row: np.ndarray, at: np.ndarray, limit: np.ndarray, tie: bool) -> np.ndarray:
+        """The last place before ``at`` whose sample is beyond ``limit`` (or equals it, for ``tie``), else -1. Beyond is over for maxima, under for minima."""
+        at = at.copy()
+        for k in reversed(range(len(self.tables))):
+            begin = at - 2**k
+            some = np.flatnonzero(begin >= 0)
+            value = self.tables[k][row[some], begin[some]]
+            none = self.beyond(value, limit[some]) if tie else ~self.beyond(limit[some], value)
+            at[some[none]] -= 2**k
+        return at - 1
+
+    def after(self, row: np.ndarray, at: np.ndarray, limit: np.ndarray, tie: bool) -> np.ndarray:
+        """The first such place after ``at``, else the rows' length."""
+        at, n = at + 1, self.tables[0].shape[1]
+        for k in reversed(range(len(self.tables))):
+            some = np.flatnonzero(at + 2**k <= n)
+            value = self.tables[k][row[some], at[some]]
+            none = self.beyond(value, limit[some]) if tie else ~self.beyond(limit[some], value)
+            at[some[none]] += 2**k
+        return at
+
+    def extreme(self, row: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The extreme of the samples from ``first`` to ``last``, both included."""
+        k = np.frexp(last - first + 1)[1] - 1
+        out = np.empty(len(row))
+        for level in np.unique(k):
+            own = np.flatnonzero(k == level)
+            a, b = (self.tables[level][row[own], at] for at in (first[own], last[own] + 1 - 2**level))
+            out[own] = np.where(self.beyond(a, b), b, a)
+        return out
+
+
+def _tops(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(trace, place) of the samples and the middles of level stretches that are higher than both neighbours, in order."""
+    n = x.shape[1]
+    starts = np.ones(x.shape, bool)
+    starts[:, 1:] = x[:, 1:] != x[:, :-1]
+    first = np.flatnonzero(starts)
+    last = np.concatenate([first[1:], [x.size]]) - 1
+    level, row = x.ravel()[first], first // n
+    inner = np.flatnonzero((row[1:-1] == row[:-2]) & (row[1:-1] == row[2:]) & (level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])) + 1
+    return row[inner], (first[inner] + last[inner]) // 2 - row[inner] * n
+
+
+def _spread(marks: np.ndarray, reach: int) -> np.ndarray:
+    """The maximum of each row within ``reach`` samples of each place."""
+    reach = min(reach, marks.shape[1] - 1)
+    out, done = np.pad(marks, ((0, 0), (reach, reach))), 1
+    while done < 2 * reach + 1:  # out: the maximum of the next ``done`` samples
+        step = min(done, 2 * reach + 1 - done)
+        out = np.maximum(out[:, : out.shape[1] - step], out[:, step:])
+        done += step
+    return out
+
+
+def _apart(x: np.ndarray, row: np.ndarray, at: np.ndarray, gap: int) -> np.ndarray:
+    """Which places stay if, from high to low and from late to early among equals, those nearer than ``gap`` to one that stays go.
+
+    In rounds over all traces: a place that goes first among those near it stays, and what is near to it goes.
+    """
+    if gap <= 1:
+        return np.ones(len(row), bool)
+    order = np.lexsort((at, x[row, at], row))
+    turn = np.empty(len(row), np.int64)
+    turn[order] = np.arange(1, len(row) + 1)
+    left, stays = np.zeros(x.shape, np.int64), np.zeros(len(row), bool)
+    left[row, at] = turn
+    open_ = np.arange(len(row))
+    while len(open_):
+        first = _spread(left, gap - 1)[row[open_], at[open_]] == turn[open_]
+        stays[open_[first]] = True
+        taken = np.zeros(x.shape, np.int8)
+        taken[row[open_[first]], at[open_[first]]] = 1
+        gone = _spread(taken, gap - 1)[row[open_], at[open_]] > 0
+        left[row[open_[gone]], at[open_[gone]]] = 0
+        open_ = open_[~gone]
+    return stays
+
+
+#: Traces whose peaks are measured at once; a measure needs about 20 times their samples.
+_TOGETHER = 1024
+
+
+def peaks(x: np.ndarray, separation: float, prominence: float, max_width: float, rel_height: float = 0.95, height: float | None = None) -> dict[str, np.ndarray]:
+    """Peaks of all traces: trace, pos, height, prominence, left and right end and width at ``rel_height`` of the prominence, in order.
 
     A peak is a sample, or a level stretch (its middle counts), higher than both neighbours. Of peaks closer
     than ``separation`` the higher stays (of equal ones the later); then those of enough prominence and of
     a width from 1 to ``max_width`` stay.
     """
-    if len(x) < 3:
-        return []
-    change = np.flatnonzero(np.diff(x)) + 1
-    first, last = np.concatenate([[0], change]), np.concatenate([change - 1, [len(x) - 1]])
-    level = x[first]
-    top = np.flatnonzero((level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])) + 1
-    at = (first[top] + last[top]) // 2
+    if len(x) > _TOGETHER:
+        parts = [(i, peaks(x[i : i + _TOGETHER], separation, prominence, max_width, rel_height, height)) for i in range(0, len(x), _TOGETHER)]
+        return {k: np.concatenate([p[k] + (i if k == "trace" else 0) for i, p in parts]) for k in parts[0][1]}
+    row, at = _tops(x) if x.shape[1] >= 3 else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     if height is not None:
-        at = at[x[at] >= height]
-    gap, kept = math.ceil(separation), []
-    for i in sorted(at.tolist(), key=lambda i: (-x[i], -i)):
-        if all(abs(i - j) >= gap for j in kept):
-            kept.append(i)
-    out = []
-    for i in sorted(kept):
-        higher = np.flatnonzero(x > x[i])
-        left, right = higher[higher < i], higher[higher > i]
-        a, b = (int(left[-1]) + 1 if len(left) else 0), (int(right[0]) - 1 if len(right) else len(x) - 1)
-        base_left = i - int(np.argmin(x[a : i + 1][::-1]))
-        base_right = i + int(np.argmin(x[i : b + 1]))
-        rise = x[i] - max(x[base_left], x[base_right])
-        if rise < prominence:
-            continue
-        cut = x[i] - rel_height * rise
-        under = np.flatnonzero(x[base_left : i + 1] <= cut)
-        j = base_left + int(under[-1]) if len(under) else base_left
-        start = j + (cut - x[j]) / (x[j + 1] - x[j]) if x[j] < cut else float(j)
-        under = np.flatnonzero(x[i : base_right + 1] <= cut)
-        j = i + int(under[0]) if len(under) else base_right
-        end = j - (cut - x[j]) / (x[j - 1] - x[j]) if x[j] < cut else float(j)
-        if 1.0 <= end - start <= max_width:
-            out.append({"pos": i, "height": float(x[i]), "prominence": float(rise), "left": float(start), "right": float(end), "width": float(end - start)})
-    return out
+        row, at = (c[x[row, at] >= height] for c in (row, at))
+    kept = _apart(x, row, at, math.ceil(separation))
+    row, at = row[kept], at[kept]
+    top, high, low = x[row, at], Ranges(x, np.maximum), Ranges(x, np.minimum)
+    first, last = high.before(row, at, top, False) + 1, high.after(row, at, top, False) - 1  # up to higher samples
+    left_least, right_least = low.extreme(row, first, at), low.extreme(row, at, last)
+    rise = top - np.maximum(left_least, right_least)
+    kept = rise >= prominence
+    row, at, top, rise, left_least, right_least = (c[kept] for c in (row, at, top, rise, left_least, right_least))
+    cut = top - rel_height * rise
+    # the nearest sample at or under the cut, but not beyond the nearest lowest one
+    a = np.maximum(low.before(row, at + 1, cut, True), low.before(row, at + 1, left_least, True))
+    b = np.minimum(low.after(row, at - 1, cut, True), low.after(row, at - 1, right_least, True))
+
+    def crossing(j: np.ndarray, step: int) -> np.ndarray:
+        value, inner = x[row, j], x[row, np.clip(j + step, 0, x.shape[1] - 1)]
+        part = np.divide(cut - value, inner - value, out=np.zeros(len(j)), where=value < cut)
+        return j + step * part
+
+    start, end = crossing(a, 1), crossing(b, -1)
+    fits = (end - start >= 1.0) & (end - start <= max_width)
+    found = {"trace": row, "pos": at, "height": top, "prominence": rise, "left": start, "right": end, "width": end - start}
+    return {k: v[fits] for k, v in found.items()}
+
+
+def find_peaks(x: np.ndarray, separation: float, prominence: float, max_width: float, rel_height: float = 0.95, height: float | None = None) -> list[dict]:
+    """The peaks of one trace."""
+    found = peaks(np.asarray(x, np.float64)[None], separation, prominence, max_width, rel_height, height)
+    names = [k for k in found if k != "trace"]
+    return [dict(zip(names, row, strict=True)) for row in zip(*[found[k].tolist() for k in names], strict=True)]
 
 
 def second_derivative(x: np.ndarray) -> np.ndarray:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import signals
-from ..functions.arrays import arrow_rows_udf, matrix_udf, row_udf
+from ..functions.arrays import arrow_rows_udf, matrix_udf
 
 KEYS = ["run", "event_id", "trace_id"]
 EVENT = ["run", "event_id"]
@@ -88,12 +88,17 @@ def _saturation_rows(x: np.ndarray, threshold: float, drop: float, radius: int)
     return pa.StructArray.from_arrays([pa.array(plateau, pa.int32()), lists], names=["plateau", "drops"])
 
 
+def _peak_rows(x: np.ndarray, *parameters) -> pa.Array:
+    found = signals.peaks(x, *parameters)
+    trace, names = found.pop("trace"), list(found)
+    structs = pa.StructArray.from_arrays([pa.array(found[k], pa.int32() if k == "pos" else pa.float64()) for k in names], names=names)
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(trace, np.arange(len(x) + 1)), pa.int32()), structs)
+
+
 @lru_cache
 def _rows(name: str, *parameters):
-    """Bit flips and saturation are found in whole matrices; peaks trace by trace, as which ones stay depends on those before."""
-    if name == "peaks":
-        return row_udf(lambda x: signals.find_peaks(x, *parameters), _PEAK, _PEAK_ARROW)
-    function, kind, arrow = {"bitflips": (_bitflip_rows, _SEGMENT, _SEGMENT_ARROW), "saturation": (_saturation_rows, _PLATEAU, _PLATEAU_ARROW)}[name]
+    """Functions of whole matrices of traces that give one value of any kind for each."""
+    function, kind, arrow = {"peaks": (_peak_rows, _PEAK, _PEAK_ARROW), "bitflips": (_bitflip_rows, _SEGMENT, _SEGMENT_ARROW), "saturation": (_saturation_rows, _PLATEAU, _PLATEAU_ARROW)}[name]
     return arrow_rows_udf(lambda x: function(x, *parameters), kind, arrow)
 
 

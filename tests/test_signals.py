@@ -113,3 +113,61 @@ def test_weighted_fit():
     assert np.allclose(centre, [0, 0, 5]) and np.allclose(direction, [0, 0, 1])
     assert np.allclose(lines.fit(points, np.zeros(3))[0], points.mean(axis=0))
     assert lines.distances(np.array([3.0, 4, 5]), np.zeros(3), np.array([0, 0, 1.0])) == 5
+
+
+def _plain_peaks(x, separation, prominence, max_width, rel_height, height):
+    """Peaks of one trace by loops over its samples."""
+    n, found = len(x), []
+    i = 0
+    while i < n:
+        j = i
+        while j + 1 < n and x[j + 1] == x[i]:
+            j += 1
+        if i > 0 and j < n - 1 and x[i - 1] < x[i] > x[j + 1] and (height is None or x[i] >= height):
+            found.append((i + j) // 2)
+        i = j + 1
+    kept = []
+    for p in sorted(found, key=lambda p: (-x[p], -p)):
+        if all(abs(p - q) >= separation for q in kept):
+            kept.append(p)
+    out = []
+    for p in sorted(kept):
+        a = b = p
+        while a > 0 and x[a - 1] <= x[p]:
+            a -= 1
+        while b < n - 1 and x[b + 1] <= x[p]:
+            b += 1
+        left, right = max(j for j in range(a, p + 1) if x[j] == min(x[a : p + 1])), min(j for j in range(p, b + 1) if x[j] == min(x[p : b + 1]))
+        rise = x[p] - max(x[left], x[right])
+        if rise < prominence:
+            continue
+        cut, i, j = x[p] - rel_height * rise, p, p
+        while i > left and x[i] > cut:
+            i -= 1
+        while j < right and x[j] > cut:
+            j += 1
+        start = i + (cut - x[i]) / (x[i + 1] - x[i]) if x[i] < cut else i
+        end = j - (cut - x[j]) / (x[j - 1] - x[j]) if x[j] < cut else j
+        if 1 <= end - start <= max_width:
+            out.append((p, x[p], rise, start, end))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_peaks_of_a_matrix_equal_plain_ones(seed):
+    rng = np.random.default_rng(seed)
+    for n in (1, 2, 3, 4, 9, 40, 130):
+        x = [rng.normal(0, 50, (30, n)), np.floor(rng.normal(0, 3, (30, n))), np.cumsum(rng.normal(0, 20, (30, n)), axis=1), 10.0 * np.cumsum(rng.integers(-1, 2, (30, n)), axis=1)][seed]
+        for p in ((50, 20, 50, 0.95, None), (1, 1, 9, 0.5, None), (3.5, 0, 50, 1.0, 10.0), (0, 5, 20, 1.3, None)):
+            found = signals.peaks(x, *p)
+            rows = list(zip(*[found[k].tolist() for k in ("trace", "pos", "height", "prominence", "left", "right")], strict=True))
+            want = [(t, *q) for t, row in enumerate(x) for q in _plain_peaks(row, *p)]
+            assert [r[:2] for r in rows] == [w[:2] for w in want] and np.allclose(np.array(rows).reshape(-1, 6), np.array(want).reshape(-1, 6))
+
+
+def test_many_traces_are_measured_in_parts():
+    x = np.random.default_rng(0).normal(0, 50, (2 * signals._TOGETHER + 7, 24))
+    found = signals.peaks(x, 4, 20, 50)
+    assert found["trace"].max() > 2 * signals._TOGETHER and (np.diff(found["trace"]) >= 0).all()
+    one = signals.peaks(x[-1:], 4, 20, 50)
+    assert found["pos"][found["trace"] == len(x) - 1].tolist() == one["pos"].tolist()
