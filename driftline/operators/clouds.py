@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lines as ln
+from ..functions.axes import forward, leading_axes, let, upright
 from .labels import suggest_event_label
 from .traces import EVENT
 
@@ -36,11 +36,6 @@ def _moments(hits: DataFrame, *extra: Column) -> DataFrame:
     return hits.groupBy(*EVENT).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m{c}") for c in "xyz"], *[F.covar_pop(a, b).alias(f"c{a}{b}") for a, b in pairs], *extra)
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once: the optimizer does not copy it into each place of its use."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _eigenvalues() -> Column:
     """The least and the greatest eigenvalue (small, big) of an event's covariance, in closed form."""
     a, b, c, d, e, f = (F.col(x) for x in ("cxx", "cyy", "czz", "cxy", "cxz", "cyz"))
@@ -49,17 +44,17 @@ def _eigenvalues() -> Column:
         p = F.sqrt(((a - q) * (a - q) + (b - q) * (b - q) + (c - q) * (c - q) + 2 * (d * d + e * e + f * f)) / 6)
         det = (a - q) * ((b - q) * (c - q) - f * f) - d * (d * (c - q) - f * e) + e * (d * f - (b - q) * e)
         angle = lambda p: F.acos(F.greatest(F.least(F.try_divide(det, 2 * p * p * p), F.lit(1.0)), F.lit(-1.0))) / 3
-        return _let(p, lambda p: _let(angle(p), lambda phi: ends(q, p, phi)))
+        return let(p, lambda p: let(angle(p), lambda phi: ends(q, p, phi)))
 
     def ends(q: Column, p: Column, phi: Column) -> Column:
         return F.struct(F.when(p > 0, q + 2 * p * F.cos(phi + 2 * math.pi / 3)).otherwise(q).alias("small"), F.when(p > 0, q + 2 * p * F.cos(phi)).otherwise(q).alias("big"))
 
-    return _let((a + b + c) / 3, from_mean)
+    return let((a + b + c) / 3, from_mean)
 
 
 def coplanar_ratio(events: DataFrame, hits: DataFrame) -> DataFrame:
     """(run, event_id, n_hits, ratio) of every event: least over greatest variance, null under 3 hits or without spread."""
-    share = _let(_eigenvalues(), lambda v: F.when(v["big"] > 0, F.when(F.abs(v["small"]) < 1e-12 * v["big"], 0.0).otherwise(v["small"] / v["big"])))
+    share = let(_eigenvalues(), lambda v: F.when(v["big"] > 0, F.when(F.abs(v["small"]) < 1e-12 * v["big"], 0.0).otherwise(v["small"] / v["big"])))
     stats, ratio = _moments(hits), F.when(F.col("n") >= 3, share)
     return events.join(stats.select(*EVENT, "n", ratio.alias("ratio")), EVENT, "left").select(*EVENT, F.coalesce("n", F.lit(0)).alias("n_hits"), "ratio")
 
@@ -107,23 +102,13 @@ def drift_z(time_bucket: Column, micromegas: Column | float = 10.0, window: Colu
 def project_hits(hits: DataFrame) -> DataFrame:
     """Hits with u and v, their coordinates on the event's two leading axes; null under 3 hits or for a hit that is not finite.
 
-    The sign of each axis makes its largest component positive. Moments are summed by Spark; the axes of an
-    event come from its 3 x 3 covariance, one row per event.
+    The sign of each axis makes its largest component positive. The axes of an event are expressions of its moments, one row per event.
     """
     finite = sum((F.abs(F.col(c)) for c in "xyz"), F.lit(0.0)) < float("inf")
-
-    def axes(batches):
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                cov = np.array([[r.cxx, r.cxy, r.cxz], [r.cxy, r.cyy, r.cyz], [r.cxz, r.cyz, r.czz]])
-                vectors = np.linalg.eigh(cov)[1][:, ::-1][:, :2].T
-                out.append([v * np.sign(v[np.argmax(np.abs(v))]) for v in vectors])
-            yield pd.DataFrame({"run": pdf.run, "event_id": pdf.event_id, "mx": pdf.mx, "my": pdf.my, "mz": pdf.mz, "a": [o[0].tolist() for o in out], "b": [o[1].tolist() for o in out]})
-
-    stats = _moments(hits.where(finite)).where("n >= 3").mapInPandas(axes, "run int, event_id long, mx double, my double, mz double, a array<double>, b array<double>")
+    axes = leading_axes(*[F.col(c) for c in ("cxx", "cyy", "czz", "cxy", "cxz", "cyz")])
+    stats = _moments(hits.where(finite)).where("n >= 3").select(*EVENT, "mx", "my", "mz", let(axes, lambda v: F.struct(forward(v["first"]).alias("u"), forward(v["second"]).alias("v"))).alias("_axes"))
     centred = [F.when(finite, F.col(c) - F.col(f"m{c}")) for c in "xyz"]
-    both = {n: sum((centred[i] * F.col(axis)[i] for i in range(3)), F.lit(0.0)) for n, axis in (("u", "a"), ("v", "b"))}
+    both = {n: sum((centred[i] * F.col(f"_axes.{n}")[i] for i in range(3)), F.lit(0.0)) for n in "uv"}
     return hits.join(stats, EVENT, "left").withColumns(both).select(*hits.columns, "u", "v")
 
 
@@ -165,26 +150,21 @@ def merge_lines(lines: DataFrame, merge: ln.MergeParams = ln.MergeParams()) -> D
 
 
 def fit_line(hits: DataFrame, weight: str | None = None) -> DataFrame:
-    """(run, event_id, centroid, direction) of one line through all hits of each event, from weighted sums; see ``functions.lines.fit``."""
+    """(run, event_id, centroid, direction) of one line through all hits of each event, from weighted sums; see ``functions.lines.fit``.
+
+    Where no weight is positive all hits count alike. Hits without any spread have the direction x.
+    """
     w = F.lit(1.0) if weight is None else F.greatest(F.col(weight), F.lit(0.0))
-    rows = hits.withColumn("_w", w)
-    if weight is not None:
-        rows = rows.withColumn("_w", F.when(F.sum("_w").over(Window.partitionBy(*EVENT)) > 0, F.col("_w")).otherwise(1.0))
     pairs = [("x", "x"), ("y", "y"), ("z", "z"), ("x", "y"), ("x", "z"), ("y", "z")]
-    centre = rows.groupBy(*EVENT).agg(F.sum("_w").alias("_n"), *[(F.sum(F.col("_w") * F.col(c)) / F.sum("_w")).alias(f"c{c}") for c in "xyz"])
+    rows = hits.withColumn("_w", w)
+    sums = rows.groupBy(*EVENT).agg(F.sum("_w").alias("_n"), F.count("*").alias("_all"), *[F.sum(F.col("_w") * F.col(c)).alias(f"_w{c}") for c in "xyz"], *[F.avg(c).alias(f"_m{c}") for c in "xyz"])
+    some = F.col("_n") > 0
+    centre = sums.select(*EVENT, some.alias("_some"), F.when(some, F.col("_n")).otherwise(F.col("_all")).alias("_n"), *[F.when(some, F.try_divide(f"_w{c}", "_n")).otherwise(F.col(f"_m{c}")).alias(f"c{c}") for c in "xyz"])
     # centred before squaring: the sums of squares of large coordinates would lose digits
-    around = rows.join(centre, EVENT).groupBy(*EVENT, "cx", "cy", "cz").agg(*[(F.sum(F.col("_w") * (F.col(a) - F.col(f"c{a}")) * (F.col(b) - F.col(f"c{b}"))) / F.first("_n")).alias(a + b) for a, b in pairs])
-
-    def axes(batches):
-        for pdf in batches:
-            d = []
-            for r in pdf.itertuples(index=False):
-                v = np.linalg.eigh(np.array([[r.xx, r.xy, r.xz], [r.xy, r.yy, r.yz], [r.xz, r.yz, r.zz]]))[1][:, -1]
-                d.append(v if v[2] >= 0 else -v)
-            d = np.array(d).reshape(-1, 3)
-            yield pdf[["run", "event_id", "cx", "cy", "cz"]].assign(dx=d[:, 0], dy=d[:, 1], dz=d[:, 2])
-
-    return around.mapInPandas(axes, "run int, event_id long, cx double, cy double, cz double, dx double, dy double, dz double")
+    own = F.when(F.col("_some"), F.col("_w")).otherwise(1.0)
+    around = rows.join(centre, EVENT).groupBy(*EVENT, "cx", "cy", "cz").agg(*[(F.sum(own * (F.col(a) - F.col(f"c{a}")) * (F.col(b) - F.col(f"c{b}"))) / F.first("_n")).alias(a + b) for a, b in pairs])
+    axis = let(leading_axes(*[F.col(a + b) for a, b in pairs])["first"], upright).alias("_d")
+    return around.select(*EVENT, "cx", "cy", "cz", axis).select(*EVENT, "cx", "cy", "cz", *[F.col("_d")[i].alias(f"d{c}") for i, c in enumerate("xyz")])
 
 
 def line_points(lines: DataFrame) -> DataFrame:
