@@ -116,27 +116,81 @@ def event_hits(hits: DataFrame, length: float = 1000.0) -> DataFrame:
     return project_hits(filter_hits_z(hits, length))
 
 
-def extract_lines(hits: DataFrame, find: ln.FindParams = ln.FindParams(), merge: ln.MergeParams | None = ln.MergeParams(), weighted: bool = True) -> DataFrame:
+def extract_lines(hits: DataFrame, find: ln.FindParams = ln.FindParams(), merge: ln.MergeParams | None = ln.MergeParams(), weighted: bool = True, counted: bool = False) -> DataFrame:
     """(run, event_id, line_id, hit_ids, centroid, direction): each event's lines, merged and refitted with the amplitudes as weights.
 
-    One event is one group: it holds thousands of hits at most, a bound of the detector.
+    ``counted``: trials are drawn by md5, as in ``ransac_mask``, instead of by numpy's generator. One event is one group: it holds thousands of hits at most, a bound of the detector.
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("hit_id")
         points, ids = pdf[["x", "y", "z"]].to_numpy(), pdf["hit_id"].to_numpy()
-        found = ln.find(points, find)
+        key = int(pdf["run"].iloc[0]), int(pdf["event_id"].iloc[0])
+        found = ln.find(points, find, ln.CountedDraw(*key) if counted else None)
         if merge is not None:
             found = ln.merge(found, merge)
         rows = []
         for i, line in enumerate(found):
             c, d = ln.fit(points[line.at], pdf["amplitude"].to_numpy()[line.at]) if weighted else (line.centroid, line.direction)
-            rows.append((int(pdf["run"].iloc[0]), int(pdf["event_id"].iloc[0]), i, ids[line.at].astype(np.int32).tolist(), *map(float, c), *map(float, d)))
+            rows.append((*key, i, ids[line.at].astype(np.int32).tolist(), *map(float, c), *map(float, d)))
         return pd.DataFrame(rows, columns=["run", "event_id", "line_id", "hit_ids", "cx", "cy", "cz", "dx", "dy", "dz"])
 
     return hits.select(*EVENT, "hit_id", "x", "y", "z", "amplitude").groupBy(*EVENT).applyInPandas(one, LINE_SCHEMA)
 
 
+def line_trials(hits: DataFrame, find: ln.FindParams = ln.FindParams(), attempt: int = 0) -> DataFrame:
+    """(run, event_id, trial, start, along, hits, every, error): each trial's line through two hits of its event, how many hits lie near it, whether all, and how far off.
+
+    A trial joins a hit near the axis with one further out (any two if all are on one side), drawn by the md5 of run, event,
+    attempt and trial from the hits in order of hit_id. Trials whose hits are one point have no line and are left out. Each
+    trial meets the hits of its event only; what they add is summed before the shuffle.
+    """
+    event, place = [F.col(c) for c in EVENT], F.struct("x", "y", "z")
+    inner = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y")) < find.start_radius
+    whole = Window.partitionBy(*EVENT)
+    rows = hits.select(*EVENT, "hit_id", "x", "y", "z", inner.alias("_inner")).withColumns({"_n": F.count("*").over(whole), "_near": F.count_if("_inner").over(whole)})
+    mixed = (F.col("_near") > 0) & (F.col("_near") < F.col("_n"))
+    rows = rows.withColumn("_side", F.when(mixed, F.col("_inner").cast("int")).otherwise(2)).where("_n >= 2")
+    rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy(*EVENT, "_side").orderBy("hit_id")) - 1)
+    events = rows.groupBy(*EVENT).agg(F.first("_n").alias("_n"), F.first("_near").alias("_near"), F.first("_side").alias("_any"))
+    trials = events.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(find.trials - 1))))
+    drawn = F.md5(F.concat_ws("/", *[c.cast("string") for c in event], F.lit(str(attempt)), F.col("trial").cast("string")))
+    number = lambda at: F.conv(F.substring(drawn, at, 8), 16, 10).cast("long")
+    sides = F.when(F.col("_any") == 2, F.struct(F.lit(2).alias("a"), F.col("_n").alias("na"), F.lit(2).alias("b"), F.col("_n").alias("nb"))).otherwise(F.struct(F.lit(1).alias("a"), F.col("_near").alias("na"), F.lit(0).alias("b"), (F.col("_n") - F.col("_near")).alias("nb")))
+    trials = trials.withColumn("_s", sides).select(*EVENT, "trial", "_n", F.col("_s.a").alias("_a"), (number(1) % F.col("_s.na")).cast("int").alias("_i"), F.col("_s.b").alias("_b"), (number(9) % F.col("_s.nb")).cast("int").alias("_j"))
+    hit = lambda side, at, name: rows.select(*EVENT, F.col("_side").alias(side), F.col("_at").alias(at), place.alias(name))
+    lines = trials.join(hit("_a", "_i", "start"), [*EVENT, "_a", "_i"]).join(hit("_b", "_j", "_to"), [*EVENT, "_b", "_j"])
+    step = [F.col(f"_to.{c}") - F.col(f"start.{c}") for c in "xyz"]
+    size = F.sqrt(sum((x * x for x in step), F.lit(0.0)))
+    lines = lines.withColumn("_size", size).where("_size > 0").select(*EVENT, "trial", "_n", "start", F.struct(*[(x / F.col("_size")).alias(c) for x, c in zip(step, "xyz", strict=True)]).alias("along"))
+    far = _off_trial()
+    near = lines.join(rows.select(*EVENT, "x", "y", "z"), EVENT).groupBy(*EVENT, "trial", "_n", "start", "along").agg(F.count_if(far <= find.residual).alias("hits"), F.sum(F.when(far <= find.residual, far).otherwise(0.0)).alias("error"))
+    return near.select(*EVENT, "trial", "start", "along", "hits", (F.col("hits") == F.col("_n")).alias("every"), "error")
+
+
+def _off_trial() -> Column:
+    return point_line_distance([F.col(c) for c in "xyz"], [F.col(f"start.{c}") for c in "xyz"], [F.col(f"along.{c}") for c in "xyz"])
+
+
+def ransac_mask(hits: DataFrame, find: ln.FindParams = ln.FindParams(), attempt: int = 0) -> DataFrame:
+    """(run, event_id, hit_id) of the hits near each event's best trial; see ``functions.lines.sampled``, whose counted draws these are.
+
+    The best trial is the first that covers every hit, else that with the most hits, the least error and the least number. Where
+    its hits span a plane z = ax + by + c, all hits within the residual of it in z are taken instead. Events whose trials have no hits have no row.
+    """
+    trials = line_trials(hits, find, attempt).where("hits > 0")
+    rank = F.struct((~F.col("every")).alias("_part"), F.when(F.col("every"), F.col("trial")).alias("_first"), (-F.col("hits")).alias("_few"), "error", "trial")
+    best = trials.groupBy(*EVENT).agg(F.min_by(F.struct("start", "along"), rank).alias("_b")).select(*EVENT, "_b.*")
+    own = hits.select(*EVENT, "hit_id", "x", "y", "z").join(best, EVENT).withColumn("_on", _off_trial() <= find.residual)
+    centre = own.where("_on").groupBy(*EVENT).agg(F.count("*").alias("_k"), *[F.avg(c).alias(f"_m{c}") for c in "xyz"], *[F.covar_pop(a, b).alias(f"_{a}{b}") for a, b in ("xx", "yy", "xy", "xz", "yz")])
+    det = F.col("_xx") * F.col("_yy") - F.col("_xy") * F.col("_xy")
+    flat = (F.col("_k") >= 3) & (det > 1e-12 * F.col("_xx") * F.col("_yy"))
+    a, b = (F.col("_xz") * F.col("_yy") - F.col("_yz") * F.col("_xy")) / det, (F.col("_yz") * F.col("_xx") - F.col("_xz") * F.col("_xy")) / det
+    planes = centre.select(*EVENT, F.when(flat, F.struct(a.alias("a"), b.alias("b"), F.col("_mx").alias("x"), F.col("_my").alias("y"), F.col("_mz").alias("z"))).alias("_p"))
+    off = F.abs(F.col("z") - F.col("_p.z") - F.col("_p.a") * (F.col("x") - F.col("_p.x")) - F.col("_p.b") * (F.col("y") - F.col("_p.y")))
+    return own.join(planes, EVENT).where(F.when(F.col("_p").isNotNull(), off <= find.residual).otherwise(F.col("_on"))).select(*EVENT, "hit_id")
+
+
 def merge_lines(lines: DataFrame, merge: ln.MergeParams = ln.MergeParams()) -> DataFrame:
     """Lines of each event joined by ``functions.lines.merge`` in the order of line_id, and numbered anew. An event has few lines."""
 

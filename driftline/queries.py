@@ -8,6 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.lines import FindParams
 from .operators import clouds, hits, histograms, labels, pads, predicates, probing, relabel
 from .operators import traces as tr
 from .sources import bind, runs, tables
@@ -1032,13 +1033,44 @@ def line_totals(s, d):
     return clouds.line_totals(bind.cloud_events(s, d), bind.hits(s, d), _given(s, d))
 
 
-def _found(s, d, **p) -> DataFrame:
-    return clouds.extract_lines(bind.hits(s, d), **p)
+# Lines are sought among hits of which two of three lie on one of two tracks, by trials that md5 draws.
+_FIND = FindParams(trials=60, tries=3)
 
 
-@query("extract_lines")
+def _tried_sql(k: int, p: FindParams = _FIND) -> str:
+    """CTEs from free{k} (run, event_id, hit_id, x, y, z), the hits left before attempt k, to near{k}, those near its best trial."""
+    line = "power((y - sy) * dz - (z - sz) * dy, 2) + power((z - sz) * dx - (x - sx) * dz, 2) + power((x - sx) * dy - (y - sy) * dx, 2)"
+    return f"""
+side{k} AS (SELECT *, CASE WHEN near BETWEEN 1 AND n - 1 THEN CAST(inside AS INT) ELSE 2 END AS side FROM (SELECT *, sum(CAST(inside AS INT)) OVER w AS near FROM (SELECT *, sqrt(x * x + y * y) < {p.start_radius} AS inside, count(*) OVER (PARTITION BY run, event_id) AS n FROM free{k}) WINDOW w AS (PARTITION BY run, event_id)) WHERE n >= 2),
+pick{k} AS (SELECT *, row_number() OVER (PARTITION BY run, event_id, side ORDER BY hit_id) - 1 AS place, count(*) OVER (PARTITION BY run, event_id, side) AS of FROM side{k}),
+drawn{k} AS (SELECT DISTINCT run, event_id, t, md5(run || '/' || event_id || '/{k}/' || t) AS d, min(side) OVER (PARTITION BY run, event_id) AS far_side, max(side) OVER (PARTITION BY run, event_id) AS near_side, n FROM side{k}, range({p.trials}) r(t)),
+line{k} AS (SELECT * FROM (
+  SELECT g.run, g.event_id, t, g.n, a.x AS sx, a.y AS sy, a.z AS sz, (b.x - a.x) / len AS dx, (b.y - a.y) / len AS dy, (b.z - a.z) / len AS dz
+  FROM drawn{k} g JOIN pick{k} a ON a.run = g.run AND a.event_id = g.event_id AND a.side = near_side AND a.place = CAST('0x' || substr(d, 1, 8) AS BIGINT) % a.of
+  JOIN pick{k} b ON b.run = g.run AND b.event_id = g.event_id AND b.side = far_side AND b.place = CAST('0x' || substr(d, 9, 8) AS BIGINT) % b.of, LATERAL (SELECT nullif(sqrt(power(b.x - a.x, 2) + power(b.y - a.y, 2) + power(b.z - a.z, 2)), 0) AS len)) WHERE dx IS NOT NULL),
+trial{k} AS (SELECT run, event_id, t, any_value(n) AS n, count(*) AS hits, sum(off) AS error FROM (SELECT run, event_id, t, l.n, sqrt({line}) AS off FROM line{k} l JOIN free{k} f USING (run, event_id)) WHERE off <= {p.residual} GROUP BY run, event_id, t),
+best{k} AS (SELECT * FROM (SELECT run, event_id, t FROM trial{k} QUALIFY row_number() OVER (PARTITION BY run, event_id ORDER BY CASE WHEN hits = n THEN t ELSE 1000000 END, hits DESC, error, t) = 1) JOIN line{k} USING (run, event_id, t)),
+on{k} AS (SELECT f.*, sqrt({line}) <= {p.residual} AS own FROM free{k} f JOIN best{k} b USING (run, event_id)),
+plane{k} AS (SELECT run, event_id, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, covar_pop(x, x) AS xx, covar_pop(y, y) AS yy, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, z) AS yz FROM on{k} WHERE own GROUP BY run, event_id),
+near{k} AS (SELECT run, event_id, hit_id, x, y, z FROM on{k} JOIN plane{k} USING (run, event_id) WHERE abs(z - mz - (xz * yy - yz * xy) / (xx * yy - xy * xy) * (x - mx) - (yz * xx - xz * xy) / (xx * yy - xy * xy) * (y - my)) <= {p.residual})"""
+
+
+def _lines_sql(p: FindParams = _FIND) -> str:
+    """CTEs that end in found(run, event_id, line_id, hit_id, x, y, z). An attempt whose hits are too few or too far from the axis is spent."""
+    all_ = "all_hits AS (SELECT run, event_id, count(*) AS n FROM track_hits GROUP BY run, event_id), free0 AS (SELECT run, event_id, hit_id, x, y, z FROM track_hits SEMI JOIN (SELECT * FROM all_hits WHERE n >= {0}) USING (run, event_id))".format(p.min_hits)
+    steps = [all_]
+    for k in range(p.tries):
+        own = f"own{k} AS (SELECT * FROM near{k} SEMI JOIN (SELECT run, event_id FROM near{k} GROUP BY run, event_id HAVING count(*) >= {p.min_hits} AND min(sqrt(x * x + y * y)) < {p.start_radius}) USING (run, event_id))"
+        left = f"left{k} AS (SELECT * FROM free{k} ANTI JOIN own{k} USING (run, event_id, hit_id)), free{k + 1} AS (SELECT * FROM left{k} SEMI JOIN (SELECT run, event_id FROM left{k} JOIN all_hits USING (run, event_id) GROUP BY run, event_id, n HAVING count(*) >= {p.min_hits} AND n - count(*) < {p.target_share} * n) USING (run, event_id) SEMI JOIN near{k} USING (run, event_id))"
+        steps += [_tried_sql(k, p), own, left]
+    found = " UNION ALL ".join(f"SELECT {k} AS k, * FROM own{k}" for k in range(p.tries))
+    return ", ".join([*steps, f"found AS (SELECT run, event_id, CAST(dense_rank() OVER (PARTITION BY run, event_id ORDER BY k) - 1 AS INT) AS line_id, hit_id, x, y, z FROM ({found}))"])
+
+
+@query("extract_lines", "SELECT run, event_id, line_id, CAST(n AS INT) AS n_hits, round(mx, 4) + 0.0 AS cx, round(my, 4) + 0.0 AS cy, round(mz, 4) AS cz, " + ", ".join(f"round(v1[{k}] * CASE WHEN v1[3] < 0 THEN -1 ELSE 1 END, 4) + 0.0 AS d{n}" for k, n in ((1, "x"), (2, "y"), (3, "z"))) + " FROM axes", f"{_lines_sql()}, {_MOMENTS.format('found').replace('event_id, count', 'event_id, line_id, count').replace('GROUP BY run, event_id', 'GROUP BY run, event_id, line_id')}, {AXES}")
 def extract_lines(s, d):
-    return _found(s, d, merge=None, weighted=False).select(*tr.EVENT, "line_id", F.size("hit_ids").alias("n_hits"), *[F.round(c, 4).alias(c) for c in ("cx", "cy", "cz", "dx", "dy", "dz")])
+    found = clouds.extract_lines(bind.track_hits(s, d), _FIND, None, False, counted=True)
+    return found.select(*tr.EVENT, "line_id", F.size("hit_ids").alias("n_hits"), *[(F.round(c, 4) + 0.0).alias(c) for c in ("cx", "cy", "cz", "dx", "dy", "dz")])
 
 
 _NEAR_LINE = "sqrt(power((a.cy - b.cy) * b.dz - (a.cz - b.cz) * b.dy, 2) + power((a.cz - b.cz) * b.dx - (a.cx - b.cx) * b.dz, 2) + power((a.cx - b.cx) * b.dy - (a.cy - b.cy) * b.dx, 2)) < 30 AND degrees(acos(greatest(least(a.dx * b.dx + a.dy * b.dy + a.dz * b.dz, 1.0), -1.0))) < 3"
@@ -1051,11 +1083,9 @@ def merge_lines(s, d):
     return clouds.merge_lines(_given(s, d)).select(*tr.EVENT, "line_id", F.size("hit_ids").alias("n_hits"), (F.round("cy", 4) + 0.0).alias("cy"), F.round("dx", 6).alias("dx"), F.round("dz", 6).alias("dz"))
 
 
-@query("ransac_mask")
+@query("ransac_mask", "SELECT run, event_id, hit_id FROM near0", f"free0 AS (SELECT run, event_id, hit_id, x, y, z FROM track_hits), {_tried_sql(0)}")
 def ransac_mask(s, d):
-    from .functions.lines import FindParams
-
-    return clouds.line_points(_found(s, d, find=FindParams(tries=1), merge=None, weighted=False))
+    return clouds.ransac_mask(bind.track_hits(s, d), _FIND)
 
 
 @query("line_labels", "SELECT h.run, h.event_id, hit_id, coalesce(line_id, -1) AS line_id, n AS lines, CAST(n AS VARCHAR) AS suggested FROM hits h LEFT JOIN members m USING (run, event_id, hit_id) JOIN (SELECT run, event_id, count(*) AS n FROM given GROUP BY run, event_id) USING (run, event_id)", _GIVEN)

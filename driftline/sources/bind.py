@@ -60,6 +60,13 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def track_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hits of each event with two of three moved to one of two tracks from the axis, a few units off; the third stays where it was."""
+    lane, turn, tilt = "(hit_id % 3)", "radians(event_id * 37 % 360 + hit_id % 3 * 100)", "radians(30 + event_id % 5 * 10)"
+    moved = {"x": f"z * sin({tilt}) * cos({turn}) + (amplitude % 5 - 2)", "y": f"z * sin({tilt}) * sin({turn}) + (pad_id % 7 - 3) * 0.8D", "z": f"z * cos({tilt}) + (trace_id - 4) * 0.5D"}
+    return hits(spark, sf_dir).selectExpr("run", "event_id", "hit_id", *[f"CASE WHEN {lane} < 2 THEN {e} ELSE {c} END AS {c}" for c, e in moved.items()], "amplitude")
+
+
 def cloud_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every supplier's event, with hits or without."""
     return table(spark, sf_dir, "supplier").selectExpr("CAST(s_suppkey % 2 + 1 AS INT) AS run", "s_suppkey AS event_id")
@@ -96,6 +103,10 @@ hits AS (
          CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_partkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) - 1 AS INT) AS hit_id,
          l_quantity * 8 - 200 AS x, (l_discount - CAST(0.05 AS DOUBLE)) * CASE WHEN l_suppkey % 4 = 0 THEN 800 ELSE 4000 END AS y, l_extendedprice / 105 AS z, l_quantity AS amplitude, l_quantity * (1 + l_tax) AS integral,
          l_partkey AS pad_id, l_extendedprice / 200 AS time_bucket, CAST(1.0 AS DOUBLE) AS scale, l_linenumber AS trace_id FROM lineitem),
+track_hits AS (
+  SELECT run, event_id, hit_id, CASE WHEN hit_id % 3 < 2 THEN z * sin(tilt) * cos(turn) + (amplitude % 5 - 2) ELSE x END AS x, CASE WHEN hit_id % 3 < 2 THEN z * sin(tilt) * sin(turn) + (pad_id % 7 - 3) * CAST(0.8 AS DOUBLE) ELSE y END AS y,
+         CASE WHEN hit_id % 3 < 2 THEN z * cos(tilt) + (trace_id - 4) * CAST(0.5 AS DOUBLE) ELSE z END AS z, amplitude
+  FROM (SELECT *, radians(event_id * 37 % 360 + hit_id % 3 * 100) AS turn, radians(30 + event_id % 5 * 10) AS tilt FROM hits)),
 cloud_events AS (SELECT CAST(s_suppkey % 2 + 1 AS INT) AS run, s_suppkey AS event_id FROM supplier),
 pads AS (
   SELECT CAST(p_partkey AS INT) AS pad, (p_partkey % 100) * CAST(2.5 AS DOUBLE) AS x, (p_partkey // 100) * CAST(4.25 AS DOUBLE) AS y, CAST(CASE WHEN p_size % 2 = 0 THEN 0.5 ELSE 1.0 END AS DOUBLE) AS scale,
