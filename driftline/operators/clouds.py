@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions import lines as ln
 from ..functions.axes import forward, leading_axes, let, upright
+from ..sources.shared import durable
+from ..sources.tables import demanded
 from .labels import suggest_event_label
 from .traces import EVENT
 
+#: Runs whose parameters may be broadcast.
+MOST_RUNS = 100_000
 COPLANAR_BINS, COPLANAR_MAX = 500, 0.05
 COPLANAR_THRESHOLDS = (0.001, 0.01, 0.02, 0.05)
 LINE_SCHEMA = "run int, event_id long, line_id int, hit_ids array<int>, cx double, cy double, cz double, dx double, dy double, dz double"
@@ -112,8 +116,20 @@ def project_hits(hits: DataFrame) -> DataFrame:
     return hits.join(stats, EVENT, "left").withColumns(both).select(*hits.columns, "u", "v")
 
 
-def event_hits(hits: DataFrame, length: float = 1000.0) -> DataFrame:
-    return project_hits(filter_hits_z(hits, length))
+def event_hits(hits: DataFrame, length: float = 1000.0, processing: DataFrame | None = None) -> DataFrame:
+    """Hits within the detector, with their coordinates on the event's leading axes.
+
+    ``processing`` has one row for each run, as ``processing_params`` gives it. All of it is checked before hits are read: a
+    parameter without a value is an error at once. Each hit then gets the struct ``processing`` of its run, whose detector_length
+    takes the place of ``length``. A run that it lacks is an error.
+    """
+    if processing is None:
+        return project_hits(filter_hits_z(hits, length))
+    known = durable(processing)
+    own = known.select("run", F.struct(*[c for c in known.columns if c != "run"]).alias("processing"))
+    rows = hits.join(F.broadcast(own) if own.limit(MOST_RUNS + 1).count() <= MOST_RUNS else own, "run", "left")
+    rows = demanded(rows, F.col("processing").isNotNull(), F.concat(F.lit("no parameters of run "), F.col("run").cast("string")))
+    return project_hits(rows.where(F.col("z").between(F.lit(0.0), F.col("processing.detector_length")))).select(*hits.columns, "u", "v", "processing")
 
 
 def extract_lines(hits: DataFrame, find: ln.FindParams = ln.FindParams(), merge: ln.MergeParams | None = ln.MergeParams(), weighted: bool = True, counted: bool = False) -> DataFrame:

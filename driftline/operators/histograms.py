@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,21 @@ METRICS = ("amplitude", "baseline", "cdf", "bitflip", "saturation")
 MODES = ("all", "labeled", "filtered", "veto")
 
 
+# The bins of each metric's variants (of cdf, those of the value), and the names of the axes.
+AXES = {
+    "amplitude": {"peaks": (8192, "Amplitude", "Peak count")},
+    "baseline": {"samples": (8193, "Baseline value", "Sample count")},
+    "cdf": {"cdf": (100, None, None)},
+    "bitflip": {
+        "baseline": (8193, "Second-derivative value", "Sample count"),
+        "value": (8192, "Absolute second-derivative value", "Count"),
+        "length": (256, "Qualified alternating-run length", "Trace count"),
+        "count": (256, "Found bitflip structures", "Trace count"),
+    },
+    "saturation": {"drop": (500, "Drop from local maximum", "Count"), "length": (256, "Plateau length", "Trace count")},
+}
+
+
 def _point(variant: str, x: Column, y: Column | None = None) -> Column:
     return F.struct(F.lit(variant).alias("variant"), x.cast("int").alias("bin_x"), (F.lit(0) if y is None else y).cast("int").alias("bin_y"))
 
@@ -110,6 +127,36 @@ def filtered_trace_count(filter_rows: DataFrame) -> DataFrame:
     return filter_rows.groupBy("run").agg(F.count("*").alias("traces"))
 
 
+class FilteredHistogram(NamedTuple):
+    """Counts of bins, of which there may be none, and a row of metadata for every run and variant."""
+
+    rows: DataFrame
+    metadata: DataFrame
+
+
+def filtered_histogram(metric: str, traces: DataFrame, runs: DataFrame, filter_rows: DataFrame, filter_name: str, veto: bool = False, **p) -> FilteredHistogram:
+    """The histogram of traces that a filter set names, or with ``veto`` of all others, of each of ``runs``, and what it is of.
+
+    metadata: (run, metric, mode, variant, filter_name, veto, title, trace_count, series, bin_count, bin_label, count_label,
+    parameters). It outlives an empty selection, with trace_count 0 and no series. trace_count is that of the names, repeats
+    included, read or not; with veto that of the traces left. Counts of traces read keys only.
+    """
+    mode = "veto" if veto else "filtered"
+    rows = histogram(metric, traces, mode, filter_rows=filter_rows, **p)
+    counts = filtered_trace_count(traces.select(*tr.KEYS).join(filter_rows.select(*tr.KEYS), tr.KEYS, "left_anti") if veto else filter_rows)
+    wanted = {v: axes for v, axes in AXES[metric].items() if p.get("variant") in (None, v)}
+    kind = "array<struct<variant:string,bin_count:int,bin_label:string,count_label:string>>"
+    axes = F.array(*[F.struct(*map(F.lit, (v, *a))) for v, a in wanted.items()]).cast(kind)
+    used = {"scale": tr.SCALE} | {k: float(v) for k, v in p.items() if isinstance(v, (int, float))}
+    every = runs.select("run").distinct().join(counts, "run", "left").withColumn("trace_count", F.coalesce("traces", F.lit(0)))
+    about = every.select("run", "trace_count", F.explode(axes).alias("_a")).select("run", "trace_count", "_a.*")
+    title = f"{'Vetoed' if veto else 'Filtered'} traces · {filter_name}"
+    parameters = F.create_map(*[F.lit(x) for k in sorted(used) for x in (k, used[k])])
+    named = {"metric": F.lit(metric), "mode": F.lit(mode), "filter_name": F.lit(filter_name), "veto": F.lit(veto), "title": F.lit(title), "series": (F.col("trace_count") > 0).cast("int"), "parameters": parameters}
+    order = ["run", "metric", "mode", "variant", "filter_name", "veto", "title", "trace_count", "series", "bin_count", "bin_label", "count_label", "parameters"]
+    return FilteredHistogram(rows, about.withColumns(named).select(*order))
+
+
 def cdf_projection(histograms: DataFrame, threshold: int) -> DataFrame:
     """The row of a cdf histogram whose threshold is nearest, the first on ties."""
     cdf = histograms.where("metric = 'cdf'")
@@ -130,4 +177,4 @@ def availability(histograms: DataFrame, runs: DataFrame, phases: dict[str, tuple
     return every.join(stored, ["run", "metric", "mode"], "left").select("run", "metric", "mode", F.when(F.col("mode") == "filtered", F.lit(has_filters)).otherwise(F.col("_has").isNotNull()).alias("available"))
 
 
-__all__ = ["GROUPS", "METRICS", "MODES", "availability", "bins", "cdf_projection", "filtered_trace_count", "histogram", "histogram_trace_count", "labeled_series", "log_counts"]
+__all__ = ["AXES", "GROUPS", "METRICS", "MODES", "FilteredHistogram", "availability", "bins", "cdf_projection", "filtered_histogram", "filtered_trace_count", "histogram", "histogram_trace_count", "labeled_series", "log_counts"]

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import signals
 from ..functions.arrays import arrow_rows_udf, matrix_udf
+from ..sources.tables import demanded
 
 KEYS = ["run", "event_id", "trace_id"]
 EVENT = ["run", "event_id"]
@@ -53,8 +54,7 @@ def trace_lookup(traces: DataFrame, wanted: DataFrame) -> DataFrame:
     keys = KEYS if "trace_id" in wanted.columns else EVENT
     found = wanted.join(traces.withColumn("_found", F.lit(True)), keys, "left")
     missing = F.concat(F.lit("no trace "), F.concat_ws("/", *[F.col(k).cast("string") for k in keys]))
-    # a random number keeps the optimizer from dropping or moving the check
-    return found.where(F.when(F.col("_found"), F.rand() >= 0).otherwise(F.raise_error(missing).cast("boolean"))).drop("_found")
+    return demanded(found, F.coalesce("_found", F.lit(False)), missing).drop("_found")
 
 
 def split_pad_row(row: Column) -> list[Column]:

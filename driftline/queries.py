@@ -565,6 +565,27 @@ def filtered_trace_count(s, d):
     return histograms.filtered_trace_count(bind.filter_rows(s, d))
 
 
+@query("filtered_histogram_empty", f"""
+SELECT run, a.variant, veto, CASE WHEN veto THEN 'Vetoed' ELSE 'Filtered' END || ' traces · first_run' AS title, traces AS trace_count, CAST(traces > 0 AS INT) AS series, bin_count, bin_label, count_label, {DROP}::DOUBLE AS "drop", coalesce(filled, 0) AS filled, CAST(coalesce(total, 0) AS BIGINT) AS total
+FROM counts CROSS JOIN (VALUES ('drop', 500, 'Drop from local maximum', 'Count'), ('length', 256, 'Plateau length', 'Trace count')) a(variant, bin_count, bin_label, count_label)
+LEFT JOIN (SELECT run, veto, variant, count(*) AS filled, sum(n) AS total FROM (SELECT run, veto, variant, bin_x, count(*) AS n FROM selected GROUP BY ALL) GROUP BY ALL) USING (run, veto, variant)""", f"""
+{_bins_sql("saturation", 10)}, first_run AS (SELECT * FROM filter_rows WHERE run = 1),
+selected AS (SELECT run, variant, bin_x, false AS veto FROM bins JOIN first_run USING ({KEYS}) UNION ALL SELECT run, variant, bin_x, true FROM bins ANTI JOIN first_run USING ({KEYS})),
+counts AS (
+  SELECT run, false AS veto, (SELECT count(*) FROM first_run f WHERE f.run = r.run) AS traces FROM (SELECT DISTINCT run FROM trace_keys) r
+  UNION ALL SELECT run, true, count(*) FROM trace_keys ANTI JOIN first_run USING ({KEYS}) GROUP BY run)""")
+def filtered_histogram_empty(s, d):
+    """A filter set that names traces of run 1 only: of run 2 there is nothing but the metadata."""
+    rows, own = _traces(s, d), bind.filter_rows(s, d).where("run = 1")
+    out = []
+    for veto in (False, True):
+        found = histograms.filtered_histogram("saturation", rows, rows.select("run"), own, "first_run", veto, **_PARAMS["saturation"])
+        filled = found.rows.groupBy("run", "variant").agg(F.count("*").alias("filled"), F.sum("count").alias("total"))
+        out.append(found.metadata.join(filled, ["run", "variant"], "left"))
+    both = out[0].unionByName(out[1])
+    return both.select("run", "variant", "veto", "title", "trace_count", "series", "bin_count", "bin_label", "count_label", F.col("parameters")["drop"].alias("drop"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("filled", "total")])
+
+
 @query("cdf_projection", f"SELECT run, 'all' AS mode, 'all' AS series_key, bin_x AS threshold, bin_y AS bin, count(*) AS count FROM bins WHERE bin_x = 20 GROUP BY run, bin_x, bin_y", _bins_sql("cdf", 20))
 def cdf_projection(s, d):
     return histograms.cdf_projection(_histogram(s, d, "cdf", "all"), 20)
@@ -900,6 +921,18 @@ def event_hits(s, d):
     return clouds.event_hits(bind.hits(s, d), 500.0).select("run", "event_id", "hit_id", F.round("z", 6).alias("z"), *[(F.round(c, 1) + 0.0).alias(c) for c in "uv"])
 
 
+_BY_RUN = f"params AS (SELECT run, CASE WHEN run = 1 THEN most / 2 ELSE 700.0 END::DOUBLE AS detector_length FROM (SELECT run, max(z) AS most FROM hits GROUP BY run)), rows_ AS (SELECT h.*, detector_length FROM hits h JOIN params USING (run) WHERE z BETWEEN 0 AND detector_length), {_MOMENTS.format('rows_')}, {_PROJECTED}"
+
+
+@query("event_hits_by_run", "SELECT run, event_id, hit_id, round(p.z, 6) AS z, u, v, round(detector_length, 6) AS detector_length, 560.0::DOUBLE AS window_time_bucket FROM projected p JOIN params USING (run)", _BY_RUN)
+def event_hits_by_run(s, d):
+    """Run 1 has a stored length, the other one the default."""
+    stored = bind.hits(s, d).where("run = 1").groupBy("run").agg(F.lit("detector_length").alias("key"), (F.max("z") / 2).alias("value"))
+    known = tables.processing_params(bind.hits(s, d).select("run").distinct(), stored, {"detector_length": 700.0, "window_time_bucket": 560.0})
+    found = clouds.event_hits(bind.hits(s, d), processing=known)
+    return found.select("run", "event_id", "hit_id", F.round("z", 6).alias("z"), *[(F.round(c, 1) + 0.0).alias(c) for c in "uv"], F.round("processing.detector_length", 6).alias("detector_length"), "processing.window_time_bucket")
+
+
 # Lines of the bound hits are noise, so the measures are taken on given lines: one to three per event, all through
 # every third hit. Their directions turn in the plane of x and z, and their centres move along y, from event to event.
 _TURN = "radians(event_id % 90 + 0.5::DOUBLE + k * (event_id % 5) * 1.1::DOUBLE)"
@@ -1008,9 +1041,10 @@ def pair_joint_histogram(s, d):
     return clouds.pair_joint_histogram(_pairs(s, d))
 
 
-@query("joint_slice", "SELECT run, bin_x AS bin, CAST(sum(count) AS BIGINT) AS count FROM joint WHERE bin_y + 0.5 BETWEEN 45 AND 135 GROUP BY ALL", JOINT)
+@query("joint_slice", "SELECT run, 'x' AS axis, bin_x AS bin, CAST(sum(count) AS BIGINT) AS count FROM joint WHERE bin_y + 0.5 BETWEEN 1 AND 6 GROUP BY ALL UNION ALL SELECT run, 'y', bin_y, CAST(sum(count) AS BIGINT) FROM joint WHERE (bin_x + 0.5) * 5 BETWEEN 5 AND 30 GROUP BY ALL", JOINT)
 def joint_slice(s, d):
-    return clouds.joint_slice(clouds.pair_joint_histogram(_pairs(s, d)), "x", 135.0, 45.0)
+    joint = clouds.pair_joint_histogram(_pairs(s, d))
+    return clouds.joint_slice(joint, "x", 6.0, 1.0).withColumn("axis", F.lit("x")).unionByName(clouds.joint_slice(joint, "y", 5.0, 30.0).withColumn("axis", F.lit("y")))
 
 
 @query("line_count_histogram", "SELECT run, 'line_count' AS metric, CAST(n AS INT) AS bin_x, count(*) AS count FROM (SELECT run, event_id, (SELECT count(*) FROM given g WHERE g.run = e.run AND g.event_id = e.event_id) AS n FROM cloud_events e) GROUP BY ALL", _GIVEN)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import durable, remove
-from .tables import run_name
+from .tables import demanded, run_name
 
 #: Event ids of one folder of stored traces.
 EVENT_BUCKET = 256
@@ -46,11 +46,10 @@ def run_files(spark: SparkSession, path: str, extension: str = "h5") -> DataFram
     rows = listed.select(own.alias("file"), "length", "modificationTime").where(F.col("file").like(f"run\\_%.{extension}"))
     each = rows.groupBy("file").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.max("modificationTime").alias("modified"))
     number = F.regexp_extract("file", rf"^run_([0-9]+)\.{re.escape(extension)}$", 1)
-    each = each.withColumn("run", F.when(number == "", F.raise_error(F.concat(F.lit("not a run file: "), "file"))).otherwise(number).cast("int"))
+    each = demanded(each, number != "", F.concat(F.lit("not a run file: "), "file")).withColumn("run", number.cast("int"))
     runs = each.groupBy("run").agg(F.count("*").alias("_n"), F.max_by(F.struct("file", "files", "bytes", "modified"), "file").alias("_f"), F.sort_array(F.collect_list("file")).alias("_all"))
-    file = F.when(F.col("_n") == 1, F.col("_f.file")).otherwise(F.raise_error(F.concat(F.lit("two files for run "), F.col("run").cast("string"), F.lit(": "), F.concat_ws(", ", "_all"))))
-    found = runs.select("run", run_name(F.col("run")).alias("name"), file.alias("file"), "_f.files", "_f.bytes", "_f.modified")
-    return found.select("run", "name", "file", F.concat(F.lit(folder.rstrip("/") + "/"), "file").alias("path"), "files", "bytes", "modified")
+    runs = demanded(runs, F.col("_n") == 1, F.concat(F.lit("two files for run "), F.col("run").cast("string"), F.lit(": "), F.concat_ws(", ", "_all")))
+    return runs.select("run", run_name(F.col("run")).alias("name"), "_f.file", F.concat(F.lit(folder.rstrip("/") + "/"), "_f.file").alias("path"), "_f.files", "_f.bytes", "_f.modified")
 
 
 def find_run(spark: SparkSession, path: str, run: int, extension: str = "h5") -> str:

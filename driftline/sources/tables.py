@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from .shared import durable
 
 
+def demanded(rows: DataFrame, condition: Column, message: Column) -> DataFrame:
+    """``rows``, of which one that does not meet the condition is an error, whatever is read of them afterwards."""
+    # the partition's number keeps the optimizer from dropping, moving or simplifying the check
+    met = F.when(condition, F.spark_partition_id() >= 0).otherwise(F.raise_error(message).cast("boolean"))
+    return rows.where(met)
+
+
 def run_of(path: Column) -> Column:
     """The run that a file name run_<digits>... names, else null."""
     return F.nullif(F.regexp_extract(path, r"(?:^|/)run_(\d+)[^/]*$", 1), F.lit("")).cast("int")
@@ -23,7 +30,8 @@ def run_catalog(files: DataFrame, path: str = "path") -> DataFrame:
     """(run, name, path) of files that name a run; two files of one run are an error."""
     rows = files.select(run_of(F.col(path)).alias("run"), F.col(path).alias("path")).where("run IS NOT NULL")
     once = rows.groupBy("run").agg(F.min("path").alias("path"), F.countDistinct("path").alias("n"))
-    return once.select("run", run_name(F.col("run")).alias("name"), F.when(F.col("n") == 1, F.col("path")).otherwise(F.raise_error(F.concat(F.lit("two files for run "), F.col("run").cast("string")))).alias("path"))
+    single = demanded(once, F.col("n") == 1, F.concat(F.lit("two files for run "), F.col("run").cast("string")))
+    return single.select("run", run_name(F.col("run")).alias("name"), "path")
 
 
 def processing_params(runs: DataFrame, stored: DataFrame, defaults: dict[str, float]) -> DataFrame:
@@ -41,8 +49,8 @@ def processing_params(runs: DataFrame, stored: DataFrame, defaults: dict[str, fl
 def filter_rows_scan(rows: DataFrame, runs: DataFrame) -> DataFrame:
     """Filter rows in their order; a run that does not exist is an error."""
     known = rows.join(runs.select("run", F.lit(True).alias("_known")), "run", "left")
-    checked = F.when(F.col("_known"), F.col("run")).otherwise(F.raise_error(F.concat(F.lit("unknown run "), F.col("run").cast("string"))).cast("int"))
-    return known.select("filter_name", "pos", checked.alias("run"), "event_id", "trace_id").orderBy("filter_name", "pos")
+    checked = demanded(known, F.coalesce("_known", F.lit(False)), F.concat(F.lit("unknown run "), F.col("run").cast("string")))
+    return checked.select("filter_name", "pos", "run", "event_id", "trace_id").orderBy("filter_name", "pos")
 
 
 def numbered(rows: DataFrame, *order: str) -> DataFrame:

@@ -300,3 +300,35 @@ def test_latest_change_wins_and_ties_have_one_winner(spark):
     new = spark.createDataFrame([(1, 1, 1, "a", 5, 5), (1, 1, 1, "b", 5, 5), (1, 1, 3, "c", 2, 2)], schema)
     out = {r.trace_id: (r.label, r.created_at) for r in labels.apply_changes(old, new, tr.KEYS).collect()}
     assert out == {1: ("b", 1), 2: ("old", 1), 3: ("c", 2)}
+
+
+def test_an_empty_selection_keeps_its_metadata(spark):
+    rows = spark.createDataFrame([(r, 1, t, [0.0] * 10 + [3000.0] * 3 + [0.0] * 10) for r in (1, 2) for t in range(3)], "run int, event_id long, trace_id int, samples array<double>")
+    named = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (1, 9, 9)], "run int, event_id long, trace_id int")
+    runs = spark.createDataFrame([(1,), (2,), (3,)], "run int")
+    found = histograms.filtered_histogram("saturation", rows, runs, named, "mine", variant="length", threshold=100)
+    about = {r.run: r for r in found.metadata.collect()}
+    assert {n: (r.trace_count, r.series) for n, r in about.items()} == {1: (3, 1), 2: (0, 0), 3: (0, 0)}  # repeats and unknown traces count
+    assert (about[2].title, about[2].bin_count, about[2].bin_label, about[2].variant, about[2].parameters) == ("Filtered traces · mine", 256, "Plateau length", "length", {"scale": 10.0, "threshold": 100.0})
+    assert {(r.run, r["count"]) for r in found.rows.collect()} == {(1, 2)}
+    others = histograms.filtered_histogram("saturation", rows, runs, named, "mine", True, threshold=100)
+    assert {(r.run, r.variant, r.trace_count, r.title) for r in others.metadata.collect()} == {(n, v, c, "Vetoed traces · mine") for n, c in ((1, 2), (2, 3), (3, 0)) for v in ("drop", "length")}
+    nothing = histograms.filtered_histogram("cdf", rows, runs, named.limit(0), "none")
+    assert nothing.rows.count() == 0 and {(r.run, r.trace_count, r.bin_label) for r in nothing.metadata.collect()} == {(n, 0, None) for n in (1, 2, 3)}
+    assert {m: set(v) for m, v in histograms.AXES.items()} == {"amplitude": {"peaks"}, "baseline": {"samples"}, "cdf": {"cdf"}, "bitflip": {"baseline", "value", "length", "count"}, "saturation": {"drop", "length"}}
+
+
+def test_events_get_the_parameters_of_their_run(spark):
+    rng = np.random.default_rng(0)
+    rows = spark.createDataFrame([(r, 1, i, float(x), float(y), float(z), 1.0, 0, 0) for r in (1, 2) for i, (x, y, z) in enumerate(rng.uniform(0, 100, (40, 3)))], HITS)
+    runs, stored = spark.createDataFrame([(1,), (2,)], "run int"), spark.createDataFrame([(1, "detector_length", 30.0)], "run int, key string, value double")
+    known = tables.processing_params(runs, stored, {"detector_length": 80.0, "fft_window_scale": 20.0})
+    found = clouds.event_hits(rows, processing=known).collect()
+    assert {(r.run, r.processing.detector_length, r.processing.fft_window_scale) for r in found} == {(1, 30.0, 20.0), (2, 80.0, 20.0)}
+    assert len(found) == sum(r.z <= (30 if r.run == 1 else 80) for r in rows.collect()) and all(r.u is not None for r in found)
+    alone = {(r.run, r.hit_id): r.u for r in clouds.event_hits(rows.where("run = 1"), 30.0).collect()}
+    assert all(r.u == alone[r.run, r.hit_id] for r in found if r.run == 1)
+    with pytest.raises(Exception, match="no value for detector_length"):  # before any hit is read
+        clouds.event_hits(rows, processing=tables.processing_params(runs, stored, {"detector_length": None}))
+    with pytest.raises(Exception, match="no parameters of run 2"):
+        clouds.event_hits(rows, processing=known.where("run = 1")).count()

@@ -32,6 +32,8 @@ def test_bad_names_are_errors(spark, tmp_path):
         runs.run_files(spark, str(tmp_path / "two")).collect()
     with pytest.raises(Exception, match="not a run file: run_8b.h5"):
         runs.run_files(spark, str(tmp_path / "odd")).collect()
+    with pytest.raises(Exception, match="two files for run 8"):
+        runs.run_files(spark, str(tmp_path / "two")).select("run").count()
     with pytest.raises(ValueError, match="not a run file"):
         runs.run_files(spark, str(tmp_path / "odd" / "run_8b.h5"))
     assert runs.run_files(spark, str(tmp_path / "none")).count() == 0
