@@ -302,12 +302,15 @@ def joint_slice(joint: DataFrame, axis: str, low: float, high: float) -> DataFra
 def measure_lines(hits: DataFrame, lines: DataFrame) -> DataFrame:
     """(run, event_id, line_id, length, charge, half_ratio): spread along the line, charge, and that beyond the middle over the rest (null if none)."""
     along = projection_on_line([F.col(c) for c in "xyz"], [F.col(f"c{c}") for c in "xyz"], [F.col(f"d{c}") for c in "xyz"])
-    own = line_points(lines).join(hits, [*EVENT, "hit_id"]).join(lines.drop("hit_ids"), [*EVENT, "line_id"])
+    points = lines.select(*EVENT, "line_id", *[f"{k}{c}" for k in "cd" for c in "xyz"], F.explode("hit_ids").alias("hit_id"))
+    own = points.join(hits.select(*EVENT, "hit_id", "x", "y", "z", "amplitude"), [*EVENT, "hit_id"])
     rows = own.select(*EVENT, "line_id", along.alias("p"), F.greatest("amplitude", F.lit(0.0)).alias("q"))
-    ends = rows.groupBy(*EVENT, "line_id").agg(F.min("p").alias("low"), F.max("p").alias("high"), F.sum("q").alias("charge"))
-    middle = (F.col("low") + F.col("high")) / 2
-    halves = rows.join(ends.select(*EVENT, "line_id", middle.alias("m")), [*EVENT, "line_id"]).groupBy(*EVENT, "line_id").agg(F.sum(F.when(F.col("p") > F.col("m"), F.col("q")).otherwise(0.0)).alias("far"), F.sum(F.when(F.col("p") <= F.col("m"), F.col("q")).otherwise(0.0)).alias("near"))
-    return ends.join(halves, [*EVENT, "line_id"]).select(*EVENT, "line_id", (F.col("high") - F.col("low")).alias("length"), "charge", F.when(F.col("near") > 0, F.col("far") / F.col("near")).alias("half_ratio"))
+    whole = Window.partitionBy(*EVENT, "line_id")  # a line's hits are bounded by the detector; the sums below need no other shuffle
+    rows = rows.withColumns({"low": F.min("p").over(whole), "high": F.max("p").over(whole)})
+    beyond = F.col("p") > (F.col("low") + F.col("high")) / 2
+    far, near = F.sum(F.when(beyond, F.col("q")).otherwise(0.0)), F.sum(F.when(beyond, 0.0).otherwise(F.col("q")))
+    sums = rows.groupBy(*EVENT, "line_id").agg((F.max("p") - F.min("p")).alias("length"), F.sum("q").alias("charge"), far.alias("far"), near.alias("near"))
+    return sums.select(*EVENT, "line_id", "length", "charge", F.when(F.col("near") > 0, F.col("far") / F.col("near")).alias("half_ratio"))
 
 
 def longest_lines(measures: DataFrame, n: int = 3) -> DataFrame:
@@ -331,10 +334,12 @@ def point_line_distance_histogram(hits: DataFrame, lines: DataFrame, measures: D
     """Distances of all hits of an event to each of its lines, on the line or off it, for all lines and for the three longest."""
     ranks = longest_lines(measures).select(*EVENT, "line_id", "rank")
     groups = F.when(F.col("rank").isNull(), F.array(F.lit("all"))).otherwise(F.array(F.lit("all"), F.concat(F.lit("longest_"), F.col("rank").cast("string"))))
-    rows = hits.join(lines.drop("hit_ids").join(ranks, [*EVENT, "line_id"], "left"), EVENT)
-    rows = rows.join(line_points(lines).withColumn("_in", F.lit(True)), [*EVENT, "line_id", "hit_id"], "left")
+    # a hit's lines come to it before it meets all lines of its event
+    owners = line_points(lines).groupBy(*EVENT, "hit_id").agg(F.collect_set("line_id").alias("_own"))
+    placed = hits.select(*EVENT, "hit_id", "x", "y", "z").join(owners, [*EVENT, "hit_id"], "left")
+    rows = placed.join(lines.drop("hit_ids").join(ranks, [*EVENT, "line_id"], "left"), EVENT)
     far = point_line_distance([F.col(c) for c in "xyz"], [F.col(f"c{c}") for c in "xyz"], [F.col(f"d{c}") for c in "xyz"])
-    rows = rows.select("run", F.explode(groups).alias("lines"), F.coalesce("_in", F.lit(False)).alias("in_line"), far.alias("distance"))
+    rows = rows.select("run", F.explode(groups).alias("lines"), F.coalesce(F.array_contains("_own", F.col("line_id")), F.lit(False)).alias("in_line"), far.alias("distance"))
     return _hist(rows, "point_line_distance", F.col("distance"), 120, 0.0, 300.0, "lines", "in_line")
 
 

@@ -66,8 +66,9 @@ def label_counts(labels: DataFrame, strange: DataFrame) -> DataFrame:
 
 
 def _per_run(labels: DataFrame, strange: DataFrame) -> DataFrame:
+    # one row, which holds the names that a user gave to keys
     names = strange.agg(F.collect_list(F.concat(F.lit("strange:"), "name")).alias("names")).withColumn("one", F.lit(1))
-    return labels.select("run").distinct().withColumn("one", F.lit(1)).join(names, "one").select("run", F.explode("names").alias("series_key"))
+    return labels.select("run").distinct().withColumn("one", F.lit(1)).join(F.broadcast(names), "one").select("run", F.explode("names").alias("series_key"))
 
 
 def filter_review(labels: DataFrame, run: int, family: str, label: str | None = None) -> DataFrame:

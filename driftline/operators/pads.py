@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from itertools import product
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.runs import positioned
@@ -14,8 +15,6 @@ PAD_SCHEMA = "pad INT, x DOUBLE, y DOUBLE, scale DOUBLE, direction INT, cobo INT
 ADDRESS = ["cobo", "asad", "aget", "channel"]
 #: Rows of a pad map that may be broadcast (a detector has about ten thousand pads); larger maps are shuffled.
 BROADCAST_PADS = 200_000
-#: Colour rules of a map, which are written by hand.
-MOST_RULES = 10_000
 _OFFSET = 4.908235 * math.sqrt(3) / 6
 
 
@@ -131,21 +130,20 @@ def pad_directions(neighbors: DataFrame, start: int, nearer_than: float, rank: i
     return done, near.join(done, "pad").join(other, "pad2").where("direction = direction2").select("pad", "pad2")
 
 
+def _address(*fields: Column) -> Column:
+    """One text of some fields, which may be null."""
+    return F.concat_ws("/", *[F.coalesce(f.cast("string"), F.lit("\0")) for f in fields])
+
+
 def first_match_rules(pads: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     """(pad, color) by the first rule (pos, cobo, asad, aget, channel as text or '*', color) that fits, else the default.
 
-    The rules are a short ordered list, so all of them travel to the pads as one broadcast array and no pair
-    of pad and rule is made. More than ``MOST_RULES`` are an error.
+    A pad has one text for each way to put stars into its address, 16 in all; a rule is one such text. So rules are found by
+    an equal join, whatever their number, and the least position of those found counts. A null field fits stars only.
     """
-    if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
-    table = F.broadcast(rules.agg(F.sort_array(F.collect_list(F.struct("pos", *ADDRESS, "color"))).alias("rules")).withColumn("one", F.lit(1)))
-
-    def fits(r):
-        out = F.lit(True)
-        for a in ADDRESS:
-            out = out & ((r[a] == "*") | (r[a] == F.col(a).cast("string")))
-        return out
-
-    matched = pads.withColumn("one", F.lit(1)).join(table, "one")
-    return matched.select("pad", F.coalesce(F.get(F.filter("rules", fits), F.lit(0))["color"], F.lit(default)).alias("color"))
+    table = rules.groupBy(_address(*map(F.col, ADDRESS)).alias("_rule")).agg(F.min(F.struct("pos", "color")).alias("_r"))
+    starred = [_address(*[F.lit("*") if star else F.col(a) for a, star in zip(ADDRESS, stars, strict=True)]) for stars in product((False, True), repeat=len(ADDRESS))]
+    own = pads.withColumn("_own", _address(F.col("pad"), *map(F.col, ADDRESS)))
+    asked = own.select("_own", F.explode(F.array(*starred)).alias("_rule")).distinct()
+    colors = asked.join(table, "_rule").groupBy("_own").agg(F.min("_r").alias("_r"))
+    return own.join(colors, "_own", "left").select("pad", F.coalesce("_r.color", F.lit(default)).alias("color"))

@@ -332,3 +332,19 @@ def test_events_get_the_parameters_of_their_run(spark):
         clouds.event_hits(rows, processing=tables.processing_params(runs, stored, {"detector_length": None}))
     with pytest.raises(Exception, match="no parameters of run 2"):
         clouds.event_hits(rows, processing=known.where("run = 1")).count()
+
+
+def test_any_number_of_rules(spark):
+    rules = [(i, str(i % 7), "*" if i % 3 else str(i % 5), "*" if i % 2 else "1", str(i % 11) if i % 5 else "*", f"c{i}") for i in range(5, 900)]
+    rules += [(900, "*", "*", "*", "*", "last"), (901, "*", "*", "*", "*", "never"), (3, "1", "2", "*", "*", "early"), (4, "1", "2", "*", "*", "late")]
+    address = [(p, p % 7, p % 5, p % 3, p % 11) for p in range(60)] + [(7, 1, 2, 0, 0), (7, 1, 2, 0, 0), (99, None, 2, 1, 3)]
+    own = spark.createDataFrame(address, "pad int, cobo int, asad int, aget int, channel int")
+
+    def plain(fields, known):
+        return next((r[5] for r in sorted(known) if all(x == "*" or x == str(v) for x, v in zip(r[1:5], fields, strict=True))), "gray")
+
+    table = lambda known: spark.createDataFrame(known, "pos int, cobo string, asad string, aget string, channel string, color string")
+    for known in (rules, rules[:400], rules[-2:]):
+        found = sorted(map(tuple, pads.first_match_rules(own, table(known), "gray").collect()))
+        assert found == sorted((a[0], plain(a[1:], known)) for a in address)
+    assert {r.color for r in pads.first_match_rules(own, table(rules).limit(0), "gray").collect()} == {"gray"}
