@@ -22,10 +22,8 @@ from .tokens import slices
 
 #: Two primes under 2^31 and a base for each; together 62 bits.
 PRIMES, BASES = (2147483647, 2147483629), (1000003, 998244353)
-#: Code points of a window, and the smallest window hashes that a fingerprint keeps.
-WINDOW, KEPT = 16, 64
-#: Texts of fewer code points have windows of ``NARROW`` code points besides.
-SHORT, NARROW = 80, 4
+#: Code points of a window, one width for every text, and the smallest window hashes that a fingerprint keeps.
+WINDOW, KEPT = 5, 160
 #: Bytes of text that a task gets, about.
 TASK_BYTES = 64 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -71,10 +69,6 @@ class Prefixes:
         p, s = np.uint64(PRIMES[0]), self.sums[0]
         return mixed((s[width:] + p - s[:-width]) % p * powers(0, self.n + 1)[1][: self.n - width + 1] % p)
 
-    def features(self) -> np.ndarray:
-        """The windows that a fingerprint is made of."""
-        return np.concatenate([self.windows(), self.windows(NARROW)]) if self.n < SHORT else self.windows()
-
     def whole(self) -> tuple[int, int]:
         return int(self.sums[0][-1]), int(self.sums[1][-1])
 
@@ -124,7 +118,7 @@ class Fingerprint:
 
     def __init__(self, text: str):
         self.text, self.prefixes = text, Prefixes(text)
-        self.windows = self.prefixes.features()
+        self.windows = self.prefixes.windows()
         self.sketch = smallest(self.windows)
 
     def edited(self, after: Fingerprint) -> tuple[str, np.ndarray, tuple[int, int]]:
@@ -133,11 +127,11 @@ class Fingerprint:
         half = n // 2
         stay, take = n - half, min(half, after.prefixes.n)
         text = self.text[:stay] + after.text[:take]
-        if stay >= WINDOW and take >= WINDOW and min(n, stay + take, after.prefixes.n) >= SHORT:
+        if stay >= WINDOW and take >= WINDOW:
             joint = Prefixes(self.text[stay - WINDOW + 1 : stay] + after.text[: WINDOW - 1]).windows()
             windows = np.concatenate([self.windows[: stay - WINDOW + 1], joint, after.windows[: take - WINDOW + 1]])
         else:
-            windows = Prefixes(text).features()
+            windows = Prefixes(text).windows()
         whole = tuple(int((int(self.prefixes.sums[w][stay]) + int(after.prefixes.sums[w][take]) * int(powers(w, stay + 1)[0][stay])) % PRIMES[w]) for w in (0, 1))
         return text, smallest(windows), whole
 

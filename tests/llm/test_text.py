@@ -109,11 +109,8 @@ def test_sharding(docs, nothing):
 def _window_hashes(text):
     """By the definition: a polynomial over code points, modulo a prime, for every window."""
     p, base = span_hash.PRIMES[0], span_hash.BASES[0]
-    out = []
-    for width in (16, 4) if len(text) < 80 else (16,):
-        width = min(width, len(text))
-        out += [sum((ord(c) + 1) * pow(base, k, p) for k, c in enumerate(text[i : i + width])) % p for i in range(len(text) - width + 1) if width]
-    return out
+    width = min(5, len(text))
+    return [sum((ord(c) + 1) * pow(base, k, p) for k, c in enumerate(text[i : i + width])) % p for i in range(len(text) - width + 1) if width]
 
 
 def _spark_hashes(spark, texts):
@@ -128,7 +125,7 @@ def test_fingerprints(spark, docs, rows, nothing):
     want = Counter()
 
     def sketch(t):
-        return np.unique(span_hash.mixed(np.array(_window_hashes(t), np.uint64)) >> np.uint64(32))[:64]
+        return np.unique(span_hash.mixed(np.array(_window_hashes(t), np.uint64)) >> np.uint64(32))[:160]
 
     def text_of(t):
         whole = [sum((ord(c) + 1) * pow(b, k, p) for k, c in enumerate(t)) % p for p, b in zip(span_hash.PRIMES, span_hash.BASES, strict=True)]
@@ -153,10 +150,24 @@ def test_fingerprints(spark, docs, rows, nothing):
 
 
 def _near(a, b):
-    both = np.union1d(a, b)[:64]
+    both = np.union1d(a, b)[:160]
     return sum(x in set(a.tolist()) and x in set(b.tolist()) for x in both.tolist()) / len(both) if len(both) else 1.0
 
 
+def test_likeness_is_the_share_of_windows_at_every_length(spark):
+    """Texts of random letters, each followed by a short one, around lengths where windows are few."""
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), n))
+    texts = [t for n in [*range(20, 170, 3), 79, 80, 81, 300, 1000] for t in (word(n), word(int(rng.integers(3, 9))))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in span_hash.fingerprint_documents(df).collect():
+        own, after = texts[r.doc_id], texts[(r.doc_id + 1) % len(texts)]
+        edited = own[: len(own) - len(own) // 2] + after[: len(own) // 2]
+        for near, other in ((r.near_edited, edited), (r.near_next, after)):
+            a, b = (set(t[i : i + 5] for i in range(len(t) - 4)) or {t} for t in (own, other))
+            assert abs(near - len(a & b) / len(a | b)) < (0.01 if len(own) < 140 else 0.12)
+
+
 def test_rows_of_one_id_are_dealt_over_parts(spark):
     rows = [(7, f"text number {i}") for i in range(400)] + [(i, f"other {i}") for i in range(60)] + [(None, f"none {i}") for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
