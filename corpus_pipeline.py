@@ -9,12 +9,24 @@ from driftline.llm import exact_dedup, packing, simhash, toxicity
 from driftline.sources.shared import remove, shared_folder
 
 
+#: Rows of a batch that goes between the JVM and Python. Spark's 10,000 documents take tens of MB on either side and on the way.
+BATCH_ROWS = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Lowers the session's batch size, for all stages alike: executors keep the memory that a stage before has touched."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the lexicon, learned from this table's labels, scores under 0.5.
 
     Null and empty texts stay, as nothing in them matches; repeated rows get one score and go or stay together; a row
     without an id is scored but not learned from. Without labels nothing goes. An empty table stays empty.
     """
+    _small_batches(spark)
     return toxicity.drop_toxic(docs, toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
@@ -23,6 +35,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Null and empty texts are equal. Rows without an id come last; of wholly equal rows one stays. An empty table stays empty.
     """
+    _small_batches(spark)
     return exact_dedup.drop_exact_copies(docs)
 
 
@@ -32,6 +45,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Null and empty texts have one fingerprint. Rows without an id come last; of equal rows one stays. An empty table
     stays empty.
     """
+    _small_batches(spark)
     return simhash.drop_near_copies(docs)
 
 
@@ -40,6 +54,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null or empty text is one piece, its end; repeated rows get places of their own. An empty table gives no place.
     """
+    _small_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), text_bytes=PACKED_BYTES)
 
 
