@@ -17,8 +17,8 @@ SCALE = 256
 POSITIVES, NEGATIVES = 5, 3
 #: The window for negatives, in percent of the positive's score, both ends included.
 WINDOW = (50, 95)
-#: Rows of a block and anchors of a group; a task joins one block with one group.
-ROWS, ANCHORS = 16384, 1024
+#: Rows of a block and anchors of a group, at most, and numbers in one; a task joins one block with one group.
+ROWS, ANCHORS, NUMBERS = 16384, 1024, 1 << 21
 #: Rows of a block from which more blocks are made if there are tasks to spare.
 FEW_ROWS = 2048
 #: Anchors that a task joins at once, and dimensions that it adds before it prunes.
@@ -40,7 +40,7 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
 
 
 def _width(*columns: pa.ChunkedArray) -> int:
-    return max([0, *(int(n.as_py()) for c in columns for n in c.combine_chunks().value_lengths())])
+    return max(int(c.combine_chunks().value_lengths().to_numpy(zero_copy_only=False).max(initial=0)) for c in columns)
 
 
 def _rest(x: np.ndarray) -> np.ndarray:
@@ -223,9 +223,10 @@ def mine_hard_negatives(rows: DataFrame, is_anchor: Column, id_col: str = "vec_i
     known = rows.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & F.coalesce(finite, F.lit(False)))
     table = durable(known.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), whole.alias("v"), F.coalesce(is_anchor, F.lit(False)).alias("_is"), F.monotonically_increasing_id().alias("_n")))
     anchors = durable(table.where("_is").select("id", "label", "v").distinct().withColumn("_a", F.monotonically_increasing_id()))
-    n, m = table.count(), anchors.count()
+    n, width = table.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    m, fits = anchors.count(), max(1, NUMBERS // max(1, width))
     spare = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks, groups = max(1, -(-n // ROWS), min(spare, -(-n // FEW_ROWS))), max(1, -(-m // ANCHORS))
+    blocks, groups = max(1, -(-n // min(ROWS, fits)), min(spare, -(-n // FEW_ROWS))), max(1, -(-m // min(ANCHORS, fits)))
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     cell = ["_block", "_group"]
     # a partition's rows, then anchors, go to blocks and groups in turn

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .range_coder import BLOCK, LANES, decode_blocks, encode_blocks
+from .range_coder import BLOCK, LANES, VOCABULARY, decode_blocks, encode_blocks
 from .spread import shared_folder, tasks
 from .tokens import byte_bpe_ids, slices
 
@@ -31,7 +31,8 @@ def write_tokens(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id"
     """Writes the ids of every document, by the tokenizer at ``path``, each with its end id, in ascending order of id.
 
     Null ids come first, equal ids in the order of a hash of their texts, equal rows as they are met; so rows of
-    one id are dealt over tasks too. A null text counts as empty: its end id alone. An empty table gives no file.
+    one id are dealt over tasks too. A null text counts as empty: its end id alone. An empty table gives no file. An id that
+    the coder has no room for is an error.
     """
     of = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("before", T.LongType()), T.StructField("n", T.LongType()), T.StructField("docs", T.ArrayType(T.LongType())), T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("ids", T.ArrayType(of)), T.StructField("code", T.BinaryType())])
@@ -68,6 +69,8 @@ def write_tokens(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id"
             for piece in slices(batch, 1):
                 kind = piece.column(0).type
                 own, n = byte_bpe_ids(piece.column(1), path)
+                if own.max(initial=0) >= VOCABULARY:
+                    raise ValueError(f"the coder takes ids below {VOCABULARY}, and the tokenizer gave {own.max()}")
                 whole = np.full(len(own) + len(n), END, np.uint16)
                 row = np.repeat(np.arange(len(n)), n)
                 whole[np.arange(len(own)) + row] = own

@@ -47,8 +47,9 @@ def test_all_pairs(spark, n, d, labels, copies):
     assert mined(frame(spark, rows)) == plain(rows, lambda i: i % 5 == 0)
 
 
-def test_many_blocks_and_groups(spark, monkeypatch):
-    for name, value in (("ROWS", 40), ("ANCHORS", 7), ("FEW_ROWS", 10)):
+@pytest.mark.parametrize("sizes", [{"ROWS": 40, "ANCHORS": 7, "FEW_ROWS": 10}, {"NUMBERS": 500}])
+def test_many_blocks_and_groups(spark, monkeypatch, sizes):
+    for name, value in sizes.items():
         monkeypatch.setattr(mining, name, value)
     rows = vectors(260, 16, 3, 3, 0.2)
     assert mined(frame(spark, rows)) == plain(rows, lambda i: i % 5 == 0)
