@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .spread import durable, fresh, tasks
-from .tokens import TEXT_BYTES, slices, word_bpe_ids
+from .tokens import CACHED, TEXT_BYTES, slices, word_bpe_ids
 
 #: Tokens of a sequence, and the id that ends a document.
 CAPACITY, END = 2048, 0
@@ -81,17 +81,17 @@ def needed(sizes: dict[int, int], capacity: int) -> int:
     return max(by_length, *by_number)
 
 
-def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, text_bytes: int = TEXT_BYTES) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, text_bytes: int = TEXT_BYTES, cached: int = CACHED) -> DataFrame:
     """(id, piece, start, length, ids_crc32): each document's ids and its end id, cut after every ``capacity`` ids.
 
-    A Python worker takes ``text_bytes`` of text at once, or one text: less of it takes less memory and more time.
+    A Python worker takes ``text_bytes`` of text at once, or one text, and keeps the ids of ``cached`` words: less of either takes less memory and more time.
     """
     schema = T.StructType([docs.schema[id_col], T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1, text_bytes):
-                ids, n = word_bpe_ids(part.column(1), path)
+                ids, n = word_bpe_ids(part.column(1), path, cached)
                 ends = np.cumsum(n)
                 end = np.array([END], "<u4")
                 row, start, length, crc = [], [], [], []
@@ -276,6 +276,6 @@ def pack(pieces: DataFrame, length_col: str = "length", capacity: int = CAPACITY
     return rows.join(placed, row).select(*names, "sequence_id", "offset")
 
 
-def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, text_bytes: int = TEXT_BYTES) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, text_bytes: int = TEXT_BYTES, cached: int = CACHED) -> DataFrame:
     """Every piece of every document with its place; a null or empty text is one piece, its end id."""
-    return pack(token_pieces(docs, path, id_col, text_col, capacity, text_bytes), "length", capacity)
+    return pack(token_pieces(docs, path, id_col, text_col, capacity, text_bytes, cached), "length", capacity)

@@ -60,14 +60,14 @@ def _library(path: str, pieces: list[str]) -> list[bytes]:
     return out
 
 
-def _cached(path: str, pieces: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _cached(path: str, pieces: list[str], counts: np.ndarray, most: int = CACHED) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all pieces behind one another, and the number of each. Repeated pieces are kept for later batches."""
     cache = _caches.setdefault(path, {})
     found = list(map(cache.get, pieces))
     new = [i for i, x in enumerate(found) if x is None]
     for i, x in zip(new, _library(path, [pieces[i] for i in new]), strict=True):
         found[i] = x
-        if counts[i] > 1 and len(cache) < CACHED:
+        if counts[i] > 1 and len(cache) < most:
             cache[pieces[i]] = x
     sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
     return np.frombuffer(b"".join(found), np.uint32), sizes
@@ -123,7 +123,7 @@ def byte_bpe_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     return encode_by_pieces(texts, lambda pieces, counts: _cached(path, pieces, counts), keep_spaces=True, special=_SPECIAL)
 
 
-def word_bpe_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """For a tokenizer that drops white space and case."""
+def word_bpe_ids(texts: pa.Array, path: str, cached: int = CACHED) -> tuple[np.ndarray, np.ndarray]:
+    """For a tokenizer that drops white space and case. A worker keeps the ids of ``cached`` pieces, which costs no result."""
     texts = pc.if_else(pc.match_substring(texts, _SPECIAL), texts, pc.ascii_lower(texts))  # special tokens have a case
-    return encode_by_pieces(texts, lambda pieces, counts: _cached(path, pieces, counts), keep_spaces=False, special=_SPECIAL)
+    return encode_by_pieces(texts, lambda pieces, counts: _cached(path, pieces, counts, cached), keep_spaces=False, special=_SPECIAL)
