@@ -55,11 +55,13 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text is one piece, its end; repeated rows get places of their own. An empty table gives no place.
     """
     _small_batches(spark)
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), text_bytes=PACKED_BYTES)
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), text_bytes=PACKED_BYTES, cached=PACKED_WORDS)
 
 
 #: Text that packing works on at once, in bytes: less than by itself, as executors still hold memory of the stages before.
 PACKED_BYTES = 2 << 20
+#: Words whose ids each Python worker keeps, for the same reason.
+PACKED_WORDS = 50_000
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_exact_copies), ("simhash_near_dedup", drop_near_copies), ("best_fit_packing", pack)]
 
