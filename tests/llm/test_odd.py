@@ -62,6 +62,7 @@ def test_ids_that_the_coder_has_no_room_for_are_an_error(spark, tmp_path, monkey
 
     words = {f"w{i}": i for i in range(70_001)} | {"<|endoftext|>": 70_001}
     large = Tokenizer(WordLevel(words, unk_token="w0"))
+    large.add_special_tokens(["<|endoftext|>"])
     large.pre_tokenizer = Whitespace()
     path = str(tmp_path / "large.json")
     large.save(path)
