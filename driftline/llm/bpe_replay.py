@@ -142,8 +142,8 @@ def cut_words(texts: pa.Array, pattern: str) -> tuple[np.ndarray, np.ndarray, li
     found: dict[str, int] = {}
     cut = regex.compile(pattern).findall
 
-    def words_of(pieces: list[str], _: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        own = [[found.setdefault(w, len(found)) for w in cut(p)] for p in pieces]
+    def words_of(pieces: pa.Array, _: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = [[found.setdefault(w, len(found)) for w in cut(p)] for p in pieces.to_pylist()]
         sizes = np.fromiter(map(len, own), np.int64, len(own))
         return np.fromiter(chain.from_iterable(own), np.uint32, int(sizes.sum())), sizes
 

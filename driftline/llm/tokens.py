@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
+from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -60,17 +63,115 @@ def _library(path: str, pieces: list[str]) -> list[bytes]:
     return out
 
 
-def _cached(path: str, pieces: list[str], counts: np.ndarray, most: int = CACHED) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all pieces behind one another, and the number of each. Repeated pieces are kept for later batches."""
-    cache = _caches.setdefault(path, {})
-    found = list(map(cache.get, pieces))
-    new = [i for i, x in enumerate(found) if x is None]
-    for i, x in zip(new, _library(path, [pieces[i] for i in new]), strict=True):
+#: Letters that are one code point in every normal form, and signs that no contraction begins with.
+_LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", "0-9.,;:!?()%&*#$/_\\-"
+_WORD = f"^ ?[{_LETTERS}]+$"
+#: A piece of these alone, without white space that a split could share out in another way.
+_PLAIN = f"^ ?[{_LETTERS}{_SIGNS}]+(?:\\n[{_LETTERS}{_SIGNS}]+)*\\n?$"
+_PARTS = re.compile(f" ?[{_LETTERS}]+| ?[^{_LETTERS} ]+").findall
+
+
+class _Words(NamedTuple):
+    """A tokenizer's model for words of ``_LETTERS`` alone; whether their case is folded first; bytes of each id's text."""
+
+    model: Any
+    folded: bool
+    lengths: np.ndarray
+
+
+@lru_cache(maxsize=8)
+def _words(path: str) -> _Words | None:
+    """None where the tokenizer does not set such words apart."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    tokenizer = _tokenizer(path)
+    letters, signs = ("".join(c for c in map(chr, range(256)) if re.fullmatch(f"[{x}]", c)) for x in (_LETTERS, _SIGNS))
+    normal = tokenizer.normalizer.normalize_str if tokenizer.normalizer else str
+    folded = normal(letters) == letters.lower()
+    letters = letters.lower() if folded else letters
+    cut = tokenizer.pre_tokenizer.pre_tokenize_str if tokenizer.pre_tokenizer else list
+    model = Tokenizer(tokenizer.model)
+    model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit("\n"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    suffix = getattr(tokenizer.model, "end_of_word_suffix", None) or ""
+    lengths = np.zeros(model.get_vocab_size() + 1, np.int64)
+    for text, i in model.get_vocab().items():
+        lengths[i] = len(text.removesuffix(suffix))  # one sign for each byte
+    same = all(tokenizer.encode(x, add_special_tokens=False).ids == model.encode(x, add_special_tokens=False).ids and lengths[model.encode(x).ids].sum() == len(x.encode()) for x in (letters, *letters))
+    apart = same and normal(signs) == signs and all(len(cut(f"a{x}b")) == 3 for x in signs) and len(cut("a\nb")) > 1 and len(cut(letters)) == 1
+    return _Words(model, folded, lengths) if apart else None
+
+
+def _word_ids(words: _Words, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words behind one another, and the number of each, from the bytes that each id stands for."""
+    found = [np.zeros(0, np.uint32)]
+    for i in range(0, len(pieces), 200):  # longer texts take longer for each word
+        found.append(np.array(words.model.encode_batch_fast(["\n".join(pieces[i : i + 200])], add_special_tokens=False)[0].ids, np.uint32))
+    flat = np.concatenate(found)
+    ends = np.searchsorted(np.cumsum(words.lengths[flat]), np.cumsum(pc.binary_length(pa.array(pieces, pa.string())).to_numpy().astype(np.int64))) + 1
+    if len(ends) and ends[-1] != len(flat):
+        raise ValueError("the words' ids do not make up the words")
+    return flat, np.diff(ends, prepend=0)
+
+
+def _parts(pieces: pa.Array, words: _Words | None) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """What the library is asked for, distinct; which of these each piece is made of, piece by piece; and of how many.
+
+    Plain pieces are cut between letters and signs, as the tokenizer itself cuts them first.
+    """
+    if words is None:
+        return pieces, np.arange(len(pieces)), np.ones(len(pieces), np.int64)
+    plain = pc.match_substring_regex(pieces, _PLAIN)
+    if words.folded:
+        pieces = pc.if_else(plain, pc.utf8_lower(pieces), pieces)
+    mixed = np.flatnonzero(pc.and_not(plain, pc.match_substring_regex(pieces, _WORD)).to_numpy(zero_copy_only=False))
+    cut = list(map(_PARTS, pieces.take(pa.array(mixed)).to_pylist()))
+    whole = np.ones(len(pieces), bool)
+    whole[mixed] = False
+    sizes = np.ones(len(pieces), np.int64)
+    sizes[mixed] = np.fromiter(map(len, cut), np.int64, len(cut))
+    coded = pa.concat_arrays([pieces.filter(pa.array(whole)), pa.array(chain.from_iterable(cut), pa.string())]).dictionary_encode()
+    index, of = coded.indices.to_numpy().astype(np.int64), np.repeat(whole, sizes)
+    use = np.empty(len(index), np.int64)
+    use[of], use[~of] = index[: whole.sum()], index[whole.sum() :]
+    return coded.dictionary, use, sizes
+
+
+def _cached(path: str, pieces: pa.Array, counts: np.ndarray, most: int = CACHED) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all pieces behind one another, and the number of each. Parts that occur more than once are kept for later batches.
+
+    Words go to the tokenizer's model past its normal forms and splits, which leave them as they are; all else goes
+    to the library as it is.
+    """
+    cache, words = _caches.setdefault(path, {}), _words(path)
+    parts, use, made_of = _parts(pieces, words)
+    uses = np.bincount(use, np.repeat(counts, made_of), len(parts))
+    texts = parts.to_pylist()
+    found = list(map(cache.get, texts))
+    known = np.fromiter((x is not None for x in found), bool, len(found))
+    word = ~known & pc.match_substring_regex(parts, _WORD).to_numpy(zero_copy_only=False) if words else np.zeros(len(parts), bool)
+    rest = np.flatnonzero(~known & ~word).tolist()
+    for i, x in zip(rest, _library(path, [texts[i] for i in rest]), strict=True):
         found[i] = x
-        if counts[i] > 1 and len(cache) < most:
-            cache[pieces[i]] = x
-    sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-    return np.frombuffer(b"".join(found), np.uint32), sizes
+    at = np.flatnonzero(word)
+    own, n = _word_ids(words, [texts[i] for i in at.tolist()]) if words else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+    ends = np.cumsum(n)
+    keep = np.flatnonzero(uses[at] > 1)[: most - len(cache)] if len(cache) < most else at[:0]
+    raw = memoryview(own.tobytes())
+    for i, a, b in zip(at[keep].tolist(), (ends - n)[keep].tolist(), ends[keep].tolist(), strict=True):
+        cache[texts[i]] = bytes(raw[4 * a : 4 * b])
+    for i in rest:
+        if uses[i] > 1 and len(cache) < most:
+            cache[texts[i]] = found[i]
+    others = [x for x in found if x is not None]
+    sizes = np.zeros(len(parts), np.int64)
+    sizes[at], sizes[~word] = n, np.fromiter(map(len, others), np.int64, len(others)) // 4
+    starts = np.zeros(len(parts), np.int64)
+    starts[at] = ends - n
+    starts[~word] = len(own) + np.cumsum(sizes[~word]) - sizes[~word]
+    flat = np.concatenate([own, np.frombuffer(b"".join(others), np.uint32)])
+    before = np.concatenate([[0], np.cumsum(sizes[use])])
+    last = np.cumsum(made_of)
+    return gather(flat, starts, sizes, use), before[last] - before[last - made_of]
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, use: np.ndarray) -> np.ndarray:
@@ -80,7 +181,7 @@ def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, use: np.ndar
     return flat[np.repeat(starts[use] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def encode_by_pieces(texts: pa.Array, encode: Callable[[list[str], np.ndarray], tuple[np.ndarray, np.ndarray]], keep_spaces: bool, special: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+def encode_by_pieces(texts: pa.Array, encode: Callable[[pa.Array, np.ndarray], tuple[np.ndarray, np.ndarray]], keep_spaces: bool, special: str | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts behind one another, and the number of each; a null text has none.
 
     No token of these vocabularies reaches over the space before a word, so a text is cut there and
@@ -99,19 +200,19 @@ def encode_by_pieces(texts: pa.Array, encode: Callable[[list[str], np.ndarray],
     bounds = cut.offsets.to_numpy().astype(np.int64)
     words = cut.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
     bounds -= bounds[0]
-    index, distinct = words.indices.to_numpy().astype(np.int64), words.dictionary
+    index, pieces = words.indices.to_numpy(), words.dictionary
     if keep_spaces:
         index = index * 2 + 1  # odd: with the space before it
         index[bounds[:-1]] -= 1
-        counts = np.bincount(index, minlength=2 * len(distinct))
+        counts = np.bincount(index, minlength=2 * len(pieces))
         used = np.flatnonzero(counts)
         counts = counts[used]
-        place = np.zeros(2 * len(distinct), np.int64)
+        place = np.zeros(2 * len(pieces), np.int32)
         place[used] = np.arange(len(used))
         index = place[index]
-        pieces = [f" {p}" if odd else p for p, odd in zip(distinct.take(pa.array(used // 2)).to_pylist(), (used % 2).tolist(), strict=True)]
+        pieces = pc.binary_join_element_wise(pa.array(["", " "]).take(pa.array(used % 2)), pieces.take(pa.array(used // 2)), "")
     else:
-        pieces, counts = distinct.to_pylist(), np.bincount(index, minlength=len(distinct))
+        counts = np.bincount(index, minlength=len(pieces))
     flat, sizes = encode(pieces, counts)
     starts = np.cumsum(sizes) - sizes
     before = np.concatenate([[0], np.cumsum(sizes[index])])

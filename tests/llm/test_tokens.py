@@ -1,5 +1,6 @@
 import base64
 import bisect
+import functools
 import hashlib
 import lzma
 import math
@@ -221,3 +222,32 @@ def test_pack_carries_columns(spark):
     found = packing.pack(df)
     assert found.columns == ["length", "_row", "_part", "sequence_id", "offset"]
     assert _check_places(found.collect()) == 1
+
+
+@pytest.mark.parametrize("name, ids", [("byte_bpe_50k.json", tokens.byte_bpe_ids), ("word_bpe_49k.json", tokens.word_bpe_ids)])
+def test_words_beside_signs_are_asked_for_once(monkeypatch, name, ids):
+    """Words take the short way to the tokenizer's model, whatever signs follow them; only signs go to the library."""
+    asked, library = [], tokens._library
+    monkeypatch.setattr(tokens, "_library", lambda path, pieces: asked.extend(pieces) or library(path, pieces))
+    monkeypatch.setattr(tokens, "_caches", {})
+    words = ["sign" + "".join(chr(97 + i // 26**k % 26) for k in range(3)) + "é" for i in range(900)]
+    texts = [f"One {w}, two {w}. {w.title()}\n{w}; ({w}) {w}!" for w in words]
+    flat, sizes = ids(pa.array(texts), P.path(name))
+    encode = _shared(name)
+    assert flat.tolist() == [x for t in texts for x in encode(t)] and len(sizes) == 900
+    assert len(asked) < 20 and not any(c.isalpha() for x in asked for c in x)
+
+
+@pytest.mark.parametrize("name, ids", [("byte_bpe_50k.json", tokens.byte_bpe_ids), ("word_bpe_49k.json", tokens.word_bpe_ids)])
+@given(st.lists(st.text(st.sampled_from("aZéÉßÿ×ªñ́İσΣ中19².,-'s\n\t \xa0%<|(_/\rĠ")), max_size=20))
+@settings(max_examples=60, deadline=None)
+def test_ids_of_texts_cut_at_signs(name, ids, texts):
+    flat, sizes = ids(pa.array(texts, pa.string()), P.path(name))
+    encode = _shared(name)
+    want = [encode(t) for t in texts]
+    assert sizes.tolist() == list(map(len, want)) and flat.tolist() == [x for w in want for x in w]
+
+
+@functools.cache
+def _shared(name):
+    return _library(name)
