@@ -48,27 +48,31 @@ _PRIOR = _prior()
 
 
 class _Model:
-    """The state of all lanes; coder and decoder take the same steps."""
+    """The state of all lanes; coder and decoder take the same steps. Where an array has two rows, the first is of order 2, the second of order 1."""
 
     def __init__(self, lanes: int):
         self.lanes = np.arange(lanes)
-        self.rows, self.contexts, self.known = self.lanes * SLOTS, self.lanes * _CONTEXTS, self.lanes * VOCABULARY
+        self.known = self.lanes * VOCABULARY
+        self.contexts = np.arange(3 * lanes).reshape(3, lanes) * _CONTEXTS
+        self.rows = np.stack([self.lanes * SLOTS, (lanes + self.lanes) * SLOTS])
         # an entry holds the predicted id and, in its lowest three bits, the confidence
-        self.guess2, self.guess1 = np.zeros(lanes * SLOTS, np.int32), np.zeros(lanes * SLOTS, np.int32)
+        self.guess = np.zeros(2 * lanes * SLOTS, np.int32)
         # how often order 2, order 1 and neither was right
-        self.right2, self.right1, self.neither = (np.full(lanes * _CONTEXTS, x) for x in (0.3, 0.2, 1.0))
+        self.right = np.repeat([0.3, 0.2, 1.0], lanes * _CONTEXTS)
         # of each id the place of its first copy among the sorted ids so far, and its count in the lowest 14 bits
         self.places = np.zeros(lanes * VOCABULARY, np.int32)
-        self.sorted, self.counted, self.shift = np.zeros((lanes, 1), np.uint16), 0, 0
+        self.sorted, self.counted, self.shift, self.all = np.zeros(lanes, np.uint16), 0, 0, 0
+        self.unseen, self.begins = np.array([[0], [1]], np.int32), self.lanes
         self.new, self.old = np.full(lanes, 1.0), np.full(lanes, 1.0)
-        self.one, self.two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.one, self.two, self.at = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.zeros((2, lanes), np.int64)
 
     def count(self, done: np.ndarray) -> None:
         """Order 0 from the ids so far, one row for each lane."""
         n = self.counted = done.shape[1]
         self.shift = (_ONE // n).bit_length() - 1
-        self.sorted = np.sort(done, axis=1)
-        flat = self.sorted.ravel()
+        self.all = n << self.shift
+        self.unseen, self.begins = np.array([[self.all], [self.all + 1]], np.int32), self.lanes * n
+        self.sorted = flat = np.sort(done, axis=1, kind="stable").ravel()  # by digits, as these are 16 bits
         begins = np.ones(len(flat), bool)
         begins[1:] = flat[1:] != flat[:-1]
         begins[::n] = True
@@ -76,69 +80,74 @@ class _Model:
         lane = at // n
         self.places[lane * VOCABULARY + flat[at]] = (at - lane * n << 14) + np.diff(at, append=len(flat))
 
-    def _place(self, ids: np.ndarray, unseen: int) -> tuple[np.ndarray, np.ndarray]:
-        """Where the ids' order-0 stretches begin on the line, and their lengths; ids not counted are at ``unseen``."""
-        found = self.places.take(self.known + ids)
-        return np.where(found > 0, found >> 14 << self.shift, unseen), (found & 16383) << self.shift
-
     def predict(self) -> np.ndarray:
         """The length of the line."""
-        one = self.one * 40503
-        self.at1 = self.rows + (one >> 4 & SLOTS - 1)
-        self.at2 = self.rows + (one + self.two * 60493 >> 3 & SLOTS - 1)
-        self.e1, self.e2 = self.guess1.take(self.at1), self.guess2.take(self.at2)
-        self.p1, self.p2 = self.e1 >> 3, self.e2 >> 3
-        self.both = self.p1 == self.p2
-        self.context = self.contexts + (self.e2 & _SURE) * (_SURE + 2) + np.where(self.both, _SURE + 1, self.e1 & _SURE)
-        self.f2, self.f1, self.f0 = self.right2.take(self.context), self.right1.take(self.context), self.neither.take(self.context)
-        unit = _ONE / self.f0
-        self.w2 = (self.f2 * unit).astype(np.int64) + 1
-        self.w1 = (self.f1 * unit).astype(np.int64) + 1
-        self.w1[self.both] = 0
-        self.all = self.counted << self.shift
-        self.k2, self.k1 = self._place(self.p2, self.all)[0], self._place(self.p1, self.all + 1)[0]
-        self.escape = (_ONE * self.new / self.old).astype(np.int64) + 1
-        return self.w2 + self.w1 + self.all + self.escape
+        one, at = self.one * 40503, self.at
+        np.add(one, self.two * 60493, out=at[0])
+        np.right_shift(one, 1, out=at[1])
+        at >>= 3
+        at &= SLOTS - 1
+        at += self.rows
+        self.e = self.guess.take(at)
+        self.p, self.sure = self.e >> 3, self.e & _SURE
+        apart = self.p[0] != self.p[1]
+        self.context = self.contexts + (self.sure[0] * (_SURE + 2) + np.where(apart, self.sure[1], _SURE + 1))
+        self.f = self.right.take(self.context)
+        self.w = (self.f[:2] * (_ONE / self.f[2])).astype(np.int64)
+        self.w += 1
+        self.w[1] *= apart
+        # where the predicted ids' order-0 stretches begin on the line
+        found = self.places.take(self.known + self.p)
+        self.k = np.where(found > 0, found >> 14 << self.shift, self.unseen)
+        self.escape = (_ONE * self.new / self.old).astype(np.int64)
+        self.escape += 1
+        return self.w[0] + self.w[1] + self.escape + self.all
 
     def stretch(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Begin and length of the ids' stretches; which ids are new (theirs is the end of the line)."""
-        self.is2 = ids == self.p2
-        self.is1 = (ids == self.p1) & ~self.is2
-        place, length = self._place(ids, self.all + 2)
-        unseen = place == self.all + 2
-        place[unseen & self.is2] = self.all
-        place[unseen & self.is1] = self.all + 1
-        self.is_new = unseen & ~self.is1 & ~self.is2
-        begin = np.minimum(place, self.all) + self.w2 * (self.k2 < place) + self.w1 * (self.k1 < place)
-        return begin, np.where(self.is_new, self.escape, length + self.w2 * self.is2 + self.w1 * self.is1), self.is_new
+        self.came = self.p == ids
+        self.hit = self.came.copy()
+        self.hit[1] &= ~self.hit[0]
+        self.other = ~(self.hit[0] | self.hit[1])
+        found = self.places.take(self.known + ids)
+        seen = found > 0
+        # ids not counted are behind all others, those predicted by order 2 and order 1 first
+        place = np.where(seen, found >> 14 << self.shift, self.all + 2 - 2 * self.hit[0] - self.hit[1])
+        self.is_new = self.other > seen
+        before, own = self.w * (self.k < place), self.w * self.hit
+        begin = np.minimum(place, self.all) + before[0]
+        begin += before[1]
+        return begin, np.where(self.is_new, self.escape, ((found & 16383) << self.shift) + own[0] + own[1]), self.is_new
 
     def find(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids whose stretches hold the places ``at`` of the line; which places are at its end, that of new ids."""
-        swap = self.k1 < self.k2
-        a, b = np.where(swap, self.w1, self.w2), np.where(swap, self.w2, self.w1)
-        far = at - np.minimum(np.minimum(self.k1, self.k2), self.all)
+        swap = self.k[1] < self.k[0]
+        a, b = np.where(swap, self.w[1], self.w[0]), np.where(swap, self.w[0], self.w[1])
+        begin = np.minimum(self.k, self.all)
+        far = at - np.minimum(begin[0], begin[1])
         in_a = (far >= 0) & (far < a)
-        at = at - np.clip(far, 0, a)
-        far = at - np.minimum(np.maximum(self.k1, self.k2), self.all)
-        in_b = (far >= 0) & (far < b) & ~in_a
-        at = at - np.clip(far, 0, b)
-        ids = self.sorted[self.lanes, np.minimum(at >> self.shift, max(self.counted - 1, 0))].astype(np.int64)
-        np.copyto(ids, self.p1, where=np.where(swap, in_a, in_b))
-        np.copyto(ids, self.p2, where=np.where(swap, in_b, in_a))
-        return ids, (at >= self.all) & ~in_a & ~in_b
+        at = at - np.minimum(np.maximum(far, 0), a)
+        far = at - np.maximum(begin[0], begin[1])
+        in_b = ((far >= 0) & (far < b)) > in_a
+        at = at - np.minimum(np.maximum(far, 0), b)
+        ids = self.sorted.take(self.begins + np.minimum(at >> self.shift, max(self.counted - 1, 0))).astype(np.int64)
+        np.copyto(ids, self.p[1], where=np.where(swap, in_a, in_b))
+        np.copyto(ids, self.p[0], where=np.where(swap, in_b, in_a))
+        return ids, (at >= self.all) > (in_a | in_b)
 
     def learn(self, ids: np.ndarray) -> None:
-        other = ~(self.is2 | self.is1)
-        self.right2[self.context] = self.f2 * _FADE + self.is2
-        self.right1[self.context] = self.f1 * _FADE + self.is1
-        self.neither[self.context] = np.maximum(self.f0 * _FADE + other, 0.02)
+        f = self.f
+        f *= _FADE
+        f[:2] += self.hit
+        f[2] += self.other
+        np.maximum(f[2], 0.02, out=f[2])
+        self.right[self.context] = f
         self.new = self.new * _FADE_NEW + self.is_new
-        self.old = self.old * _FADE_NEW + (other & ~self.is_new)
+        self.old = self.old * _FADE_NEW + (self.other > self.is_new)
         np.maximum(self.old, 0.05, out=self.old)
         fresh = (ids << 3).astype(np.int32)
-        for guess, at, e, p in ((self.guess2, self.at2, self.e2, self.p2), (self.guess1, self.at1, self.e1, self.p1)):
-            sure = e & _SURE
-            guess[at] = np.where(p == ids, e + (sure < _SURE), np.where(sure > 1, e - (sure + 1 >> 1), fresh))
+        e, sure = self.e, self.sure
+        self.guess[self.at] = np.where(self.came, e + (sure < _SURE), np.where(sure > 1, e - (sure + 1 >> 1), fresh))
         self.two, self.one = self.one, ids
 
 
