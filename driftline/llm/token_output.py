@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .range_coder import BLOCK, LANES, VOCABULARY, decode_blocks, encode_blocks
 from .spread import shared_folder, tasks
+from .strand_coder import ABREAST, BLOCK, VOCABULARY, decode_blocks, encode_blocks
 from .tokens import byte_bpe_ids, slices
 
 #: The id that ends a document.
@@ -48,11 +48,11 @@ def write_tokens(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id"
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal block, before, ids, of_doc, keys, first
-            n = -(-len(ids) // BLOCK) if last else len(ids) // BLOCK
-            for at in range(0, n, LANES):
-                some = [slice(i * BLOCK, (i + 1) * BLOCK) for i in range(at, min(n, at + LANES))]
+            n = -(-len(ids) // BLOCK) if last else len(ids) // BLOCK // ABREAST * ABREAST
+            for at in range(0, n, ABREAST):
+                some = [slice(i * BLOCK, (i + 1) * BLOCK) for i in range(at, min(n, at + ABREAST))]
                 codes = encode_blocks([ids[s] for s in some])
-                held = [np.unique(of_doc[s], return_counts=True) for s in some]
+                held = [_runs(of_doc[s]) for s in some]
                 sizes = [len(ids[s]) for s in some]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part] * len(some), pa.int32()), pa.array(range(block, block + len(some)), pa.int32()), pa.array(before + np.cumsum(sizes) - sizes), pa.array(sizes, pa.int64()), pa.array([h[0].tolist() for h in held], pa.list_(pa.int64())), pa.array([h[1].tolist() for h in held], pa.list_(pa.int64())), pa.array([[keys[d - first] for d in h[0].tolist()] for h in held], pa.list_(kind)), pa.array(codes, pa.binary())],
@@ -72,12 +72,13 @@ def write_tokens(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id"
                 if own.max(initial=0) >= VOCABULARY:
                     raise ValueError(f"the coder takes ids below {VOCABULARY}, and the tokenizer gave {own.max()}")
                 whole = np.full(len(own) + len(n), END, np.uint16)
-                row = np.repeat(np.arange(len(n)), n)
-                whole[np.arange(len(own)) + row] = own
+                inner = np.ones(len(whole), bool)
+                inner[np.cumsum(n + 1) - 1] = False
+                whole[inner] = own
                 ids, of_doc = np.concatenate([ids, whole]), np.concatenate([of_doc, np.repeat(np.arange(doc, doc + len(n), dtype=np.int32), n + 1)])
                 keys += piece.column(0).to_pylist()
                 doc += len(n)
-                if len(ids) >= LANES * BLOCK:
+                if len(ids) >= ABREAST * BLOCK:
                     yield from flush(False)
         if kind is not None:
             yield from flush(True)
@@ -85,6 +86,12 @@ def write_tokens(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id"
     rows.mapInArrow(run, schema).write.parquet(folder)
 
 
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers of an ascending array, and how often each is there."""
+    at = np.flatnonzero(np.diff(x, prepend=-1))
+    return x[at], np.diff(at, append=len(x))
+
+
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """(part, doc, id, start, ids): the ids of each document, or of the part of it that one block holds, from its place in the part on."""
     rows = spark.read.parquet(folder)
@@ -94,8 +101,8 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 def _decoded(batches: Iterator[pa.RecordBatch], names: list[str], digest: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, LANES):
-            some = batch.slice(at, LANES)
+        for at in range(0, batch.num_rows, ABREAST):
+            some = batch.slice(at, ABREAST)
             col = {n: some.column(some.schema.get_field_index(n)) for n in some.schema.names}
             part, doc, start, out, length = [], [], [], [], []
             for ids, p, before, docs, sizes in zip(decode_blocks(col["code"].to_pylist()), col["part"].to_pylist(), col["before"].to_pylist(), col["docs"].to_pylist(), col["sizes"].to_pylist(), strict=True):
