@@ -30,7 +30,7 @@ from .range_coder import BLOCK, VOCABULARY
 #: Strands of a block, slots of each order's contexts.
 STRANDS, SLOTS = 16, 4096
 #: Blocks that are coded abreast; each takes about 0.7 MB.
-ABREAST = 128
+ABREAST = 256
 #: Head of a block: magic, ids, crc32 of the ids as little-endian 32-bit numbers. Then for each strand its new ids and its words.
 HEAD = struct.Struct("<4sII")
 SIZES = struct.Struct(f"<{2 * STRANDS}H")
@@ -41,6 +41,7 @@ _CONTEXTS = 2 * (_SURE + 1) ** 2
 _ONE = 1 << 13  # about the weight of all of order 0
 _MOST = 1 << 15  # the most that both predictions weigh
 _FADE, _FADE_NEW = 0.8, 0.3  # how fast weights and the share of new ids forget, in each round
+_ABREAST_STEPS = 16  # steps whose stretches are reckoned at once
 _FULL, _LEAST, _WORD = 2.0**48, 2.0**32, 2.0**16
 #: The prior's classes: first id of each, weight of one id as a shift, where they begin on the line.
 _FIRST = np.array([0, 600, 1800, 4200, 9000, 18600, 37800, VOCABULARY])
@@ -214,25 +215,32 @@ def _lines(ids: np.ndarray, x: np.ndarray, steps: int) -> tuple[np.ndarray, np.n
             in_block = at // (STRANDS * a)
             found[in_block * VOCABULARY + flat[at]] = (at - in_block * (STRANDS * a) << 14) + n
         model.begin_round(STRANDS * a)
-        es = np.empty((2, b - a, lanes), np.int32)
-        for t in range(a, b):
-            at = model.places(one, two)
-            e = es[:, t - a] = model.guess.take(at, mode="clip")
-            model.learn(at, e, e >> 2, e & _SURE, x[t])
-            one, two = x[t], one
-        now, p, sure = x[a:b], es >> 2, es & _SURE
-        context = model.contexts(p, sure)
-        w = model.weights.take(context, mode="clip")
-        own = found.take(known + now, mode="clip")
-        second, both = (w >> 16).astype(np.int32), ((w >> 16) + (w & 0xFFFF)).astype(np.int32)
-        hit = p == now
-        k = np.where(hit[0], 0, np.where(hit[1], 1, np.where(own > 0, 2, 3))).astype(np.int32)
-        escape = model.escape[model.block].astype(np.int32)
-        begin[a:b] = np.where(hit[0], 0, np.where(hit[1], second, both + np.where(own > 0, own >> 14 << model.shift, model.all)))
-        length[a:b] = np.where(hit[0], second, np.where(hit[1], both - second, np.where(own > 0, (own & 0x3FFF) << model.shift, escape)))
-        total[a:b] = both + (escape + model.all)
-        kind[a:b] = k
-        model.end_round(context, k)
+        contexts, escape = np.empty((b - a, lanes), np.int64), model.escape[model.block].astype(np.int32)
+        for c in range(a, b, _ABREAST_STEPS):
+            d = min(b, c + _ABREAST_STEPS)
+            es = np.empty((2, d - c, lanes), np.int32)
+            for t in range(c, d):
+                at = model.places(one, two)
+                e = es[:, t - c] = model.guess.take(at, mode="clip")
+                model.learn(at, e, e >> 2, e & _SURE, x[t])
+                one, two = x[t], one
+            now, p, sure = x[c:d], es >> 2, es & _SURE
+            context = contexts[c - a : d - a] = model.contexts(p, sure)
+            w = model.weights.take(context, mode="clip").astype(np.int32)  # below 2^31
+            own = found.take(known + now, mode="clip")
+            second, first = w >> 16, w & 0xFFFF
+            both, seen, hit = second + first, own > 0, p == now
+            k = kind[c:d]
+            k[:] = 3
+            k -= seen
+            begin[c:d] = both + np.where(seen, own >> 14 << model.shift, model.all)
+            length[c:d] = np.where(seen, (own & 0x3FFF) << model.shift, escape)
+            for is_own, name, start, size in ((hit[1], 1, second, first), (hit[0], 0, 0, second)):
+                np.copyto(k, name, where=is_own)
+                np.copyto(begin[c:d], start, where=is_own)
+                np.copyto(length[c:d], size, where=is_own)
+            np.add(both, escape + model.all, out=total[c:d], casting="unsafe")
+        model.end_round(contexts, kind[a:b])
     return begin, length, total, kind
 
 

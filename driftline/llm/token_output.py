@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -149,15 +150,23 @@ def token_digests(spark: SparkSession, folder: str, id_col: str = "doc_id") -> D
 
 def crc_of_both(first: int, second: int, second_bytes: int) -> int:
     """The crc32 of two stretches behind one another, from the crc32 of each: the first is moved on by as many zero bytes."""
-    power, moved, n = _times(1 << 23, 1 << 31), first, second_bytes  # x^8: one zero byte, in the checksum's reflected form
+    moved, n, k = first, second_bytes, 0
     while n:
         if n & 1:
-            moved = _times(moved, power)
-        power = _times(power, power)
+            moved = _times(moved, _zeros(k))
         n >>= 1
+        k += 1
     return moved ^ second
 
 
+@lru_cache(maxsize=64)
+def _zeros(k: int) -> int:
+    """What 2^k zero bytes do."""
+    if k == 0:
+        return _times(1 << 23, 1 << 31)  # x^8: one zero byte, in the checksum's reflected form
+    return _times(_zeros(k - 1), _zeros(k - 1))
+
+
 def _times(a: int, b: int) -> int:
     """The product of two polynomials over two elements, modulo the polynomial of crc32; the highest bit is the constant term."""
     out = 0

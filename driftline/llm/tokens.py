@@ -174,11 +174,67 @@ def _cached(path: str, pieces: pa.Array, counts: np.ndarray, most: int = CACHED)
     return gather(flat, starts, sizes, use), before[last] - before[last - made_of]
 
 
+#: Pieces that a Python worker keeps in columns, at most; those that occur once in a batch fill half of it.
+STORED = 600_000
+#: Of these, how many a part of a new piece is sought among: the earliest, which are the common ones.
+PARTS = 50_000
+
+
+class _Store(NamedTuple):
+    """Distinct pieces, their ids behind one another, and where those of each piece end."""
+
+    texts: pa.Array
+    flat: np.ndarray
+    ends: np.ndarray
+
+
+_stores: dict[str, _Store] = {}
+
+
+def _stored(path: str, pieces: pa.Array, counts: np.ndarray, most: int = STORED) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_cached``, for many distinct pieces: known ones are looked up and new ones are kept all at once."""
+    store, words = _stores.get(path) or _Store(pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(0, np.int64)), _words(path)
+    at = pc.fill_null(pc.index_in(pieces, options=pc.SetLookupOptions(value_set=store.texts)), -1).to_numpy()
+    fresh = at < 0
+    parts, use, made_of = _parts(pieces.filter(pa.array(fresh)), words)
+    part_at = pc.fill_null(pc.index_in(parts, options=pc.SetLookupOptions(value_set=store.texts[:PARTS])), -1).to_numpy()
+    asked = part_at < 0
+    word = asked & pc.match_substring_regex(parts, _WORD).to_numpy(zero_copy_only=False) if words else np.zeros(len(parts), bool)
+    rest = asked & ~word
+    own, n = _word_ids(words, parts.filter(pa.array(word)).to_pylist()) if words else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+    others = _library(path, parts.filter(pa.array(rest)).to_pylist())
+    # the store's ids, then those of words, then those of the rest
+    flat = np.concatenate([store.flat, own, np.frombuffer(b"".join(others), np.uint32)])
+    known = np.diff(store.ends, prepend=0)
+    sizes = np.zeros(len(parts), np.int64)
+    sizes[~asked], sizes[word], sizes[rest] = known[part_at[~asked]], n, np.fromiter(map(len, others), np.int64, len(others)) // 4
+    starts = np.zeros(len(parts), np.int64)
+    starts[~asked] = store.ends[part_at[~asked]] - sizes[~asked]
+    starts[word] = len(store.flat) + np.cumsum(n) - n
+    starts[rest] = len(store.flat) + len(own) + np.cumsum(sizes[rest]) - sizes[rest]
+    # the new pieces' ids, behind the store's own
+    before, last = np.concatenate([[0], np.cumsum(sizes[use])]), np.cumsum(made_of)
+    new_sizes = before[last] - before[last - made_of]
+    flat = np.concatenate([store.flat, gather(flat, starts, sizes, use)])
+    new_ends = len(store.flat) + np.cumsum(new_sizes)
+    out_sizes, out_starts = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+    out_sizes[~fresh], out_sizes[fresh] = known[at[~fresh]], new_sizes
+    out_starts[~fresh], out_starts[fresh] = store.ends[at[~fresh]] - out_sizes[~fresh], new_ends - new_sizes
+    again = counts[fresh] > 1
+    keep = np.concatenate([np.flatnonzero(again)[: max(0, most - len(store.texts))], np.flatnonzero(~again)[: max(0, most // 2 - len(store.texts) - again.sum())]])
+    if len(keep):
+        kept = pieces.filter(pa.array(fresh)).take(pa.array(keep))
+        _stores[path] = _Store(pa.concat_arrays([store.texts, kept]), np.concatenate([store.flat, gather(flat, new_ends - new_sizes, new_sizes, keep)]), np.concatenate([store.ends, len(store.flat) + np.cumsum(new_sizes[keep])]))
+    return gather(flat, out_starts, out_sizes, np.arange(len(pieces))), out_sizes
+
+
 def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, use: np.ndarray) -> np.ndarray:
     """The stretches ``use`` of ``flat`` behind one another."""
     n = sizes[use]
     ends = np.cumsum(n)
-    return flat[np.repeat(starts[use] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+    at = np.repeat(starts[use] - ends + n, n)
+    at += np.arange(len(at))
+    return flat[at]
 
 
 def encode_by_pieces(texts: pa.Array, encode: Callable[[pa.Array, np.ndarray], tuple[np.ndarray, np.ndarray]], keep_spaces: bool, special: str | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -221,7 +277,7 @@ def encode_by_pieces(texts: pa.Array, encode: Callable[[pa.Array, np.ndarray], t
 
 def byte_bpe_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """For a tokenizer whose tokens may begin with a space."""
-    return encode_by_pieces(texts, lambda pieces, counts: _cached(path, pieces, counts), keep_spaces=True, special=_SPECIAL)
+    return encode_by_pieces(texts, lambda pieces, counts: _stored(path, pieces, counts), keep_spaces=True, special=_SPECIAL)
 
 
 def word_bpe_ids(texts: pa.Array, path: str, cached: int = CACHED) -> tuple[np.ndarray, np.ndarray]:

@@ -173,6 +173,21 @@ def test_special_tokens_in_texts(name, ids):
     assert library.token_to_id("<|endoftext|>") in want[0]
 
 
+def test_pieces_that_a_worker_keeps(monkeypatch):
+    """Known, new and half-known pieces over batches, with room for all, for few and for none."""
+    path, library = P.path("byte_bpe_50k.json"), _library("byte_bpe_50k.json")
+    batches = [["the cat, the cat; sat", "", None, "été x9y the, end.", "a\nb  c"], ["the cat, (the) dogs' été; sat.", "the<|endoftext|>cat", "日本 the cat"], [""], ["new words only", "the cat, the cat; sat", "a\nb  c x9y"]]
+    for most, parts in ((600_000, 50_000), (5, 2), (0, 0)):
+        monkeypatch.setattr(tokens, "_stores", {})
+        monkeypatch.setattr(tokens, "PARTS", parts)
+        monkeypatch.setattr(tokens._stored, "__defaults__", (most,))
+        for texts in batches:
+            flat, sizes = tokens.byte_bpe_ids(pa.array(texts, pa.string()), path)
+            ends = np.cumsum(sizes)
+            assert [flat[e - n : e].tolist() for e, n in zip(ends, sizes, strict=True)] == [library(t) for t in texts]
+            assert most == 0 or len(tokens._stores[path].texts) <= most
+
+
 def test_merge_replay(docs, rows, nothing):
     path = P.path("byte_bpe_multi_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
