@@ -53,7 +53,7 @@ def test_lines_of_an_event_are_apart(spark):
     assert all(r.n_hits >= 20 and abs(r.dx**2 + r.dy**2 + r.dz**2 - 1) < 1e-3 and r.dz >= 0 for r in lines)
 
 
-@pytest.mark.parametrize("name", ["pad_distance_classes", "pad_neighbors", "pad_directions"])
+@pytest.mark.parametrize("name", ["pad_distance_classes", "pad_neighbors", "pad_directions", "pad_pairs"])
 def test_pad_maps_do_not_pass_the_driver(spark, tmp_path, name):
     """Of 5000 pads, which Spark takes for less than they are, no table over 2 MB is broadcast."""
     spark.range(5000).selectExpr("id AS p_partkey", "CAST(id * 7 % 50 AS INT) AS p_size").write.parquet(f"{tmp_path}/part.parquet")
